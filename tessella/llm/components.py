@@ -65,6 +65,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     inequality. So a bucket of n near copies costs n comparisons, not n * n, and
     no pair is dropped by a cap.
     """
+    facts = [c for c in members.columns if c not in ("key", "node")]
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     live = members.join(counts, "key")
     weights = live.groupBy("node").agg(F.sum("c").alias("w"))
@@ -75,19 +76,23 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     for _ in range(MOST_ROUNDS):
         # The leader comes from outside the component of the one before, if there was one.
         outside = F.col("lead").isNull() | (F.col("root") != F.col("lead"))
-        leaders = state.groupBy("key").agg(F.max(F.when(outside, F.struct("w", "node", "root"))).alias("leader"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and leader is not null").select("key", F.col("leader.node").alias("head"), F.col("leader.root").alias("head_root"))
-        open_ = state.join(leaders, "key", "left")
-        pairs = open_.where("head is not null and root <> head_root").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        leaders = state.groupBy("key").agg(F.max(F.when(outside, F.struct("w", "node", "root", *facts))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
+        open_ = state.alias("m").join(leaders.alias("l"), "key", "left")
+        compared = F.col("head").isNotNull() & (F.col("root") != F.col("head.root"))
+        if may_link is not None:
+            compared &= may_link("m", "head")
+        pairs = open_.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         checked = cut(verify(pairs), "checked")
         linked = checked.where("linked").select("a", "b")
         links = linked if links is None else links.union(linked)
         roots = connected_components(links).withColumnRenamed("root", "to")
-        measured = open_.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(checked.select("a", "b", "distance"), ["a", "b"], "left")
+        open_ = open_.withColumns({"a": F.least("node", "head.node"), "b": F.greatest("node", "head.node"), "head": F.col("head.node")})
+        measured = open_.join(checked.select("a", "b", "distance"), ["a", "b"], "left")
         # Without a measurement nothing is excluded: -1 stands for that.
         far = F.concat("far", F.array(F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(-1.0)))))
         moved = measured.withColumn("far", far).drop("a", "b", "distance", "root", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
         heads = roots.select(F.col("node").alias("head"), F.col("to").alias("lead"))
-        state = cut(moved.join(heads, "head", "left").withColumn("lead", F.coalesce("lead", "head")).drop("head", "head_root"), "buckets")
+        state = cut(moved.join(heads, "head", "left").withColumn("lead", F.coalesce("lead", "head")).drop("head"), "buckets")
         sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()[0]
         if left <= OPEN_PAIRS * n_live:
