@@ -1,8 +1,59 @@
-"""Stages that turn documents into packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept; its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. Every stage takes null and
+empty texts, repeated rows, empty tables and further columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import decontam, line_dedup, minhash, packing, quality_rules
+from tessella.llm.common import cut, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the likelihood ratio reject go."""
+    trusted = quality_rules.trusted_labels(read(spark, sf_dir, "labels"))
+    scored = quality_rules.quality_rules(docs, trusted)
+    return scored.where("kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and with them the documents of which nothing is left."""
+    clean = line_dedup.dedup_lines(docs)
+    return clean.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; of repeated rows, one."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document gets its place in a sequence."""
+    return packing.best_fit_pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("minhash near-dedup", near_copies), ("benchmark decontamination", benchmark), ("best-fit packing", pack)]
+
+#: The likelihood ratio, SimHash and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, f"stage_{name.replace(' ', '_')}")
+    return docs
