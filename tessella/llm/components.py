@@ -46,53 +46,44 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 #: Rounds against one leader of each bucket go on while more pairs than so many times the bucket rows are open.
 OPEN_PAIRS = 4
-MOST_ROUNDS = 6
+MOST_ROUNDS = 2
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column] | None = None, slack: float | None = None) -> DataFrame:
-    """Components over all pairs of nodes that share a bucket and pass verify.
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """node, root of the components over all pairs of nodes that share a bucket and pass verify.
 
     members: key, node and what may_link reads. verify takes pairs (a, b) and
-    returns those that it could measure with their distance, and linked.
-    may_link(a, b): a condition on the members' columns under the aliases a and
-    b that every linked pair meets. slack: if the distance is a metric, the
-    greatest distance of a link.
+    returns those that are linked. may_link(a, b): a condition on the members'
+    columns under the aliases a and b that every linked pair meets. facts: node
+    and columns for may_link_all, one more condition of that kind, which only
+    the last step reads.
 
     In each round one member of every open bucket, the one met most often in
     buckets, is compared with the others; whoever ends in its component needs no
-    further comparison with it. Pairs still open after that are all compared,
-    but for those that the distances to the leaders exclude by the triangle
-    inequality. So a bucket of n near copies costs n comparisons, not n * n, and
-    no pair is dropped by a cap.
+    further comparison with it, so a bucket of n near copies costs n comparisons
+    and not n * n. Pairs still open after that are all put to the conditions
+    inside one join, and verified if they pass: no pair is dropped by a cap.
     """
-    facts = [c for c in members.columns if c not in ("key", "node")]
+    own = [c for c in members.columns if c not in ("key", "node")]
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     live = members.join(counts, "key")
     weights = live.groupBy("node").agg(F.sum("c").alias("w"))
     live = cut(live.drop("c").join(weights, "node"), "buckets")
     n_live = live.count()
-    state = live.withColumns({"root": F.col("node"), "far": F.array().cast("array<double>"), "lead": F.lit(None).cast("long")})
+    state = live.withColumns({"root": F.col("node"), "led": F.lit(False), "away": F.lit(True)})
     links = None
     for _ in range(MOST_ROUNDS):
-        # The leader comes from outside the component of the one before, if there was one.
-        outside = F.col("lead").isNull() | (F.col("root") != F.col("lead"))
-        leaders = state.groupBy("key").agg(F.max(F.when(outside, F.struct("w", "node", "root", *facts))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
-        open_ = state.alias("m").join(leaders.alias("l"), "key", "left")
-        compared = F.col("head").isNotNull() & (F.col("root") != F.col("head.root"))
-        if may_link is not None:
-            compared &= may_link("m", "head")
-        pairs = open_.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        checked = cut(verify(pairs), "checked")
-        linked = checked.where("linked").select("a", "b")
-        links = linked if links is None else links.union(linked)
-        roots = connected_components(links).withColumnRenamed("root", "to")
-        open_ = open_.withColumns({"a": F.least("node", "head.node"), "b": F.greatest("node", "head.node"), "head": F.col("head.node")})
-        measured = open_.join(checked.select("a", "b", "distance"), ["a", "b"], "left")
-        # Without a measurement nothing is excluded: -1 stands for that.
-        far = F.concat("far", F.array(F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.coalesce("distance", F.lit(-1.0)))))
-        moved = measured.withColumn("far", far).drop("a", "b", "distance", "root", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
-        heads = roots.select(F.col("node").alias("head"), F.col("to").alias("lead"))
-        state = cut(moved.join(heads, "head", "left").withColumn("lead", F.coalesce("lead", "head")).drop("head"), "buckets")
+        # The greatest struct: of the members that have not led, one away from the last leader's component, and of these the one met most often.
+        leaders = state.groupBy("key").agg(F.max(F.when(~F.col("led"), F.struct("away", "w", "node", "root", *own))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
+        met = state.alias("m").join(leaders, "key")
+        compared = (F.col("root") != F.col("head.root")) & may_link("m", "head")
+        checked = cut(verify(met.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()), "links")
+        links = checked if links is None else links.union(checked)
+        roots = connected_components(links)
+        moved = met.select("key", "node", "w", *own, (F.col("led") | (F.col("node") == F.col("head.node"))).alias("led"), F.col("head.node").alias("last"))
+        state = moved.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = roots.select(F.col("node").alias("last"), F.col("root").alias("last_root"))
+        state = cut(state.join(heads, "last", "left").withColumn("away", F.col("root") != F.coalesce("last_root", "last")).drop("last", "last_root"), "buckets")
         sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()[0]
         if left <= OPEN_PAIRS * n_live:
@@ -100,13 +91,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     if left:
         several = state.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         rest = state.join(several, "key", "left_semi")
-        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-        if may_link is not None:
-            meet &= may_link("a", "b")
-        if slack is not None:
-            apart = F.zip_with("a.far", "b.far", lambda x, y: (x >= 0) & (y >= 0) & (F.abs(x - y) > slack + 1e-9))
-            meet &= ~F.exists(apart, lambda x: x)
+        if facts is not None:
+            rest = rest.join(facts, "node")
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & may_link("a", "b")
+        if may_link_all is not None:
+            meet &= may_link_all("a", "b")
         pairs = rest.alias("a").join(rest.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        links = links.union(cut(verify(pairs), "checked").where("linked").select("a", "b"))
+        links = links.union(cut(verify(pairs), "links"))
         return connected_components(links)
-    return roots.withColumnRenamed("to", "root")
+    return roots

@@ -37,9 +37,11 @@ PERCENT = 80
 PERMUTATIONS = 64
 BANDS = 24
 BAND_VALUES = 4
-#: Sketch bits in which two documents at the threshold may differ: the mean of a fifth of 128 values, and 5 deviations.
+#: Sketch bits in which two documents at the threshold may differ: 25.6 on average, and 5 deviations of 5.8.
 SKETCH_WORDS = 4
-SKETCH_SLACK = 80
+SKETCH_SLACK = 55
+#: 64-bit words of a set's bitmap.
+MAP_WORDS = 32
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -133,24 +135,31 @@ def sign_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def sets_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """node, shingles (distinct hashes) of documents with any."""
+    """node, shingles (distinct hashes) and a bitmap of them, of documents with any."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = [s for s in sets if len(s)]
         lengths = np.concatenate(([0], np.cumsum([len(s) for s in own], dtype=np.int64)))
         values = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(set_keys(own).view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values.view(np.int64)))], names=["node", "shingles"])
+        bits = np.zeros((len(own), 64 * MAP_WORDS), dtype=np.uint8)
+        bits[np.repeat(np.arange(len(own)), np.diff(lengths)), ((values >> np.uint64(20)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+        maps = np.packbits(bits, axis=1).view(np.int64)
+        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(set_keys(own).view(np.int64)), lists(lengths, values.view(np.int64)), lists(np.arange(len(own) + 1) * MAP_WORDS, maps.reshape(-1)), pa.array(bits.sum(axis=1, dtype=np.int64))],
+            names=["node", "shingles", "map", "bits"],
+        )
 
-    return _shingled(text, size, doc_id, "node long, shingles array<long>", made, docs)
+    return _shingled(text, size, doc_id, "node long, shingles array<long>, map array<long>, bits long", made, docs)
 
 
 def verifier(sets: DataFrame, percent: int):
-    """Exact Jaccard distance of pairs of nodes, and whether they are linked."""
+    """Keeps the pairs of nodes whose full sets are similar enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long")).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
-        return both.select("a", "b", (1 - F.col("i") / F.col("u")).alias("distance"), (100 * F.col("i") >= percent * F.col("u")).alias("linked"))
+        both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
     return verify
 
@@ -166,6 +175,18 @@ def similar_enough(percent: int):
     return condition
 
 
+def bitmap_bound(percent: int):
+    """What every linked pair meets: shingles whose bit the other lacks are not shared, and so many may not be."""
+
+    def condition(a: str, b: str) -> Column:
+        # An interpreted loop: 32 unrolled words would make a join that takes the JVM's compiler gigabytes.
+        both = F.aggregate(F.zip_with(f"{a}.map", f"{b}.map", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y)
+        most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.bits"), F.col(f"{b}.n") - F.col(f"{b}.bits"))
+        return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+
+    return condition
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and kept."""
     signed = cut(sign_documents(docs, text, doc_id, size), "signed")
@@ -175,7 +196,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     met = members.join(shared, "key", "left_semi").select("node").distinct()
     wanted = classes.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep").alias(doc_id)).distinct()
     sets = cut(sets_of(docs.join(wanted, doc_id, "left_semi"), text, doc_id, size).dropDuplicates(["node"]), "sets")
-    roots = link_buckets(members, verifier(sets, percent), similar_enough(percent), slack=1 - percent / 100)
+    roots = link_buckets(members, verifier(sets, percent), similar_enough(percent), sets.drop("shingles"), bitmap_bound(percent))
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     component = placed.join(least, "root").select("node", "component_id")
