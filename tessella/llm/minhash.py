@@ -92,9 +92,9 @@ def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.n
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(signature), BANDS), dtype=np.uint64)
-    for j in range(BANDS):
+def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    keys = np.empty((len(signature), bands), dtype=np.uint64)
+    for j in range(bands):
         part = signature[:, BAND_VALUES * j : BAND_VALUES * (j + 1)]
         keys[:, j] = wordhash.mix((part * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) ^ np.uint64(j + 1))
     return keys

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, line_dedup, minhash, packing, pii, quality_classifier, quality_rules
+from . import chat, decontam, html_extract, line_dedup, minhash, packing, paragraph_dedup, pii, quality_classifier, quality_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_classifier.classify(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
