@@ -40,7 +40,7 @@ def differences(spark, con, query, sql: str, sf_dir: str) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} and {len(want)} rows"
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     types = dict(zip(rel.columns, map(str, rel.types), strict=True))
     odd = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t, t) != types[c]]
     return f"{len(bad)} of {len(got)} rows, such as {bad[:2]}" if bad else f"types {odd}" if odd else None
