@@ -1 +1,97 @@
-"""To come."""
+"""Queries over imported documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.adapters import cells, sql, table, threads
+from tessella.operators import importer as op
+from tessella.registry import query
+
+
+def files(spark, d):
+    """Pages as files: every third keeps its text, others get a head of another format."""
+    p = table(spark, d, "pages")
+    k = F.col("page_id")
+    head = F.when(k % 6 == 0, "%PDF-1.7").when(k % 6 == 1, '  {"a": 1}').when(k % 6 == 2, "<?xml version='1.0'?>").when(k % 6 == 3, "<chart w='1'>").otherwise(F.substring(F.coalesce("html", F.lit("")), 1, 64))
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "json", "oxs", "bin"))), (k % 4 + 1).cast("int"))
+    return p.select(F.concat(F.lit("f"), k.cast("string"), F.lit("."), ext).alias("name"), head.cast("binary").alias("head"), F.when(k % 5 == 0, "image/png").otherwise("").alias("mime"))
+
+
+FILES = """files AS (SELECT 'f' || page_id || '.' || ['pdf', 'json', 'oxs', 'bin'][page_id % 4 + 1] AS name, page_id % 4 AS e, CASE WHEN page_id % 5 = 0 THEN 'image/png' ELSE '' END AS mime, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'json' WHEN 2 THEN 'oxs' WHEN 3 THEN 'oxs' END AS magic FROM pages),
+    x AS (SELECT *, CASE e WHEN 0 THEN 'pdf' WHEN 1 THEN 'json' WHEN 2 THEN 'oxs' END AS ext FROM files)"""
+
+
+@query(f"WITH {FILES} SELECT name, coalesce(magic, ext, CASE WHEN mime = 'image/png' THEN 'image' END, 'unknown') AS format, CAST(CASE WHEN magic IS NOT NULL THEN CASE WHEN ext = magic THEN 1.0 ELSE 0.9 END WHEN ext IS NOT NULL THEN 0.7 WHEN mime = 'image/png' THEN 0.6 ELSE 0 END AS DOUBLE) AS confidence FROM x")
+def import_sniff(spark, d):
+    return op.sniff(files(spark, d))
+
+
+@query("WITH s AS (SELECT o_orderkey AS file, 's' || (o_custkey % 5) AS strategy, o_custkey % 5 AS ord, CAST(floor(o_totalprice) % 7 AS BIGINT) AS score FROM orders UNION ALL SELECT o_orderkey, 't', 9, CAST(o_custkey % 7 AS BIGINT) FROM orders) SELECT file, strategy, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, ord) = 1")
+def import_best_strategy(spark, d):
+    o = table(spark, d, "orders")
+    a = o.select(F.col("o_orderkey").alias("file"), F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("strategy"), (F.col("o_custkey") % 5).alias("ord"), (F.floor("o_totalprice") % 7).cast("long").alias("score"))
+    b = o.select(F.col("o_orderkey").alias("file"), F.lit("t").alias("strategy"), F.lit(9).cast("long").alias("ord"), (F.col("o_custkey") % 7).cast("long").alias("score"))
+    return op.best_strategy(a.unionByName(b))
+
+
+def lists(spark, d):
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("dmc "), c, F.lit("; #"), k, F.lit(", anchor"), c, F.lit("\tE168,,Blanc")).alias("text"))
+
+
+@query(sql("threads", ", o AS (SELECT o_orderkey AS id, unnest([{'p': 0, 'c': CAST(o_custkey AS VARCHAR)}, {'p': 1, 'c': CAST(o_orderkey AS VARCHAR)}, {'p': 2, 'c': CAST(o_custkey AS VARCHAR)}, {'p': 3, 'c': 'E168'}, {'p': 4, 'c': 'BLANC'}]) AS t FROM orders) SELECT o.id, CAST(t.p AS INTEGER) AS position, t.c AS code, threads.id AS thread_id FROM o LEFT JOIN threads ON CAST(threads.id AS VARCHAR) = t.c"))
+def import_bulk_codes(spark, d):
+    return op.resolved_codes(op.bulk_codes(lists(spark, d)), threads(spark, d))
+
+
+@query(sql("threads", "SELECT id, printf('#%02X%02x%02x', r, g, b) AS hex, r, g, b, CAST(CASE WHEN id % 5 = 0 THEN 170 END AS INTEGER) AS short_r FROM threads"))
+def import_hex(spark, d):
+    t = threads(spark, d)
+    byte = lambda c, upper: F.format_string("%02X" if upper else "%02x", F.col(c))
+    coded = t.withColumn("hex", F.concat(F.lit("#"), byte("r", True), byte("g", False), byte("b", False)))
+    c = op.hex_channels(F.col("hex"))
+    short = op.hex_channels(F.when(F.col("id") % 5 == 0, "#abc").otherwise("#zz"))
+    return coded.select("id", "hex", c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), short["r"].alias("short_r"))
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part), h AS (SELECT name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))), lambda a, c: ((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM n) SELECT name, CAST(h AS BIGINT) AS h FROM h")
+def import_name_hash(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("h", op.name_hash(F.col("name")))
+
+
+@query("WITH p AS (SELECT o_custkey AS page_id, CAST(sum(floor(o_totalprice / 1000)) AS BIGINT) AS total, CAST(sum(o_orderkey % 300) AS BIGINT) AS fills, count(*) * 5 AS colours, count(*) FILTER (o_orderstatus = 'P') AS images, count(*) FILTER (o_orderstatus = 'O') AS codes FROM orders GROUP BY 1) SELECT page_id, CASE WHEN total < 50 THEN 'blank' WHEN colours >= 50 AND fills >= 1000 THEN 'chart' WHEN colours >= 5 AND fills >= 1000 THEN 'overlay' WHEN fills >= 500 AND codes > 0 THEN 'combined' WHEN codes >= 5 THEN 'legend' WHEN images > 0 THEN 'cover' ELSE 'text' END AS role FROM p")
+def import_page_roles(spark, d):
+    o = table(spark, d, "orders")
+    p = o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.sum(F.floor(F.col("o_totalprice") / 1000)).cast("long").alias("total"), F.sum(F.col("o_orderkey") % 300).alias("fills"), (F.count(F.lit(1)) * 5).alias("colours"), F.count_if(F.col("o_orderstatus") == "P").alias("images"), F.count_if(F.col("o_orderstatus") == "O").alias("codes"))
+    return op.page_roles(p)
+
+
+@query("WITH d AS (SELECT DISTINCT l_suppkey AS page_id, floor((l_partkey % 60) * 2.5::DOUBLE * 10 + 0.5) / 10 AS v FROM lineitem), s AS (SELECT page_id, floor((v - lag(v) OVER (PARTITION BY page_id ORDER BY v)) * 10 + 0.5) / 10 AS step FROM d), n AS (SELECT page_id, step, count(*) AS n FROM s WHERE step > 0 GROUP BY 1, 2) SELECT page_id, step AS pitch FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, step) = 1")
+def import_pitch(spark, d):
+    return op.pitch(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page_id"), ((F.col("l_partkey") % 60) * 2.5).alias("v")))
+
+
+CODED = "coded AS (SELECT project_id AS doc, CASE WHEN thread_id IN ('__skip__', '__empty__') THEN NULL ELSE thread_id END AS code FROM cells), legend AS (SELECT DISTINCT project_id AS doc, 't' || (idx % 9) AS code, project_id % 97 AS expected FROM cells WHERE idx < 8)"
+
+
+@query(sql("cells", f""", {CODED}, c AS (SELECT doc, code, count(*) AS actual FROM coded WHERE code IS NOT NULL GROUP BY 1, 2), j AS (SELECT coalesce(c.doc, l.doc) AS doc, coalesce(c.code, l.code) AS code, actual, expected FROM c FULL JOIN legend l ON c.doc = l.doc AND c.code = l.code)
+    SELECT doc, code, 'COUNT_MISMATCH' AS finding FROM j WHERE actual IS NOT NULL AND expected IS NOT NULL AND abs(actual - expected) > greatest(5.0, expected * 0.1) UNION ALL SELECT doc, code, 'LEGEND_MISSING_CODE' FROM j WHERE expected IS NULL UNION ALL SELECT doc, code, 'LEGEND_UNUSED' FROM j WHERE actual IS NULL UNION ALL SELECT doc, NULL, 'LOW_PALETTE_COVERAGE' FROM coded GROUP BY doc HAVING count(code) / count(*)::DOUBLE < 0.8"""))
+def import_validate(spark, d):
+    c = cells(spark, d)
+    coded = c.select(F.col("project_id").alias("doc"), F.when(~F.col("thread_id").isin("__skip__", "__empty__"), F.col("thread_id")).alias("code"))
+    legend = c.where("idx < 8").select(F.col("project_id").alias("doc"), F.concat(F.lit("t"), (F.col("idx") % 9).cast("string")).alias("code"), (F.col("project_id") % 97).alias("expected")).distinct()
+    return op.validate(coded, legend)
+
+
+@query(sql("cells", ", s AS (SELECT project_id AS doc, x, y, thread_id AS code FROM cells WHERE idx % 3 = 0), b AS (SELECT doc, max(x) AS w, max(y) AS h FROM s GROUP BY 1), r AS (SELECT doc, w, unnest(range(0, h + 1)) AS y FROM b), q AS (SELECT doc, y, unnest(range(0, w + 1)) AS x FROM r) SELECT q.doc, q.x, q.y, coalesce(code, '__skip__') AS code FROM q LEFT JOIN s ON q.doc = s.doc AND q.x = s.x AND q.y = s.y"))
+def import_materialised(spark, d):
+    return op.materialised(cells(spark, d).where("idx % 3 = 0").select(F.col("project_id").alias("doc"), "x", "y", F.col("thread_id").alias("code")))
+
+
+@query("WITH e AS (SELECT event_id AS id, 0.5::DOUBLE * ((event_id % 11) / 10.0::DOUBLE) + 0.3::DOUBLE * ((event_id % 7) / 6.0::DOUBLE) + 0.2::DOUBLE * ((event_id % 3) / 2.0::DOUBLE) AS c FROM events) SELECT id, round(c, 6) AS confidence, CASE WHEN c >= 0.95 THEN 'accept' WHEN c >= 0.8 THEN 'review' ELSE 'guided' END AS mode FROM e")
+def import_confidence(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(k.alias("id"), op.overall_confidence((k % 11) / 10.0, (k % 7) / 6.0, (k % 3) / 2.0).alias("c"))
+    return e.select("id", F.round("c", 6).alias("confidence"), op.review_mode(F.col("c")).alias("mode"))
