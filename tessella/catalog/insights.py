@@ -1 +1,54 @@
-"""To come."""
+"""Queries that give text, and live sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.adapters import AS_OF, sessions, sql, table, targets
+from tessella.catalog.sessions import DAY, STREAKS, WEEKS
+from tessella.operators import insights as op
+from tessella.registry import query
+
+
+def _text(kind: str) -> str:
+    options = ", ".join("'" + o.replace("'", "''") + "'" for o in op.WEEKS[kind])
+    return f"WHEN '{kind}' THEN [{options}][project_id % {len(op.WEEKS[kind])} + 1]"
+
+
+@query(sql("sessions", f""", {WEEKS}, b AS (SELECT project_id, {', '.join(f"CAST(coalesce(max({c}) FILTER (week = '{k}'), 0) AS BIGINT) AS {c}_{k}" for c in ('stitches', 'speed', 'active_days') for k in ('this', 'last'))} FROM weeks GROUP BY 1),
+    k AS (SELECT *, CASE WHEN stitches_this = 0 THEN 'none' WHEN stitches_last = 0 THEN 'back' WHEN stitches_this > stitches_last THEN 'up' WHEN stitches_this < stitches_last THEN 'down' ELSE 'same' END AS kind FROM b),
+    t AS (SELECT *, replace(replace(replace(CASE kind {' '.join(_text(k) for k in op.WEEKS)} END, '%n', CAST(stitches_this AS VARCHAR)), '%p', CAST(CAST(floor((stitches_this - stitches_last) / greatest(1, stitches_last)::DOUBLE * 100 + 0.5) AS BIGINT) AS VARCHAR)), '%l', CAST(stitches_last AS VARCHAR)) AS volume FROM k)
+    SELECT project_id, kind, concat_ws(' ', volume, CASE WHEN speed_this > 0 AND speed_last > 0 AND speed_this - speed_last > 10 THEN 'Faster at ' || speed_this || ' an hour.' WHEN speed_this > 0 AND speed_last > 0 AND speed_this - speed_last < -10 THEN 'Slower at ' || speed_this || ' an hour.' END, CASE WHEN active_days_this >= 5 THEN active_days_this || ' active days.' END) AS summary FROM t"""))
+def insight_weekly_summary(spark, d):
+    return op.weekly_summary(sessions(spark, d), AS_OF)
+
+
+@query(sql("sessions", f""", {STREAKS}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_time, ord) AS up, row_number() OVER (PARTITION BY project_id ORDER BY start_time DESC, ord DESC) AS down, count(*) OVER (PARTITION BY project_id) AS n FROM sessions),
+    sp AS (SELECT project_id, sum(net_stitches) FILTER (up <= 5) / (sum(duration_seconds) FILTER (up <= 5) / 3600.0::DOUBLE) AS a, sum(net_stitches) FILTER (down <= 5) / (sum(duration_seconds) FILTER (down <= 5) / 3600.0::DOUBLE) AS b FROM r WHERE n >= 10 GROUP BY 1),
+    f AS (SELECT project_id, 1 AS o, 'streak' AS kind, CAST(current AS BIGINT) AS value FROM streaks WHERE current >= 3
+        UNION ALL SELECT project_id, 2, CASE WHEN b > a * 1.1 THEN 'faster' ELSE 'slower' END, CAST(floor(b + 0.5) AS BIGINT) FROM sp WHERE b > a * 1.1 OR b < a * 0.85
+        UNION ALL SELECT project_id, 3, 'idle', CAST({DAY} - max(date) AS BIGINT) FROM sessions GROUP BY 1 HAVING {DAY} - max(date) >= 4
+        UNION ALL (SELECT project_id, 4, 'peak', hour FROM (SELECT project_id, CAST(hour(start_time) AS BIGINT) AS hour, count(*) AS n FROM sessions GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, hour) = 1) WHERE n >= 5)
+        UNION ALL (SELECT project_id, 5, 'best', max(st) FROM (SELECT project_id, date, CAST(sum(net_stitches) AS BIGINT) AS st FROM sessions GROUP BY 1, 2) WHERE st > 0 GROUP BY 1))
+    SELECT project_id, kind, value, CAST(row_number() OVER (PARTITION BY project_id ORDER BY o) AS INTEGER) AS position FROM f WHERE NOT (kind = 'peak' AND project_id % 4 = 0) QUALIFY position <= 4"""))
+def insight_cards(spark, d):
+    s = sessions(spark, d)
+    dismissed = s.where("project_id % 4 = 0").select("project_id", F.lit("peak").alias("kind")).distinct()
+    return op.cards(s, AS_OF, dismissed)
+
+
+@query(sql("sessions targets", "SELECT t.project_id, printf('%d of %d stitches (%d%%) in %d hours', done, total, CAST(floor(done / greatest(total, 1)::DOUBLE * 100 + 0.5) AS BIGINT), CAST(floor(sum(duration_seconds) / 3600.0::DOUBLE + 0.5) AS BIGINT)) AS text FROM targets t JOIN sessions s ON s.project_id = t.project_id GROUP BY t.project_id, done, total"))
+def insight_share_text(spark, d):
+    return op.share_text(sessions(spark, d), targets(spark, d))
+
+
+@query(sql("sessions", f", d AS (SELECT project_id, {DAY} - max(date) AS k FROM sessions GROUP BY 1) SELECT project_id, CASE WHEN k <= 0 THEN 'Today' WHEN k = 1 THEN 'Yesterday' WHEN k < 7 THEN k || ' days ago' WHEN k // 7 = 1 THEN '1 week ago' ELSE (k // 7) || ' weeks ago' END AS label FROM d"))
+def insight_last_seen(spark, d):
+    return op.last_seen(sessions(spark, d), AS_OF)
+
+
+@query("""WITH a AS (SELECT user_id AS project_id, ts, CAST(floor(value) AS BIGINT) % 50 AS completed, event_id % 5 AS undone FROM events), o AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOURS, TRUE) AS opens FROM a WINDOW w AS (PARTITION BY project_id ORDER BY ts)),
+    k AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY project_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM o) SELECT project_id, min(ts) AS start_time, max(ts) AS end_time, CAST(sum(completed) - sum(undone) AS BIGINT) AS net, CAST(greatest(1, floor(epoch(max(ts))) - floor(epoch(min(ts)))) AS BIGINT) AS seconds FROM k GROUP BY project_id, k HAVING sum(completed) + sum(undone) > 0""")
+def live_session_windows(spark, d):
+    a = table(spark, d, "events").select(F.col("user_id").alias("project_id"), "ts", (F.floor("value").cast("long") % 50).alias("completed"), (F.col("event_id") % 5).alias("undone"))
+    return op.live_sessions(a, 360)
