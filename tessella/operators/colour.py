@@ -15,9 +15,6 @@ from tessella.functions import colour as c
 
 BROADCAST_ROWS = 20_000
 
-LAB = tuple(map(F.col, ("l", "a", "b")))
-
-
 def lab(prefix: str) -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{x}") for x in ("l", "a", "b"))
 
@@ -45,16 +42,16 @@ def distinct_points(points: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each point the thread of least squared distance, the first of equal ones, with CIEDE2000, tier and words."""
-    pairs = distinct_points(points).crossJoin(small(catalogue)).withColumn("d2", c.delta_e2(LAB, lab("c_")))
+    pairs = distinct_points(points).crossJoin(small(catalogue)).withColumn("d2", c.delta_e2(lab(""), lab("c_")))
     best = pairs.groupBy("l", "a", "b").agg(F.min_by(F.struct("thread_id", "c_l", "c_a", "c_b", "d2"), F.struct("d2", "ord")).alias("m"))
     target = tuple(F.col(f"m.c_{x}") for x in ("l", "a", "b"))
-    out = points.join(best, ["l", "a", "b"]).withColumn("delta", c.ciede2000(LAB, target))
-    return out.select("id", F.col("m.thread_id").alias("thread_id"), F.col("m.d2").alias("d2"), "delta", c.match_tier(F.col("delta")).alias("tier"), c.difference_words(LAB, target).alias("words"))
+    out = points.join(best, ["l", "a", "b"]).withColumn("delta", c.ciede2000(lab(""), target))
+    return out.select("id", F.col("m.thread_id").alias("thread_id"), F.col("m.d2").alias("d2"), "delta", c.match_tier(F.col("delta")).alias("tier"), c.difference_words(lab(""), target).alias("words"))
 
 
 def substitutes(points: DataFrame, stock: DataFrame, k: int = 5) -> DataFrame:
     """The k colours in stock that are nearest by CIEDE2000, rounded to a tenth."""
-    pairs = distinct_points(points).crossJoin(small(stock)).withColumn("delta", F.floor(c.ciede2000(LAB, lab("c_")) * 10 + 0.5) / 10)
+    pairs = distinct_points(points).crossJoin(small(stock)).withColumn("delta", F.floor(c.ciede2000(lab(""), lab("c_")) * 10 + 0.5) / 10)
     rank = F.row_number().over(Window.partitionBy("l", "a", "b").orderBy("delta", "ord"))
     top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
     return points.join(top, ["l", "a", "b"]).select("id", "rank", "thread_id", "delta")
@@ -69,7 +66,7 @@ def near_pairs(stock: DataFrame, most: float = 1.0) -> DataFrame:
 
 def covered(points: DataFrame, stock: DataFrame, most: float = 6.0) -> DataFrame:
     """Whether any colour in stock is closer to a point than most."""
-    hit = distinct_points(points).join(small(stock), c.ciede2000(LAB, lab("c_")) < most, "left_semi").withColumn("covered", F.lit(True))
+    hit = distinct_points(points).join(small(stock), c.ciede2000(lab(""), lab("c_")) < most, "left_semi").withColumn("covered", F.lit(True))
     return points.join(hit, ["l", "a", "b"], "left").select("id", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 

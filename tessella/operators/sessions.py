@@ -13,11 +13,17 @@ from pyspark.sql.window import Window
 from tessella.functions.dates import day, monday_of, sunday_of
 from tessella.functions.numbers import js_round, or_one, ratio, tenth
 
-N = F.col("net_stitches")
-SECONDS = F.col("duration_seconds")
 PER_HOUR = 3600.0
 
 
+def net():
+    return F.col("net_stitches")
+
+
+def secs():
+    return F.col("duration_seconds")
+
+
 def whole(x):
     return x.cast("long")
 
@@ -28,7 +34,7 @@ def speed(stitches, seconds):
 
 
 def daily(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("project_id", "date").agg(F.sum(N).alias("stitches"), F.sum(SECONDS).alias("seconds"), F.count(F.lit(1)).alias("n_sessions"))
+    return sessions.groupBy("project_id", "date").agg(F.sum(net()).alias("stitches"), F.sum(secs()).alias("seconds"), F.count(F.lit(1)).alias("n_sessions"))
 
 
 def date_totals(sessions: DataFrame, as_of: str) -> DataFrame:
@@ -36,10 +42,10 @@ def date_totals(sessions: DataFrame, as_of: str) -> DataFrame:
     d = day(as_of)
     upto = F.col("date") <= d
     return sessions.groupBy("project_id").agg(
-        F.coalesce(F.sum(F.when(F.col("date") == d, N)), F.lit(0)).alias("today"),
-        F.coalesce(F.sum(F.when(upto & (F.col("date") >= monday_of(d)), N)), F.lit(0)).alias("week"),
-        F.coalesce(F.sum(F.when(upto & (F.col("date") >= F.trunc(d, "month")), N)), F.lit(0)).alias("month"),
-        F.coalesce(F.sum(F.when(F.col("date") == d, SECONDS)), F.lit(0)).alias("seconds_today"),
+        F.coalesce(F.sum(F.when(F.col("date") == d, net())), F.lit(0)).alias("today"),
+        F.coalesce(F.sum(F.when(upto & (F.col("date") >= monday_of(d)), net())), F.lit(0)).alias("week"),
+        F.coalesce(F.sum(F.when(upto & (F.col("date") >= F.trunc(d, "month")), net())), F.lit(0)).alias("month"),
+        F.coalesce(F.sum(F.when(F.col("date") == d, secs())), F.lit(0)).alias("seconds_today"),
     )
 
 
@@ -47,26 +53,26 @@ def project_meta(sessions: DataFrame, as_of: str) -> DataFrame:
     """The row that project lists show; the last session is the last in input order."""
     d = day(as_of)
     out = sessions.groupBy("project_id").agg(
-        F.sum(SECONDS).alias("seconds"),
-        F.sum(N).alias("net"),
+        F.sum(secs()).alias("seconds"),
+        F.sum(net()).alias("net"),
         F.count_distinct("date").alias("active_days"),
         F.count(F.lit(1)).alias("n_sessions"),
         F.max_by("date", "ord").alias("last_date"),
         F.max_by("net_stitches", "ord").alias("last_net"),
-        F.coalesce(F.sum(F.when(F.col("date") > F.date_sub(d, 7), N)), F.lit(0)).alias("last_week"),
-        F.coalesce(F.sum(F.when(F.col("date") > F.date_sub(d, 30), N)), F.lit(0)).alias("last_month"),
+        F.coalesce(F.sum(F.when(F.col("date") > F.date_sub(d, 7), net())), F.lit(0)).alias("last_week"),
+        F.coalesce(F.sum(F.when(F.col("date") > F.date_sub(d, 30), net())), F.lit(0)).alias("last_month"),
     )
     return out.withColumns({"minutes": whole(js_round(F.col("seconds") / 60)), "per_hour": speed(F.col("net"), F.col("seconds"))})
 
 
 def lifetime(sessions: DataFrame) -> DataFrame:
     """One row over all projects."""
-    return sessions.agg(F.sum(N).alias("stitches"), F.sum(SECONDS).alias("seconds"), F.count(F.lit(1)).alias("n_sessions"), F.count_distinct("project_id").alias("n_projects"), F.count_distinct("date").alias("active_days"))
+    return sessions.agg(F.sum(net()).alias("stitches"), F.sum(secs()).alias("seconds"), F.count(F.lit(1)).alias("n_sessions"), F.count_distinct("project_id").alias("n_projects"), F.count_distinct("date").alias("active_days"))
 
 
 def daily_totals(sessions: DataFrame, as_of: str, days: int) -> DataFrame:
     d = day(as_of)
-    return sessions.where((F.col("date") > F.date_sub(d, days)) & (F.col("date") <= d)).groupBy("date").agg(F.sum(N).alias("stitches"))
+    return sessions.where((F.col("date") > F.date_sub(d, days)) & (F.col("date") <= d)).groupBy("date").agg(F.sum(net()).alias("stitches"))
 
 
 def weighted_pace(sessions: DataFrame, days: int = 14) -> DataFrame:
@@ -81,7 +87,7 @@ def weighted_pace(sessions: DataFrame, days: int = 14) -> DataFrame:
 def overview(sessions: DataFrame, targets: DataFrame, as_of: str) -> DataFrame:
     """Speed, paces, and what is left at the recent pace; targets have project_id, done and total."""
     d = day(as_of)
-    base = sessions.groupBy("project_id").agg(F.sum(SECONDS).alias("seconds"), F.sum(N).alias("net"), F.count_distinct("date").alias("active_days"), F.min("date").alias("first_date"))
+    base = sessions.groupBy("project_id").agg(F.sum(secs()).alias("seconds"), F.sum(net()).alias("net"), F.count_distinct("date").alias("active_days"), F.min("date").alias("first_date"))
     joined = base.join(weighted_pace(sessions).select("project_id", "pace"), "project_id").join(targets, "project_id")
     elapsed = F.greatest(F.lit(1), F.date_diff(d, "first_date"))
     left = F.col("total") - F.col("done")
@@ -127,7 +133,7 @@ def colour_timeline(sessions: DataFrame) -> DataFrame:
 def recent_pace(sessions: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     """Active days, speed and stitches per active day of the last days."""
     recent = sessions.where((F.col("date") > F.date_sub(day(as_of), days)) & (F.col("date") <= day(as_of)))
-    out = recent.groupBy("project_id").agg(F.count_distinct("date").alias("active_days"), F.sum(N).alias("stitches"), F.sum(SECONDS).alias("seconds"))
+    out = recent.groupBy("project_id").agg(F.count_distinct("date").alias("active_days"), F.sum(net()).alias("stitches"), F.sum(secs()).alias("seconds"))
     return out.select("project_id", "active_days", speed(F.col("stitches"), F.col("seconds")).alias("per_hour"), (F.col("stitches") / F.col("active_days")).alias("per_day"))
 
 
@@ -143,7 +149,7 @@ def projections(sessions: DataFrame, targets: DataFrame, as_of: str) -> DataFram
 
 def rhythm(sessions: DataFrame) -> DataFrame:
     """Stitches by weekday, Monday first, and hour; a session without stitches counts as one."""
-    return sessions.groupBy(F.weekday("start_time").alias("weekday"), F.hour("start_time").alias("hour")).agg(F.sum(or_one(N)).alias("stitches"), F.count(F.lit(1)).alias("n_sessions"))
+    return sessions.groupBy(F.weekday("start_time").alias("weekday"), F.hour("start_time").alias("hour")).agg(F.sum(or_one(net())).alias("stitches"), F.count(F.lit(1)).alias("n_sessions"))
 
 
 def peak_hour(sessions: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def week_comparison(sessions: DataFrame, as_of: str) -> DataFrame:
     """This week from Monday against the seven days before it."""
     start = monday_of(day(as_of))
     week = F.when(F.col("date") >= start, "this").when(F.col("date") >= F.date_sub(start, 7), "last")
-    out = sessions.withColumn("week", week).where("week is not null").groupBy("project_id", "week").agg(F.sum(N).alias("stitches"), F.sum(SECONDS).alias("seconds"), F.count_distinct("date").alias("active_days"))
+    out = sessions.withColumn("week", week).where("week is not null").groupBy("project_id", "week").agg(F.sum(net()).alias("stitches"), F.sum(secs()).alias("seconds"), F.count_distinct("date").alias("active_days"))
     return out.withColumn("speed", speed(F.col("stitches"), F.col("seconds")))
 
 
@@ -197,13 +203,13 @@ def weekday_share(sessions: DataFrame) -> DataFrame:
 def busiest(sessions: DataFrame, unit: str, n: int = 5) -> DataFrame:
     """The n weeks (from Sunday) or months with most stitches."""
     period = sunday_of(F.col("date")) if unit == "week" else F.trunc("date", "month")
-    return sessions.groupBy(period.alias("period")).agg(F.sum(N).alias("stitches")).orderBy(F.desc("stitches"), "period").limit(n)
+    return sessions.groupBy(period.alias("period")).agg(F.sum(net()).alias("stitches")).orderBy(F.desc("stitches"), "period").limit(n)
 
 
 def period_pace(sessions: DataFrame, start: str, stop: str) -> DataFrame:
     """Stitches, stitches per session day and hours between two days."""
     within = sessions.where(F.col("date").between(day(start), day(stop)))
-    out = within.groupBy("project_id").agg(F.sum(N).alias("stitches"), F.count_distinct("date").alias("session_days"), F.sum(SECONDS).alias("seconds"))
+    out = within.groupBy("project_id").agg(F.sum(net()).alias("stitches"), F.count_distinct("date").alias("session_days"), F.sum(secs()).alias("seconds"))
     return out.select("project_id", "stitches", whole(js_round(F.col("stitches") / F.col("session_days"))).alias("per_session_day"), tenth(F.col("seconds") / PER_HOUR).alias("hours"))
 
 
@@ -234,7 +240,7 @@ def weekly_streaks(sessions: DataFrame, as_of: str) -> DataFrame:
 def with_totals(sessions: DataFrame) -> DataFrame:
     """sessions with total_at_end, the running sum in time order, not below 0."""
     order = Window.partitionBy("project_id").orderBy("start_time", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return sessions.withColumn("total_at_end", F.greatest(F.lit(0), F.sum(N).over(order)))
+    return sessions.withColumn("total_at_end", F.greatest(F.lit(0), F.sum(net()).over(order)))
 
 
 def cumulative_progress(sessions: DataFrame) -> DataFrame:
@@ -256,14 +262,14 @@ def dense_series(sessions: DataFrame, as_of: str, days: int) -> DataFrame:
 def rolling_mean(sessions: DataFrame, n: int = 7) -> DataFrame:
     """Mean stitches of a session and the n - 1 before it, as a whole number."""
     order = Window.partitionBy("project_id").orderBy("start_time", "ord").rowsBetween(-(n - 1), 0)
-    return sessions.select("project_id", "session_id", whole(js_round(F.avg(N).over(order))).alias("mean"))
+    return sessions.select("project_id", "session_id", whole(js_round(F.avg(net()).over(order))).alias("mean"))
 
 
 def speed_trend(sessions: DataFrame) -> DataFrame:
     """Speed of every session of at least ten minutes with stitches, and its place in time."""
-    fit = sessions.where((SECONDS >= 600) & (N > 0))
+    fit = sessions.where((secs() >= 600) & (net() > 0))
     order = Window.partitionBy("project_id").orderBy("start_time", "ord")
-    return fit.select("project_id", "session_id", F.row_number().over(order).alias("position"), speed(N, SECONDS).alias("per_hour"))
+    return fit.select("project_id", "session_id", F.row_number().over(order).alias("position"), speed(net(), secs()).alias("per_hour"))
 
 
 def backfilled_totals(sessions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ PERCENTS = (10, 25, 50, 75, 100)
 
 def milestones(sessions: DataFrame, targets: DataFrame, as_of: str, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
     """For each threshold, the day it was reached or is expected, and whether it comes next."""
-    per_day = sessions.groupBy("project_id").agg(whole(js_round(F.sum(N) / F.count_distinct("date"))).alias("per_day"))
+    per_day = sessions.groupBy("project_id").agg(whole(js_round(F.sum(net()) / F.count_distinct("date"))).alias("per_day"))
     wanted = targets.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("threshold", whole(F.floor(F.col("total") * F.col("percent") / 100)))
     met = with_totals(sessions).select("project_id", "date", "start_time", "ord", "total_at_end")
     first = wanted.join(met, "project_id").where("total_at_end >= threshold and done >= threshold").groupBy("project_id", "percent").agg(F.min_by("date", F.struct("start_time", "ord")).alias("achieved_on"))
@@ -305,7 +311,7 @@ def first_and_last_speed(sessions: DataFrame, n: int = 5, least: int = 10) -> Da
     """Speed of the first n against the last n sessions: faster above +10 %, slower below -15 %."""
     w = Window.partitionBy("project_id")
     ranked = sessions.withColumns({"up": F.row_number().over(w.orderBy("start_time", "ord")), "down": F.row_number().over(w.orderBy(F.desc("start_time"), F.desc("ord"))), "all": F.count(F.lit(1)).over(w)}).where(F.col("all") >= least)
-    part = lambda rank: (F.sum(F.when(F.col(rank) <= n, N)) / (F.sum(F.when(F.col(rank) <= n, SECONDS)) / PER_HOUR))
+    part = lambda rank: (F.sum(F.when(F.col(rank) <= n, net())) / (F.sum(F.when(F.col(rank) <= n, secs())) / PER_HOUR))
     out = ranked.groupBy("project_id").agg(part("up").alias("first_speed"), part("down").alias("last_speed"))
     return out.withColumn("trend", F.when(F.col("last_speed") > F.col("first_speed") * 1.1, "faster").when(F.col("last_speed") < F.col("first_speed") * 0.85, "slower").otherwise("steady"))
 
@@ -314,7 +320,7 @@ def last_against_prior(sessions: DataFrame, least: int = 4) -> DataFrame:
     """The last session and the mean of those before it, with at least that many sessions."""
     w = Window.partitionBy("project_id")
     ranked = sessions.withColumns({"down": F.row_number().over(w.orderBy(F.desc("start_time"), F.desc("ord"))), "all": F.count(F.lit(1)).over(w)}).where(F.col("all") >= least)
-    return ranked.groupBy("project_id").agg(F.max(F.when(F.col("down") == 1, N)).alias("last"), F.avg(F.when(F.col("down") > 1, N)).alias("prior_mean"))
+    return ranked.groupBy("project_id").agg(F.max(F.when(F.col("down") == 1, net())).alias("last"), F.avg(F.when(F.col("down") > 1, net())).alias("prior_mean"))
 
 
 def percentile_bins(sessions: DataFrame) -> DataFrame:
@@ -361,7 +367,7 @@ def month_calendar(sessions: DataFrame, month: str) -> DataFrame:
 
 
 def mean_session(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("project_id").agg(whole(js_round(F.avg(SECONDS))).alias("mean_seconds"))
+    return sessions.groupBy("project_id").agg(whole(js_round(F.avg(secs()))).alias("mean_seconds"))
 
 
 def heat_bins(sessions: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from tessella.functions.dates import day
 from tessella.functions.numbers import js_round, ratio, tenth
 from tessella.functions.skeins import skeins_needed
 
-OPEN = F.col("status") != "completed"
+def is_open():
+    return F.col("status") != "completed"
 
 
 def low_stock(stash: DataFrame, threshold: int = 2) -> DataFrame:
@@ -60,7 +61,7 @@ def repeat_purchases(history: DataFrame, days: int = 30) -> DataFrame:
 
 def demand(library: DataFrame, needs: DataFrame) -> DataFrame:
     """Skeins that open patterns need of each thread: every pattern buys whole skeins."""
-    used = needs.join(library.where(OPEN).select("pattern_id"), "pattern_id", "left_semi")
+    used = needs.join(library.where(is_open()).select("pattern_id"), "pattern_id", "left_semi")
     per = used.groupBy("pattern_id", "id").agg(F.sum("stitches").alias("stitches")).withColumn("skeins", skeins_needed(F.col("stitches")))
     return per.groupBy("id").agg(F.sum("skeins").alias("needed"), F.count(F.lit(1)).alias("n_patterns"))
 
@@ -104,7 +105,7 @@ def use_what_you_have(dormant_threads: DataFrame, library: DataFrame, needs: Dat
 
 def buying_impact(library: DataFrame, needs: DataFrame, stash: DataFrame, k: int = 10) -> DataFrame:
     """The k threads not owned that most open patterns wait for, with three of these."""
-    wanted = needs.join(library.where(OPEN).select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "id").distinct().join(stash.where("owned > 0").select("id"), "id", "left_anti")
+    wanted = needs.join(library.where(is_open()).select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "id").distinct().join(stash.where("owned > 0").select("id"), "id", "left_anti")
     sample = Window.partitionBy("id").orderBy("pattern_id")
     ranked = wanted.withColumn("i", F.row_number().over(sample))
     return ranked.groupBy("id").agg(F.count(F.lit(1)).alias("n_patterns"), F.array_sort(F.collect_list(F.when(F.col("i") <= 3, F.col("pattern_id")))).alias("samples")).orderBy(F.desc("n_patterns"), "id").limit(k)
@@ -131,7 +132,7 @@ def jaccard_of_top(used: DataFrame, stash: DataFrame, n: int = 20) -> DataFrame:
 def quarter_portfolio(library: DataFrame, n: int = 8) -> DataFrame:
     """Patterns added and, of these, completed in each of the last n quarters with any."""
     q = F.trunc("created_at", "quarter")
-    return library.groupBy(q.alias("quarter")).agg(F.count(F.lit(1)).alias("started"), F.count_if(~OPEN).alias("finished")).orderBy(F.desc("quarter")).limit(n)
+    return library.groupBy(q.alias("quarter")).agg(F.count(F.lit(1)).alias("started"), F.count_if(~is_open()).alias("finished")).orderBy(F.desc("quarter")).limit(n)
 
 
 def recommended(library: DataFrame, needs: DataFrame, stash: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def recommended(library: DataFrame, needs: DataFrame, stash: DataFrame) -> DataF
 
 
 def designers(library: DataFrame, n: int = 5) -> DataFrame:
-    return library.groupBy("designer").agg(F.count(F.lit(1)).alias("total"), F.count_if(~OPEN).alias("finished")).orderBy(F.desc("total"), "designer").limit(n)
+    return library.groupBy("designer").agg(F.count(F.lit(1)).alias("total"), F.count_if(~is_open()).alias("finished")).orderBy(F.desc("total"), "designer").limit(n)
 
 
 def size_buckets(library: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def size_buckets(library: DataFrame) -> DataFrame:
 
 def shopping_list(library: DataFrame, needs: DataFrame, stash: DataFrame, price: float = 0.95) -> DataFrame:
     """What every open pattern asks for, what is missing and what it costs."""
-    per = needs.join(library.where(OPEN).select("pattern_id"), "pattern_id", "left_semi").groupBy("pattern_id", "id").agg(F.sum("stitches").alias("stitches")).withColumn("needed", skeins_needed(F.col("stitches")))
+    per = needs.join(library.where(is_open()).select("pattern_id"), "pattern_id", "left_semi").groupBy("pattern_id", "id").agg(F.sum("stitches").alias("stitches")).withColumn("needed", skeins_needed(F.col("stitches")))
     joined = per.join(stash.select("id", "owned"), "id", "left").fillna(0, ["owned"]).withColumn("missing", F.greatest(F.lit(0), F.col("needed") - F.col("owned")))
     status = F.when(F.col("missing") == 0, "owned").when(F.col("owned") > 0, "partial").otherwise("missing")
     return joined.groupBy("pattern_id").agg(F.sum("needed").alias("needed"), F.sum("missing").alias("missing"), F.count_if(status == "owned").alias("n_owned"), F.count_if(status == "partial").alias("n_partial"), F.count_if(status == "missing").alias("n_missing")).withColumn("cost", F.col("missing") * price)
