@@ -1,8 +1,10 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Two multinomials over hashed word uni- and bigrams are counted: one over the
-trusted texts, one over the whole corpus. A document's score is the mean over
-its n-grams of log p_trusted - log p_raw, so it does not depend on the length.
+trusted texts, one over the whole corpus without the document in question: its
+own n-grams would otherwise make every rare one look like a mark of raw text. A
+document's score is the mean over its n-grams of log p_trusted - log p_raw, so it
+does not depend on the length.
 Word statistics that need no model come out of the same scan.
 
 Edge cases: a null text counts as empty; a text without words has score 0 and
@@ -26,8 +28,8 @@ from .common import fresh
 
 #: Of the multinomials; also the number of rows that reach the driver.
 BUCKETS = 1 << 16
-#: The weight of the raw corpus in the trusted multinomial, in n-grams.
-PRIOR = 10_000.0
+#: N-grams that the raw corpus is taken to have in every bucket beforehand, and the trusted texts in proportion.
+PRIOR = 10.0
 #: Documents that score less are rejected.
 THRESHOLD = -0.2
 MIN_WORDS = 20
@@ -69,16 +71,25 @@ def count_ngrams(docs: DataFrame, text: str, trusted: str) -> DataFrame:
     return parts.mapInArrow(counted, "bucket long, trusted long, raw long").groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Of all buckets; at most BUCKETS rows come to the driver."""
+def totals(counts: DataFrame) -> np.ndarray:
+    """Of all buckets, trusted and raw; at most BUCKETS rows come to the driver."""
     table = counts.toPandas()
-    trusted, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    trusted[table["bucket"]] = table["trusted"]
-    raw[table["bucket"]] = table["raw"]
-    if not trusted.sum():
-        return np.zeros(BUCKETS)
-    p_raw = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    return np.log((trusted + PRIOR * p_raw) / (trusted.sum() + PRIOR)) - np.log(p_raw)
+    out = np.zeros((2, BUCKETS), dtype=np.int64)
+    out[0, table["bucket"]] = table["trusted"]
+    out[1, table["bucket"]] = table["raw"]
+    return out
+
+
+def mean_ratios(buckets: np.ndarray, owners: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
+    """The mean log ratio of each of n texts whose n-grams these are; all 0 without trusted texts."""
+    trusted, raw = counts
+    share = trusted.sum() / max(raw.sum(), 1)
+    if not share:
+        return np.zeros(n)
+    keys, own = np.unique(owners * BUCKETS + buckets, return_counts=True)
+    of, at = keys // BUCKETS, keys % BUCKETS
+    ratios = np.log(trusted[at] + PRIOR * share) - np.log(share * (np.maximum(raw[at] - own, 0) + PRIOR))
+    return np.bincount(of, weights=ratios * own, minlength=n) / np.maximum(np.bincount(owners, minlength=n), 1)
 
 
 def text_stats(b: wordhash.Block) -> dict[str, np.ndarray]:
@@ -120,11 +131,11 @@ def text_stats(b: wordhash.Block) -> dict[str, np.ndarray]:
     }
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray, text: str = "text", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, counts: np.ndarray, text: str = "text", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the statistics, base_failed, llr (the score) and kept."""
     added = {c.lower() for c in (*STATS, "llr", "base_failed", "kept")}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in added and c != text))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # twice BUCKETS numbers
     out_text, *_ = fresh(docs, "__text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +144,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, text: str = "text", min
             for b in wordhash.blocks(batch.column(batch.num_columns - 1)):
                 stats = text_stats(b)
                 buckets, owners = features(b)
-                total = np.bincount(owners, weights=shared.value[buckets], minlength=b.n)
-                stats["llr"] = total / np.maximum(np.bincount(owners, minlength=b.n), 1)
+                stats["llr"] = mean_ratios(buckets, owners, b.n, shared.value)
                 parts.append(pd.DataFrame(stats))
             if parts:
                 stats = pd.concat(parts)
@@ -160,7 +170,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", d
     trusted_ids: one column, the ids of trusted documents.
     """
     marked, mark = mark_trusted(docs.select(doc_id, text), trusted_ids, doc_id)
-    return score_documents(docs, log_ratios(count_ngrams(marked, text, mark)), text, **limits)
+    return score_documents(docs, totals(count_ngrams(marked, text, mark)), text, **limits)
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
