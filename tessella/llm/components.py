@@ -44,8 +44,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """One edge (a, b) from every node to its root."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 #: Rounds against one leader of each bucket go on while more pairs than so many times the bucket rows are open.
 OPEN_PAIRS = 4
+#: Rows of two numbers.
+BROADCAST_KEYS = 250_000
 MOST_ROUNDS = 2
 
 
@@ -65,21 +72,22 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     inside one join, and verified if they pass: no pair is dropped by a cap.
     """
     own = [c for c in members.columns if c not in ("key", "node")]
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    live = members.join(counts, "key")
+    counts = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared_keys")
+    # Few shared keys, by count, spare the members a shuffle; many are joined like any table.
+    live = members.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, "key")
     weights = live.groupBy("node").agg(F.sum("c").alias("w"))
     live = cut(live.drop("c").join(weights, "node"), "buckets")
     n_live = live.count()
     state = live.withColumns({"root": F.col("node"), "led": F.lit(False), "away": F.lit(True)})
-    links = None
+    roots = None
     for _ in range(MOST_ROUNDS):
         # The greatest struct: of the members that have not led, one away from the last leader's component, and of these the one met most often.
         leaders = state.groupBy("key").agg(F.max(F.when(~F.col("led"), F.struct("away", "w", "node", "root", *own))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
         met = state.alias("m").join(leaders, "key")
         compared = (F.col("root") != F.col("head.root")) & may_link("m", "head")
         checked = cut(verify(met.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()), "links")
-        links = checked if links is None else links.union(checked)
-        roots = connected_components(links)
+        # The stars found so far stand for their links.
+        roots = connected_components(checked if roots is None else stars(roots).union(checked))
         moved = met.select("key", "node", "w", *own, (F.col("led") | (F.col("node") == F.col("head.node"))).alias("led"), F.col("head.node").alias("last"))
         state = moved.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         heads = roots.select(F.col("node").alias("last"), F.col("root").alias("last_root"))
@@ -97,6 +105,5 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         if may_link_all is not None:
             meet &= may_link_all("a", "b")
         pairs = rest.alias("a").join(rest.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        links = links.union(cut(verify(pairs), "links"))
-        return connected_components(links)
+        return connected_components(stars(roots).union(cut(verify(pairs), "links")))
     return roots
