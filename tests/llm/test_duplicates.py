@@ -169,3 +169,21 @@ def test_awkward_passages(spark, awkward, empty):
     assert 5 in set(got.doc_id)
     assert not set(got.doc_id.dropna()) & {1, 2, 3, 6, 7}
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
+
+
+def test_trimming_keeps_the_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        x = [rng.choice("abcé") for _ in range(rng.randrange(0, 90))]
+        y = list(x)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
+        rows.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("want", F.levenshtein("x", "y"))
+    got = line_dedup.trimmed(df).select("want", F.levenshtein("x", "y").alias("got"), (F.length("x") + F.length("y")).alias("n")).collect()
+    assert all(r.want == r.got for r in got)
+    assert sum(r.n for r in got) < 0.6 * sum(len(x) + len(y) for x, y in rows)
