@@ -92,7 +92,7 @@ def change_metrics(cells: DataFrame) -> DataFrame:
     return out.select("project_id", F.coalesce(F.col("alone") / F.col("total"), F.lit(0.0)).alias("isolation"), F.coalesce(ratio(F.col("changes"), F.col("pairs")), F.lit(0.0)).alias("change_rate"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """df written into the session's shared folder, so that rounds do not pile up."""
     spark = df.sparkSession
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tessella'}/labels-{uuid.uuid4().hex}"
@@ -106,13 +106,13 @@ def components(cells: DataFrame) -> DataFrame:
     Every round takes the least label around and then the label of that label,
     so labels jump and rounds grow with the logarithm of a shape's length.
     """
-    edges = _settled(neighbours(cells, FOUR).where("thread_id = n_thread").select("project_id", "idx", "n_idx"))
-    labels = _settled(stitchable(cells).select("project_id", "idx", F.col("idx").alias("label")))
+    edges = settled(neighbours(cells, FOUR).where("thread_id = n_thread").select("project_id", "idx", "n_idx"))
+    labels = settled(stitchable(cells).select("project_id", "idx", F.col("idx").alias("label")))
     while True:
         around = edges.join(labels.select("project_id", F.col("idx").alias("n_idx"), F.col("label").alias("n_label")), ["project_id", "n_idx"]).groupBy("project_id", "idx").agg(F.min("n_label").alias("n_label"))
         lower = labels.join(around, ["project_id", "idx"], "left").select("project_id", "idx", F.col("label").alias("old"), F.least("label", F.coalesce("n_label", "label")).alias("label"))
         jump = lower.select("project_id", F.col("idx").alias("label"), F.col("label").alias("next"))
-        state = _settled(lower.join(jump, ["project_id", "label"]).select("project_id", "idx", "old", F.col("next").alias("label")))
+        state = settled(lower.join(jump, ["project_id", "label"]).select("project_id", "idx", "old", F.col("next").alias("label")))
         moved = state.where("old <> label").limit(1).count()
         labels = state.drop("old")
         if not moved:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sessions", "colour", "stash", "grid", "palette", "sync", "importer", "insights")
+MODULES = ("sessions", "colour", "stash", "grid", "palette", "image", "sync", "importer", "insights")
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
