@@ -103,7 +103,16 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def sketches(signature: np.ndarray) -> np.ndarray:
     """Two bits of each of the 128 signature values, in four 64-bit words."""
     bits = (wordhash.mix(signature)[:, :, None] >> np.array([11, 37], dtype=np.uint64)) & np.uint64(1)
-    return np.ascontiguousarray(np.packbits(bits.reshape(len(signature), -1).astype(np.uint8), axis=1)).view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.reshape(len(signature), 2 * signature.shape[1]).astype(np.uint8), axis=1)).view(np.uint64)
+
+
+def bitmaps(sets: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set in so many 64-bit words, and how many of its bits are set."""
+    bits = np.zeros((len(sets), 64 * words), dtype=np.uint8)
+    if sets:
+        values = np.concatenate(sets)
+        bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), ((values >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64), bits.sum(axis=1, dtype=np.int64)
 
 
 def _shingled(text: str, size: int, rows: str, schema: str, made, docs: DataFrame) -> DataFrame:
@@ -141,12 +150,10 @@ def sets_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
         own = [s for s in sets if len(s)]
         lengths = np.concatenate(([0], np.cumsum([len(s) for s in own], dtype=np.int64)))
         values = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        bits = np.zeros((len(own), 64 * MAP_WORDS), dtype=np.uint8)
-        bits[np.repeat(np.arange(len(own)), np.diff(lengths)), ((values >> np.uint64(20)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
-        maps = np.packbits(bits, axis=1).view(np.int64)
+        maps, bits = bitmaps(own, MAP_WORDS)
         lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(set_keys(own).view(np.int64)), lists(lengths, values.view(np.int64)), lists(np.arange(len(own) + 1) * MAP_WORDS, maps.reshape(-1)), pa.array(bits.sum(axis=1, dtype=np.int64))],
+            [pa.array(set_keys(own).view(np.int64)), lists(lengths, values.view(np.int64)), lists(np.arange(len(own) + 1) * MAP_WORDS, maps.reshape(-1)), pa.array(bits)],
             names=["node", "shingles", "map", "bits"],
         )
 
@@ -164,13 +171,16 @@ def verifier(sets: DataFrame, percent: int):
     return verify
 
 
-def similar_enough(percent: int):
-    """What every linked pair meets: sizes near each other, and few sketch bits apart."""
+def similar_enough(percent: int, sketch_words: int = SKETCH_WORDS, slack: int = SKETCH_SLACK, map_words: int = 0):
+    """What every linked pair meets: sizes near each other, few sketch bits apart and, with columns of a small bitmap, its bound."""
 
     def condition(a: str, b: str) -> Column:
         small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-        apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-        return (100 * small >= percent * large) & (apart <= SKETCH_SLACK)
+        apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(sketch_words)), F.lit(0))
+        fits = (100 * small >= percent * large) & (apart <= slack)
+        if map_words:
+            fits &= _enough(a, b, sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseAND(F.col(f"{b}.m{i}"))) for i in range(map_words)), F.lit(0)), percent)
+        return fits
 
     return condition
 
@@ -181,12 +191,17 @@ def bitmap_bound(percent: int):
     def condition(a: str, b: str) -> Column:
         # An interpreted loop: 32 unrolled words would make a join that takes the JVM's compiler gigabytes.
         both = F.aggregate(F.zip_with(f"{a}.map", f"{b}.map", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y)
-        most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.bits"), F.col(f"{b}.n") - F.col(f"{b}.bits"))
-        return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+        return _enough(a, b, both, percent)
 
     return condition
 
 
+def _enough(a: str, b: str, both: Column, percent: int) -> Column:
+    """Whether so many common bits, and the shingles that share bits, allow the similarity."""
+    most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.bits"), F.col(f"{b}.n") - F.col(f"{b}.bits"))
+    return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and kept."""
     signed = cut(sign_documents(docs, text, doc_id, size), "signed")
