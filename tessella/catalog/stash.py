@@ -151,7 +151,7 @@ def stash_purchases(spark, d):
     return op.purchases(stash(spark, d))
 
 
-@query(sql("stash_history", ", s AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY id ORDER BY date, delta ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stock, row_number() OVER (PARTITION BY id ORDER BY date DESC, delta DESC) AS back FROM stash_history) SELECT id, count(*) AS n, arg_min(stock, back) AS stock, min(stock) AS least_stock FROM s WHERE back <= 500 GROUP BY 1"))
+@query(sql("stash_history", ", d AS (SELECT id, date, sum(delta) AS delta FROM stash_history GROUP BY 1, 2), s AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY id ORDER BY date) AS BIGINT) AS stock, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS back FROM d) SELECT id, count(*) AS n, arg_max(stock, date) AS stock, min(stock) AS least_stock FROM s WHERE back <= 500 GROUP BY 1"))
 def stash_running_stock(spark, d):
     return op.running_stock(stash_history(spark, d))
 

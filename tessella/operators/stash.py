@@ -169,7 +169,8 @@ def purchases(stash: DataFrame) -> DataFrame:
 
 
 def running_stock(history: DataFrame, last: int = 500) -> DataFrame:
-    """The newest entries of each thread's history with the stock after them."""
-    order = Window.partitionBy("id").orderBy("date", "delta")
-    seen = history.withColumns({"stock": F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)), "back": F.row_number().over(Window.partitionBy("id").orderBy(F.desc("date"), F.desc("delta")))})
-    return seen.where(F.col("back") <= last).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max_by("stock", -F.col("back")).alias("stock"), F.min("stock").alias("least_stock"))
+    """Over the last days with changes of each thread: their number, the stock at the end, and the least at a day's end."""
+    days = history.groupBy("id", "date").agg(F.sum("delta").alias("delta"))
+    w = Window.partitionBy("id")
+    seen = days.withColumns({"stock": F.sum("delta").over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)), "back": F.row_number().over(w.orderBy(F.desc("date")))})
+    return seen.where(F.col("back") <= last).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max_by("stock", "date").alias("stock"), F.min("stock").alias("least_stock"))
