@@ -126,6 +126,35 @@ def test_no_equal_line_is_left(spark):
     assert 0 <= fuzzy < 0.05 * len(before)
 
 
+def test_similar_lines_like_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    raw = [(x,) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for x in (r.text or "").split("\n")]
+    norm = F.array_join(line_dedup.words_of(F.col("raw")), " ")
+    found = spark.createDataFrame(raw, "raw string").select(norm.alias("x")).where("size(split(x, ' ')) >= 5 and length(x) <= 400").distinct().cache()
+    pairs = found.crossJoin(F.broadcast(found.select(F.col("x").alias("y")))).where("x < y and least(length(x), length(y)) >= 0.8 * greatest(length(x), length(y))")
+    links = pairs.repartition(32).where("levenshtein(x, y, int(floor(greatest(length(x), length(y)) * 20 / 100))) >= 0").collect()
+    got = queries.op3_line_dedup(spark, SF).collect()
+    left = {" ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower()) if w) for r in got for x in (r.text or "").split("\n")}
+    missed = [r for r in links if r.x in left and r.y in left]
+    print(len(links), "links", len(missed), "missed")
+    assert len(links) > 10
+    assert len(missed) <= 0.05 * len(links), missed[:5]
+
+
+def test_one_changed_word_is_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(100):
+        words = [f"{rng.randrange(1 << 28):07x}" for _ in range(12)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(12)] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} <= set(range(1, 200, 2))
+    assert sum(r.n_removed for r in got) >= 95
+
+
 def test_simhash_by_hand(spark):
     from pyspark.sql import functions as F
 
