@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them the documents of which nothing is left."""
-    clean = line_dedup.dedup_lines(docs)
+    clean = line_dedup.dedup_lines(docs, min_words=1)
     return clean.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -24,7 +24,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

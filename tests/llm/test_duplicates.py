@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SF
@@ -126,6 +127,20 @@ def test_no_equal_line_is_left(spark):
     assert 0 <= fuzzy < 0.05 * len(before)
 
 
+def test_no_equal_short_line_is_left(spark):
+    def short(rows):
+        words = (tuple(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower()) if w) for r in rows for x in (r.text or "").split("\n"))
+        return Counter(w for w in words if 0 < len(w) < 5)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before, after = short(docs.collect()), short(queries.op3_line_dedup(spark, SF).collect())
+    assert max(before.values()) > 1
+    assert before.keys() == after.keys()
+    assert max(after.values()) == 1
+    piped = short(corpus_pipeline.lines(spark, docs, SF).collect())
+    assert max(piped.values()) == 1
+
+
 def test_similar_lines_like_brute_force(spark):
     from pyspark.sql import functions as F
 
