@@ -8,6 +8,7 @@ depend on their own earlier output run in one task for each image.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,28 +91,34 @@ def without_background(pixels: DataFrame, r: int, g: int, b: int, most: float) -
     return pixels.where(F.sqrt(c.delta_e2(p, q)) >= most)
 
 
-def quantised(pixels: DataFrame, k: int = 8, rounds: int = 8, moved: float = 0.25) -> DataFrame:
+def quantised(pixels: DataFrame, k: int = 8, rounds: int = 20, moved: float = 0.25) -> DataFrame:
     """image_id, cluster, n and the mean Lab of k clusters of every image by Lloyd's rounds.
 
     The first centres are the commonest colours, in order. Rounds work on the
-    distinct colours of an image with their counts, and end early when no centre
-    moves by more than the root of moved. All images take their rounds together.
+    distinct colours of an image with their counts, and end for an image when none
+    of its centres moves by more than the root of moved. The images that are left
+    take their rounds together.
     """
     light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     colours = pixels.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).withColumns({"p_l": light, "p_a": a, "p_b": b})
     colours = settled(colours)
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "r", "g", "b"))
     centres = colours.withColumn("cluster", rank).where(F.col("cluster") <= k).select("image_id", "cluster", F.col("p_l").alias("c_l"), F.col("p_a").alias("c_a"), F.col("p_b").alias("c_b"))
+    done = []
     for _ in range(rounds):
         near = colours.join(centres.select("image_id", "cluster", "c_l", "c_a", "c_b"), "image_id").groupBy("image_id", "r", "g", "b", "n", "p_l", "p_a", "p_b").agg(F.min_by("cluster", F.struct(c.delta_e2(lab("p_"), lab("c_")), "cluster")).alias("cluster"))
         mean = lambda x: (F.sum(F.col(f"p_{x}") * F.col("n")) / F.sum("n")).alias(f"m_{x}")
         new = near.groupBy("image_id", "cluster").agg(F.sum("n").alias("n"), mean("l"), mean("a"), mean("b"))
-        both = settled(new.join(centres.select("image_id", "cluster", "c_l", "c_a", "c_b"), ["image_id", "cluster"]))
-        centres = both.select("image_id", "cluster", "n", *(F.col(f"m_{x}").alias(f"c_{x}") for x in ("l", "a", "b")))
-        far = both.agg(F.max(c.delta_e2(lab("m_"), lab("c_")))).first()[0]
-        if far is None or far <= moved:
+        # A centre without colours stays where it is.
+        both = centres.select("image_id", "cluster", "c_l", "c_a", "c_b").join(new, ["image_id", "cluster"], "left")
+        both = both.withColumns({"n": F.coalesce("n", F.lit(0))} | {f"m_{x}": F.coalesce(f"m_{x}", f"c_{x}") for x in ("l", "a", "b")})
+        far = F.max(c.delta_e2(lab("m_"), lab("c_"))).over(Window.partitionBy("image_id"))
+        both = settled(both.select("image_id", "cluster", "n", *(F.col(f"m_{x}").alias(f"c_{x}") for x in ("l", "a", "b")), far.alias("far")))
+        done.append(both.where(F.col("far") <= moved).drop("far"))
+        centres = both.where(F.col("far") > moved).drop("far")
+        if centres.isEmpty():
             break
-    return centres
+    return reduce(DataFrame.union, done, centres)
 
 
 #: Shares of the error that go right, and below to the left, straight and to the right.
