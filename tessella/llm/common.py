@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used for checkpoints only where the session names no folder of its own.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/tessella"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,8 +22,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The folder that driver and executors share, as the session names it; a temporary one only where both are one process."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "tessella")
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a query has shuffled goes from the disks when it ends; for queries that run once."""
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -28,8 +49,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written; no plan that still runs may read them."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

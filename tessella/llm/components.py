@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small, "edges")
+        last, edges = edges, cut(small, "edges")
+        discard(last)
         after = _state(edges)
         if after == before:
             break
@@ -56,12 +57,13 @@ BROADCAST_KEYS = 250_000
 MOST_ROUNDS = 2
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None) -> DataFrame:
     """node, root of the components over all pairs of nodes that share a bucket and pass verify.
 
-    members: key, node and what may_link reads. verify takes pairs (a, b) and
-    returns those that are linked. may_link(a, b): a condition on the members'
-    columns under the aliases a and b that every linked pair meets. facts: node
+    members: key and node. traits: node and what may_link reads, for every node
+    in members; they join those members only whose key is shared. verify takes pairs (a, b) and
+    returns those that are linked. may_link(a, b): a condition on key and the
+    traits under the aliases a and b that linked pairs meet. facts: node
     and columns for may_link_all, one more condition of that kind, which only
     the last step reads.
 
@@ -71,19 +73,21 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     and not n * n. Pairs still open after that are all put to the conditions
     inside one join, and verified if they pass: no pair is dropped by a cap.
     """
-    own = [c for c in members.columns if c not in ("key", "node")]
+    own = [c for c in traits.columns if c != "node"]
     counts = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared_keys")
     # Few shared keys, by count, spare the members a shuffle; many are joined like any table.
-    live = members.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, "key")
-    weights = live.groupBy("node").agg(F.sum("c").alias("w"))
-    live = cut(live.drop("c").join(weights, "node"), "buckets")
+    shared = cut(members.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, "key"), "shared")
+    weights = shared.groupBy("node").agg(F.sum("c").alias("w")).join(traits, "node")
+    live = cut(shared.drop("c").join(weights, "node"), "buckets")
+    discard(counts, shared)
     n_live = live.count()
     state = live.withColumns({"root": F.col("node"), "led": F.lit(False), "away": F.lit(True)})
+    written = live
     roots = None
     for _ in range(MOST_ROUNDS):
         # The greatest struct: of the members that have not led, one away from the last leader's component, and of these the one met most often.
         leaders = state.groupBy("key").agg(F.max(F.when(~F.col("led"), F.struct("away", "w", "node", "root", *own))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
-        met = state.alias("m").join(leaders, "key")
+        met = state.alias("m").join(leaders.select("key", F.struct(F.col("key").alias("key"), "head.*").alias("head")), "key")
         compared = (F.col("root") != F.col("head.root")) & may_link("m", "head")
         checked = cut(verify(met.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()), "links")
         # The stars found so far stand for their links.
@@ -92,6 +96,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         state = moved.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         heads = roots.select(F.col("node").alias("last"), F.col("root").alias("last_root"))
         state = cut(state.join(heads, "last", "left").withColumn("away", F.col("root") != F.coalesce("last_root", "last")).drop("last", "last_root"), "buckets")
+        discard(written, checked)
+        written = state
         sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()[0]
         if left <= OPEN_PAIRS * n_live:
@@ -105,5 +111,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         if may_link_all is not None:
             meet &= may_link_all("a", "b")
         pairs = rest.alias("a").join(rest.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        return connected_components(stars(roots).union(cut(verify(pairs), "links")))
+        roots = connected_components(stars(roots).union(cut(verify(pairs), "links")))
+    discard(state)
     return roots

@@ -6,11 +6,14 @@ Bands of values make buckets; documents of a bucket are compared on their full
 shingle sets, and links join into components.
 
 Equal shingle sets form one class and are compared once. Two sets count as
-equal if their sizes and 128 bits of hash agree; shingles are compared by 64-bit
-hashes.
+equal if their sizes and two hashes of 64 bits agree; sets that share the first
+hash only stay apart. Shingles are compared by 64-bit hashes.
 
 With 24 bands of 4 values a pair at the threshold of 0.8 misses every bucket
 with probability (1 - 0.8**4)**24, about 3 in a million, and closer pairs less.
+Pairs of a bucket are read in full only if their sketches are near: a pair at
+the threshold fails that with a probability below one in a million (five
+deviations), closer ones far less often. Sizes and bitmaps give exact bounds.
 
 Edge cases: null, empty and wordless texts have no shingles, link with nothing
 and are kept; a text shorter than a shingle is one shingle; repeated rows belong
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import cut
+from .common import cut, discard
 from .components import link_buckets
 
 SHINGLE = 5
@@ -69,15 +72,17 @@ def shingle_sets(b: wordhash.Block, size: int) -> list[np.ndarray]:
     return sets
 
 
-def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One hash of each whole set, of which none must be empty."""
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole set, of which none must be empty."""
     if not sets:
-        return np.zeros(0, dtype=np.uint64)
-    x = wordhash.mix(np.concatenate(sets))
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     sizes = np.array([len(s) for s in sets], dtype=np.uint64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    sums = np.add.reduceat(x, starts) + sizes * np.uint64(0x9E3779B97F4A7C15)
-    return wordhash.mix(sums ^ wordhash.mix(np.bitwise_xor.reduceat(x, starts)))
+    x = wordhash.mix(np.concatenate(sets))
+    node = wordhash.mix(np.add.reduceat(x, starts) + sizes * np.uint64(0x9E3779B97F4A7C15))
+    # Independent of the sum of x: the values are mixed again under another constant.
+    check = wordhash.mix(np.add.reduceat(wordhash.mix(x ^ np.uint64(0xA24BAED4963EE407)), starts))
+    return node, check
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -125,39 +130,40 @@ def _shingled(text: str, size: int, rows: str, schema: str, made, docs: DataFram
 
 
 def sign_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null if empty), bands, sketch."""
+    """doc_id, n_shingles, node and check (hashes of the set; null if empty), bands, sketch."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         full = np.array([len(s) > 0 for s in sets], dtype=bool)
-        keys = np.zeros(len(sets), dtype=np.uint64)
+        keys, checks = np.zeros((2, len(sets)), dtype=np.uint64)
         bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
         sketch = np.zeros((len(sets), SKETCH_WORDS), dtype=np.uint64)
         if full.any():
             own = [s for s in sets if len(s)]
             signature = signatures(own)
-            keys[full] = set_keys(own)
+            keys[full], checks[full] = set_keys(own)
             bands[full], sketch[full] = band_keys(signature), sketches(signature)
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys.view(np.int64), mask=~full), lists(bands), lists(sketch)], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys.view(np.int64), mask=~full), pa.array(checks.view(np.int64), mask=~full), lists(bands), lists(sketch)], names=["doc_id", "n_shingles", "node", "check", "bands", "sketch"])
 
-    return _shingled(text, size, doc_id, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>", made, docs)
+    return _shingled(text, size, doc_id, "doc_id long, n_shingles long, node long, check long, bands array<long>, sketch array<long>", made, docs)
 
 
 def sets_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """node, shingles (distinct hashes) and a bitmap of them, of documents with any."""
+    """node, n, check, shingles (distinct hashes) and a bitmap of them, of documents with any."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = [s for s in sets if len(s)]
         lengths = np.concatenate(([0], np.cumsum([len(s) for s in own], dtype=np.int64)))
         values = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        keys, checks = set_keys(own)
         maps, bits = bitmaps(own, MAP_WORDS)
         lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(set_keys(own).view(np.int64)), lists(lengths, values.view(np.int64)), lists(np.arange(len(own) + 1) * MAP_WORDS, maps.reshape(-1)), pa.array(bits)],
-            names=["node", "shingles", "map", "bits"],
+            [pa.array(keys.view(np.int64)), pa.array(np.diff(lengths)), pa.array(checks.view(np.int64)), lists(lengths, values.view(np.int64)), lists(np.arange(len(own) + 1) * MAP_WORDS, maps.reshape(-1)), pa.array(bits)],
+            names=["node", "n", "check", "shingles", "map", "bits"],
         )
 
-    return _shingled(text, size, doc_id, "node long, shingles array<long>, map array<long>, bits long", made, docs)
+    return _shingled(text, size, doc_id, "node long, n long, check long, shingles array<long>, map array<long>, bits long", made, docs)
 
 
 def verifier(sets: DataFrame, percent: int):
@@ -172,7 +178,7 @@ def verifier(sets: DataFrame, percent: int):
 
 
 def similar_enough(percent: int, sketch_words: int = SKETCH_WORDS, slack: int = SKETCH_SLACK, map_words: int = 0):
-    """What every linked pair meets: sizes near each other, few sketch bits apart and, with columns of a small bitmap, its bound."""
+    """Sizes near each other and, with columns of a small bitmap, its bound, which every linked pair meets; and few sketch bits apart, which all but one in a million of linked pairs are."""
 
     def condition(a: str, b: str) -> Column:
         small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
@@ -202,19 +208,42 @@ def _enough(a: str, b: str, both: Column, percent: int) -> Column:
     return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
+def second_sets(classes: DataFrame) -> DataFrame | None:
+    """Of different sets with one node all but the first, with a node of their own; None if there are none, as nearly always."""
+    least = classes.groupBy("node").agg(F.min(F.struct("n", "check")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    twins = cut(least, "twins")
+    if twins.isEmpty():
+        return None
+    others = classes.join(twins, "node").where((F.col("n") != F.col("least.n")) | (F.col("check") != F.col("least.check")))
+    return cut(others.select("node", "n", "check", F.xxhash64("node", "n", "check").alias("own")), "twins")
+
+
+def apart(sets: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """sets (node, n, check and more) with the nodes that twins gives."""
+    if twins is None:
+        return sets
+    return sets.join(twins, ["node", "n", "check"], "left").withColumn("node", F.coalesce("own", "node")).drop("own")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least id reachable by links) and kept."""
     signed = cut(sign_documents(docs, text, doc_id, size), "signed")
-    classes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    members = classes.select(F.explode("bands").alias("key"), "node", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
+    classes = cut(signed.where("node is not null").groupBy("node", F.col("n_shingles").alias("n"), "check").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    slim = cut(signed.select("doc_id", "n_shingles", "node", "check"), "signed")
+    discard(signed)
+    twins = second_sets(classes)
+    classes = apart(classes, twins)
+    members = classes.select("node", F.explode("bands").alias("key"))
+    traits = classes.select("node", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = members.join(shared, "key", "left_semi").select("node").distinct()
     wanted = classes.select("node", "rep").join(met, "node", "left_semi").select(F.col("rep").alias(doc_id)).distinct()
-    sets = cut(sets_of(docs.join(wanted, doc_id, "left_semi"), text, doc_id, size).dropDuplicates(["node"]), "sets")
-    roots = link_buckets(members, verifier(sets, percent), similar_enough(percent), sets.drop("shingles"), bitmap_bound(percent))
+    read_again = apart(sets_of(docs.join(wanted, doc_id, "left_semi"), text, doc_id, size), twins)
+    sets = cut(read_again.dropDuplicates(["node"]), "sets")
+    roots = link_buckets(members, traits, verifier(sets, percent), similar_enough(percent), sets.select("node", "map", "bits"), bitmap_bound(percent))
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     component = placed.join(least, "root").select("node", "component_id")
-    found = signed.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    found = apart(slim.withColumnRenamed("n_shingles", "n"), twins).join(component, "node", "left")
     found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

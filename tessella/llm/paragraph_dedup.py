@@ -112,7 +112,7 @@ def paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                         pa.array(point[b.starts[firsts]] - base),
                         pa.array(point[b.ends[lasts - 1]] - base),
                         pa.array(lasts - firsts),
-                        pa.array(np.concatenate((minhash.set_keys(sets), hashes)).view(np.int64)),
+                        pa.array(np.concatenate((minhash.set_keys(sets)[0], hashes)).view(np.int64)),
                         pa.array(np.concatenate((np.array([len(s) for s in sets], dtype=np.int64), np.ones(len(spans), np.int64)))),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends // BANDS * facts.shape[1], pa.int32()), pa.array(facts.reshape(-1))),
@@ -133,7 +133,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> Dat
                 own = [s for s in minhash.shingle_sets(b, SHINGLE) if len(s)]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in own], dtype=np.int64)))
                 values = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(minhash.set_keys(own).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(minhash.set_keys(own)[0].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))], names=["node", "shingles"])
 
     slim = docs.select(F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("dk"), F.col(f"`{text}`").cast("string").alias("text"))
     lines = slim.join(wanted, "dk").select(F.expr("substring(text, int(start) + 1, int(stop - start))"))
@@ -146,12 +146,13 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     lines = units.where(F.size("bands") > 0)
     classes = cut(lines.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("facts").alias("facts"), F.min(F.struct("dk", "start", "stop")).alias("at")), "paragraph_classes")
     names = [f"m{i}" for i in range(MAP_WORDS)] + [f"s{i}" for i in range(SKETCH_WORDS)] + ["bits"]
-    members = classes.select(F.explode("bands").alias("key"), "node", "n", *(F.col("facts")[i].alias(name) for i, name in enumerate(names)))
+    members = classes.select("node", F.explode("bands").alias("key"))
+    traits = classes.select("node", "n", *(F.col("facts")[i].alias(name) for i, name in enumerate(names)))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = members.join(shared, "key", "left_semi").select("node").distinct()
     wanted = classes.join(met, "node", "left_semi").select("at.dk", "at.start", "at.stop")
     sets = cut(line_sets(docs, wanted, text, doc_id).dropDuplicates(["node"]), "paragraph_sets")
-    roots = link_buckets(members, minhash.verifier(sets, PERCENT), minhash.similar_enough(PERCENT, SKETCH_WORDS, SKETCH_SLACK, MAP_WORDS))
+    roots = link_buckets(members, traits, minhash.verifier(sets, PERCENT), minhash.similar_enough(PERCENT, SKETCH_WORDS, SKETCH_SLACK, MAP_WORDS))
     # The least and the greatest place of a class tell whether it has two.
     place = F.struct("doc_id", "dk", "start", "stop")
     classes = units.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
