@@ -142,3 +142,11 @@ def windows(hashes: np.ndarray, word_offsets: np.ndarray, n: int) -> tuple[np.nd
         fits[max(0, end - n + 1) : end] = False
     at = np.flatnonzero(fits)
     return mix(h[at]), at
+
+
+def sequences(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, of any lengths."""
+    powers, inverses = _tables(len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, dtype=U64)
+    np.cumsum(hashes * powers[: len(hashes)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * inverses[starts] ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
