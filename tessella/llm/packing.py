@@ -5,10 +5,10 @@ sequence is cut into full pieces, each a sequence of its own, and one shorter
 piece in front. Short pieces are dealt over partitions of bounded size and
 packed best-fit decreasing. Dual feasible functions give a lower bound on a
 partition's sequences: where it is met, no packing of these rows is better and
-the partition is done. The other partitions give the documents of their
-sequences with gaps to exchange partitions, again of bounded size, which run
-best-fit decreasing on the mixture and keep it if it saves a sequence. Rounds
-end when nothing is saved.
+the partition is done. The other partitions give their sequences with gaps,
+which are dealt anew, so that each group mixes gaps of many partitions; a group
+runs best-fit decreasing on its documents and keeps the result if it saves a
+sequence. Rounds end when one saves nothing or when all fits one group.
 
 Edge cases: a null or empty text is one separator; repeated rows are packed
 once each; equal lengths are ordered by id, so a lost task gives the same
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,6 @@ CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Pieces that one task packs; a few dozen bytes each.
 TASK_PIECES = 40_000
-MOST_ROUNDS = 4
 #: A partition's sequences are numbered from its index times this.
 _SPAN = 1 << 32
 
@@ -40,23 +40,26 @@ _encoding = None
 
 
 def encoder():
-    """The vocabulary of byte_bpe_50k.json, whose ids tiktoken gives at several times the speed; special strings are ordinary text."""
+    """The vocabulary of byte_bpe_50k.json, whose ids tiktoken gives at several times the speed; its added tokens count wherever a text holds them."""
     global _encoding
     if _encoding is None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        _encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        _encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoding
 
 
 def token_ids(text: str | None) -> np.ndarray:
     """Ids of the text and the separator, as little-endian 32-bit numbers."""
-    return np.array([*encoder().encode_ordinary(text or ""), SEPARATOR_ID], dtype="<u4")
+    return np.array([*encoder().encode(text or "", allowed_special="all"), SEPARATOR_ID], dtype="<u4")
 
 
 def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -169,34 +172,27 @@ def best_fit_pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     pieces = cut(tokenize(docs, text, doc_id, capacity), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     short = pieces.where(F.col("length") < capacity)
-    n = short.count()
-    parts = -(-n // task_pieces)
     names = [x.split()[0] for x in PIECE.split(", ")] + ["sequence_id", "offset"]
+    n = short.count()
     if not n:
         return full.select(names)
-    dealt = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    placed = cut(_packed(dealt, capacity), "packed")
+    parts = -(-n // task_pieces)
+    # By the row's number in the table just written, so that rows that are alike are dealt over all parts.
+    placed = cut(_packed(short.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), capacity), "packed")
     done = []
-    for _ in range(MOST_ROUNDS):
-        # One row for each part comes to the driver.
-        state = placed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"), F.count(F.when(F.col("free") > 0, 1)).alias("n")).where("bins > bound and n > 0").orderBy("part").collect()
-        groups: dict[int, int] = {}
-        group, size, members = parts, 0, 0
-        for row in state:
-            if members and size + row["n"] > task_pieces:
-                group, size, members = group + 1, 0, 0
-            groups[row["part"]] = group
-            size, members = size + row["n"], members + 1
-        if len(set(groups.values())) == len(groups):  # nobody to exchange with
+    gives = (F.col("bins") > F.col("bound")) & (F.col("free") > 0)
+    used = F.count_distinct("sequence_id")
+    for turn in count(1):
+        rows, sequences, givers = placed.where(gives).agg(F.count(F.lit(1)), used, F.count_distinct("part")).first()
+        groups = -(-2 * rows // task_pieces)
+        if givers < 2:  # nobody to exchange with
             break
-        moves = docs.sparkSession.createDataFrame(list(groups.items()), "part long, to long")
-        marked = placed.join(F.broadcast(moves), "part", "left")  # a row for each part with gaps
-        gives = F.col("to").isNotNull() & (F.col("free") > 0)
-        done.append(marked.where(~gives).select(names))
-        mixed = marked.where(gives).select(*(x.split()[0] for x in PIECE.split(", ")), F.col("sequence_id").alias("old_sequence"), F.col("offset").alias("old_offset"), F.col("to").alias("part"))
-        parts = group + 1
+        done.append(placed.where(~gives).select(names))
+        dealt = F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)) + parts
+        mixed = placed.where(gives).select(*(x.split()[0] for x in PIECE.split(", ")), F.col("sequence_id").alias("old_sequence"), F.col("offset").alias("old_offset"), dealt.alias("part"))
         placed = cut(_packed(mixed, capacity), "packed")
-        if len(set(groups.values())) == 1:
+        parts += groups
+        if groups == 1 or placed.agg(used).first()[0] == sequences:
             break
     out = full.select(names).unionByName(placed.select(names))
     for d in done:

@@ -5,8 +5,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
-from tessella.llm import packing
+from tessella.llm import packing, queries
 
 
 def valid(df: pd.DataFrame, capacity: int) -> None:
@@ -38,8 +39,7 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()] + ["", "a  b\n\n\tc", "<|endoftext|> x", "漢字 é", "x" * 5000]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()] + ["", "a  b\n\n\tc", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b<|endoftext", "漢字 é", "x" * 5000]
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert packing.token_ids(text).tolist() == [*e.ids, 0]
 
@@ -59,6 +59,33 @@ def test_whole_table(spark, task):
             assert p.piece == 0 or p.length == 256
 
 
+def test_query_like_brute_force(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = queries.op1_best_fit_packing(spark, SF).toPandas()
+    valid(got, 2048)
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        first = len(ids) % 2048 or 2048
+        starts = [0, *range(first, len(ids), 2048)]
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want.append((r.doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    assert got.sequence_id.nunique() <= packing.lower_bound(got.length.to_numpy(), 2048) + 1
+
+
+def test_repeated_rows_are_dealt_over_parts(spark):
+    docs = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("some words " * 9).alias("text"))
+    got = packing.best_fit_pack(docs, capacity=64, task_pieces=50).toPandas()
+    valid(got, 64)
+    assert len(got) == 400
+    per = 64 // int(got.length.iloc[0])
+    assert got.sequence_id.nunique() == -(-400 // per)
+
+
 def test_awkward(spark, awkward, empty):
     got = packing.best_fit_pack(awkward).toPandas()
     valid(got, 2048)
