@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import fresh
+from .common import fresh, shuffles_removed
 
 #: Of the multinomials; also the number of rows that reach the driver.
 BUCKETS = 1 << 16
@@ -73,7 +73,8 @@ def count_ngrams(docs: DataFrame, text: str, trusted: str) -> DataFrame:
 
 def totals(counts: DataFrame) -> np.ndarray:
     """Of all buckets, trusted and raw; at most BUCKETS rows come to the driver."""
-    table = counts.toPandas()
+    with shuffles_removed(counts.sparkSession):
+        table = counts.toPandas()
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     out[0, table["bucket"]] = table["trusted"]
     out[1, table["bucket"]] = table["raw"]
@@ -81,15 +82,16 @@ def totals(counts: DataFrame) -> np.ndarray:
 
 
 def mean_ratios(buckets: np.ndarray, owners: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
-    """The mean log ratio of each of n texts whose n-grams these are; all 0 without trusted texts."""
+    """The mean log ratio of each of n texts whose n-grams these are, as if it were not trusted (first row) and as if it were; all 0 without trusted texts."""
     trusted, raw = counts
     share = trusted.sum() / max(raw.sum(), 1)
     if not share:
-        return np.zeros(n)
+        return np.zeros((2, n))
     keys, own = np.unique(owners * BUCKETS + buckets, return_counts=True)
     of, at = keys // BUCKETS, keys % BUCKETS
-    ratios = np.log(trusted[at] + PRIOR * share) - np.log(share * (np.maximum(raw[at] - own, 0) + PRIOR))
-    return np.bincount(of, weights=ratios * own, minlength=n) / np.maximum(np.bincount(owners, minlength=n), 1)
+    others = np.log(share * (np.maximum(raw[at] - own, 0) + PRIOR))
+    size = np.maximum(np.bincount(owners, minlength=n), 1)
+    return np.stack([np.bincount(of, weights=(np.log(np.maximum(trusted[at] - mine, 0) + PRIOR * share) - others) * own, minlength=n) / size for mine in (0, own)])
 
 
 def text_stats(b: wordhash.Block) -> dict[str, np.ndarray]:
@@ -131,10 +133,8 @@ def text_stats(b: wordhash.Block) -> dict[str, np.ndarray]:
     }
 
 
-def score_documents(docs: DataFrame, counts: np.ndarray, text: str = "text", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the statistics, base_failed, llr (the score) and kept."""
-    added = {c.lower() for c in (*STATS, "llr", "base_failed", "kept")}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in added and c != text))
+def score_documents(docs: DataFrame, counts: np.ndarray, text: str = "text", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:
+    """docs with the statistics, base_failed, llr and llr_trusted: the score of the document if it is not trusted, and if it is."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # twice BUCKETS numbers
     out_text, *_ = fresh(docs, "__text")
 
@@ -144,15 +144,15 @@ def score_documents(docs: DataFrame, counts: np.ndarray, text: str = "text", min
             for b in wordhash.blocks(batch.column(batch.num_columns - 1)):
                 stats = text_stats(b)
                 buckets, owners = features(b)
-                stats["llr"] = mean_ratios(buckets, owners, b.n, shared.value)
+                stats["llr"], stats["llr_trusted"] = mean_ratios(buckets, owners, b.n, shared.value)
                 parts.append(pd.DataFrame(stats))
             if parts:
                 stats = pd.concat(parts)
                 failed = (stats["n_words"] < min_words) | (100 * stats["n_repeat_words"] > max_repeated * stats["n_words"])
-                more = [pa.array(stats[c].to_numpy()) for c in (*STATS, "llr")] + [pa.array(failed.to_numpy()), pa.array((~failed & (stats["llr"] >= threshold)).to_numpy())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], *STATS, "llr", "base_failed", "kept"])
+                more = [pa.array(stats[c].to_numpy()) for c in (*STATS, "llr", "llr_trusted")] + [pa.array(failed.to_numpy())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], *STATS, "llr", "llr_trusted", "base_failed"])
 
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} long" for c in STATS), "llr double, base_failed boolean, kept boolean"])
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} long" for c in STATS), "llr double, llr_trusted double, base_failed boolean"])
     return docs.withColumn(out_text, F.col(f"`{text}`").cast("string")).mapInArrow(scored, schema)
 
 
@@ -164,13 +164,19 @@ def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id"
     return joined.withColumn(mark, F.col(key).isNotNull()).drop(key), mark
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits) -> DataFrame:
-    """Score every document against the multinomials of trusted and of all documents.
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, **limits) -> DataFrame:
+    """docs with the statistics, llr (the score against the multinomials of trusted and of all documents), base_failed and kept.
 
     trusted_ids: one column, the ids of trusted documents.
     """
+    added = {c.lower() for c in (*STATS, "llr", "llr_trusted", "base_failed", "kept")}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added and c not in (text, doc_id)))
     marked, mark = mark_trusted(docs.select(doc_id, text), trusted_ids, doc_id)
-    return score_documents(docs, totals(count_ngrams(marked, text, mark)), text, **limits)
+    scored = score_documents(docs, totals(count_ngrams(marked, text, mark)), text, **limits)
+    # Joined behind the scan, where a caller that drops the text need not move it.
+    scored, mark = mark_trusted(scored, trusted_ids, doc_id)
+    llr = F.when(F.col(mark), F.col("llr_trusted")).otherwise(F.col("llr"))
+    return scored.withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop(mark, "llr_trusted")
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:

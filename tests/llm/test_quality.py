@@ -20,11 +20,12 @@ def test_ratio_by_hand(spark):
     assert sorted(counts.raw.tolist()) == [1, 1, 1, 1, 2]
     assert counts.trusted.sum() == 5
     t = quality_rules.totals(quality_rules.count_ngrams(marked, "text", mark))
-    own, seen = quality_rules.mean_ratios(np.array([5, 5, 6]), np.array([0, 0, 1]), 2, np.array([[0, 3], [4, 6]]).repeat([5, quality_rules.BUCKETS - 5], axis=1))
+    (own, seen), (own_trusted, _) = quality_rules.mean_ratios(np.array([5, 5, 6]), np.array([0, 0, 1]), 2, np.array([[0, 3], [4, 6]]).repeat([5, quality_rules.BUCKETS - 5], axis=1))
     assert t.sum(axis=1).tolist() == [5, 6]
     share = 3 * (quality_rules.BUCKETS - 5) / (4 * 5 + 6 * (quality_rules.BUCKETS - 5))
     assert np.isclose(own, np.log((3 + 10 * share) / (share * (6 - 2 + 10))))
     assert np.isclose(seen, np.log((3 + 10 * share) / (share * (6 - 1 + 10))))
+    assert np.isclose(own_trusted, np.log((3 - 2 + 10 * share) / (share * (6 - 2 + 10))))
 
 
 def test_awkward_rules(spark, awkward, empty):
