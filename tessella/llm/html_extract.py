@@ -1,8 +1,8 @@
 """Main text of web pages: a recurrent labeller over the sequence of text blocks.
 
 A page is cut into leaf blocks, runs of text between block-level tags. Each has
-the hashed tags, classes, ids and roles on its path, hashed words, and a few
-numbers. A numpy bidirectional LSTM reads the vectors of the whole page in order
+the hashed tags, classes, ids and roles on its path, all its words, hashed, and a
+few numbers; a page of any length takes a few hundred bytes for a block. A numpy bidirectional LSTM reads the vectors of the whole page in order
 and says of every block whether it belongs to the main text. It is trained on
 generated pages whose blocks are labelled.
 
@@ -117,23 +117,46 @@ def leaf_blocks(html: str | None) -> list[Block]:
     return out
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row of inputs for each block."""
-    x = np.zeros((len(blocks), INPUTS), dtype=np.float32)
-    hashed: dict[str, int] = {}
+@lru_cache(maxsize=1 << 16)
+def word_bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+
+
+@lru_cache(maxsize=1 << 12)
+def path_buckets(path: tuple[str, ...]) -> np.ndarray:
+    return np.unique([zlib.crc32(t.encode()) % PATH_BUCKETS for t in path]).astype(np.int64)
+
+
+def inputs(blocks: list[Block]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each block the path buckets, and a row of its word shares and numbers."""
+    dense = np.zeros((len(blocks), WORD_BUCKETS + NUMBERS), dtype=np.float32)
     for i, (path, text, link_chars) in enumerate(blocks):
-        for t in path:
-            if t not in hashed:
-                hashed[t] = zlib.crc32(t.encode()) % PATH_BUCKETS
-            x[i, hashed[t]] = 1
-        words = text.split(None, 24)[:24]
-        for w in words:
-            x[i, PATH_BUCKETS + zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS] += 0.5 / len(words)
+        words = text.split()
+        dense[i, :WORD_BUCKETS] = np.bincount([word_bucket(w) for w in words], minlength=WORD_BUCKETS) * (0.5 / max(len(words), 1))
         n = len(text)
-        x[i, -NUMBERS:] = (np.log1p(n) / 8, min(1.0, link_chars / n), text[-1] in ".!?", text.count(",") / (1 + n / 40), i / len(blocks), len(path) / 12)
+        dense[i, WORD_BUCKETS:] = (np.log1p(n) / 8, min(1.0, link_chars / n), text[-1] in ".!?", text.count(",") / (1 + n / 40), i / len(blocks), len(path) / 12)
+    return [path_buckets(path) for path, _, _ in blocks], dense
+
+
+def vectors(blocks: list[Block]) -> np.ndarray:
+    """One row with all inputs for each block, as the training needs them."""
+    paths, dense = inputs(blocks)
+    x = np.zeros((len(blocks), INPUTS), dtype=np.float32)
+    x[:, PATH_BUCKETS:] = dense
+    for i, path in enumerate(paths):
+        x[i, path] = 1
     return x
 
 
+def projected(p: dict[str, np.ndarray], blocks: list[Block]) -> np.ndarray:
+    """What the first layer makes of vectors(blocks)."""
+    paths, dense = inputs(blocks)
+    out = dense @ p["project"][PATH_BUCKETS:]
+    at = np.concatenate(([0], np.cumsum([len(path) for path in paths])))
+    sums = np.concatenate((np.zeros((1, out.shape[1]), np.float32), np.cumsum(p["project"][np.concatenate(paths)], axis=0, dtype=np.float64)))
+    return np.tanh(out + sums[at[1:]] - sums[at[:-1]]).astype(np.float32)
+
+
 # Generated training pages. Names under each role are those that pages commonly use.
 #: Tags and class names by role.
 MAIN_WRAPPERS = ("article", "main", "div.content", "div.post", "div.entry-content", "section.article-body", "div#main-content", "article.post", "main>article", "div.story", "div.article__text", "div.page-body>article")
@@ -210,15 +233,15 @@ def training_page(rng: np.random.Generator, words: np.ndarray) -> tuple[list[Blo
 
 def padded(pages: list[np.ndarray]) -> np.ndarray:
     """(time, batch, inputs); short pages end in zeros."""
-    out = np.zeros((max(map(len, pages)), len(pages), INPUTS), dtype=np.float32)
+    out = np.zeros((max(map(len, pages)), len(pages), pages[0].shape[1]), dtype=np.float32)
     for j, x in enumerate(pages):
         out[: len(x), j] = x
     return out
 
 
-def block_scores(p: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]:
+def block_scores(p: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
     """Probability of each block of each page to be main text; pages of like length together are fastest."""
-    x = np.tanh(padded(pages) @ p["project"])
+    x = padded([projected(p, blocks) for blocks in pages])
     ahead, _ = lstm(p, "ahead", x, keep=False)
     # A page's own end comes first in its reversed order.
     sizes = np.array([len(v) for v in pages])
@@ -281,7 +304,7 @@ def main_texts(p: dict[str, np.ndarray], htmls: list[str | None]) -> list[str]:
         n = max(1, min(64, 8_000 // len(pages[order[min(at + 63, len(order) - 1)]])))
         part = order[at : at + n]
         at += n
-        for i, prob in zip(part, block_scores(p, [vectors(pages[i]) for i in part]), strict=True):
+        for i, prob in zip(part, block_scores(p, [pages[i] for i in part]), strict=True):
             out[i] = " ".join(text for (_, text, _), q in zip(pages[i], prob, strict=True) if q >= 0.5)
     return out
 

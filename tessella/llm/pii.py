@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions that adds to them.
 
 The tagger is trained in numpy on generated text with labelled spans. A text is
-read in overlapping windows; each is decoded by Viterbi, and each character
-takes its tag from the window in whose middle it lies. A span that the tagger
+read in overlapping windows. Windows that overlap are reconciled as one stretch:
+a character's scores are the mean of those that its windows give, weighted by
+how far it lies from a window's ends, and one Viterbi path runs over the whole
+stretch. A span that the tagger
 finds counts if it does not overlap another one and passes the checks of its
 kind, all of which ask for a trigger: a digit, an at sign, or a spelt-out "at"
-or "dot". So windows without any trigger need no decoding.
+or "dot", in any case. So only windows are decoded that touch a trigger, the
+word it stands in or the words beside that.
 
 Edge cases: null and empty texts have no spans; long texts are read whole;
 repeated rows are answered alike. Other columns pass through; one with the name
@@ -34,7 +37,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, STRIDE = 128, 64
-TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\bdot\b|\bDOT\b")
+#: One of these is in every string that the shapes below accept.
+TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\bdot\b", re.IGNORECASE)
+WORD = re.compile(r"\S+")
+#: Of a character in a window: most in the middle.
+WEIGHTS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 DECODE_BATCH = 256
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -112,7 +119,8 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, int | None]:
         host, top = word() + pick("", n(1, 2)), pick("com", "org", "net", "de", "fr", "es", "co.uk", "example.com")
         at = pick("@", "@", "@", " @ ", " [at] ", " (at) ", "[at]", " {at} ")
         dot = pick(".", ".", ".", " [dot] ", " (dot) ", " dot ") if "at" in at or at == " @ " else "."
-        return user + at + host + dot + top, 0
+        address = user + at + host + dot + top
+        return address.upper() if rng.random() < 0.12 else address, 0
     if what == 3:
         return ".".join(str(rng.integers(0, 256)) for _ in range(4)), 1
     if what <= 5:
@@ -188,43 +196,73 @@ def train_tagger(seed: int = 7, steps: int = TRAIN_STEPS) -> dict[str, np.ndarra
 
 
 def window_starts(text: str) -> list[int]:
-    """Of the windows with a trigger; windows lie on a grid from the text's start."""
-    starts = set()
-    for m in TRIGGER.finditer(text):
-        last = m.start() // STRIDE
-        starts.update((STRIDE * last, STRIDE * max(last - 1, 0)))
-    return sorted(starts)
+    """Of the windows to decode; windows lie on a grid from the text's start, and the last one begins inside the text."""
+    triggers = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
+    if not triggers:
+        return []
+    words = np.array([m.span() for m in WORD.finditer(text)])
+    first, last = np.array(triggers).T
+    lo = words[np.maximum(np.searchsorted(words[:, 0], first, side="right") - 2, 0), 0]
+    hi = words[np.minimum(np.searchsorted(words[:, 1], last) + 1, len(words) - 1), 1]
+    begin, end = np.maximum(-(-(lo - WINDOW + 1) // STRIDE), 0), (hi - 1) // STRIDE
+    edges = np.zeros(len(text) // STRIDE + 2, dtype=np.int64)
+    np.add.at(edges, begin, 1)
+    np.add.at(edges, end + 1, -1)
+    return (np.flatnonzero(np.cumsum(edges)) * STRIDE).tolist()
 
 
 def decode(p: dict[str, np.ndarray], texts: list[str]) -> list[list[Span]]:
-    """Raw spans of each text from its windows."""
-    margin = (WINDOW - STRIDE) // 2
+    """Raw spans of each text: scores of its windows, joined into stretches, and the best path of each stretch."""
     jobs = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    tags: dict[int, dict[int, int]] = {}
+    stretches: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # text, start, weighted scores, weights
+    for i, s in jobs:
+        stop = min(s + WINDOW, len(texts[i]))
+        if stretches and stretches[-1][0] == i and s < stretches[-1][1] + len(stretches[-1][3]):
+            _, start, _, weights = stretches.pop()
+            stretches.append((i, start, None, np.zeros(max(stop - start, len(weights)), np.float32)))
+        else:
+            stretches.append((i, s, None, np.zeros(stop - s, np.float32)))
+    stretches = [(i, start, np.zeros((len(w), TAGS), np.float32), w) for i, start, _, w in stretches]
+    of = iter(stretches)
+    now = next(of, None)
     for at in range(0, len(jobs), DECODE_BATCH):
         part = jobs[at : at + DECODE_BATCH]
         codes = np.full((WINDOW, len(part)), 131)
         for j, (i, s) in enumerate(part):
             seen = encode(texts[i][s : s + WINDOW])
             codes[: len(seen), j] = seen
-        found = viterbi(tag_scores(p, codes), p["moves"])
+        scores = tag_scores(p, codes)
         for j, (i, s) in enumerate(part):
-            first = 0 if s == 0 else margin
-            stop = min(WINDOW, len(texts[i]) - s) if s + WINDOW >= len(texts[i]) else margin + STRIDE
-            for t in np.flatnonzero(found[first:stop, j]) + first:
-                tags.setdefault(i, {})[s + int(t)] = int(found[t, j])
+            while now[0] != i or s >= now[1] + len(now[3]):
+                now = next(of)
+            n = min(WINDOW, len(texts[i]) - s)
+            now[2][s - now[1] : s - now[1] + n] += scores[:n, j] * WEIGHTS[:n, None]
+            now[3][s - now[1] : s - now[1] + n] += WEIGHTS[:n]
     out: list[list[Span]] = [[] for _ in texts]
-    for i, marks in tags.items():
-        run: list[int] | None = None
-        for pos in sorted(marks):
-            kind, begins = (marks[pos] - 1) // 2, (marks[pos] - 1) % 2 == 0
-            if run and run[2] == pos and run[0] == kind and not begins:
-                run[2] = pos + 1
-            else:
-                run = [kind, pos, pos + 1]
-                out[i].append(run)
-        out[i] = [tuple(r) for r in out[i]]
-    return out
+    # Stretches of like length together; what lies behind a shorter one's end is outside of every span.
+    order = sorted(range(len(stretches)), key=lambda k: len(stretches[k][3]))
+    while order:
+        longest = len(stretches[order[min(DECODE_BATCH, len(order)) - 1]][3])
+        n = max(1, min(DECODE_BATCH, DECODE_BATCH * 8 * WINDOW // longest))
+        part, order = order[:n], order[n:]
+        scores = np.full((len(stretches[part[-1]][3]), len(part), TAGS), -1e4, dtype=np.float32)
+        scores[:, :, 0] = 0
+        for j, k in enumerate(part):
+            scores[: len(stretches[k][3]), j] = stretches[k][2] / stretches[k][3][:, None]
+        found = viterbi(scores, p["moves"])
+        for j, k in enumerate(part):
+            i, start, _, weights = stretches[k]
+            run: list[int] | None = None
+            runs = []
+            for t in np.flatnonzero(found[: len(weights), j]).tolist():
+                kind, begins = divmod(int(found[t, j]) - 1, 2)
+                if run and run[2] == start + t and run[0] == kind and begins:
+                    run[2] += 1
+                else:
+                    run = [kind, start + t, start + t + 1]
+                    runs.append(run)
+            out[i] += [tuple(r) for r in runs]
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
 #: What a span of the tagger must look like as a whole.

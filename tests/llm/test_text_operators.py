@@ -40,8 +40,8 @@ def test_spans_and_blocks(spark):
     item = "One two, THREE four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"é start {item.lower()}! end"), (2, "one two three"), (3, "short item here"), (4, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, "SHORT item"), (9, ""), (10, None), (None, "x")], "item_id long, text string")
-    for limit in (1 << 20, 1):
-        got = {r.doc_id: r for r in decontam.decontaminate(docs, bench, automaton_bytes=limit).collect()}
+    for limit in (1 << 20, 4):
+        got = {r.doc_id: r for r in decontam.decontaminate(docs, bench, automaton_words=limit).collect()}
         assert got[1].spans[0].start == 8
         assert got[1].n_hit == 11
         assert got[1]["items"] == [7]
@@ -122,9 +122,13 @@ def test_viterbi_is_the_best_path():
 
 
 def test_base_patterns():
-    text = "a.b+c@mail1.example.com, 1.2.3.400 10.0.0.1 4111 1111 1111 1111 4111111111111112 +1 (523) 555-1055 +12"
-    got = {pii.KINDS[k]: text[a:b] for k, a, b in pii.base_spans(text)}
-    assert got == {"email": "a.b+c@mail1.example.com", "ip": "10.0.0.1", "card": "4111 1111 1111 1111", "phone": "+1 (523) 555-1055"}
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)]
+
+    text = "a.b+c@mail1.example.com, 1.2.3.400 10.0.0.1, 4111 1111 1111 1111, 4111111111111112, +1 (523) 555-1055 +12"
+    assert found(text) == [("email", "a.b+c@mail1.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (523) 555-1055")]
+    # One match takes both numbers and the digit before them, fails, and is not tried again.
+    assert found("1 4111 1111 1111 1111 4111111111111112") == []
 
 
 def test_tagger_on_unseen_text():
@@ -139,6 +143,60 @@ def test_tagger_on_unseen_text():
     assert pii.accepted(clean, pii.decode(p, [clean])[0], []) == []
 
 
+def test_spans_of_unseen_text():
+    p = pii.train_tagger()
+    rng = np.random.default_rng(31)
+    right = wrong = missed = 0
+    for _ in range(40):
+        text, marks = "", set()
+        while len(text) < 1500:
+            if rng.random() < 0.15:
+                piece, kind = pii.labelled_example(rng)
+                if kind is not None:
+                    marks.add((kind, len(text), len(text) + len(piece)))
+                text += f"{piece} "
+            else:
+                text += pii._word(rng) + (" ", ". ", ", ", "\n")[rng.integers(4)]
+        base = pii.base_spans(text)
+        got = {*base, *pii.accepted(text, pii.decode(p, [text])[0], base)}
+        right, wrong, missed = right + len(got & marks), wrong + len(got - marks), missed + len(marks - got)
+    assert right / (right + wrong) > 0.95
+    assert right / (right + missed) > 0.9
+
+
+def test_case_and_words_beside_a_trigger():
+    p = pii.train_tagger()
+    text = "write to john [AT] example.com today"
+    assert [(k, text[a:b]) for k, a, b in pii.accepted(text, pii.decode(p, [text])[0], [])] == [(0, "john [AT] example.com")]
+    far = "y" * 300
+    starts = pii.window_starts(f"{'x ' * 500}{far} (at) host.org {'x ' * 500}")
+    assert starts[0] <= 1000 <= starts[0] + pii.WINDOW
+    assert all(b - a == pii.STRIDE for a, b in zip(starts, starts[1:], strict=False))
+    assert pii.window_starts("no such thing " * 50) == []
+
+
+def test_personal_data_query_like_brute_force(spark):
+    def kinds(text):
+        found = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        found += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) < 256 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            d = [int(c) for c in m[0] if c.isdigit()][::-1]
+            if 13 <= len(d) <= 19 and (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0:
+                found.append(("card", m.span()))
+        found += [("phone", m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+        return [f"{k}:{a}:{b}" for k, (a, b) in found]
+
+    got = {r.doc_id: r for r in queries.op8_personal_data(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        base, g = kinds(r.text or ""), got[r.doc_id]
+        assert g.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")]
+        spans = [x.split(":") for x in g.spans.split(",") if x]
+        assert set(base) <= {":".join(x) for x in spans}
+        order = sorted((int(a), int(b)) for _, a, b in spans)
+        assert all(0 <= a < b <= len(r.text or "") for a, b in order)
+
+
 def test_personal_data_of_whole_texts(spark, awkward, empty):
     text = "x " * 40_000 + "me@example.com"
     got = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -153,7 +211,7 @@ def test_labeller_on_unseen_pages():
     rng = np.random.default_rng(99)
     words = np.array(["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(500)])
     pages = [html_extract.training_page(rng, words) for _ in range(100)]
-    scores = html_extract.block_scores(p, [html_extract.vectors(b) for b, _ in pages])
+    scores = html_extract.block_scores(p, [b for b, _ in pages])
     assert np.mean([((s >= 0.5) == y).mean() for s, (_, y) in zip(scores, pages, strict=True)]) > 0.98
 
 
@@ -169,6 +227,21 @@ def test_pages(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_first_layer_reads_all_words():
+    p = {"project": np.random.default_rng(1).normal(0, 1, (html_extract.INPUTS, 5)).astype(np.float32)}
+    blocks = [(("html", "div", ".post"), " ".join(f"word{i}" for i in range(300)) + ".", 0), ((), "x, y", 2), (("html", "html"), "z", 0)]
+    assert np.allclose(html_extract.projected(p, blocks), np.tanh(html_extract.vectors(blocks) @ p["project"]), atol=1e-4)
+    other = [(blocks[0][0], blocks[0][1].replace("word299", "else"), 0)]
+    assert not np.array_equal(html_extract.vectors(blocks[:1])[:, :-1], html_extract.vectors(other)[:, :-1])
+
+
+def test_a_very_long_page(spark):
+    n = 120_000
+    page = "<nav><ul><li><a href=x>menu</a></li></ul></nav><article>" + "".join(f"<p>Sentence number {i}, with some more words.</p>" for i in range(n)) + "</article><footer>end</footer>"
+    got = html_extract.extract_main_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first().text
+    assert got.count("Sentence number") == n
+
+
 def test_other_pages(spark):
     rows = [(1, None), (2, ""), (3, "<p>cut off <b"), (4, "<nav>menu</nav><main><h1>Title</h1><p>A &amp; B<br>more&nbsp;text here, and so on.</p><form><label>Mail</label></form></main><section id=comments><div class=comment><p>Nice one, thank you very much.</p></div></section><aside>Related</aside><footer>end</footer>"), (4, "<script>x('</p>')</script><style>p{}</style>")]
     df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'x' as text", "'y' as __html")
