@@ -72,7 +72,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns, one for each order."""
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "wishlist").when(F.col("o_orderstatus") == "P", "inprogress").otherwise("completed")
-    return o.select(F.col("o_orderkey").alias("pattern_id"), F.concat(F.lit("Pattern "), F.col("o_orderkey").cast("string")).alias("title"), (F.col("o_custkey") % 40).alias("designer"), status.alias("status"), F.col("o_orderdate").cast("date").alias("created_at"), F.col("o_orderpriority").alias("tag"), F.floor("o_totalprice").cast("long").alias("size"))
+    return o.select(F.col("o_orderkey").alias("pattern_id"), F.concat(F.lit("Pattern "), F.col("o_orderkey").cast("string")).alias("title"), (F.col("o_custkey") % 40).alias("designer"), status.alias("status"), F.col("o_orderdate").cast("date").alias("created_at"), F.col("o_orderpriority").alias("tag"), F.floor("o_totalprice").cast("long").alias("size"), F.when(F.col("o_orderstatus") == "F", F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 300).cast("int"))).alias("completed_at"))
 
 
 def library_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ SQL = {
     "threads": "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'anchor' ELSE 'dmc' END AS brand, p_partkey AS id, p_name AS name, CAST(p_partkey * 37 % 256 AS INTEGER) AS r, CAST(p_partkey * 91 % 256 AS INTEGER) AS g, CAST(p_partkey * 151 % 256 AS INTEGER) AS b, p_partkey AS ord FROM part",
     "stash_history": "SELECT l_partkey AS id, CAST(l_shipdate AS DATE) AS date, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT) AS delta FROM lineitem",
     "stash": "SELECT l_partkey AS id, CASE WHEN l_partkey % 3 = 0 THEN 'anchor' ELSE 'dmc' END AS brand, CAST(count(*) FILTER (l_returnflag = 'N') % 9 AS BIGINT) AS owned, min(CAST(l_shipdate AS DATE)) AS added_at, count(*) % 4 AS min_stock, l_partkey % 7 = 0 AS tobuy FROM lineitem GROUP BY l_partkey",
-    "library": "SELECT o_orderkey AS pattern_id, 'Pattern ' || o_orderkey AS title, o_custkey % 40 AS designer, CASE o_orderstatus WHEN 'O' THEN 'wishlist' WHEN 'P' THEN 'inprogress' ELSE 'completed' END AS status, CAST(o_orderdate AS DATE) AS created_at, o_orderpriority AS tag, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders",
+    "library": "SELECT o_orderkey AS pattern_id, 'Pattern ' || o_orderkey AS title, o_custkey % 40 AS designer, CASE o_orderstatus WHEN 'O' THEN 'wishlist' WHEN 'P' THEN 'inprogress' ELSE 'completed' END AS status, CAST(o_orderdate AS DATE) AS created_at, o_orderpriority AS tag, CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 300 AS INTEGER) END AS completed_at FROM orders",
     "library_threads": "SELECT l_orderkey AS pattern_id, l_partkey AS id, CAST(l_quantity * 100 AS BIGINT) AS stitches, CAST(l_linenumber AS BIGINT) AS ord FROM lineitem",
     "cells": """SELECT *, idx % 20 AS x, idx // 20 AS y FROM (SELECT l_suppkey AS project_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS idx,
         CASE WHEN l_partkey % 8 = 0 THEN '__skip__' WHEN l_partkey % 40 = 1 THEN '__empty__' WHEN l_partkey % 8 = 7 THEN 't2+t3' ELSE 't' || (l_partkey % 8) END AS thread_id, CAST(l_linestatus = 'F' AS INTEGER) AS done FROM lineitem)""",

@@ -68,13 +68,13 @@ def projects(spark, d):
     last = sessions(spark, d).groupBy("project_id").agg(F.max("date").alias("last_touched"), F.min("date").alias("created_at"))
     t = targets(spark, d).join(last, "project_id")
     k = F.col("project_id")
-    return t.withColumns({"done": F.when(k % 7 == 0, F.col("total")).when(k % 11 == 0, 0).otherwise(F.col("done")), "last_touched": F.when(k % 5 != 0, F.col("last_touched")), "override": F.when(k % 13 == 0, "paused"), "ready": k % 2 == 0})
+    return t.withColumns({"done": F.when(k % 7 == 0, F.col("total")).when(k % 11 == 0, 0).otherwise(F.col("done")), "last_touched": F.when(k % 5 != 0, F.col("last_touched")), "override": F.when(k % 13 == 0, "paused"), "ready": k % 2 == 0, "source": F.when(k % 3 == 0, "creator").otherwise("import"), "n_sessions": F.when(k % 11 == 0, k % 2).otherwise(3)})
 
 
-PROJECTS = "p AS (SELECT t.project_id, total, CASE WHEN t.project_id % 7 = 0 THEN total WHEN t.project_id % 11 = 0 THEN 0 ELSE done END AS done, CASE WHEN t.project_id % 5 <> 0 THEN max(date) END AS last_touched, min(date) AS created_at, CASE WHEN t.project_id % 13 = 0 THEN 'paused' END AS override, t.project_id % 2 = 0 AS ready FROM targets t JOIN sessions s ON s.project_id = t.project_id GROUP BY t.project_id, total, done)"
+PROJECTS = "p AS (SELECT t.project_id, total, CASE WHEN t.project_id % 7 = 0 THEN total WHEN t.project_id % 11 = 0 THEN 0 ELSE done END AS done, CASE WHEN t.project_id % 5 <> 0 THEN max(date) END AS last_touched, min(date) AS created_at, CASE WHEN t.project_id % 13 = 0 THEN 'paused' END AS override, t.project_id % 2 = 0 AS ready, CASE WHEN t.project_id % 3 = 0 THEN 'creator' ELSE 'import' END AS source, CASE WHEN t.project_id % 11 = 0 THEN t.project_id % 2 ELSE 3 END AS n_sessions FROM targets t JOIN sessions s ON s.project_id = t.project_id GROUP BY t.project_id, total, done)"
 
 
-@query(sql("sessions targets", f", {PROJECTS} SELECT project_id, coalesce(override, CASE WHEN total > 0 AND done >= total THEN 'complete' WHEN done > 0 THEN 'active' WHEN total = 0 THEN 'design' ELSE 'queued' END) AS state FROM p"))
+@query(sql("sessions targets", f", {PROJECTS} SELECT project_id, coalesce(override, CASE WHEN total > 0 AND done >= total THEN 'complete' WHEN done > 0 THEN 'active' WHEN source = 'creator' AND n_sessions = 0 THEN 'design' ELSE 'queued' END) AS state FROM p"))
 def browse_project_states(spark, d):
     return op.project_states(projects(spark, d))
 
@@ -84,6 +84,6 @@ def browse_oldest_open(spark, d):
     return op.oldest_open(projects(spark, d))
 
 
-@query(sql("sessions targets", f", {PROJECTS} SELECT project_id, CAST(least(30, 3 * ({DAY} - last_touched)) + CASE WHEN done / greatest(total, 1)::DOUBLE >= 0.8 THEN 20 WHEN done / greatest(total, 1)::DOUBLE >= 0.5 THEN 5 ELSE 0 END + CASE WHEN ready THEN 10 ELSE 0 END AS BIGINT) AS score FROM p WHERE done < total ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1"))
+@query(sql("sessions targets", f", {PROJECTS} SELECT project_id, CAST(CASE WHEN last_touched IS NULL THEN 0 ELSE least(30, 3 * ({DAY} - last_touched)) END + CASE WHEN done / greatest(total, 1)::DOUBLE >= 0.8 THEN 20 WHEN done / greatest(total, 1)::DOUBLE >= 0.5 THEN 5 ELSE 0 END + CASE WHEN ready THEN 10 ELSE 0 END AS BIGINT) AS score FROM p WHERE done < total ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1"))
 def browse_next_project(spark, d):
     return op.next_project(projects(spark, d), AS_OF)

@@ -12,6 +12,10 @@ LIVE = "live AS (SELECT * FROM cells WHERE thread_id NOT IN ('__skip__', '__empt
 PARTS = f"{LIVE}, parts AS (SELECT *, trim(unnest(string_split(thread_id, '+'))) AS thread, 1.0::DOUBLE / len(string_split(thread_id, '+')) AS share FROM live)"
 REGIONS = """per AS (SELECT project_id, x // 10 AS rx, y // 10 AS ry, thread_id, count(*) AS n, CAST(sum(done) AS BIGINT) AS done FROM live GROUP BY ALL),
     regions AS (SELECT project_id, rx, ry, CAST(sum(n) AS BIGINT) AS total, CAST(sum(done) AS BIGINT) AS done, count(*) AS n_ids, max(n) AS top_n, arg_min(thread_id, struct_pack(a := -n, b := thread_id)) AS top_id FROM per GROUP BY 1, 2, 3)"""
+IMPACT = """, z AS (SELECT project_id, max(x) + 1 AS w, max(y) + 1 AS h FROM cells GROUP BY 1), q AS (SELECT r.*, w, h, (w + 9) // 10 AS cols, (h + 9) // 10 AS rows, done / total::DOUBLE AS p FROM regions r JOIN z ON z.project_id = r.project_id),
+    n AS (SELECT a.project_id, a.rx, a.ry, sum(b.p) AS s FROM q a JOIN q b ON a.project_id = b.project_id AND abs(a.rx - b.rx) + abs(a.ry - b.ry) = 1 GROUP BY 1, 2, 3),
+    k AS (SELECT q.*, coalesce(s, 0) AS s, CAST(q.rx > 0 AS INTEGER) + CAST(q.ry > 0 AS INTEGER) + CAST(q.rx < cols - 1 AS INTEGER) + CAST(q.ry < rows - 1 AS INTEGER) AS c FROM q LEFT JOIN n ON n.project_id = q.project_id AND n.rx = q.rx AND n.ry = q.ry)
+    SELECT project_id, rx, ry, round(CASE WHEN p >= 1 THEN -1 ELSE 0.30::DOUBLE * CASE WHEN c > 0 THEN s / c ELSE 0 END + 0.20::DOUBLE * (top_n / total::DOUBLE) + 0.25::DOUBLE * p * p + 0.10::DOUBLE * (1 - 0.3::DOUBLE * sqrt(pow((rx + 0.5) * 10 - w / 2.0::DOUBLE, 2) + pow((ry + 0.5) * 10 - h / 2.0::DOUBLE, 2)) / sqrt(pow(w / 2.0::DOUBLE, 2) + pow(h / 2.0::DOUBLE, 2))) + 0.15::DOUBLE / (1 + (total - done) / 20.0::DOUBLE) END, 6) AS score FROM k"""
 #: Connected cells by a recursive walk from every cell to lower labels; a small chart is enough of a limit for it.
 WALK = f"""{LIVE}, e AS (SELECT a.project_id, a.idx AS i, b.idx AS j FROM live a JOIN live b ON a.project_id = b.project_id AND a.thread_id = b.thread_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
     reach(project_id, i, j) AS (SELECT project_id, idx, idx FROM live UNION SELECT r.project_id, r.i, e.j FROM reach r JOIN e ON e.project_id = r.project_id AND e.i = r.j),
@@ -97,7 +101,7 @@ def grid_regions(spark, d):
     return op.regions(cells(spark, d))
 
 
-@query(sql("cells", f", {LIVE}, {REGIONS} SELECT project_id, rx, ry, round(CASE WHEN done >= total THEN -1 ELSE ((total - done) / total::DOUBLE + top_n / total::DOUBLE + total / (max(total) OVER (PARTITION BY project_id))::DOUBLE) / 3 END, 6) AS score FROM regions"))
+@query(sql("cells", f", {LIVE}, {REGIONS} {IMPACT}"))
 def grid_impact(spark, d):
     return op.impact(cells(spark, d)).withColumn("score", F.round("score", 6))
 

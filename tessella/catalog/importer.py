@@ -61,11 +61,19 @@ def import_name_hash(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("h", op.name_hash(F.col("name")))
 
 
-@query("WITH p AS (SELECT o_custkey AS page_id, CAST(sum(floor(o_totalprice / 1000)) AS BIGINT) AS total, CAST(sum(o_orderkey % 300) AS BIGINT) AS fills, count(*) * 5 AS colours, count(*) FILTER (o_orderstatus = 'P') AS images, count(*) FILTER (o_orderstatus = 'O') AS codes FROM orders GROUP BY 1) SELECT page_id, CASE WHEN total < 50 THEN 'blank' WHEN colours >= 50 AND fills >= 1000 THEN 'chart' WHEN colours >= 5 AND fills >= 1000 THEN 'overlay' WHEN fills >= 500 AND codes > 0 THEN 'combined' WHEN codes >= 5 THEN 'legend' WHEN images > 0 THEN 'cover' ELSE 'text' END AS role FROM p")
+#: Words of a page by its number, so that every rule has pages.
+PAGE_WORDS = ("", "Colour key 310 321 666 703 B5200 3865 D310", "Aida 14 ct, stranded cotton", "Wash before you start", "Symbole 310", "Nothing in particular")
+
+
+@query(f"""WITH p AS (SELECT o_custkey AS page_id, o_custkey % 4 AS page, [{', '.join(f"'{w}'" for w in PAGE_WORDS)}][o_custkey % {len(PAGE_WORDS)} + 1] AS text, CAST(sum(floor(o_totalprice / 10000)) AS BIGINT) AS total, CAST(sum(o_orderkey % 150) AS BIGINT) AS fills, count(*) * 5 AS colours, count(*) FILTER (o_orderstatus = 'P') > 1 AS large_image FROM orders GROUP BY 1),
+    t AS (SELECT *, lower(text) AS low FROM p), k AS (SELECT *, regexp_matches(low, 'colour key|symbole') AS legend, CASE WHEN page_id % 6 = 1 THEN 5 WHEN page_id % 6 IN (2, 4) THEN 1 ELSE 0 END AS codes FROM t),
+    r AS (SELECT page_id, CASE WHEN total < 50 THEN 0 WHEN colours >= 50 AND fills >= 1000 THEN 1 WHEN colours >= 5 AND fills >= 1000 THEN 2 WHEN fills >= 500 AND legend THEN 3 WHEN legend AND codes >= 5 THEN 4 WHEN contains(low, 'aida') THEN 5 WHEN large_image AND fills < 100 THEN 6 WHEN page = 1 AND total < 200 AND low <> '' THEN 7 WHEN contains(low, 'wash') THEN 8 ELSE 9 END AS rule FROM k)
+    SELECT page_id, ['blank', 'chart-vector-colour', 'chart-vector-bs', 'chart-combined', 'legend', 'materials', 'cover', 'cover', 'instructions', 'instructions'][rule + 1] AS role, [1.0::DOUBLE, 0.9, 0.9, 0.8, 0.85, 0.75, 0.9, 0.6, 0.7, 0.4][rule + 1] AS confidence FROM r""")
 def import_page_roles(spark, d):
     o = table(spark, d, "orders")
-    p = o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.sum(F.floor(F.col("o_totalprice") / 1000)).cast("long").alias("total"), F.sum(F.col("o_orderkey") % 300).alias("fills"), (F.count(F.lit(1)) * 5).alias("colours"), F.count_if(F.col("o_orderstatus") == "P").alias("images"), F.count_if(F.col("o_orderstatus") == "O").alias("codes"))
-    return op.page_roles(p)
+    p = o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.sum(F.floor(F.col("o_totalprice") / 10000)).cast("long").alias("total"), F.sum(F.col("o_orderkey") % 150).alias("fills"), (F.count(F.lit(1)) * 5).alias("colours"), (F.count_if(F.col("o_orderstatus") == "P") > 1).alias("large_image"))
+    text = F.element_at(F.array(*map(F.lit, PAGE_WORDS)), (F.col("page_id") % len(PAGE_WORDS) + 1).cast("int"))
+    return op.page_roles(p.withColumns({"page": F.col("page_id") % 4, "text": text}))
 
 
 @query("WITH d AS (SELECT DISTINCT l_suppkey AS page_id, floor((l_partkey % 60) * 2.5::DOUBLE * 10 + 0.5) / 10 AS v FROM lineitem), s AS (SELECT page_id, floor((v - lag(v) OVER (PARTITION BY page_id ORDER BY v)) * 10 + 0.5) / 10 AS step FROM d), n AS (SELECT page_id, step, count(*) AS n FROM s WHERE step > 0 GROUP BY 1, 2) SELECT page_id, step AS pitch FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, step) = 1")
@@ -73,16 +81,19 @@ def import_pitch(spark, d):
     return op.pitch(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page_id"), ((F.col("l_partkey") % 60) * 2.5).alias("v")))
 
 
-CODED = "coded AS (SELECT project_id AS doc, CASE WHEN thread_id IN ('__skip__', '__empty__') THEN NULL ELSE thread_id END AS code FROM cells), legend AS (SELECT DISTINCT project_id AS doc, 't' || (idx % 9) AS code, project_id % 97 AS expected FROM cells WHERE idx < 8)"
+CODED = "coded AS (SELECT project_id AS doc, CASE WHEN thread_id IN ('__skip__', '__empty__') THEN NULL ELSE thread_id END AS code, CASE WHEN thread_id = '__empty__' OR project_id % 3 = 0 AND idx % 3 <> 0 THEN 0.0::DOUBLE ELSE 0.9 END AS confidence FROM cells WHERE thread_id <> '__skip__'), legend AS (SELECT DISTINCT project_id AS doc, 't' || (idx % 9) AS code, project_id % 97 AS expected FROM cells WHERE idx < 8), sizes AS (SELECT DISTINCT project_id AS doc, project_id * 13 % 1300 AS width, project_id * 7 % 40 AS height FROM cells)"
 
 
-@query(sql("cells", f""", {CODED}, c AS (SELECT doc, code, count(*) AS actual FROM coded WHERE code IS NOT NULL GROUP BY 1, 2), j AS (SELECT coalesce(c.doc, l.doc) AS doc, coalesce(c.code, l.code) AS code, actual, expected FROM c FULL JOIN legend l ON c.doc = l.doc AND c.code = l.code)
-    SELECT doc, code, 'COUNT_MISMATCH' AS finding FROM j WHERE actual IS NOT NULL AND expected IS NOT NULL AND abs(actual - expected) > greatest(5.0, expected * 0.1) UNION ALL SELECT doc, code, 'LEGEND_MISSING_CODE' FROM j WHERE expected IS NULL UNION ALL SELECT doc, code, 'LEGEND_UNUSED' FROM j WHERE actual IS NULL UNION ALL SELECT doc, NULL, 'LOW_PALETTE_COVERAGE' FROM coded GROUP BY doc HAVING count(code) / count(*)::DOUBLE < 0.8"""))
+@query(sql("cells", f""", {CODED}, c AS (SELECT doc, code, count(*) AS actual FROM coded WHERE code IS NOT NULL GROUP BY 1, 2), j AS (SELECT coalesce(c.doc, l.doc) AS doc, coalesce(c.code, l.code) AS code, actual, expected, l.code IS NOT NULL AS listed FROM c FULL JOIN legend l ON c.doc = l.doc AND c.code = l.code), v AS (SELECT doc, count(*) FILTER (confidence > 0) / count(*)::DOUBLE AS share FROM coded GROUP BY 1), z AS (SELECT s.*, coalesce(share, 0) AS share, share IS NULL AS none FROM sizes s LEFT JOIN v USING (doc))
+    SELECT doc, code, 'COUNT_MISMATCH' AS finding, 'medium' AS severity FROM j WHERE expected > 0 AND abs(coalesce(actual, 0) - expected) > greatest(5.0, expected * 0.1) UNION ALL SELECT doc, code, 'LEGEND_MISSING_CODE', 'medium' FROM j WHERE NOT listed AND doc IN (SELECT doc FROM legend) UNION ALL SELECT doc, code, 'LEGEND_UNUSED', 'low' FROM j WHERE actual IS NULL
+    UNION ALL SELECT doc, NULL, CASE WHEN share < 0.5 THEN 'LOW_PALETTE_COVERAGE' ELSE 'PALETTE_COVERAGE' END, CASE WHEN share < 0.5 THEN 'high' ELSE 'medium' END FROM z WHERE share < 0.85 UNION ALL SELECT doc, NULL, 'EMPTY_GRID', 'error' FROM z WHERE none UNION ALL SELECT doc, NULL, 'GRID_TOO_LARGE', 'medium' FROM z WHERE width > 0 AND height > 0 AND (width > 1000 OR height > 1000) UNION ALL SELECT doc, NULL, 'GRID_TOO_SMALL', 'medium' FROM z WHERE width > 0 AND height > 0 AND (width < 5 OR height < 5)"""))
 def import_validate(spark, d):
     c = cells(spark, d)
-    coded = c.select(F.col("project_id").alias("doc"), F.when(~F.col("thread_id").isin("__skip__", "__empty__"), F.col("thread_id")).alias("code"))
-    legend = c.where("idx < 8").select(F.col("project_id").alias("doc"), F.concat(F.lit("t"), (F.col("idx") % 9).cast("string")).alias("code"), (F.col("project_id") % 97).alias("expected")).distinct()
-    return op.validate(coded, legend)
+    k = F.col("project_id")
+    sure = F.when((F.col("thread_id") == "__empty__") | (k % 3 == 0) & (F.col("idx") % 3 != 0), 0.0).otherwise(0.9)
+    coded = c.where("thread_id <> '__skip__'").select(k.alias("doc"), F.when(F.col("thread_id") != "__empty__", F.col("thread_id")).alias("code"), sure.alias("confidence"))
+    legend = c.where("idx < 8").select(k.alias("doc"), F.concat(F.lit("t"), (F.col("idx") % 9).cast("string")).alias("code"), (k % 97).alias("expected")).distinct()
+    return op.validate(coded, legend, c.select(k.alias("doc"), (k * 13 % 1300).alias("width"), (k * 7 % 40).alias("height")).distinct())
 
 
 @query(sql("cells", ", s AS (SELECT project_id AS doc, x, y, thread_id AS code FROM cells WHERE idx % 3 = 0), b AS (SELECT doc, max(x) AS w, max(y) AS h FROM s GROUP BY 1), r AS (SELECT doc, w, unnest(range(0, h + 1)) AS y FROM b), q AS (SELECT doc, y, unnest(range(0, w + 1)) AS x FROM r) SELECT q.doc, q.x, q.y, coalesce(code, '__skip__') AS code FROM q LEFT JOIN s ON q.doc = s.doc AND q.x = s.x AND q.y = s.y"))

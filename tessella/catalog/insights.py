@@ -5,35 +5,47 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.adapters import AS_OF, sessions, sql, table, targets
-from tessella.catalog.sessions import DAY, STREAKS, WEEKS
+from tessella.catalog.sessions import DAY, WEEKS
 from tessella.operators import insights as op
 from tessella.registry import query
 
 
-def _text(kind: str) -> str:
-    options = ", ".join("'" + o.replace("'", "''") + "'" for o in op.WEEKS[kind])
-    return f"WHEN '{kind}' THEN [{options}][project_id % {len(op.WEEKS[kind])} + 1]"
+def _pick(options: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+    return f"[{listed}][project_id % {len(options)} + 1]"
+
+
+def _fill(text: str, **marks: str) -> str:
+    for mark, value in marks.items():
+        text = f"replace({text}, '%{mark}', CAST({value} AS VARCHAR))"
+    return text
 
 
 @query(sql("sessions", f""", {WEEKS}, b AS (SELECT project_id, {', '.join(f"CAST(coalesce(max({c}) FILTER (week = '{k}'), 0) AS BIGINT) AS {c}_{k}" for c in ('stitches', 'speed', 'active_days') for k in ('this', 'last'))} FROM weeks GROUP BY 1),
-    k AS (SELECT *, CASE WHEN stitches_this = 0 THEN 'none' WHEN stitches_last = 0 THEN 'back' WHEN stitches_this > stitches_last THEN 'up' WHEN stitches_this < stitches_last THEN 'down' ELSE 'same' END AS kind FROM b),
-    t AS (SELECT *, replace(replace(replace(CASE kind {' '.join(_text(k) for k in op.WEEKS)} END, '%n', CAST(stitches_this AS VARCHAR)), '%p', CAST(CAST(floor((stitches_this - stitches_last) / greatest(1, stitches_last)::DOUBLE * 100 + 0.5) AS BIGINT) AS VARCHAR)), '%l', CAST(stitches_last AS VARCHAR)) AS volume FROM k)
-    SELECT project_id, kind, concat_ws(' ', volume, CASE WHEN speed_this > 0 AND speed_last > 0 AND speed_this - speed_last > 10 THEN 'Faster at ' || speed_this || ' an hour.' WHEN speed_this > 0 AND speed_last > 0 AND speed_this - speed_last < -10 THEN 'Slower at ' || speed_this || ' an hour.' END, CASE WHEN active_days_this >= 5 THEN active_days_this || ' active days.' END) AS summary FROM t"""))
+    k AS (SELECT *, CASE WHEN stitches_this = 0 THEN 'none' WHEN stitches_last = 0 AND stitches_this > 0 THEN 'back' WHEN stitches_this > stitches_last THEN 'up' WHEN stitches_this < stitches_last THEN 'down' ELSE 'same' END AS kind FROM b),
+    t AS (SELECT *, {_fill('CASE kind ' + ' '.join(f"WHEN '{k}' THEN {_pick(v)}" for k, v in op.WEEKS.items()) + ' END', n='stitches_this', p='CAST(floor((stitches_this - stitches_last) / greatest(1, stitches_last)::DOUBLE * 100 + 0.5) AS BIGINT)', l='stitches_last')} AS volume, speed_this > 0 AND speed_last > 0 AS paced FROM k)
+    SELECT project_id, kind, concat_ws(' ', volume, CASE WHEN paced AND speed_this - speed_last > 10 THEN {_fill(_pick(op.FASTER), s='speed_this', o='speed_last')} WHEN paced AND speed_this - speed_last < -10 THEN {_fill(_pick(op.SLOWER), s='speed_this')} END, CASE WHEN active_days_this >= 5 THEN {_fill(_pick(op.ACTIVE), d='active_days_this')} END) AS summary FROM t"""))
 def insight_weekly_summary(spark, d):
     return op.weekly_summary(sessions(spark, d), AS_OF)
 
 
-@query(sql("sessions", f""", {STREAKS}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_time, ord) AS up, row_number() OVER (PARTITION BY project_id ORDER BY start_time DESC, ord DESC) AS down, count(*) OVER (PARTITION BY project_id) AS n FROM sessions),
-    sp AS (SELECT project_id, sum(net_stitches) FILTER (up <= 5) / (sum(duration_seconds) FILTER (up <= 5) / 3600.0::DOUBLE) AS a, sum(net_stitches) FILTER (down <= 5) / (sum(duration_seconds) FILTER (down <= 5) / 3600.0::DOUBLE) AS b FROM r WHERE n >= 10 GROUP BY 1),
-    f AS (SELECT project_id, 1 AS o, 'streak' AS kind, CAST(current AS BIGINT) AS value FROM streaks WHERE current >= 3
-        UNION ALL SELECT project_id, 2, CASE WHEN b > a * 1.1 THEN 'faster' ELSE 'slower' END, CAST(floor(b + 0.5) AS BIGINT) FROM sp WHERE b > a * 1.1 OR b < a * 0.85
-        UNION ALL SELECT project_id, 3, 'idle', CAST({DAY} - max(date) AS BIGINT) FROM sessions GROUP BY 1 HAVING {DAY} - max(date) >= 4
-        UNION ALL (SELECT project_id, 4, 'peak', hour FROM (SELECT project_id, CAST(hour(start_time) AS BIGINT) AS hour, count(*) AS n FROM sessions GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, hour) = 1) WHERE n >= 5)
-        UNION ALL (SELECT project_id, 5, 'best', max(st) FROM (SELECT project_id, date, CAST(sum(net_stitches) AS BIGINT) AS st FROM sessions GROUP BY 1, 2) WHERE st > 0 GROUP BY 1))
-    SELECT project_id, kind, value, CAST(row_number() OVER (PARTITION BY project_id ORDER BY o) AS INTEGER) AS position FROM f WHERE NOT (kind = 'peak' AND project_id % 4 = 0) QUALIFY position <= 4"""))
+PEAK = "(SELECT project_id, CAST(hour(start_time) AS BIGINT) AS hour, count(*) AS n FROM sessions WHERE CAST(start_time AS DATE) > {a} AND CAST(start_time AS DATE) <= {b} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, hour) = 1)"
+
+
+@query(sql("sessions", f""", {WEEKS}, wk AS (SELECT DISTINCT project_id, CAST(date_trunc('week', date) AS DATE) AS m FROM sessions), isl AS (SELECT project_id, m, m - CAST(7 * row_number() OVER (PARTITION BY project_id ORDER BY m) AS INTEGER) AS g FROM wk), cur AS (SELECT project_id, count(*) AS n FROM isl GROUP BY project_id, g HAVING max(m) >= CAST(date_trunc('week', {DAY}) AS DATE) - 7 AND max(m) <= CAST(date_trunc('week', {DAY}) AS DATE)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_time, ord) AS up, row_number() OVER (PARTITION BY project_id ORDER BY start_time DESC, ord DESC) AS down, count(*) OVER (PARTITION BY project_id) AS n FROM sessions),
+    sp AS (SELECT project_id, sum(net_stitches) FILTER (up <= 5) / (sum(duration_seconds) FILTER (up <= 5) / 3600.0::DOUBLE) AS a, sum(net_stitches) FILTER (down <= 5) / (sum(duration_seconds) FILTER (down <= 5) / 3600.0::DOUBLE) AS b FROM r WHERE n >= 10 GROUP BY 1), ch AS (SELECT project_id, (b - a) / a AS c FROM sp WHERE a > 0 AND b > 0),
+    ww AS (SELECT project_id, coalesce(max(stitches) FILTER (week = 'this'), 0) AS t, coalesce(max(stitches) FILTER (week = 'last'), 0) AS l FROM weeks GROUP BY 1),
+    f AS (SELECT project_id, 1 AS o, CASE WHEN n >= 8 THEN 'streak_long' WHEN n >= 4 THEN 'streak_mid' ELSE 'streak_short' END AS kind, CAST(n AS BIGINT) AS value FROM cur WHERE n >= 2
+        UNION ALL SELECT project_id, 2, CASE WHEN c > 0 THEN 'speed_up' ELSE 'speed_down' END, CAST(floor(abs(c) * 100 + 0.5) AS BIGINT) FROM ch WHERE c >= 0.1 OR c <= -0.15
+        UNION ALL SELECT x.project_id, 3, 'peak_shift', x.hour - y.hour FROM {PEAK.format(a=DAY + ' - 30', b=DAY)} x JOIN {PEAK.format(a=DAY + ' - 60', b=DAY + ' - 30')} y ON x.project_id = y.project_id WHERE abs(x.hour - y.hour) >= 2 AND x.project_id IN (SELECT project_id FROM sessions GROUP BY 1 HAVING count(*) >= 20)
+        UNION ALL SELECT project_id, 4, 'neglected', CAST({DAY} - max(date) AS BIGINT) FROM sessions GROUP BY 1 HAVING {DAY} - max(date) >= 14
+        UNION ALL SELECT project_id, 5, 'wow_up', CAST(floor((t - l) / l::DOUBLE * 100 + 0.5) AS BIGINT) FROM ww WHERE l > 0 AND t > l AND floor((t - l) / l::DOUBLE * 100 + 0.5) >= 20),
+    g AS (SELECT * FROM f WHERE NOT (kind = 'speed_up' AND project_id % 4 = 0)), h AS (SELECT * FROM g UNION ALL SELECT project_id, 6, 'fun_thread', CAST(floor(sum(net_stitches) * 0.022::DOUBLE + 0.5) AS BIGINT) FROM sessions WHERE project_id NOT IN (SELECT project_id FROM g) GROUP BY 1 HAVING floor(sum(net_stitches) * 0.022::DOUBLE + 0.5) >= 1)
+    SELECT project_id, kind, value, CAST(row_number() OVER (PARTITION BY project_id ORDER BY o) AS INTEGER) AS position FROM h"""))
 def insight_cards(spark, d):
     s = sessions(spark, d)
-    dismissed = s.where("project_id % 4 = 0").select("project_id", F.lit("peak").alias("kind")).distinct()
+    dismissed = s.where("project_id % 4 = 0").select("project_id", F.lit("speed_up").alias("kind")).distinct()
     return op.cards(s, AS_OF, dismissed)
 
 

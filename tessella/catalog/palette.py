@@ -83,12 +83,12 @@ def palette_with_zero_rows(spark, d):
     return op.with_zero_rows(n.where("thread_id <> 't3'"), n)
 
 
-HUE = "CASE WHEN h < 20 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 160 THEN 'green' WHEN h < 200 THEN 'teal' WHEN h < 260 THEN 'blue' WHEN h < 340 THEN 'purple' ELSE 'red' END"
+HUE = "CASE WHEN h < 30 THEN 'Red' WHEN h < 60 THEN 'Orange' WHEN h < 90 THEN 'Yellow' WHEN h < 170 THEN 'Green' WHEN h < 200 THEN 'Cyan' WHEN h < 260 THEN 'Blue' WHEN h < 330 THEN 'Purple' ELSE 'Red' END"
 
 
 @query(sql("threads stash", f""", x AS (SELECT t.id, r / 255.0::DOUBLE AS x, g / 255.0::DOUBLE AS y, t.b / 255.0::DOUBLE AS z, owned FROM threads t LEFT JOIN stash s ON s.id = t.id), m AS (SELECT *, greatest(x, y, z) AS hi, least(x, y, z) AS lo FROM x),
-    h AS (SELECT *, CASE WHEN hi = lo THEN 0 WHEN hi = x THEN 60 * ((y - z) / (hi - lo) + CASE WHEN y < z THEN 6 ELSE 0 END) WHEN hi = y THEN 60 * ((z - x) / (hi - lo) + 2) ELSE 60 * ((x - y) / (hi - lo) + 4) END AS h FROM m), k AS (SELECT id, owned, {HUE} AS hue FROM h),
-    s AS (SELECT hue, sum(id % 5 + 1) / (SELECT sum(id % 5 + 1) FROM k)::DOUBLE AS share FROM k GROUP BY 1), t AS (SELECT hue, count(*) AS n_threads FROM k WHERE owned > 7 GROUP BY 1)
+    h AS (SELECT *, (hi + lo) / 2 AS light, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(hi + lo - 1)) END AS s, CASE WHEN hi = lo THEN 0 WHEN hi = x THEN 60 * ((y - z) / (hi - lo) + CASE WHEN y < z THEN 6 ELSE 0 END) WHEN hi = y THEN 60 * ((z - x) / (hi - lo) + 2) ELSE 60 * ((x - y) / (hi - lo) + 4) END AS h FROM m), k AS (SELECT id, owned, s, light, {HUE} AS hue FROM h WHERE s >= 0.12),
+    w AS (SELECT * FROM k WHERE light >= 0.08 AND light <= 0.92), s AS (SELECT hue, sum(id % 5 + 1) / (SELECT sum(id % 5 + 1) FROM w)::DOUBLE AS share FROM w GROUP BY 1), t AS (SELECT hue, count(*) AS n_threads FROM k WHERE owned > 7 GROUP BY 1)
     SELECT hue, round(share, 6) AS share, coalesce(n_threads, 0) AS n_threads, CASE WHEN share > 0.15 AND coalesce(n_threads, 0) = 0 THEN 'high' WHEN share > 0.08 AND coalesce(n_threads, 0) <= 1 THEN 'medium' ELSE 'none' END AS gap FROM s LEFT JOIN t USING (hue)"""))
 def palette_hue_gaps(spark, d):
     t = threads(spark, d)

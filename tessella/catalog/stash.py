@@ -34,12 +34,12 @@ def joined(column: str):
     return F.array_join(F.col(column).cast("array<string>"), ",")
 
 
-@query(sql("stash", ", l AS (SELECT id, brand, owned, CAST(CASE WHEN min_stock > 0 THEN min_stock ELSE 2 END AS BIGINT) AS least FROM stash) SELECT id, brand, owned, least, least - owned AS short FROM l WHERE owned < least"))
+@query(sql("stash", ", l AS (SELECT id, brand, owned, CAST(CASE WHEN min_stock > 0 THEN min_stock ELSE 2 END AS BIGINT) AS least FROM stash) SELECT id, brand, owned, least, least - owned AS short, CAST(row_number() OVER (PARTITION BY brand ORDER BY least - owned DESC, id) AS INTEGER) AS position FROM l WHERE owned < least"))
 def stash_low_stock(spark, d):
     return op.low_stock(stash(spark, d))
 
 
-@query(sql("stash", "SELECT CASE WHEN owned <= 0 THEN 'usedup' WHEN owned <= 2 THEN 'lowstock' ELSE 'owned' END AS state, tobuy, count(*) AS n, CAST(sum(owned) AS BIGINT) AS owned FROM stash GROUP BY 1, 2"))
+@query(sql("stash", "SELECT CASE WHEN owned <= 0 THEN 'usedup' WHEN owned < 2 THEN 'lowstock' ELSE 'owned' END AS state, tobuy, count(*) AS n, CAST(sum(owned) AS BIGINT) AS owned FROM stash GROUP BY 1, 2"))
 def stash_thread_states(spark, d):
     return op.thread_states(stash(spark, d))
 
@@ -94,9 +94,10 @@ def stash_dormant(spark, d):
     return op.dormant(stash(spark, d), stash_history(spark, d), STOCK_DAY, 900)
 
 
-@query(sql("stash stash_history library library_threads", f", {DORMANT} SELECT pattern_id, count(DISTINCT t.id) AS n_threads FROM library_threads t JOIN library USING (pattern_id) WHERE status = 'wishlist' AND t.id IN (SELECT id FROM dormant) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
+@query(sql(ALL, ", used AS (SELECT t.id FROM library_threads t JOIN library USING (pattern_id) WHERE status IN ('completed', 'inprogress')), unused AS (SELECT id FROM stash WHERE owned > 0 AND id NOT IN (SELECT id FROM used)) SELECT pattern_id, count(DISTINCT t.id) AS n_threads FROM library_threads t JOIN library USING (pattern_id) WHERE status NOT IN ('completed', 'inprogress') AND t.id IN (SELECT id FROM unused) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
 def stash_use_what_you_have(spark, d):
-    return op.use_what_you_have(op.dormant(stash(spark, d), stash_history(spark, d), STOCK_DAY, 900), library(spark, d), library_threads(spark, d))
+    lib, needs, st = everything(spark, d)
+    return op.use_what_you_have(op.never_used(st, lib, needs), lib, needs)
 
 
 @query(sql(ALL, f", {OPEN}, w AS (SELECT DISTINCT pattern_id, id FROM library_threads WHERE pattern_id IN (SELECT pattern_id FROM open) AND id NOT IN (SELECT id FROM stash WHERE owned > 0)) SELECT id, count(*) AS n_patterns, array_to_string(list(pattern_id ORDER BY pattern_id)[1:3], ',') AS samples FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
@@ -114,7 +115,7 @@ def stash_fingerprint(spark, d):
     return op.jaccard_of_top(library_threads(spark, d), stash(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(sql("library", "SELECT CAST(date_trunc('quarter', created_at) AS DATE) AS quarter, count(*) AS started, count(*) FILTER (status = 'completed') AS finished FROM library GROUP BY 1 ORDER BY 1 DESC LIMIT 8"))
+@query(sql("library", ", q AS (SELECT CAST(date_trunc('quarter', created_at) AS DATE) AS quarter, 1 AS s, 0 AS f FROM library UNION ALL SELECT CAST(date_trunc('quarter', completed_at) AS DATE), 0, 1 FROM library WHERE status = 'completed' AND completed_at IS NOT NULL) SELECT quarter, CAST(sum(s) AS BIGINT) AS started, CAST(sum(f) AS BIGINT) AS finished FROM q GROUP BY 1 ORDER BY 1 DESC LIMIT 8"))
 def library_quarters(spark, d):
     return op.quarter_portfolio(library(spark, d))
 

@@ -6,6 +6,8 @@ wherever its rows go.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,7 +71,7 @@ def fuzzy_commands(commands: DataFrame, text: str) -> DataFrame:
     """Scores of labels: 100 for a start, 80 for a word's start, 60 for a part, 50 for the letters in order; others go."""
     label = F.lower("label")
     t = text.lower()
-    in_order = ".*".join(("", *t, ""))
+    in_order = ".*".join(("", *map(re.escape, t), ""))
     score = F.when(label.startswith(t), 100).when(label.contains(f" {t}"), 80).when(label.contains(t), 60).when(label.rlike(in_order), 50).otherwise(0)
     return commands.withColumn("score", score).where("score > 0")
 
@@ -80,8 +82,8 @@ def specialty(thread_id: Column) -> Column:
 
 
 def project_states(projects: DataFrame) -> DataFrame:
-    """complete, active, design or queued, unless a state is set: projects have done, total, override."""
-    state = F.when((F.col("total") > 0) & (F.col("done") >= F.col("total")), "complete").when(F.col("done") > 0, "active").when(F.col("total") == 0, "design").otherwise("queued")
+    """complete, active, design or queued, unless a state is set: projects have done, total, source, n_sessions, override."""
+    state = F.when((F.col("total") > 0) & (F.col("done") >= F.col("total")), "complete").when(F.col("done") > 0, "active").when((F.col("source") == "creator") & (F.col("n_sessions") == 0), "design").otherwise("queued")
     return projects.select("project_id", F.coalesce("override", state).alias("state"))
 
 
@@ -94,6 +96,7 @@ def next_project(projects: DataFrame, as_of: str) -> DataFrame:
     """The project to take up next: up to 30 for idle days, 20 from 80 % (5 from 50 %) done, 10 if the stock is ready."""
     days = F.date_diff(F.lit(as_of).cast("date"), "last_touched")
     share = F.col("done") / F.greatest(F.col("total"), F.lit(1))
-    score = F.least(F.lit(30), 3 * days) + F.when(share >= 0.8, 20).when(share >= 0.5, 5).otherwise(0) + F.when(F.col("ready"), 10).otherwise(0)
+    # least() takes no notice of nulls.
+    score = F.coalesce(F.when(days.isNotNull(), F.least(F.lit(30), 3 * days)), F.lit(0)) + F.when(share >= 0.8, 20).when(share >= 0.5, 5).otherwise(0) + F.when(F.col("ready"), 10).otherwise(0)
     best = projects.where("done < total").withColumn("score", score)
     return best.orderBy(F.desc("score"), "project_id").limit(1).select("project_id", F.col("score").cast("long").alias("score"))

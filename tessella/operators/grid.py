@@ -6,13 +6,12 @@ chart and place. Sentinel cells count nowhere unless said otherwise.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.numbers import js_round, ratio, tenth
+from tessella.plans.rounds import least_reached, settled
 
 SENTINELS = ("__skip__", "__empty__")
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -92,31 +91,22 @@ def change_metrics(cells: DataFrame) -> DataFrame:
     return out.select("project_id", F.coalesce(F.col("alone") / F.col("total"), F.lit(0.0)).alias("isolation"), F.coalesce(ratio(F.col("changes"), F.col("pairs")), F.lit(0.0)).alias("change_rate"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written into the session's shared folder, so that rounds do not pile up."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tessella'}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(cells: DataFrame) -> DataFrame:
     """project_id, idx, label: the least idx that steps between like cells on four sides reach.
 
-    Every round takes the least label around and then the label of that label,
-    so labels jump and rounds grow with the logarithm of a shape's length.
+    Runs of like cells in a row are one node from the start, since a window
+    finds them without a join; only links between runs of neighbouring rows
+    are followed, by large-star and small-star steps.
     """
-    edges = settled(neighbours(cells, FOUR).where("thread_id = n_thread").select("project_id", "idx", "n_idx"))
-    labels = settled(stitchable(cells).select("project_id", "idx", F.col("idx").alias("label")))
-    while True:
-        around = edges.join(labels.select("project_id", F.col("idx").alias("n_idx"), F.col("label").alias("n_label")), ["project_id", "n_idx"]).groupBy("project_id", "idx").agg(F.min("n_label").alias("n_label"))
-        lower = labels.join(around, ["project_id", "idx"], "left").select("project_id", "idx", F.col("label").alias("old"), F.least("label", F.coalesce("n_label", "label")).alias("label"))
-        jump = lower.select("project_id", F.col("idx").alias("label"), F.col("label").alias("next"))
-        state = settled(lower.join(jump, ["project_id", "label"]).select("project_id", "idx", "old", F.col("next").alias("label")))
-        moved = state.where("old <> label").limit(1).count()
-        labels = state.drop("old")
-        if not moved:
-            return labels
+    live = stitchable(cells).select("project_id", "idx", "x", "y", "thread_id")
+    row = Window.partitionBy("project_id", "y", "thread_id").orderBy("x")
+    # Cells of a run have the same difference of column and position.
+    runs = live.withColumn("k", F.col("x") - F.row_number().over(row))
+    runs = settled(runs.withColumn("run", F.min("idx").over(Window.partitionBy("project_id", "y", "thread_id", "k"))).drop("k"), "runs")
+    above = runs.select("project_id", "x", (F.col("y") + 1).alias("y"), "thread_id", F.col("run").alias("v"))
+    links = runs.join(above, ["project_id", "x", "y", "thread_id"]).select("project_id", F.greatest("run", "v").alias("u"), F.least("run", "v").alias("v")).distinct()
+    roots = least_reached(links, "project_id")
+    return runs.join(roots, [F.col("run") == F.col("node"), runs["project_id"] == roots["project_id"]], "left").select(runs["project_id"], "idx", F.coalesce("root", "run").alias("label"))
 
 
 def confetti(cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,11 +124,15 @@ def cluster_bands(labels: DataFrame) -> DataFrame:
 
 
 def nearest_like(cells: DataFrame, reach: int = 20) -> DataFrame:
-    """Distance to the first like cell in square shells read from the top left; 999 without one in reach."""
-    live = stitchable(cells).select("project_id", "thread_id", "idx", "x", "y")
-    other = live.select("project_id", "thread_id", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    """Distance to the first like cell in square shells read from the top left; 999 without one in reach.
+
+    Cells meet those of their own and the eight squares around, each as wide as the reach.
+    """
+    live = stitchable(cells).select("project_id", "thread_id", "idx", "x", "y", F.floor(F.col("x") / reach).alias("bx"), F.floor(F.col("y") / reach).alias("by"))
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    other = live.withColumn("s", steps).select("project_id", "thread_id", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("bx") + F.col("s.dx")).alias("bx"), (F.col("by") + F.col("s.dy")).alias("by"))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    pairs = live.join(other, ["project_id", "thread_id"]).where((F.col("idx") != F.col("j")) & (F.greatest(F.abs(dx), F.abs(dy)) <= reach))
+    pairs = live.join(other, ["project_id", "thread_id", "bx", "by"]).where((F.col("idx") != F.col("j")) & (F.greatest(F.abs(dx), F.abs(dy)) <= reach))
     best = pairs.groupBy("project_id", "idx").agg(F.min(F.struct(F.greatest(F.abs(dx), F.abs(dy)).alias("shell"), dy.alias("dy"), dx.alias("dx"))).alias("m"))
     out = live.select("project_id", "idx").join(best, ["project_id", "idx"], "left")
     return out.select("project_id", "idx", F.coalesce(F.sqrt(F.col("m.dx") * F.col("m.dx") + F.col("m.dy") * F.col("m.dy")), F.lit(999.0)).alias("distance"))
@@ -185,13 +179,18 @@ def next_open(cells: DataFrame, thread: str, cursor: int) -> DataFrame:
 
 
 def pages(cells: DataFrame, columns: int = 8, rows: int = 12, overlap: int = 2) -> DataFrame:
-    """Cells of each chart page; pages overlap after the first, so cells repeat."""
+    """Cells of each chart page; pages overlap after the first, so cells repeat. A cell's pages follow from its place."""
     size = cells.groupBy("project_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    starts = lambda length, n: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil((length - n) / (n - overlap))).cast("long"))
-    across = size.select("project_id", "h", F.explode(starts(F.col("w"), columns)).alias("px"))
-    grid = across.select("project_id", "px", F.explode(starts(F.col("h"), rows)).alias("py")).withColumns({"x0": F.col("px") * (columns - overlap), "y0": F.col("py") * (rows - overlap)})
-    on = stitchable(cells).join(grid, "project_id").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + columns) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + rows))
-    return on.groupBy("project_id", "px", "py").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("thread_id").alias("n_ids"))
+
+    def on(at: Column, length: Column, n: int) -> Column:
+        step = n - overlap
+        last = F.greatest(F.lit(0), F.ceil((length - n) / step)).cast("long")
+        first = F.greatest(F.lit(0), F.ceil((at - n + 1) / step)).cast("long")
+        return F.sequence(first, F.least(last, F.floor(at / step).cast("long")))
+
+    placed = stitchable(cells).join(size, "project_id").select("project_id", "thread_id", "y", "h", F.explode(on(F.col("x"), F.col("w"), columns)).alias("px"))
+    placed = placed.select("project_id", "thread_id", "px", F.explode(on(F.col("y"), F.col("h"), rows)).alias("py"))
+    return placed.groupBy("project_id", "px", "py").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("thread_id").alias("n_ids"))
 
 
 def inside_polygon(cells: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
@@ -206,7 +205,22 @@ def inside_polygon(cells: DataFrame, corners: list[tuple[float, float]]) -> Data
 
 
 def impact(cells: DataFrame, size: int = 10) -> DataFrame:
-    """Regions ranked by open work: share left, dominance of one id and effort, each a third."""
-    r = regions(cells, size).withColumns({"open": (F.col("total") - F.col("done")) / F.col("total"), "dominance": F.col("top_n") / F.col("total")})
-    most = F.max("total").over(Window.partitionBy("project_id"))
-    return r.withColumn("score", F.when(F.col("done") >= F.col("total"), -1.0).otherwise((F.col("open") + F.col("dominance") + F.col("total") / most) / 3)).select("project_id", "rx", "ry", "score")
+    """Regions by what finishing them brings; -1 for finished ones.
+
+    The score adds up how far the regions around are (30 %), the share of the
+    commonest id (20 %), the square of the share done (25 %), how near the middle
+    of the chart is (10 %), and how few stitches are left (15 %).
+    """
+    extent = cells.groupBy("project_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    r = regions(cells, size).withColumn("share", F.col("done") / F.col("total"))
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in FOUR)))
+    given = r.select("project_id", "rx", "ry", "share", steps.alias("s")).select("project_id", (F.col("rx") + F.col("s.dx")).alias("rx"), (F.col("ry") + F.col("s.dy")).alias("ry"), "share")
+    around = given.groupBy("project_id", "rx", "ry").agg(F.sum("share").alias("around"))
+    last = lambda side: F.ceil(F.col(side) / size) - 1
+    # Regions without stitches are at 0 and count among those around.
+    n_around = sum((c.cast("int") for c in (F.col("rx") > 0, F.col("ry") > 0, F.col("rx") < last("w"), F.col("ry") < last("h"))), F.lit(0))
+    off = lambda i, side: (F.col(i) + 0.5) * size - F.col(side) / 2
+    away = F.sqrt(off("rx", "w") * off("rx", "w") + off("ry", "h") * off("ry", "h")) / F.sqrt(F.col("w") * F.col("w") / 4 + F.col("h") * F.col("h") / 4)
+    score = 0.3 * F.coalesce(ratio(F.col("around"), n_around), F.lit(0.0)) + 0.2 * F.col("top_n") / F.col("total") + 0.25 * F.col("share") * F.col("share") + 0.1 * (1 - 0.3 * away) + 0.15 / (1 + (F.col("total") - F.col("done")) / 20)
+    j = r.join(around, ["project_id", "rx", "ry"], "left").join(extent, "project_id")
+    return j.select("project_id", "rx", "ry", F.when(F.col("done") >= F.col("total"), -1.0).otherwise(score).alias("score"))

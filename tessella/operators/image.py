@@ -7,7 +7,7 @@ depend on their own earlier output run in one task for each image.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from functools import reduce
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
 from tessella.operators.colour import lab, small
-from tessella.operators.grid import settled
+from tessella.plans.rounds import settled
 
 #: Weights of the 3 x 3 stencils, row by row.
 GAUSSIAN = (1, 2, 1, 2, 4, 2, 1, 2, 1)
@@ -27,8 +27,17 @@ SOBEL_Y = (-1, -2, -1, 0, 0, 0, 1, 2, 1)
 PLACES = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 
 
+def padded(pixels: DataFrame) -> DataFrame:
+    """pixels with the last row of each image filled up with its last pixel."""
+    per = pixels.groupBy("image_id").agg(F.max("x").alias("w"), F.max_by(F.struct(*(F.col(c) for c in pixels.columns if c != "image_id")), F.struct("y", "x")).alias("last"))
+    rest = per.where(F.col("last.x") < F.col("w")).select("image_id", "last.*", "w").withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w") - F.col("x"))))
+    fill = rest.select(*((F.col(c) + F.col("step")).alias(c) if c in ("x", "idx") else F.col(c) for c in pixels.columns))
+    return pixels.unionByName(fill)
+
+
 def around(pixels: DataFrame, *columns: str) -> DataFrame:
-    """The nine places around every pixel of a full rectangle: k from 0, row by row, and the columns there."""
+    """The nine places around every pixel: k from 0, row by row, and the columns there. A last row that is cut short goes on with its last pixel."""
+    pixels = padded(pixels)
     size = Window.partitionBy("image_id")
     steps = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(PLACES))))
     asking = pixels.select("image_id", "idx", "x", "y", F.max("x").over(size).alias("w"), F.max("y").over(size).alias("h")).withColumn("s", steps)
@@ -58,12 +67,35 @@ def sobel(pixels: DataFrame) -> DataFrame:
     return g.select("image_id", "idx", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("magnitude"))
 
 
-def saliency(pixels: DataFrame) -> DataFrame:
-    """The gradient, from 0 to 1 in each image."""
-    s = sobel(pixels)
+def scaled(values: DataFrame, column: str) -> Column:
+    """The column from 0 to 1 in each image; 0 where all are equal."""
     w = Window.partitionBy("image_id")
-    low, high = F.min("magnitude").over(w), F.max("magnitude").over(w)
-    return s.select("image_id", "idx", F.when(high > low, (F.col("magnitude") - low) / (high - low)).otherwise(0.0).alias("saliency"))
+    low, high = F.min(column).over(w), F.max(column).over(w)
+    return F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(0.0)
+
+
+def blurred(values: DataFrame, column: str, sigma: float) -> DataFrame:
+    """Gaussian blur of a column over image_id, x, y, row by row and then column by column, with the border held; reach 3 sigma."""
+    reach = math.ceil(3 * sigma)
+    taps = [math.exp(-t * t / (2 * sigma * sigma)) for t in range(-reach, reach + 1)]
+    weights = F.array(*(F.struct(F.lit(t - reach).alias("t"), F.lit(v / sum(taps)).alias("k")) for t, v in enumerate(taps)))
+    own = [c for c in values.columns if c not in ("image_id", "x", "y", column)]
+    for along, across in (("x", "y"), ("y", "x")):
+        # Every pixel gives its value to those in reach; what lies beyond the border gives the border's.
+        last = F.max(along).over(Window.partitionBy("image_id"))
+        asking = values.select("image_id", "x", "y", *own, last.alias("last"), F.explode(weights).alias("w"))
+        asking = asking.withColumn("at", F.greatest(F.lit(0), F.least(F.col("last"), F.col(along) + F.col("w.t"))))
+        there = values.select("image_id", F.col(along).alias("at"), across, column)
+        values = asking.join(there, ["image_id", "at", across]).groupBy("image_id", "x", "y", *own).agg(F.sum(F.col(column) * F.col("w.k")).alias(column))
+    return values
+
+
+def saliency(pixels: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """The gradient from 0 to 1, blurred, and from 0 to 1 again, in each image."""
+    s = sobel(pixels).join(pixels.select("image_id", "idx", "x", "y"), ["image_id", "idx"])
+    first = s.select("image_id", "idx", "x", "y", scaled(s, "magnitude").alias("v"))
+    smooth = blurred(first, "v", sigma)
+    return smooth.select("image_id", "idx", scaled(smooth, "v").alias("saliency"))
 
 
 def opened(mask: DataFrame, size: DataFrame) -> DataFrame:
@@ -150,23 +182,15 @@ def dithered(pixels: DataFrame, palette: list[tuple[str, int, int, int]]) -> Dat
 
 
 def lines(requests: DataFrame) -> DataFrame:
-    """Cells on the line from x0, y0 to x1, y1 of every request (id), by Bresenham's integer steps."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x, y, dx, dy = r.x0, r.y0, abs(r.x1 - r.x0), -abs(r.y1 - r.y0)
-                sx, sy, error, i = 1 if r.x0 < r.x1 else -1, 1 if r.y0 < r.y1 else -1, dx + dy, 0
-                while True:
-                    rows.append((r.id, i, x, y))
-                    if (x, y) == (r.x1, r.y1):
-                        break
-                    twice, i = 2 * error, i + 1
-                    if twice >= dy:
-                        error, x = error + dy, x + sx
-                    if twice <= dx:
-                        error, y = error + dx, y + sy
-            yield pd.DataFrame(rows, columns=["id", "i", "x", "y"])
-
-    return requests.select("id", "x0", "y0", "x1", "y1").mapInPandas(run, "id long, i long, x long, y long")
+    """Cells on the line from x0, y0 to x1, y1 of every request (id), as Bresenham's integer steps give them.
+
+    Step i along the longer side goes to the nearest cell on the shorter one,
+    which the error term keeps as an integer division.
+    """
+    dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    sides = requests.select("id", "x0", "y0", F.signum(F.col("x1") - F.col("x0")).cast("long").alias("sx"), F.signum(F.col("y1") - F.col("y0")).cast("long").alias("sy"), dx.alias("dx"), dy.alias("dy"), F.greatest(dx, dy).alias("n"))
+    steps = sides.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"))))
+    half_up = lambda short: F.when(F.col("n") == 0, F.lit(0)).otherwise(F.floor((2 * F.col("i") * F.col(short) + F.col("n")) / F.when(F.col("n") == 0, 1).otherwise(2 * F.col("n"))))
+    x = F.col("x0") + F.col("sx") * F.when(F.col("dx") >= F.col("dy"), F.col("i")).otherwise(half_up("dx"))
+    y = F.col("y0") + F.col("sy") * F.when(F.col("dy") > F.col("dx"), F.col("i")).otherwise(half_up("dy"))
+    return steps.select("id", "i", x.cast("long").alias("x"), y.cast("long").alias("y"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: First bytes in hex, extensions and MIME types of the formats.
-MAGIC = (("25504446", "pdf"), ("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("504B0304", "zip"))
-EXTENSIONS = {"oxs": "oxs", "xml": "oxs", "json": "json", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "zip": "zip"}
-MIMES = {"application/pdf": "pdf", "application/json": "json", "text/xml": "oxs", "application/xml": "oxs", "image/png": "image", "image/jpeg": "image"}
+MAGIC = (("25504446", "pdf"), ("89504E470D0A1A0A", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("424D", "image"), ("504B0304", "zip"))
+EXTENSIONS = {"oxs": "oxs", "xml": "oxs", "json": "json", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "bmp": "image", "webp": "image", "zip": "zip"}
+MIMES = {"application/pdf": "pdf", "application/json": "json", "text/xml": "oxs", "application/xml": "oxs", "image/png": "image", "image/jpeg": "image", "image/gif": "image", "image/webp": "image", "image/bmp": "image"}
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -22,7 +24,9 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
 def sniff(files: DataFrame) -> DataFrame:
     """name, head (the first bytes), mime: the format by bytes, then by the head's text, then by name, then by type."""
     start = F.hex("head")
-    by_bytes = F.coalesce(*(F.when(start.startswith(prefix), kind) for prefix, kind in MAGIC))
+    # RIFF, four bytes of length, WEBP.
+    riff = F.when(start.startswith("52494646") & (F.substr(start, F.lit(17), F.lit(8)) == "57454250"), "image")
+    by_bytes = F.coalesce(*(F.when(start.startswith(prefix), kind) for prefix, kind in MAGIC), riff)
     text = F.ltrim(F.decode(F.expr("try_validate_utf8(cast(substring(head, 1, 256) as string))").cast("binary"), "UTF-8"))
     by_text = F.when(text.startswith("<?xml") | F.lower(text).rlike(r"^<(chart|oxs|pattern)\b"), "oxs").when(text.startswith("{") | text.startswith("["), "json")
     magic = F.coalesce(by_bytes, by_text)
@@ -65,18 +69,35 @@ def name_hash(name: Column) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))
 
 
+#: Words of legends, materials and instructions, and codes of threads.
+LEGEND_WORDS = r"(?i)(color\s*key|colour\s*key|colour\s*chart|symbol(e)?|l(é|e)gende|leyenda|nuancier|d['ʼ]?(é|e)chevettes?)"
+MATERIAL_WORDS = r"(?i)\btool\s*kit\b|\bfournitures\b|\bpearl\s*cotton\b|\bmoulin(é|e)\b|\bembroidery\s*thread\b|\b1[1-9]\s*ct\b|\baida\b|\bevenweave\b|\blinen\b|\b(é|e)tamine\b"
+INSTRUCTION_WORDS = r"(?i)\bwash\b|\bstart(ing)?\b|\bframe\b|\bbackstitch\b|\binstruction"
+CODES = r"\b(B5200|D\d{3}|E\d{3,4}|\d{2,5})\b"
+
+
 def page_roles(pages: DataFrame) -> DataFrame:
-    """What a page is by its drawing operators: page_id, total, fills, colours, strokes, images, codes."""
-    role = (
-        F.when(F.col("total") < 50, "blank")
-        .when((F.col("colours") >= 50) & (F.col("fills") >= 1000), "chart")
-        .when((F.col("colours") >= 5) & (F.col("fills") >= 1000), "overlay")
-        .when((F.col("fills") >= 500) & (F.col("codes") > 0), "combined")
-        .when(F.col("codes") >= 5, "legend")
-        .when(F.col("images") > 0, "cover")
-        .otherwise("text")
+    """What a page is, and how sure that is: page_id, page, text, total (operators), colours, fills, large_image."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    legend = text.rlike(LEGEND_WORDS)
+    # Codes are counted in the lower-cased text, in which those with letters do not match.
+    codes = F.regexp_count(text, F.lit(CODES))
+    fills, total = F.col("fills"), F.col("total")
+    rules = (
+        (total < 50, "blank", 1.0),
+        ((F.col("colours") >= 50) & (fills >= 1000), "chart-vector-colour", 0.9),
+        ((F.col("colours") >= 5) & (fills >= 1000), "chart-vector-bs", 0.9),
+        ((fills >= 500) & legend, "chart-combined", 0.8),
+        (legend & (codes >= 5), "legend", 0.85),
+        (text.rlike(MATERIAL_WORDS), "materials", 0.75),
+        (F.col("large_image") & (fills < 100), "cover", 0.9),
+        ((F.col("page") == 1) & (total < 200) & (text != ""), "cover", 0.6),
+        (text.rlike(INSTRUCTION_WORDS), "instructions", 0.7),
     )
-    return pages.select("page_id", role.alias("role"))
+    role, sure = F.lit("instructions"), F.lit(0.4)
+    for when, name, confidence in reversed(rules):
+        role, sure = F.when(when, name).otherwise(role), F.when(when, confidence).otherwise(sure)
+    return pages.select("page_id", role.alias("role"), sure.alias("confidence"))
 
 
 def pitch(points: DataFrame) -> DataFrame:
@@ -87,15 +108,27 @@ def pitch(points: DataFrame) -> DataFrame:
     return steps.groupBy("page_id").agg(F.max_by("step", F.struct("n", -F.col("step"))).alias("pitch"))
 
 
-def validate(cells: DataFrame, legend: DataFrame) -> DataFrame:
-    """Findings on an extraction: cells have doc, code; legend has doc, code, expected."""
+def validate(cells: DataFrame, legend: DataFrame, documents: DataFrame) -> DataFrame:
+    """Findings on extractions and their severity: cells have doc, code, confidence; legend has doc, code, expected; documents has doc, width, height."""
     counts = cells.where("code is not null").groupBy("doc", "code").agg(F.count(F.lit(1)).alias("actual"))
-    j = counts.join(legend, ["doc", "code"], "full_outer").withColumn("tolerance", F.greatest(F.lit(5.0), F.col("expected") * 0.1))
-    off = j.where("actual is not null and expected is not null and abs(actual - expected) > tolerance").select("doc", "code", F.lit("COUNT_MISMATCH").alias("finding"))
-    missing = j.where("expected is null").select("doc", "code", F.lit("LEGEND_MISSING_CODE").alias("finding"))
-    unused = j.where("actual is null").select("doc", "code", F.lit("LEGEND_UNUSED").alias("finding"))
-    cover = cells.groupBy("doc").agg((F.count("code") / F.count(F.lit(1))).alias("c")).where("c < 0.8").select("doc", F.lit(None).cast("string").alias("code"), F.lit("LOW_PALETTE_COVERAGE").alias("finding"))
-    return off.unionByName(missing).unionByName(unused).unionByName(cover)
+    listed = legend.where("code is not null").withColumn("listed", F.lit(True))
+    j = counts.join(listed, ["doc", "code"], "full_outer")
+    finding = lambda df, name, severity, code=None: df.select("doc", code or F.lit(None).cast("string").alias("code"), F.lit(name).alias("finding"), F.lit(severity).alias("severity"))
+    with_legend = listed.select("doc").distinct()
+    cover = documents.join(cells.groupBy("doc").agg((F.count_if(F.col("confidence") > 0) / F.count(F.lit(1))).alias("c")), "doc", "left")
+    share = F.coalesce("c", F.lit(0.0))
+    sized = documents.where("width > 0 and height > 0")
+    found = (
+        finding(j.where("expected > 0 and abs(coalesce(actual, 0) - expected) > greatest(5.0d, expected * 0.1d)"), "COUNT_MISMATCH", "medium", "code"),
+        finding(j.where("listed is null").join(with_legend, "doc", "left_semi"), "LEGEND_MISSING_CODE", "medium", "code"),
+        finding(j.where("actual is null"), "LEGEND_UNUSED", "low", "code"),
+        finding(cover.where(F.col("c").isNull()), "EMPTY_GRID", "error"),
+        finding(cover.where(share < 0.5), "LOW_PALETTE_COVERAGE", "high"),
+        finding(cover.where((share >= 0.5) & (share < 0.85)), "PALETTE_COVERAGE", "medium"),
+        finding(sized.where("width > 1000 or height > 1000"), "GRID_TOO_LARGE", "medium"),
+        finding(sized.where("width < 5 or height < 5"), "GRID_TOO_SMALL", "medium"),
+    )
+    return reduce(DataFrame.unionByName, found)
 
 
 def materialised(cells: DataFrame) -> DataFrame:

@@ -12,14 +12,19 @@ from tessella.functions.dates import day, relative_label
 from tessella.functions.numbers import js_round
 from tessella.operators import sessions as s
 
-#: Wordings by kind of week; %n stands for this week's stitches, %p for the change in per cent, %l for last week's.
+#: Fixed value: metres of thread for a stitch.
+METRES_PER_STITCH = 0.022
+#: Wordings by kind of week; %n stands for this week's stitches, %p for the change in per cent, %l for last week's, %s and %o for the speeds, %d for active days.
 WEEKS = {
-    "none": ("No stitches so far this week.", "A quiet week up to now."),
+    "none": ("No stitches so far this week.", "A quiet week up to now.", "Nothing logged this week yet."),
     "back": ("Back again with %n stitches after a quiet week.", "%n stitches this week, after none the week before."),
-    "up": ("%n stitches this week, %p% more than last week.", "Up %p% on last week: %n stitches."),
+    "up": ("%n stitches this week, %p% more than last week.", "Up %p% on last week: %n stitches.", "On a roll with %n stitches (+%p%)."),
     "down": ("%n stitches this week, fewer than last week's %l.", "A lighter week of %n stitches after %l."),
     "same": ("%n stitches, just as many as last week.", "Steady: %n stitches in both weeks."),
 }
+FASTER = ("Faster at %s an hour, after %o.", "The pace went up to %s an hour from %o.")
+SLOWER = ("Slower at %s an hour.", "A calmer pace of %s an hour.")
+ACTIVE = ("%d active days.", "Stitched on %d days.")
 
 
 def variant(options: tuple[str, ...], seed: Column) -> Column:
@@ -31,33 +36,51 @@ def weekly_summary(sessions: DataFrame, as_of: str) -> DataFrame:
     w = s.week_comparison(sessions, as_of)
     pick = lambda c, k: F.coalesce(F.max(F.when(F.col("week") == k, F.col(c))), F.lit(0)).cast("long").alias(f"{c}_{k}")
     both = w.groupBy("project_id").agg(*(pick(c, k) for c in ("stitches", "speed", "active_days") for k in ("this", "last")))
-    now, last = F.col("stitches_this"), F.col("stitches_last")
-    kind = F.when(now == 0, "none").when(last == 0, "back").when(now > last, "up").when(now < last, "down").otherwise("same")
+    now, last, fast, slow = (F.col(c) for c in ("stitches_this", "stitches_last", "speed_this", "speed_last"))
+    kind = F.when(now == 0, "none").when((last == 0) & (now > 0), "back").when(now > last, "up").when(now < last, "down").otherwise("same")
     seed = F.col("project_id")
     text = reduce(lambda out, k: F.when(F.col("kind") == k, variant(WEEKS[k], seed)).otherwise(out), WEEKS, F.lit(""))
     percent = js_round((now - last) / F.greatest(F.lit(1), last) * 100).cast("long")
-    fill = lambda t, mark, v: F.replace(t, F.lit(mark), v.cast("string"))
-    text = fill(fill(fill(text, "%n", now), "%p", percent), "%l", last)
-    d = F.col("speed_this") - F.col("speed_last")
-    paced = (F.col("speed_this") > 0) & (F.col("speed_last") > 0)
-    speed = F.when(paced & (d > 10), F.concat(F.lit("Faster at "), F.col("speed_this").cast("string"), F.lit(" an hour."))).when(paced & (d < -10), F.concat(F.lit("Slower at "), F.col("speed_this").cast("string"), F.lit(" an hour.")))
-    active = F.when(F.col("active_days_this") >= 5, F.concat(F.col("active_days_this").cast("string"), F.lit(" active days.")))
-    return both.withColumn("kind", kind).select("project_id", "kind", F.concat_ws(" ", text, speed, active).alias("summary"))
+    fill = lambda t, **marks: reduce(lambda out, m: F.replace(out, F.lit(f"%{m}"), marks[m].cast("string")), marks, t)
+    paced = (fast > 0) & (slow > 0)
+    speed = F.when(paced & (fast - slow > 10), fill(variant(FASTER, seed), s=fast, o=slow)).when(paced & (fast - slow < -10), fill(variant(SLOWER, seed), s=fast))
+    active = F.when(F.col("active_days_this") >= 5, fill(variant(ACTIVE, seed), d=F.col("active_days_this")))
+    return both.withColumn("kind", kind).select("project_id", "kind", F.concat_ws(" ", fill(text, n=now, p=percent, l=last), speed, active).alias("summary"))
 
 
-def cards(sessions: DataFrame, as_of: str, dismissed: DataFrame | None = None, most: int = 4) -> DataFrame:
-    """At most so many cards of each project, in rule order; dismissed kinds (project_id, kind) stay away."""
+def cards(sessions: DataFrame, as_of: str, dismissed: DataFrame | None = None) -> DataFrame:
+    """The cards of each project, in rule order; dismissed kinds (project_id, kind) stay away.
+
+    Weeks in a row from 2, 4 and 8 on; the last five sessions 10 % faster or 15 %
+    slower than the first five, of ten or more; a busiest hour two or more hours
+    from that of the 30 days before, with 20 sessions or more; 14 days without a
+    session; 20 % more than last week. A project without any of these
+    has the length of thread it used, from a metre on.
+    """
     d = day(as_of)
-    streak = s.daily_streaks(sessions, as_of).where("current >= 3").select("project_id", F.lit(1).alias("ord"), F.lit("streak").alias("kind"), F.col("current").cast("long").alias("value"))
-    trend = s.first_and_last_speed(sessions).where("trend <> 'steady'").select("project_id", F.lit(2).alias("ord"), F.col("trend").alias("kind"), js_round(F.col("last_speed")).cast("long").alias("value"))
-    idle = sessions.groupBy("project_id").agg(F.date_diff(d, F.max("date")).alias("days")).where("days >= 4").select("project_id", F.lit(3).alias("ord"), F.lit("idle").alias("kind"), F.col("days").cast("long").alias("value"))
-    peak = s.peak_hour(sessions).where("n_sessions >= 5").select("project_id", F.lit(4).alias("ord"), F.lit("peak").alias("kind"), F.col("hour").cast("long").alias("value"))
-    best = s.best_day(sessions).select("project_id", F.lit(5).alias("ord"), F.lit("best").alias("kind"), F.col("stitches").alias("value"))
-    found = reduce(DataFrame.unionByName, (streak, trend, idle, peak, best))
+    card = lambda df, n, kind, value: df.select("project_id", F.lit(n).alias("ord"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), value.cast("long").alias("value"))
+    n = F.col("current")
+    streak = card(s.weekly_streaks(sessions, as_of).where("current >= 2"), 1, F.when(n >= 8, "streak_long").when(n >= 4, "streak_mid").otherwise("streak_short"), n)
+    change = (F.col("last_speed") - F.col("first_speed")) / F.col("first_speed")
+    paced = s.first_and_last_speed(sessions).where("first_speed > 0 and last_speed > 0").withColumn("change", change).where("change >= 0.1 or change <= -0.15")
+    speed = card(paced, 2, F.when(F.col("change") > 0, "speed_up").otherwise("speed_down"), js_round(F.abs("change") * 100))
+    start = F.col("start_time").cast("date")
+    many = sessions.groupBy("project_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 20").select("project_id")
+    recent = s.peak_hour(sessions.where((start > F.date_sub(d, 30)) & (start <= d))).select("project_id", F.col("hour").alias("now"))
+    before = s.peak_hour(sessions.where((start > F.date_sub(d, 60)) & (start <= F.date_sub(d, 30)))).select("project_id", F.col("hour").alias("was"))
+    shift = card(many.join(recent, "project_id").join(before, "project_id").where("abs(now - was) >= 2"), 3, "peak_shift", F.col("now") - F.col("was"))
+    idle = card(sessions.groupBy("project_id").agg(F.date_diff(d, F.max("date")).alias("days")).where("days >= 14"), 4, "neglected", F.col("days"))
+    w = s.week_comparison(sessions, as_of).groupBy("project_id").agg(*(F.coalesce(F.max(F.when(F.col("week") == k, F.col("stitches"))), F.lit(0)).alias(k) for k in ("this", "last")))
+    more = w.where("last > 0").withColumn("p", js_round((F.col("this") - F.col("last")) / F.col("last") * 100))
+    up = card(more.where("this > last and p >= 20"), 5, "wow_up", F.col("p"))
+    found = reduce(DataFrame.unionByName, (streak, speed, shift, idle, up))
     if dismissed is not None:
         found = found.join(dismissed, ["project_id", "kind"], "left_anti")
+    metres = js_round(F.sum("net_stitches") * METRES_PER_STITCH)
+    rest = sessions.groupBy("project_id").agg(metres.alias("m")).where("m >= 1").join(found.select("project_id"), "project_id", "left_anti")
+    found = found.unionByName(card(rest, 6, "fun_thread", F.col("m")))
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy("ord"))
-    return found.withColumn("position", rank).where(F.col("position") <= most).select("project_id", "kind", "value", "position")
+    return found.select("project_id", "kind", "value", rank.alias("position"))
 
 
 def share_text(sessions: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ joins over all charts at once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
 from tessella.operators.colour import lab, small
+from tessella.plans.rounds import settled
 
 
 def proposals(sources: DataFrame, conversions: DataFrame, candidates: DataFrame, most: float = 10.0) -> DataFrame:
@@ -49,11 +52,19 @@ def remap(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return mapped.select("project_id", "idx", F.array_join(F.transform("p", lambda x: x["t"]), "+").alias("thread_id"))
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with i, their number in this order over the whole table, from 0: ranges are numbered each by itself, and the counts of the ranges before are added."""
+    dealt = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    dealt = settled(dealt.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1), "ranges")
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") < F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return dealt.join(F.broadcast(before), "range").withColumn("i", F.col("at") + F.col("before")).drop("range", "at", "before")  # a row for each range
+
+
 def by_lightness(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """The i-th darkest source with the i-th darkest target, from the first again when these run out. Palettes are small: each is ranked in one task."""
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_l", "ord"))
-    s = sources.select("thread_id", (rank - 1).alias("i"))
-    t = targets.select(F.col("thread_id").alias("target_id"), (rank - 1).alias("j"))
+    """The i-th darkest source with the i-th darkest target, from the first again when these run out."""
+    s = ranked(sources.select("thread_id", "c_l", "ord"), "c_l", "ord")
+    t = ranked(targets.select(F.col("thread_id").alias("target_id"), "c_l", "ord"), "c_l", "ord").select("target_id", F.col("i").alias("j"))
     n = targets.agg(F.count(F.lit(1)).alias("n"))
     return s.crossJoin(F.broadcast(n)).withColumn("j", F.col("i") % F.col("n")).join(t, "j").select("thread_id", "target_id")  # one row is broadcast
 
@@ -104,24 +115,29 @@ def with_zero_rows(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.select("project_id", "thread_id", "n").unionByName(gone)
 
 
-#: Hue bounds of the buckets of the gap report.
-BUCKETS = ((20, "red"), (45, "orange"), (70, "yellow"), (160, "green"), (200, "teal"), (260, "blue"), (340, "purple"), (361, "red"))
+#: Upper hue bounds of the buckets of the gap report; from the last on it is red again.
+BUCKETS = ((30, "Red"), (60, "Orange"), (90, "Yellow"), (170, "Green"), (200, "Cyan"), (260, "Blue"), (330, "Purple"), (361, "Red"))
+#: Colours of less saturation are grey; those darker or lighter have no hue to speak of.
+LEAST_SATURATION, DARK, LIGHT = 0.12, 0.08, 0.92
 
 
-def hue_bucket(r: Column, g: Column, b: Column) -> Column:
-    h = c.hsl(r, g, b)[0]
+def hue_bucket(r: Column, g: Column, b: Column, any_lightness: bool = False) -> Column:
+    """The bucket of a colour; null for grey ones and, unless any will do, for very dark and very light ones."""
+    h, s, light = c.hsl(r, g, b)
     out = F.when(h < BUCKETS[0][0], BUCKETS[0][1])
     for upper, name in BUCKETS[1:]:
         out = out.when(h < upper, name)
-    return out
+    told = s >= LEAST_SATURATION
+    return F.when(told if any_lightness else told & light.between(DARK, LIGHT), out)
 
 
 def hue_gaps(wanted: DataFrame, stock: DataFrame) -> DataFrame:
     """Hues that take much of what is wanted (r, g, b, n) and little of the stock (r, g, b)."""
     rgb = (F.col("r"), F.col("g"), F.col("b"))
-    total = wanted.agg(F.sum("n").alias("all"))
-    share = wanted.groupBy(hue_bucket(*rgb).alias("hue")).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).select("hue", (F.col("n") / F.col("all")).alias("share"))  # one row is broadcast
-    have = stock.groupBy(hue_bucket(*rgb).alias("hue")).agg(F.count(F.lit(1)).alias("n_threads"))
+    told = wanted.select(hue_bucket(*rgb).alias("hue"), "n").where("hue is not null")
+    total = told.agg(F.sum("n").alias("all"))
+    share = told.groupBy("hue").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).select("hue", (F.col("n") / F.col("all")).alias("share"))  # one row is broadcast
+    have = stock.groupBy(hue_bucket(*rgb, any_lightness=True).alias("hue")).agg(F.count(F.lit(1)).alias("n_threads"))
     j = share.join(have, "hue", "left").fillna(0, ["n_threads"])
     gap = F.when((F.col("share") > 0.15) & (F.col("n_threads") == 0), "high").when((F.col("share") > 0.08) & (F.col("n_threads") <= 1), "medium").otherwise("none")
     return j.withColumn("gap", gap)
@@ -135,10 +151,41 @@ def finished_sizes(charts: DataFrame, fabrics: tuple[int, ...] = (11, 14, 16, 18
     return f.select("project_id", "fabric", inch("w").alias("w_in"), inch("h").alias("h_in"), (F.floor(F.col("w") / per_inch * 2.54 * 10 + 0.5) / 10).alias("w_cm"), (F.floor(F.col("h") / per_inch * 2.54 * 10 + 0.5) / 10).alias("h_cm"))
 
 
+#: Weights of the five factors of difficulty; steps of a factor as (up to, base, from, slope).
+WEIGHTS = {"colour": 0.25, "confetti": 0.28, "changes": 0.17, "size": 0.15, "technique": 0.15}
+PALETTE_STEPS = ((5, 0.05, 0, 0.0), (15, 0.05, 5, 0.027), (30, 0.32, 15, 0.022), (50, 0.65, 30, 0.012), (None, 0.89, 50, 0.006))
+FABRIC_STEPS = ((14, 0.0, 0, 0.0), (18, 0.0, 14, 0.04), (22, 0.16, 18, 0.06), (None, 0.4, 22, 0.03))
+BACKSTITCH_STEPS = ((0, 0.0, 0, 0.0), (10, 0.0, 0, 0.02), (50, 0.2, 10, 0.012), (None, 0.68, 50, 0.004))
+#: Of the logarithm to 10 of the size.
+SIZE_STEPS = ((3.0, 0.02, 0, 0.0), (math.log10(5000), 0.02, 3.0, 0.12), (math.log10(20000), 0.1, math.log10(5000), 0.35), (math.log10(80000), 0.35, math.log10(20000), 0.45), (None, 0.75, math.log10(80000), 0.4))
+
+
+def stepped(x: Column, steps) -> Column:
+    """Piecewise linear in x."""
+    out = None
+    for upper, base, start, slope in steps:
+        value = F.lit(base) + (x - start) * slope
+        out = F.when(x <= upper, value) if out is None else out.otherwise(value) if upper is None else out.when(x <= upper, value)
+    return out
+
+
 def difficulty(metrics: DataFrame) -> DataFrame:
-    """A score from 0 to 1 of total, n_threads, isolation and change_rate, and its tier of four."""
-    step = lambda x, *marks: sum((F.when(x >= m, 1.0 / len(marks)).otherwise(0.0) for m in marks), F.lit(0.0))
-    score = 0.25 * step(F.col("n_threads"), 4, 8, 16, 32) + 0.28 * step(F.col("isolation"), 0.05, 0.15, 0.3, 0.5) + 0.17 * F.least(F.lit(1.0), F.log10(F.col("total") + 1) / 6) + 0.15 * step(F.col("change_rate"), 0.2, 0.4, 0.6, 0.8) + 0.15 * step(F.col("total"), 1000, 5000, 20000, 50000)
-    score = F.when((F.col("isolation") > 0.7) & (score < 0.3), 0.3).otherwise(score)
-    tier = F.when(score < 0.25, "easy").when(score < 0.5, "medium").when(score < 0.75, "hard").otherwise("expert")
-    return metrics.select("project_id", F.round(score, 6).alias("score"), tier.alias("tier"))
+    """A score from 0 to 100 and its tier. metrics: n_threads, n_blends, total, fabric, n_backstitches, isolation, change_rate."""
+    one = F.lit(1.0)
+    c = {name: F.col(name) for name in ("n_threads", "n_blends", "total", "fabric", "n_backstitches", "isolation", "change_rate")}
+    blends = F.when(c["n_blends"] <= 0, 0.0).when(c["n_blends"] <= 3, 0.08).when(c["n_blends"] <= 8, 0.15).otherwise(0.22)
+    precise = F.when(c["fabric"] >= 25, 0.2).when(c["fabric"] >= 20, 0.1).otherwise(0.0)
+    size = F.least(one, stepped(F.log10(F.greatest(c["total"], F.lit(1)).cast("double")), SIZE_STEPS))
+    factors = {
+        "colour": F.least(one, F.least(one, stepped(c["n_threads"], PALETTE_STEPS)) * 0.78 + blends * 0.22),
+        "confetti": F.least(one, F.greatest(F.lit(0.0), c["isolation"])),
+        "changes": F.least(one, F.greatest(F.lit(0.0), c["change_rate"])),
+        "size": F.least(one, size * 0.8 + F.least(F.lit(0.5), stepped(c["fabric"], FABRIC_STEPS)) * 0.2),
+        "technique": F.least(one, F.least(one, stepped(c["n_backstitches"], BACKSTITCH_STEPS)) * 0.7 + precise * 0.3),
+    }
+    mixed = sum((weight * factors[name] for name, weight in WEIGHTS.items()), F.lit(0.0))
+    # Very scattered charts are never easy.
+    mixed = F.when((factors["confetti"] > 0.7) & (mixed < 0.3), 0.3).otherwise(mixed)
+    score = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(mixed * 100 + 0.5))).cast("long")
+    tier = F.when(score <= 25, "Beginner").when(score <= 50, "Intermediate").when(score <= 75, "Advanced").otherwise("Expert")
+    return metrics.select("project_id", score.alias("score"), tier.alias("tier"))

@@ -20,14 +20,16 @@ def is_open():
 
 
 def low_stock(stash: DataFrame, threshold: int = 2) -> DataFrame:
-    """Threads under their own minimum, or under the threshold where they have none; most short first."""
+    """Threads under their own minimum, or under the threshold where they have none, with the position in their brand: most short first."""
     least = F.when(F.col("min_stock") > 0, F.col("min_stock")).otherwise(threshold)
-    return stash.withColumn("least", least.cast("long")).where("owned < least").select("id", "brand", "owned", "least", (F.col("least") - F.col("owned")).alias("short"))
+    low = stash.withColumn("least", least.cast("long")).where("owned < least").withColumn("short", F.col("least") - F.col("owned"))
+    order = Window.partitionBy("brand").orderBy(F.desc("short"), "id")
+    return low.select("id", "brand", "owned", "least", "short", F.row_number().over(order).alias("position"))
 
 
 def thread_states(stash: DataFrame, threshold: int = 2) -> DataFrame:
     """Counts by state: used up, low or owned, and whether the thread is to be bought."""
-    state = F.when(F.col("owned") <= 0, "usedup").when(F.col("owned") <= threshold, "lowstock").otherwise("owned")
+    state = F.when(F.col("owned") <= 0, "usedup").when(F.col("owned") < threshold, "lowstock").otherwise("owned")
     return stash.groupBy(state.alias("state"), "tobuy").agg(F.count(F.lit(1)).alias("n"), F.sum("owned").alias("owned"))
 
 
@@ -97,10 +99,10 @@ def dormant(stash: DataFrame, history: DataFrame, as_of: str, days: int = 730) -
     return stash.where("owned > 0").join(last, "id").where(F.date_diff(day(as_of), "last_change") > days).select("id", "owned", "last_change")
 
 
-def use_what_you_have(dormant_threads: DataFrame, library: DataFrame, needs: DataFrame, k: int = 5) -> DataFrame:
-    """The k wished-for patterns that use most dormant threads."""
-    wished = needs.join(library.where("status = 'wishlist'").select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "id").distinct()
-    return wished.join(dormant_threads.select("id"), "id", "left_semi").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_threads")).orderBy(F.desc("n_threads"), "pattern_id").limit(k)
+def use_what_you_have(unused: DataFrame, library: DataFrame, needs: DataFrame, k: int = 5) -> DataFrame:
+    """The k patterns, neither begun nor finished, that use most of the owned threads that were never used."""
+    waiting = needs.join(library.where(~F.col("status").isin("completed", "inprogress")).select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "id").distinct()
+    return waiting.join(unused.select("id"), "id", "left_semi").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_threads")).orderBy(F.desc("n_threads"), "pattern_id").limit(k)
 
 
 def buying_impact(library: DataFrame, needs: DataFrame, stash: DataFrame, k: int = 10) -> DataFrame:
@@ -130,9 +132,11 @@ def jaccard_of_top(used: DataFrame, stash: DataFrame, n: int = 20) -> DataFrame:
 
 
 def quarter_portfolio(library: DataFrame, n: int = 8) -> DataFrame:
-    """Patterns added and, of these, completed in each of the last n quarters with any."""
-    q = F.trunc("created_at", "quarter")
-    return library.groupBy(q.alias("quarter")).agg(F.count(F.lit(1)).alias("started"), F.count_if(~is_open()).alias("finished")).orderBy(F.desc("quarter")).limit(n)
+    """Patterns begun and patterns finished in each of the last n quarters with either; each by its own date."""
+    begun = library.select(F.trunc("created_at", "quarter").alias("quarter"), F.lit(1).alias("started"), F.lit(0).alias("finished"))
+    done = library.where(~is_open() & F.col("completed_at").isNotNull()).select(F.trunc("completed_at", "quarter").alias("quarter"), F.lit(0).alias("started"), F.lit(1).alias("finished"))
+    both = begun.where("quarter is not null").unionByName(done)
+    return both.groupBy("quarter").agg(F.sum("started").alias("started"), F.sum("finished").alias("finished")).orderBy(F.desc("quarter")).limit(n)
 
 
 def recommended(library: DataFrame, needs: DataFrame, stash: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sessions", "browse", "colour", "stash", "grid", "palette", "image", "sync", "importer", "insights")
+MODULES = ("sessions", "legend", "progress", "selection", "browse", "colour", "stash", "grid", "palette", "image", "sync", "importer", "extract", "store", "insights")
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
