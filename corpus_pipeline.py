@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents. Every stage takes null and
-empty texts, repeated rows, empty tables and further columns.
+empty texts, repeated rows, empty tables and further columns, whatever their
+names: an operator sees them under names that none of its own columns has.
 """
 
 from __future__ import annotations
@@ -15,17 +16,31 @@ from tessella.llm import decontam, line_dedup, minhash, packing, quality_rules
 from tessella.llm.common import cut, read
 
 
+OWN = ("doc_id", "text", "n_chars")
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """docs with every column that is not one of documents' own under a name that no operator adds."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in OWN else f"__column_{i}") for i, c in enumerate(docs.columns)))
+
+
+def shown(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names again."""
+    return result.select(*(F.col(f"`{c}`" if c in OWN else f"__column_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the likelihood ratio reject go."""
     trusted = quality_rules.trusted_labels(read(spark, sf_dir, "labels"))
-    scored = quality_rules.quality_rules(docs, trusted)
-    return scored.where("kept").select(docs.columns)
+    return shown(quality_rules.quality_rules(hidden(docs), trusted).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them the documents of which nothing is left."""
-    clean = line_dedup.dedup_lines(docs, min_words=1)
-    return clean.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    clean = line_dedup.dedup_lines(hidden(docs), min_words=1).where("n_removed = 0 or trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return shown(clean, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+    return shown(decontam.decontaminate(hidden(docs), read(spark, sf_dir, "benchmark")).where("n_hit = 0"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

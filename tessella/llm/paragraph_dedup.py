@@ -154,11 +154,9 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "node long, shingles array<long>")
 
 
-def similar_lines(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """The lines that come more than once, equal or similar."""
-    lines = cut(units.where(F.size("bands") > 0).select("doc_id", "dk", "start", "stop", "n_words", "node"), "paragraph_lines")
+def similar_lines(lines: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines that come more than once, equal or similar; classes has a row for each set of shingles."""
     place = F.struct("doc_id", "dk", "start", "stop")
-    classes = cut(units.where(F.size("bands") > 0).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("facts").alias("facts"), F.min(place).alias("first"), F.max(place).alias("last")), "paragraph_classes")
     names = [f"m{i}" for i in range(MAP_WORDS)] + [f"s{i}" for i in range(SKETCH_WORDS)] + ["bits"]
     members = classes.select("node", F.explode("bands").alias("key"))
     traits = classes.select("node", "n", *(F.col("facts")[i].alias(name) for i, name in enumerate(names)))
@@ -167,6 +165,7 @@ def similar_lines(units: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = classes.join(met, "node", "left_semi").select("first.dk", "first.start", "first.stop")
     sets = cut(line_sets(docs, wanted).dropDuplicates(["node"]), "paragraph_sets")
     roots = link_buckets(members, traits, minhash.verifier(sets, PERCENT), minhash.similar_enough(PERCENT, SKETCH_WORDS, SKETCH_SLACK, MAP_WORDS))
+    discard(sets)
     # The least and the greatest place of a class tell whether it has two.
     placed = classes.select("node", "first", "last").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     totals = placed.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
@@ -223,12 +222,32 @@ def points(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return docs.select("dk", "text").join(per_doc, "dk").select("text", "runs").mapInArrow(run, schema)
 
 
-def equal_passages(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """The maximal passages of which every stretch of PASSAGE_WORDS words comes more than once."""
+def shared_seeds(units: DataFrame) -> DataFrame:
+    """The seeds that stand in more than one place."""
     every = units.where(F.size("bands") == 0).select("doc_id", "dk", "start", "stop", "n_words", "node", "context")
     spot = F.xxhash64("dk", "start")
     twice = every.groupBy("node").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("node")
-    live = cut(every.join(twice, "node"), "passage_seeds")
+    return every.join(twice, "node")
+
+
+def equal_stretches(single: DataFrame) -> DataFrame:
+    """node, context and marks (at, n, keeper): runs of stretches of a context that have their least place around one seed, and come twice.
+
+    single: node, context, at (number of the stretch), place (words before the seed), stretch (its hash), keeper and last (the
+    context's least and greatest place).
+    """
+    equal = single.groupBy("node", "place", "stretch").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last")).where("keeper <> last").drop("last")
+    marked = single.select("node", "context", "place", "stretch", "at").join(equal, ["node", "place", "stretch"]).select("node", "context", "at", "keeper")
+    # All that follows stays with node and context.
+    marked = marked.repartition("node", "context")
+    run = F.col("at") - F.row_number().over(Window.partitionBy("node", "context", "keeper").orderBy("at"))
+    runs = marked.withColumn("run", run).groupBy("node", "context", "keeper", "run").agg(F.min("at").cast("long").alias("at"), F.count(F.lit(1)).alias("n"))
+    # As many marks as a context has stretches, 27 at most.
+    return runs.groupBy("node", "context").agg(F.collect_list(F.struct("at", "n", "keeper")).alias("marks"))
+
+
+def equal_passages(live: DataFrame, docs: DataFrame) -> DataFrame:
+    """The maximal passages of which every stretch of PASSAGE_WORDS words comes more than once; live: the shared seeds."""
     contexts = live.groupBy("node", "context").agg(F.min(F.struct("doc_id", "dk", "start")).alias("keeper"), F.max(F.struct("doc_id", "dk", "start")).alias("last"), F.first("n_words").alias("n_words"), F.first(F.col("start") - F.col("stop")).alias("ahead"))
     several = contexts.groupBy("node").agg((F.count(F.lit(1)) > 1).alias("several"))
     contexts = cut(contexts.join(several, "node"), "passage_contexts")
@@ -238,11 +257,9 @@ def equal_passages(units: DataFrame, docs: DataFrame) -> DataFrame:
     hashes = stretches(docs, wanted).join(contexts.select("node", "context", "ahead", "keeper", "last"), ["node", "context"])
     single = hashes.select("node", "context", "ahead", "keeper", "last", F.posexplode("hashes").alias("at", "stretch")).withColumn("place", F.col("ahead") - F.col("at"))
     single = cut(single.drop("ahead"), "passage_stretches")
-    equal = single.groupBy("node", "place", "stretch").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last")).where("keeper <> last").drop("last")
-    marked = single.select("node", "context", "place", "stretch", "at").join(equal, ["node", "place", "stretch"])
-    # As many marks as a context has stretches, 27 at most.
-    parts = marked.groupBy("node", "context").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.lit(1).cast("long").alias("n"), "keeper")).alias("marks"))
-    found = live.join(whole.union(parts), ["node", "context"]).select("doc_id", "dk", "start", "stop", F.explode("marks").alias("m"))
+    marks = cut(whole.union(equal_stretches(single)), "passage_marks")
+    discard(single, contexts)
+    found = live.join(marks, ["node", "context"]).select("doc_id", "dk", "start", "stop", F.explode("marks").alias("m"))
     # The keeper's stretch lies as far before its seed as this one.
     spots = found.select("doc_id", "dk", (F.col("stop") + F.col("m.at")).alias("q"), F.col("m.n").alias("n"), F.col("m.keeper.doc_id").alias("k_doc"), F.col("m.keeper.dk").alias("k_dk"), (F.col("m.keeper.start") - F.col("start") + F.col("stop") + F.col("m.at")).alias("k_q"))
     spots = spots.repartition("dk").dropDuplicates(["dk", "q"]).withColumn("kept", (F.col("k_dk") == F.col("dk")) & (F.col("k_q") == F.col("q")))
@@ -250,6 +267,7 @@ def equal_passages(units: DataFrame, docs: DataFrame) -> DataFrame:
     before = F.lag(F.struct((F.col("q") + F.col("n")).alias("end"), "kept")).over(order)
     begins = spots.withColumn("before", before).withColumn("new", F.when((F.col("before.end") >= F.col("q")) & (F.col("before.kept") == F.col("kept")), 0).otherwise(1))
     numbered = cut(begins.withColumn("run", F.sum("new").over(order)).drop("before", "new"), "passage_spots")
+    discard(marks)
     runs = numbered.groupBy("dk", "run").agg(F.min("doc_id").alias("doc_id"), F.min("q").alias("first"), (F.max(F.col("q") + F.col("n")) - 1).alias("last"), F.first("kept").alias("kept"), F.min(F.struct("k_doc", "k_dk", "k_q")).alias("k"))
     runs = cut(runs.withColumn("node", F.xxhash64("dk", "first")), "passage_runs")
     # One link for each run and document that keeps a part of it.
@@ -258,6 +276,7 @@ def equal_passages(units: DataFrame, docs: DataFrame) -> DataFrame:
     keepers = runs.where("kept").select(F.col("dk").alias("k_dk"), "first", "last", F.col("node").alias("b"))
     links = away.join(keepers, "k_dk").where("k_q between first and last").select("a", "b")
     roots = connected_components(links)
+    discard(numbered)
     placed = runs.join(roots, "node", "left").select("dk", "first", "last", "doc_id", F.coalesce("root", "node").alias("component_id"), F.col("k.k_doc").alias("first_doc_id"), "kept")
     return points(docs, placed).select("doc_id", "start", "stop", "n_words", F.lit("passage").alias("kind"), "component_id", "first_doc_id", "kept")
 
@@ -267,7 +286,14 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     keyed = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("dk"), F.col(f"`{text}`").cast("string").alias("text"))
     table = bucketed(keyed.where("text is not null"), "dk")
     units = cut(paragraphs(table), "paragraphs")
-    lines = cut(similar_lines(units, table), "repeated_lines")
-    passages = cut(equal_passages(units, table), "repeated_passages")
+    live = cut(shared_seeds(units), "passage_seeds")
+    of_lines = units.where(F.size("bands") > 0)
+    place = F.struct("doc_id", "dk", "start", "stop")
+    classes = cut(of_lines.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("facts").alias("facts"), F.min(place).alias("first"), F.max(place).alias("last")), "paragraph_classes")
+    lines = cut(of_lines.select("doc_id", "dk", "start", "stop", "n_words", "node"), "paragraph_lines")
     discard(units)
-    return lines.union(passages)
+    repeated = cut(similar_lines(lines, classes, table), "repeated_lines")
+    discard(lines, classes)
+    passages = cut(equal_passages(live, table), "repeated_passages")
+    discard(live)
+    return repeated.union(passages)

@@ -25,8 +25,22 @@ def test_run(spark):
 
 
 def test_awkward_documents(spark, awkward, empty):
+    more = [c for c in awkward.columns if c not in empty.columns]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, awkward, SF)
         assert out.columns == awkward.columns, name
-        out.collect()
+        rows = out.collect()
+        assert rows or name == "quality rules"
+        # Columns of the caller keep their values, whatever their names.
+        assert all(r[c] == "x" for r in rows for c in more), name
         assert stage(spark, empty, SF).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in last(spark, awkward, SF).collect()} == {r.doc_id for r in awkward.collect()}
+    assert last(spark, empty, SF).count() == 0
+
+
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
