@@ -101,3 +101,16 @@ def colour_families(spark, d):
     SELECT id, round(CASE WHEN hi = lo THEN 0 WHEN hi = x THEN 60 * ((y - z) / (hi - lo) + CASE WHEN y < z THEN 6 ELSE 0 END) WHEN hi = y THEN 60 * ((z - x) / (hi - lo) + 2) ELSE 60 * ((x - y) / (hi - lo) + 4) END, 5) AS hue, round(CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(2 * li - 1)) END, 5) AS saturation, round(li, 5) AS lightness, round(ol, 5) AS ok_l, round(sqrt(oa * oa + ob * ob), 5) AS ok_c, CASE WHEN sqrt(oa * oa + ob * ob) > 1e-6 THEN round({hue_sql('oa', 'ob')}, 5) END AS ok_h, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 5) AS luminance, round((1.0 + 0.05) / (lum + 0.05), 5) AS contrast FROM o"""))
 def colour_described(spark, d):
     return op.described(threads(spark, d)).withColumns({c: F.round(c, 5) for c in ("hue", "saturation", "lightness", "ok_l", "ok_c", "ok_h", "luminance", "contrast")})
+
+
+def _back(t: str) -> str:
+    return f"CASE WHEN {t} > 0.2069 THEN {t} * {t} * {t} ELSE ({t} - 16.0::DOUBLE / 116) / 7.787::DOUBLE END"
+
+
+def _gamma(c: str) -> str:
+    return f"CAST(greatest(0, least(255, floor((CASE WHEN {c} > 0.0031308 THEN 1.055::DOUBLE * pow(greatest({c}, 0), 1.0::DOUBLE / 2.4) - 0.055 ELSE 12.92::DOUBLE * ({c}) END) * 255 + 0.5))) AS INTEGER)"
+
+
+@query(sql("lab_points", f", f AS (SELECT id, (l + 16) / 116 AS fy, a / 500 + (l + 16) / 116 AS fx, (l + 16) / 116 - b / 200 AS fz FROM lab_points), v AS (SELECT id, ({_back('fx')}) * 0.95047::DOUBLE AS x, {_back('fy')} AS y, ({_back('fz')}) * 1.08883::DOUBLE AS z FROM f), k AS (SELECT id, 3.2406::DOUBLE * x - 1.5372::DOUBLE * y - 0.4986::DOUBLE * z AS lr, -0.9689::DOUBLE * x + 1.8758::DOUBLE * y + 0.0415::DOUBLE * z AS lg, 0.0557::DOUBLE * x - 0.2040::DOUBLE * y + 1.0570::DOUBLE * z AS lb FROM v) SELECT id, {_gamma('lr')} AS r, {_gamma('lg')} AS g, {_gamma('lb')} AS b FROM k"))
+def colour_from_lab(spark, d):
+    return op.from_lab(lab_points(spark, d))

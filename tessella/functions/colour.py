@@ -154,3 +154,16 @@ def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     d, light = top - low, (top + low) / 2
     sector = F.when(top == x, (y - z) / d + F.when(y < z, 6.0).otherwise(0.0)).when(top == y, (z - x) / d + 2).otherwise((x - y) / d + 4)
     return F.when(d == 0, 0.0).otherwise(60 * sector), F.when(d == 0, 0.0).otherwise(d / (1 - F.abs(2 * light - 1))), light
+
+
+#: The matrix from D65 XYZ back to linear sRGB.
+TO_SRGB = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+
+
+def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Channels from 0 to 255, rounded and held in range."""
+    y = (light + 16) / 116
+    back = lambda t: F.when(t > 0.2069, t * t * t).otherwise((t - 16 / 116) / 7.787)
+    xyz = [back(v) * w for v, w in zip((a / 500 + y, y, y - b / 200), WHITE, strict=True)]
+    gamma = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), 1 / 2.4) - 0.055).otherwise(12.92 * c)
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(gamma(c) * 255 + 0.5))).cast("int") for c in _times(TO_SRGB, xyz))

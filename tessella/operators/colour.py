@@ -96,3 +96,9 @@ def described(threads: DataFrame) -> DataFrame:
     ok_l, ok_c, ok_h = c.rgb_to_oklch(*rgb)
     white = (F.lit(255), F.lit(255), F.lit(255))
     return threads.select("id", h.alias("hue"), s.alias("saturation"), light.alias("lightness"), ok_l.alias("ok_l"), ok_c.alias("ok_c"), F.when(ok_c > 1e-6, ok_h).alias("ok_h"), c.luminance(*rgb).alias("luminance"), c.contrast_ratio(*rgb, *white).alias("contrast"))
+
+
+def from_lab(points: DataFrame) -> DataFrame:
+    """The nearest displayable colour of every point."""
+    r, g, b = c.lab_to_rgb(F.col("l"), F.col("a"), F.col("b"))
+    return points.select("id", r.alias("r"), g.alias("g"), b.alias("b"))
