@@ -48,6 +48,18 @@ def test_spans_and_blocks(spark):
         assert (got[2].n_hit, got[3].n_hit, got[3]["items"], got[4].n_words) == (0, 2, [8], 0)
 
 
+def test_tables_beyond_one_automaton(spark, awkward):
+    """Several automata give what one gives, and columns of any name stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").selectExpr("*", "'x' as __all", "'y' as __copy", "'z' as __row")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = sum(len(decontam.normal_words(r.text)) for r in bench.collect())
+    one, many = (decontam.decontaminate(docs, bench, automaton_words=n).collect() for n in (10 * words, words // 3))
+    key = lambda r: (r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.stop) for s in r.spans), r["__all"], r["__copy"], r["__row"])
+    assert sorted(map(key, one)) == sorted(map(key, many))
+    assert any(r.n_hit for r in one)
+    assert len(decontam.decontaminate(awkward, bench, automaton_words=words // 3).collect()) == 12
+
+
 def test_awkward_decontamination(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "many other animals")], "item_id long, text string")
     got = decontam.decontaminate(awkward, bench).toPandas()
