@@ -83,7 +83,9 @@ def test_repeated_rows_are_dealt_over_parts(spark):
     valid(got, 64)
     assert len(got) == 400
     per = 64 // int(got.length.iloc[0])
-    assert got.sequence_id.nunique() == -(-400 // per)
+    # At most one sequence more for each of the eight parts.
+    assert got.sequence_id.nunique() <= -(-400 // per) + 8
+    assert got.groupby(got.sequence_id // packing._SPAN).size().max() < 100
 
 
 def test_awkward(spark, awkward, empty):
