@@ -139,3 +139,21 @@ def progress_valid_sessions(spark, d):
     k = F.col("session_id") % 5
     s = sessions(spark, d).select("project_id", "session_id", F.when(k == 0, "2024-01-05T10:00:00").when(k == 1, "soon").alias("start_text"), F.when(k == 2, "2024-01-05").when(k == 3, "05/2024").alias("date_text"))
     return op.valid_sessions(s).select("project_id", "session_id")
+
+
+@query(sql("sessions", """, c AS (SELECT project_id, date AS period, start_time AS t, ord, net_stitches - session_id % 3 * 40 AS net FROM sessions), s AS (SELECT *, sum(net) OVER w AS total FROM c WINDOW w AS (PARTITION BY project_id, period ORDER BY t, ord ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, coalesce(lag(total) OVER (PARTITION BY project_id, period ORDER BY t, ord), 0) AS before FROM s) SELECT project_id, period, t AS "at", CAST(total AS BIGINT) AS total FROM b WHERE total >= 30 AND before < 30"""))
+def progress_goal_crossings(spark, d):
+    return op.goal_crossings(sessions(spark, d).select("project_id", F.col("date").alias("period"), F.col("start_time").alias("at"), "ord", (F.col("net_stitches") - F.col("session_id") % 3 * 40).alias("net")), 30)
+
+
+PARTIALS = "parts4 AS (SELECT project_id, idx, thread_id AS base, CASE WHEN idx % 2 = 0 THEN 'a' END AS TL, CASE WHEN idx % 3 = 0 THEN 'a' WHEN idx % 5 = 0 THEN 'b' END AS TR, CASE WHEN idx % 7 < 3 THEN 'b' END AS BL, CASE WHEN idx % 11 < 4 THEN 'a' END AS BR FROM cells WHERE idx % 2 = 0 OR idx % 3 = 0)"
+
+
+@query(sql("cells", f""", {PARTIALS}, e AS (SELECT project_id, idx, unnest([{{'k': 0, 'c': 'TL', 'v': TL}}, {{'k': 1, 'c': 'TR', 'v': TR}}, {{'k': 2, 'c': 'BL', 'v': BL}}, {{'k': 3, 'c': 'BR', 'v': BR}}]) AS z, CASE WHEN base NOT IN ('__skip__', '__empty__') THEN base END AS base FROM parts4), f AS (SELECT project_id, idx, z.k AS k, z.c AS corner, z.v IS NOT NULL AS own, coalesce(z.v, base) AS thread FROM e WHERE coalesce(z.v, base) IS NOT NULL),
+    g AS (SELECT project_id, idx, thread, string_agg(corner, ',' ORDER BY k) AS corners, count(*) AS n, list(corner) FILTER (own) AS own FROM f GROUP BY 1, 2, 3), h AS (SELECT *, CASE WHEN n = 3 THEN 'three-quarter' WHEN corners IN ('TR,BL', 'TL,BR') THEN 'half' END AS kind FROM g)
+    SELECT project_id, idx, thread, kind, CASE WHEN corners = 'TR,BL' THEN 'fwd' WHEN corners = 'TL,BR' THEN 'bck' WHEN NOT contains(corners, 'TL') THEN 'TL' WHEN NOT contains(corners, 'TR') THEN 'TR' WHEN NOT contains(corners, 'BL') THEN 'BL' ELSE 'BR' END AS place FROM h WHERE kind IS NOT NULL UNION ALL SELECT project_id, idx, thread, 'quarter', unnest(own) FROM h WHERE kind IS NULL AND own IS NOT NULL"""))
+def progress_partial_stitches(spark, d):
+    i, t = F.col("idx"), F.lit
+    c = cells(spark, d).where("idx % 2 = 0 or idx % 3 = 0")
+    corner = {"TL": F.when(i % 2 == 0, t("a")), "TR": F.when(i % 3 == 0, t("a")).when(i % 5 == 0, t("b")), "BL": F.when(i % 7 < 3, t("b")), "BR": F.when(i % 11 < 4, t("a"))}
+    return op.partial_stitches(c.select("project_id", "idx", F.col("thread_id").alias("base"), *(v.alias(k) for k, v in corner.items())))

@@ -157,3 +157,27 @@ def store_rebased(spark, d):
     s, k = stash(spark, d), F.col("id")
     base = s.select("id", F.col("owned").cast("double").alias("base"), (k % 4 / 2.0).alias("consumed"))
     return op.rebased(base, s.where(k % 5 != 0).select("id", "owned"), s.where(k % 3 == 0).select("id", (F.col("owned") + k % 2).alias("owned")))
+
+
+CATALOGUE = [("t1", 10, 20, 30), ("t2", 200, 1, 5), ("t3", 55, 66, 76), ("t4", 0, 0, 0)]
+TINTED = f"""known AS (SELECT * FROM (VALUES {', '.join(map(str, CATALOGUE))}) v(id, r, g, b)), c AS (SELECT project_id, idx, thread_id, string_split(thread_id, '+') AS ids FROM cells), x AS (SELECT project_id, idx, thread_id, len(ids) AS n, CAST(CASE WHEN len(ids) = 1 THEN p.r ELSE floor((p.r + q.r) / 2.0 + 0.5) END AS INTEGER) AS e_r, CAST(CASE WHEN len(ids) = 1 THEN p.g ELSE floor((p.g + q.g) / 2.0 + 0.5) END AS INTEGER) AS e_g, CAST(CASE WHEN len(ids) = 1 THEN p.b ELSE floor((p.b + q.b) / 2.0 + 0.5) END AS INTEGER) AS e_b FROM c LEFT JOIN known p ON p.id = ids[1] LEFT JOIN known q ON q.id = ids[2]),
+    tinted AS (SELECT *, CASE WHEN idx % 4 = 3 THEN NULL WHEN idx % 4 = 0 THEN 9 ELSE e_r END AS r, CASE WHEN idx % 4 = 3 THEN NULL ELSE e_g END AS g, CASE WHEN idx % 4 = 3 THEN NULL ELSE e_b END AS b FROM x), slim AS (SELECT *, thread_id IN ('__skip__', '__empty__') OR e_r IS NOT NULL AND r IS NOT DISTINCT FROM e_r AND g IS NOT DISTINCT FROM e_g AND b IS NOT DISTINCT FROM e_b AS gone FROM tinted)"""
+
+
+def tinted(spark, d):
+    """Cells with their catalogue's colour, with another one, and with none."""
+    known = spark.createDataFrame(CATALOGUE, "id string, r int, g int, b int")
+    x = op.with_expected(cells(spark, d).select("project_id", "idx", "thread_id"), known)
+    k = F.col("idx") % 4
+    return x.select("project_id", "idx", "thread_id", F.when(k != 3, F.when(k == 0, 9).otherwise(F.col("e_r"))).alias("r"), F.when(k != 3, F.col("e_g")).alias("g"), F.when(k != 3, F.col("e_b")).alias("b")), known
+
+
+@query(sql("cells", f", {TINTED} SELECT project_id, idx, thread_id, CASE WHEN NOT gone THEN r END AS r, CASE WHEN NOT gone THEN g END AS g, CASE WHEN NOT gone THEN b END AS b FROM slim"))
+def store_saved(spark, d):
+    return op.saved(*tinted(spark, d))
+
+
+@query(sql("cells", f", {TINTED} SELECT project_id, idx, thread_id, CASE WHEN thread_id = '__skip__' THEN 'skip' WHEN n = 2 AND e_r IS NOT NULL THEN 'blend' ELSE 'solid' END AS type, CAST(CASE WHEN thread_id = '__skip__' THEN 255 ELSE coalesce(e_r, CASE WHEN NOT gone THEN r END, 128) END AS INTEGER) AS r, CAST(CASE WHEN thread_id = '__skip__' THEN 255 ELSE coalesce(e_g, CASE WHEN NOT gone THEN g END, 128) END AS INTEGER) AS g, CAST(CASE WHEN thread_id = '__skip__' THEN 255 ELSE coalesce(e_b, CASE WHEN NOT gone THEN b END, 128) END AS INTEGER) AS b FROM slim"))
+def store_restored(spark, d):
+    cells_, known = tinted(spark, d)
+    return op.restored(op.saved(cells_, known), known)

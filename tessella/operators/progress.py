@@ -147,3 +147,35 @@ def valid_sessions(sessions: DataFrame, start: str = "start_text", date: str = "
     on = F.try_to_timestamp(F.col(date), F.lit("yyyy-MM-dd"))
     bad = F.when(F.col(start).isNotNull(), when.isNull()).when(F.col(date).isNotNull(), on.isNull()).otherwise(False)
     return sessions.where(~bad)
+
+
+def goal_crossings(changes: DataFrame, goal: int) -> DataFrame:
+    """When the total of a period reaches the goal: changes are project_id, period, at, ord, net. A total that falls below it again re-arms the goal."""
+    w = Window.partitionBy("project_id", "period").orderBy("at", "ord")
+    totals = changes.withColumn("total", F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = totals.withColumn("before", F.coalesce(F.lag("total").over(w), F.lit(0)))
+    return reached.where((F.col("total") >= goal) & (F.col("before") < goal)).select("project_id", "period", "at", "total")
+
+
+#: Corners of a cell in reading order.
+CORNERS = ("TL", "TR", "BL", "BR")
+
+
+def partial_stitches(partials: DataFrame) -> DataFrame:
+    """How the corners of a cell are stitched: project_id, idx, base, and an id or null for each of TL, TR, BL and BR.
+
+    A corner without an id of its own has the base. Three corners of one colour are a
+    three-quarter stitch (its place is the empty corner), two on a diagonal a half
+    stitch (its place is the direction), and other corners with an id of their own quarters.
+    """
+    base = F.when(~F.col("base").isin(*grid.SENTINELS), F.col("base"))
+    each = partials.select("project_id", "idx", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(q).alias("corner"), F.col(q).isNotNull().alias("own"), F.coalesce(q, base).alias("thread")) for i, q in enumerate(CORNERS)))).alias("c"))
+    filled = each.select("project_id", "idx", "c.*").where("thread is not null")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("k", "corner"))), lambda x: x["corner"])
+    groups = filled.groupBy("project_id", "idx", "thread").agg(names.alias("corners"), F.collect_list(F.when(F.col("own"), F.col("corner"))).alias("own"))
+    joined = F.array_join("corners", ",")
+    way = F.when(joined == "TR,BL", "fwd").when(joined == "TL,BR", "bck")
+    whole = groups.withColumn("kind", F.when(F.size("corners") == 3, "three-quarter").when(way.isNotNull(), "half"))
+    place = F.when(F.col("kind") == "half", way).otherwise(F.array_except(F.array(*map(F.lit, CORNERS)), F.col("corners"))[0])
+    made = whole.where("kind is not null").select("project_id", "idx", "thread", "kind", place.alias("place"))
+    return made.unionByName(whole.where("kind is null").select("project_id", "idx", "thread", F.lit("quarter").alias("kind"), F.explode("own").alias("place")))

@@ -143,3 +143,30 @@ def rebased(baseline: DataFrame, seen: DataFrame, edits: DataFrame) -> DataFrame
     outside = F.col("edit").isNotNull() & (F.col("seen").isNull() | (F.col("edit") != F.col("seen")))
     base = F.when(outside, F.col("edit") + F.col("consumed")).otherwise(F.col("base"))
     return j.select("id", base.alias("base"), F.greatest(F.lit(0.0), base - F.col("consumed")).alias("left"))
+
+
+def with_expected(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """cells with e_r, e_g, e_b: the catalogue's colour of their id, or the rounded mean of a blend's two; null where it is unknown. catalogue: id (text), r, g, b."""
+    ids = F.split("thread_id", r"\+")
+    known = lambda p: catalogue.select(F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in "rgb"))
+    # The catalogue decides how it is joined: it is small, but nothing here bounds it.
+    j = cells.withColumns({"p_id": F.trim(ids[0]), "q_id": F.when(F.size(ids) == 2, F.trim(F.try_element_at(ids, F.lit(2)))), "parts": F.size(ids)})
+    j = j.join(known("p"), "p_id", "left").join(known("q"), "q_id", "left")
+    colour = lambda c: F.when(F.col("parts") == 1, F.col(f"p_{c}")).when(F.col("parts") == 2, F.floor((F.col(f"p_{c}") + F.col(f"q_{c}")) / 2 + 0.5)).cast("int").alias(f"e_{c}")
+    return j.select(*cells.columns, *(colour(c) for c in "rgb"))
+
+
+def saved(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """cells (project_id, idx, thread_id, r, g, b) as they are stored: without a colour that the catalogue gives back, and skipped and empty ones without any."""
+    j = with_expected(cells, catalogue)
+    same = F.coalesce(F.col("r").eqNullSafe(F.col("e_r")) & F.col("g").eqNullSafe(F.col("e_g")) & F.col("b").eqNullSafe(F.col("e_b")), F.lit(False))
+    drop = same | F.col("thread_id").isin("__skip__", "__empty__")
+    return j.select("project_id", "idx", "thread_id", *(F.when(~drop, F.col(c)).alias(c) for c in "rgb"))
+
+
+def restored(cells: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Stored cells with their colours and kind again: skipped ones white, known ids as in the catalogue, others as stored, or grey."""
+    j = with_expected(cells, catalogue)
+    skip = F.col("thread_id") == "__skip__"
+    kind = F.when(skip, "skip").when(F.col("thread_id").contains("+") & F.col("e_r").isNotNull(), "blend").otherwise("solid")
+    return j.select("project_id", "idx", "thread_id", kind.alias("type"), *(F.when(skip, 255).otherwise(F.coalesce(f"e_{c}", c, F.lit(128))).cast("int").alias(c) for c in "rgb"))

@@ -1,4 +1,4 @@
-"""Live sessions, counters and goals as Structured Streaming jobs.
+"""Live sessions and counters as Structured Streaming jobs.
 
 Inputs have project_id, ts (timestamp), completed and undone. The watermark
 bounds state; what comes later than it is dropped, which is this engine's rule.
