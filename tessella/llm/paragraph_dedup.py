@@ -226,7 +226,8 @@ def shared_seeds(units: DataFrame) -> DataFrame:
     """The seeds that stand in more than one place."""
     every = units.where(F.size("bands") == 0).select("doc_id", "dk", "start", "stop", "n_words", "node", "context")
     spot = F.xxhash64("dk", "start")
-    twice = every.groupBy("node").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("node")
+    # As a table of its own, so that the join can split the rows of a very common seed.
+    twice = cut(every.groupBy("node").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("node"), "shared_seeds")
     return every.join(twice, "node")
 
 
