@@ -64,6 +64,12 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def as_view(table: DataFrame, view: DataFrame) -> DataFrame:
+    """view, which reads only the table that cut() has written: discard(view) deletes that table."""
+    _places[view] = _places.pop(table)
+    return view
+
+
 def bucketed(docs: DataFrame, key: str) -> DataFrame:
     """docs as a table in the shared folder, dealt by key into as many buckets as the session has shuffle partitions."""
     spark = docs.sparkSession
