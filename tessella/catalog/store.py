@@ -50,9 +50,9 @@ def store_live_summaries(spark, d):
 @query(sql("sessions targets stash library", f", {KEYED}, h AS (SELECT unnest(range(0, 10)) AS backup_id), b AS (SELECT backup_id, CASE WHEN backup_id = 3 THEN 'format' WHEN backup_id = 4 THEN 'version' END AS error FROM h) SELECT backup_id, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM metas WHERE owner = backup_id AND starts_with(key, 'proj_')) END AS n_projects, CASE WHEN error IS NULL THEN (SELECT count(*) FROM stash WHERE id % 10 = backup_id AND owned > 0) END AS n_threads, CASE WHEN error IS NULL THEN (SELECT count(*) FROM library WHERE pattern_id % 10 = backup_id) END AS n_patterns FROM b"))
 def store_backup_findings(spark, d):
     k = F.col("id")
-    heads = spark.range(10).select(k.alias("backup_id"), F.when(k != 3, "cross-stitch-backup").alias("format"), F.when(k == 4, 2).otherwise(1).alias("version"))
+    heads = spark.range(10).select(k.alias("backup_id"), F.when(k != 3, "backup").alias("format"), F.when(k == 4, 2).otherwise(1).alias("version"))
     own = lambda df, c: df.withColumn("backup_id", F.col(c) % 10)
-    return op.backup_findings(heads, metas(spark, d).withColumn("backup_id", F.col("owner")), own(stash(spark, d), "id"), own(library(spark, d), "pattern_id"))
+    return op.backup_findings(heads, metas(spark, d).withColumn("backup_id", F.col("owner")), own(stash(spark, d), "id"), own(library(spark, d), "pattern_id"), "backup")
 
 
 @query("WITH f AS (SELECT unnest(range(0, 5)) AS file_id) SELECT file_id, CASE file_id WHEN 1 THEN 'format' WHEN 2 THEN 'version' WHEN 3 THEN 'projects' END AS error, CAST(CASE file_id WHEN 0 THEN 2 WHEN 4 THEN 0 END AS INTEGER) AS n_projects FROM f")

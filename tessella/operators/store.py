@@ -41,11 +41,11 @@ def live_summaries(summaries: DataFrame, metas: DataFrame) -> DataFrame:
     return summaries.where(is_project(F.col("key"))).join(metas.select("key"), "key", "left_semi")
 
 
-def backup_findings(headers: DataFrame, entries: DataFrame, threads: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Of each backup what is wrong with it, or its counts of projects, owned threads and patterns. headers: backup_id, format, version; others by backup_id."""
+def backup_findings(headers: DataFrame, entries: DataFrame, threads: DataFrame, patterns: DataFrame, format_: str) -> DataFrame:
+    """Of each backup what is wrong with it, or its counts of projects, owned threads and patterns. format_: the tag that a readable backup has; headers: backup_id, format, version; others by backup_id."""
     count = lambda df, name: df.groupBy("backup_id").agg(F.count(F.lit(1)).cast("long").alias(name))
     j = headers.join(count(entries.where(is_project(F.col("key"))), "n_projects"), "backup_id", "left").join(count(threads.where("owned > 0"), "n_threads"), "backup_id", "left").join(count(patterns, "n_patterns"), "backup_id", "left")
-    error = F.when(F.col("format").isNull() | (F.col("format") != "cross-stitch-backup"), "format").when(F.col("version").isNull() | (F.col("version") != 1), "version")
+    error = F.when(F.col("format").isNull() | (F.col("format") != format_), "format").when(F.col("version").isNull() | (F.col("version") != 1), "version")
     kept = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).alias(c)
     return j.withColumn("error", error).select("backup_id", "error", *(kept(c) for c in ("n_projects", "n_threads", "n_patterns")))
 
