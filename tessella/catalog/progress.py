@@ -157,3 +157,8 @@ def progress_partial_stitches(spark, d):
     c = cells(spark, d).where("idx % 2 = 0 or idx % 3 = 0")
     corner = {"TL": F.when(i % 2 == 0, t("a")), "TR": F.when(i % 3 == 0, t("a")).when(i % 5 == 0, t("b")), "BL": F.when(i % 7 < 3, t("b")), "BR": F.when(i % 11 < 4, t("a"))}
     return op.partial_stitches(c.select("project_id", "idx", F.col("thread_id").alias("base"), *(v.alias(k) for k, v in corner.items())))
+
+
+@query(sql("sessions", """, g AS (SELECT project_id, start_time AS t, CASE WHEN start_time < lag(start_time) OVER (PARTITION BY project_id ORDER BY start_time) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM sessions), r AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT project_id, max(t) + INTERVAL 6 HOUR AS export_at, count(*) AS n_changes FROM r GROUP BY project_id, run"""))
+def progress_paused_exports(spark, d):
+    return op.paused_exports(sessions(spark, d).select("project_id", F.col("start_time").alias("at")), 6 * 3600)

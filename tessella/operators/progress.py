@@ -179,3 +179,9 @@ def partial_stitches(partials: DataFrame) -> DataFrame:
     place = F.when(F.col("kind") == "half", way).otherwise(F.array_except(F.array(*map(F.lit, CORNERS)), F.col("corners"))[0])
     made = whole.where("kind is not null").select("project_id", "idx", "thread", "kind", place.alias("place"))
     return made.unionByName(whole.where("kind is null").select("project_id", "idx", "thread", F.lit("quarter").alias("kind"), F.explode("own").alias("place")))
+
+
+def paused_exports(changes: DataFrame, seconds: int = 30) -> DataFrame:
+    """project_id, export_at, n_changes: one export for each run of changes, so many seconds after the last of them. changes: project_id, at."""
+    runs = changes.groupBy("project_id", F.session_window("at", f"{seconds} seconds").alias("w")).agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("n_changes"))
+    return runs.select("project_id", (F.col("last") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("export_at"), "n_changes")
