@@ -30,9 +30,12 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
+def rgb_to_oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    return tuple(_times(OK_LAB, [F.cbrt(v) for v in _times(OK_LMS, [linear(c) for c in (r, g, b)])]))
+
+
 def rgb_to_oklch(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    roots = [F.cbrt(v) for v in _times(OK_LMS, [linear(c) for c in (r, g, b)])]
-    lightness, a, bb = _times(OK_LAB, roots)
+    lightness, a, bb = rgb_to_oklab(r, g, b)
     return lightness, chroma(a, bb), hue(a, bb)
 
 
@@ -123,6 +126,7 @@ def difference_words(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
     return F.when(F.size(words) == 0, "very close").otherwise(F.array_join(F.slice(words, 1, 2), ", "))
 
 
+#: Words that name a metallic thread.
 METALS = "metalli|effect|jewel|gold|silver|copper|bronze|pearl|fluor"
 #: Hue bounds of the colour families.
 FAMILIES = ((12, "reds"), (30, "pinks"), (55, "oranges"), (75, "yellows"), (165, "greens"), (200, "teals"), (260, "blues"), (320, "purples"), (340, "pinks"), (361, "reds"))
@@ -167,3 +171,39 @@ def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Col
     xyz = [back(v) * w for v, w in zip((a / 500 + y, y, y - b / 200), WHITE, strict=True)]
     gamma = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), 1 / 2.4) - 0.055).otherwise(12.92 * c)
     return tuple(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(gamma(c) * 255 + 0.5))).cast("int") for c in _times(TO_SRGB, xyz))
+
+
+#: OKLab's two matrices back to linear sRGB.
+OK_ROOTS = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
+OK_RGB = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
+
+
+def _rgb(channels) -> Column:
+    return F.struct(*(v.alias(k) for k, v in zip("rgb", channels, strict=True)))
+
+
+def oklab_to_rgb(light: Column, a: Column, b: Column) -> Column:
+    """A struct of channels from 0 to 255, rounded and held in range."""
+    gamma = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), 1 / 2.4) - 0.055).otherwise(12.92 * c)
+    held = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(gamma(v) * 255 + 0.5))).cast("int")
+    roots = dict(zip("lms", _times(OK_ROOTS, [light, a, b]), strict=True))
+    linear_rgb = lambda v: dict(zip("rgb", _times(OK_RGB, [v[k] * v[k] * v[k] for k in "lms"]), strict=True))
+    return bind(roots, lambda v: bind(linear_rgb(v), lambda w: _rgb(held(w[k]) for k in "rgb")))
+
+
+def in_oklch(r: Column, g: Column, b: Column, moved) -> Column:
+    """A struct of the channels of moved(lightness, chroma, hue), which gives these three again."""
+    back = lambda light, ch, h: oklab_to_rgb(light, ch * F.cos(F.radians(h)), ch * F.sin(F.radians(h)))
+    polar = lambda v: {"l": v["l"], "c": chroma(v["a"], v["b"]), "h": hue(v["a"], v["b"])}
+    placed = lambda w: bind(dict(zip("lch", moved(w["l"], w["c"], w["h"]), strict=True)), lambda z: back(z["l"], z["c"], z["h"]))
+    return bind(dict(zip("lab", rgb_to_oklab(r, g, b), strict=True)), lambda v: bind(polar(v), placed))
+
+
+def turned(r: Column, g: Column, b: Column, degrees: Column) -> Column:
+    """The colour with its OKLCH hue turned, as a struct of channels."""
+    return in_oklch(r, g, b, lambda light, ch, h: (light, ch, F.pmod(h + degrees, F.lit(360.0))))
+
+
+def hex_of(r: Column, g: Column, b: Column) -> Column:
+    """#rrggbb"""
+    return F.concat(F.lit("#"), *(F.lpad(F.lower(F.hex(c.cast("int"))), 2, "0") for c in (r, g, b)))
