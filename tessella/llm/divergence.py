@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,10 @@ from .ranking import top_k
 MIN_DOCUMENTS = 3
 TOP = 200
 #: Terms of all groups that a task holds before it hands on what it has counted.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
+#: A task counts fewer documents than two to this power.
+_DOC_BITS = 24
+_ONE_OCCURRENCE = 1 << _DOC_BITS
 PIECE_BYTES = 1 << 20
 #: A source's pairs are dealt over so many tasks.
 DEALT = 32
@@ -55,13 +59,15 @@ def term_counts(text: bytes) -> Counter[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    # Occurrences and documents of a term share one number: it is a good half smaller than a pair.
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
 
     def handed() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in held.items():
-            n, docs = zip(*terms.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            both = np.fromiter(terms.values(), np.int64, len(terms))
+            names = [pa.array([x]).take(pa.array(np.zeros(len(terms), np.int32))) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(both >> _DOC_BITS), pa.array(both & (_ONE_OCCURRENCE - 1))], names=["lang", "source", "term", "n", "docs"])
         held.clear()
 
     for batch in batches:
@@ -71,14 +77,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not counts:
                 continue
             terms = held.setdefault((lang, source), {})
+            before = len(terms)
+            seen = terms.get
             for term, n in counts.items():
-                if term in terms:
-                    both = terms[term]
-                    both[0] += n
-                    both[1] += 1
-                else:
-                    terms[term] = [n, 1]
-                    size += 1
+                terms[term] = seen(term, 0) + (n << _DOC_BITS) + 1
+            size += len(terms) - before
             if size > HELD_TERMS:
                 yield from handed()
                 size = 0
@@ -101,11 +104,13 @@ def gap(p: Column, q: Column) -> Column:
 def rated_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """rated: lang, source, term, p, q for every kept term that occurs in a group, q the language's rate; groups: lang, source, terms (kept by the language), p0 (rate of a term that does not occur)."""
     plain = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of("text").alias("text"))
-    counts = cut(plain.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term_counts")
-    kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents).drop("docs"), "kept_terms")
-    occurring = cut(counts.drop("docs").join(kept, ["lang", "term"]), "occurring")
-    discard(counts)
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_lang").alias("total_lang"))
+    counted = plain.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    # Dealt by language and term, one exchange serves the sums by source and those over all sources, of which a term has few rows.
+    sums = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    everywhere = Window.partitionBy("lang", "term")
+    kept = sums.select("lang", "source", "term", "n", F.sum("n").over(everywhere).alias("n_lang"), F.sum("docs").over(everywhere).alias("docs"), F.row_number().over(everywhere.orderBy("source")).alias("k"))
+    occurring = cut(kept.where(F.col("docs") >= min_documents).drop("docs"), "occurring")
+    langs = occurring.groupBy("lang").agg(F.count_if(F.col("k") == 1).alias("terms"), F.sum("n").alias("total_lang"))
     totals = occurring.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("occurring"))
     zero = F.lit(0).cast("long")
     groups = plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "occurring", "terms", "total_lang"])
@@ -115,7 +120,7 @@ def rated_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[Da
     facts = groups.where("occurring > 0").drop("p0")
     rated = join_common(occurring, facts, ["lang", "source"], "occurring", n_rows).select("lang", "source", "term", rate(F.col("n"), F.col("total"), F.col("terms")).alias("p"), rate(F.col("n_lang"), F.col("total_lang"), F.col("terms")).alias("q"))
     rated = cut(rated, "rated")
-    discard(kept, occurring)
+    discard(occurring)
     return rated, groups.select("lang", "source", "terms", "p0")
 
 
