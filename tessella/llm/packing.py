@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -57,9 +58,26 @@ def encoder():
     return _encoding
 
 
+@cache
+def slow_encoder():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def token_ids(text: str | None) -> np.ndarray:
-    """Ids of the text and the separator, as little-endian 32-bit numbers."""
-    return np.array([*encoder().encode(text or "", allowed_special="all"), SEPARATOR_ID], dtype="<u4")
+    """Ids of the text and the separator, as little-endian 32-bit numbers.
+
+    The pattern of the fast encoder gives up, with an error, on runs of white
+    space of some hundred thousand characters; such texts go to the slower one,
+    whose ids are the same.
+    """
+    try:
+        ids = encoder().encode(text or "", allowed_special="all")
+    except ValueError:
+        ids = slow_encoder().encode(text, add_special_tokens=False).ids
+    return np.array([*ids, SEPARATOR_ID], dtype="<u4")
 
 
 def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -44,6 +44,17 @@ def test_ids_are_the_tokenizers(spark):
         assert packing.token_ids(text).tolist() == [*e.ids, 0]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "word" + " \n" * 700_000])
+def test_long_white_space(spark, text):
+    """The fast encoder fails on these; ids are the tokenizers library's all the same, in a query too."""
+    with pytest.raises(ValueError, match="."):
+        packing.encoder().encode(text, allowed_special="all")
+    want = [*packing.slow_encoder().encode(text, add_special_tokens=False).ids, 0]
+    assert packing.token_ids(text).tolist() == want
+    rows = packing.tokenize(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(want)
+
+
 @pytest.mark.parametrize("task", [40_000, 30])
 def test_whole_table(spark, task):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
