@@ -4,17 +4,22 @@ Lines are normalised and get a 64-bit SimHash of their words. Lines whose
 hashes differ in at most three bits agree, by the pigeonhole principle, on two
 of five blocks of bits, and meet in the buckets of the ten pairs of blocks. One
 changed word in fifty moves about four bits, so lines also have MinHash values
-of the same words and meet in six bands of four: of lines that share four fifths
-of their longer words 4.3 % miss all bands, of those that share nine tenths 0.2 %.
-Lines that meet and share half of their words or more are compared by edit
+of the same words and meet in eight bands of three: of lines whose longer words
+have a Jaccard similarity of 0.71, as with one of six words changed, some 3 %
+miss all bands, at 0.85, one word of twelve, under 0.1 %. Lines of seven words or
+fewer have more keys, for all their words and for all but each of them, so that
+short lines with one word changed, added or left out always meet. All keys see whole
+words, so lines with a typo in most of their words hardly ever meet.
+Lines that meet are compared by edit
 distance, and links join into groups. Of each group the occurrence in the least
 document stays, and every other one is removed.
 
 Edit distances of whole lines are dear, so bounds come first: each line is also
 a string with one symbol for each word, and one for every four characters,
 and the distance of such strings times the longest piece is
-never less than the distance of the lines. Pairs that the bounds leave open get
-the exact distance.
+never less than the distance of the lines. In the other direction an edit takes
+three grams of three characters at most, so short lines that share too few grams
+cannot be near. Pairs that the bounds leave open get the exact distance.
 
 The SimHash comes from word counts per bit: each word of four bytes or more adds
 its hash bits to 22 sums, three counters in each, in one grouped
@@ -55,9 +60,14 @@ MAX_BITS = 3
 PERCENT = 80
 #: Widths of the blocks; any MAX_BITS flipped bits leave two of five alone.
 BLOCKS = (13, 13, 13, 13, 12)
-#: MinHash values, and the bands of them; two bands share two at most.
+#: MinHash values, and the bands of them; two bands share one at most.
 MINIMA = 12
-BANDS = ((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (0, 4, 8, 11), (1, 5, 9, 3), (2, 6, 10, 7))
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
+#: Lines of so many words at most also have a key for all their words and one for all but each; two keys in a number.
+SHORT = 7
+_PAIRS = [f"q{i}" for i in range((SHORT + 2) // 2)]
+#: Characters of a gram, and of the lines that are first compared by their grams.
+GRAM, GRAM_LINE = 3, 400
 #: Sum j counts bits j, j + 21 and j + 42 in 21 bits each, and one more sum bit 63.
 _LANE = _SUMS = 21
 _MASK = sum(1 << _LANE * lane for lane in range(3))
@@ -95,6 +105,14 @@ def simhash(sums: list[Column], n: Column) -> Column:
     return reduce(Column.bitwiseOR, lanes, F.shiftleft(F.shiftrightunsigned(sums[-1] + least, _LANE - 1), 63))
 
 
+def left_out(words: Column) -> Column:
+    """A number of 32 bits, as a long, for all the words and for all but each, whatever their order."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    everything = F.aggregate(hashes, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    mixed = lambda x: F.shiftright(F.xxhash64(x), 32)
+    return F.concat(F.array(mixed(everything)), F.transform(hashes, lambda h: mixed(everything.bitwiseXOR(h))))
+
+
 def line_index(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Of each line with words enough: dk, doc_id, line, node (hash of the normalised line), size (its characters), simhash and bands."""
     lines = docs.where("text is not null").select("dk", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
@@ -102,17 +120,20 @@ def line_index(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     worded = lines.select("dk", "doc_id", "line", words_of(F.col("raw")).alias("words"))
     # Filtered by node after the sums, since a filter here would split every line twice.
     longer = worded.select("dk", "doc_id", "line", F.when(F.size("words") >= min_words, F.xxhash64("words")).alias("node"), F.length(F.array_join("words", " ")).cast("long").alias("size"), F.size("words").between(MIN_WORDS, MAX_WORDS).alias("fit"), "words", F.filter("words", lambda w: F.octet_length(w) >= LONG).alias("long"))
-    chosen = longer.select("dk", "doc_id", "line", "node", "size", F.when(F.col("fit"), F.when(F.size("long") >= MIN_LONG, F.col("long")).otherwise(F.col("words"))).alias("long"))
-    words = chosen.select("dk", "doc_id", "line", "node", "size", F.when(F.col("long").isNotNull(), F.size("long")).alias("n"), "long")
+    own = ["dk", "doc_id", "line", "node", "size"]
+    chosen = longer.select(*own, F.when(F.col("fit"), F.when(F.size("long") >= MIN_LONG, F.col("long")).otherwise(F.col("words"))).alias("long"), F.when(F.col("fit") & (F.size("words") <= SHORT), left_out(F.col("words"))).alias("keys"))
+    pairs = [F.shiftleft(F.try_element_at("keys", F.lit(2 * i + 1)), 32).bitwiseOR(F.coalesce(F.try_element_at("keys", F.lit(2 * i + 2)), F.try_element_at("keys", F.lit(2 * i + 1))).bitwiseAND(0xFFFFFFFF)).alias(q) for i, q in enumerate(_PAIRS)]
+    own += ["n", *_PAIRS]
+    words = chosen.select(*own[:-1 - len(_PAIRS)], F.when(F.col("long").isNotNull(), F.size("long")).alias("n"), *pairs, "long")
     # The hash of a null word is a number too; such a line has no n and so no SimHash.
-    hashes = words.select("dk", "doc_id", "line", "node", "size", "n", F.explode_outer("long").alias("word")).select("dk", "doc_id", "line", "node", "size", "n", F.xxhash64("word").alias("h"))
+    hashes = words.select(*own, F.explode_outer("long").alias("word")).select(*own, F.xxhash64("word").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_MASK)).alias(f"s{j}") for j in range(_SUMS)]
     top = F.sum(F.shiftrightunsigned("h", 63)).alias(f"s{_SUMS}")
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(mark).cast("long"))).alias(f"m{i}") for i, mark in enumerate(band_marks())]
-    counted = hashes.groupBy("dk", "line").agg(*(F.min(c).alias(c) for c in ("doc_id", "node", "size", "n")), *sums, top, *minima)
+    counted = hashes.groupBy("dk", "line").agg(*(F.min(c).alias(c) for c in ("doc_id", "node", "size", "n", *_PAIRS)), *sums, top, *minima)
     # A band is 32 bits of hash: texts are compared anyway, and rows stay narrow.
     bands = F.array(*(F.shiftright(F.xxhash64(*(f"m{i}" for i in band)), 32).cast("int") for band in BANDS))
-    return counted.where("node is not null").select("dk", "line", "doc_id", "node", "size", simhash([F.col(f"s{j}") for j in range(_SUMS + 1)], F.col("n")).alias("simhash"), F.when(F.col("n").isNotNull(), bands).alias("bands"))
+    return counted.where("node is not null").select("dk", "line", "doc_id", "node", "size", simhash([F.col(f"s{j}") for j in range(_SUMS + 1)], F.col("n")).alias("simhash"), F.when(F.col("n").isNotNull(), bands).alias("bands"), *_PAIRS)
 
 
 def trimmed(x: Column, y: Column) -> Column:
@@ -146,8 +167,13 @@ def symbols(norm: Column, size: int) -> Column:
     return as_symbols(F.regexp_extract_all(norm, F.lit(f"[^ ]{{1,{size - 1}}} ?|[^ ]"), F.lit(0)))
 
 
+def grams(norm: Column) -> Column:
+    """The distinct grams of a line that is not too long for them, else null."""
+    return F.when(F.length(norm).between(GRAM, GRAM_LINE), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(norm) - GRAM + 1), lambda i: F.substr(norm, i, F.lit(GRAM)))))
+
+
 def verifier(classes: DataFrame, docs: DataFrame, percent: int):
-    """Keeps the pairs of nodes whose lines share half of their words and are within the edit distance."""
+    """Keeps the pairs of nodes whose lines are within the edit distance."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line_pairs")
@@ -155,18 +181,18 @@ def verifier(classes: DataFrame, docs: DataFrame, percent: int):
         wanted = classes.join(nodes, "node", "left_semi").select("node", "first.dk", "first.line")
         found = docs.select("dk", "text").join(wanted, "dk").select("dk", "line", "node", F.array_join(words_of(F.split("text", "\n")[F.col("line")]), " ").alias("norm"))
         # Rows with equal id and text give a line more than once; they lie together already.
-        found = found.dropDuplicates(["dk", "line"]).withColumn("words", F.split("norm", " ")).select("node", "norm", F.array_distinct("words").alias("words"), (F.array_max(F.transform("words", F.length)) + 1).alias("widest"), as_symbols(F.col("words")).alias("by_word"), symbols(F.col("norm"), 4).alias("by_4"))
+        found = found.dropDuplicates(["dk", "line"]).withColumn("words", F.split("norm", " ")).select("node", "norm", grams(F.col("norm")).alias("grams"), (F.array_max(F.transform("words", F.length)) + 1).alias("widest"), as_symbols(F.col("words")).alias("by_word"), symbols(F.col("norm"), 4).alias("by_4"))
         found = cut(found, "lines")
         sides = [found.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in found.columns if c != "node")) for k in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b")
         most = F.floor(F.greatest(F.length("norm_a"), F.length("norm_b")) * ((100 - percent) / 100)).cast("int")
-        # Half of the words that either has: a third of what both have together.
-        alike = 3 * F.size(F.array_intersect("words_a", "words_b")) >= F.size("words_a") + F.size("words_b")
+        shared = F.size(F.array_intersect("grams_a", "grams_b")) >= F.greatest(F.size("grams_a"), F.size("grams_b")) - GRAM * most
+        possible = F.col("grams_a").isNull() | F.col("grams_b").isNull() | shared
         # Each test sees only the pairs that those before it leave open.
         bound = lambda by, width: F.call_function("levenshtein", f"{by}_a", f"{by}_b", F.floor(most / width).cast("int")) >= 0
         exact = F.exists(trimmed(F.col("norm_a"), F.col("norm_b")), lambda p: F.call_function("levenshtein", p["x"], p["y"], most) >= 0)
         linked = F.when(bound("by_word", F.greatest("widest_a", "widest_b")), True).when(bound("by_4", 4), True).otherwise(exact)
-        return both.where(alike).where(linked).select("a", "b")
+        return both.where(possible).where(linked).select("a", "b")
 
     return verify
 
@@ -190,14 +216,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     keyed = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("dk"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), rest)
     table = bucketed(keyed, "dk")
     whole = cut(line_index(table, min_words), "line_index")
-    classes = cut(whole.groupBy("node").agg(F.min("simhash").alias("simhash"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "dk", "line")).alias("first")), "line_classes")
+    classes = cut(whole.groupBy("node").agg(F.min("simhash").alias("simhash"), F.min("size").alias("size"), F.min("bands").alias("bands"), *(F.min(q).alias(q) for q in _PAIRS), F.min(F.struct("doc_id", "dk", "line")).alias("first")), "line_classes")
     index = cut(whole.select("dk", "line", "node"), "line_places")
     discard(whole)
     # The lowest bit of a key tells bands from blocks.
     blocks = [F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(-2) for i, m in enumerate(block_masks())]
     bands = [F.xxhash64(F.lit(-1 - i), F.col("bands")[i]).bitwiseOR(1) for i in range(len(BANDS))]
     hashed = classes.where("simhash is not null")
-    members = hashed.select("node", F.explode(F.array(*blocks, *bands)).alias("key"))
+    halves = [F.xxhash64(F.lit(-100), half).bitwiseOR(1) for q in _PAIRS for half in (F.shiftright(q, 32).cast("int"), F.shiftright(F.shiftleft(q, 32), 32).cast("int"))]
+    short = F.when(F.col(_PAIRS[0]).isNotNull(), F.array_compact(F.array(*(F.when(F.col(_PAIRS[i // 2]).isNotNull(), h) for i, h in enumerate(halves))))).otherwise(F.array().cast("array<bigint>"))
+    # A repeated word gives a key twice.
+    members = hashed.select("node", F.explode(F.concat(F.array(*blocks, *bands), F.array_distinct(short))).alias("key"))
     roots = link_buckets(members, hashed.select("node", "size", "simhash"), verifier(classes, table, percent), may_link(percent))
     placed = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     keepers = placed.join(placed.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("node", "keeper")

@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tessella.llm import components, line_dedup, minhash, paragraph_dedup, queries
 
@@ -142,8 +143,6 @@ def test_no_equal_short_line_is_left(spark):
 
 
 def test_similar_lines_like_brute_force(spark):
-    from pyspark.sql import functions as F
-
     raw = [(x,) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for x in (r.text or "").split("\n")]
     norm = F.array_join(line_dedup.words_of(F.col("raw")), " ")
     found = spark.createDataFrame(raw, "raw string").select(norm.alias("x")).where("size(split(x, ' ')) >= 5 and length(x) <= 400").distinct().cache()
@@ -170,9 +169,44 @@ def test_one_changed_word_is_found(spark):
     assert sum(r.n_removed for r in got) >= 95
 
 
-def test_simhash_by_hand(spark):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("n_words", [5, 6, 8, 12, 20])
+def test_recall_of_one_changed_word(spark, n_words):
+    """At least nine of ten pairs that brute force links are found, however short the lines."""
+    rng = random.Random(n_words)
+    pairs = []
+    for _ in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(4, 10))) for _ in range(n_words)]
+        other = list(words)
+        i = rng.randrange(n_words)
+        other[i] = other[i][: max(2, len(other[i]) - 3)] + "xyz"
+        pairs.append((" ".join(words), " ".join(other)))
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    near = spark.createDataFrame(pairs, "x string, y string").selectExpr("levenshtein(x, y) <= 0.2 * greatest(length(x), length(y)) as near").collect()
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    links = [i for i, r in enumerate(near) if r.near]
+    print(n_words, len(links), sum(2 * i + 1 in gone for i in links))
+    assert len(links) > 100
+    assert gone <= {2 * i + 1 for i in links}
+    assert sum(2 * i + 1 in gone for i in links) >= 0.9 * len(links)
+
+
+def test_gram_bound_loses_nothing(spark):
+    """Pairs within the distance share as many grams as the bound asks, whatever the edits."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        x = [rng.choice("abcde fgé") for _ in range(rng.randrange(3, 60))]
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 5 + 1)):
+            i = rng.randrange(len(y))
+            y[i : i + rng.choice([0, 1])] = rng.choice([[], ["z"], ["a"]])
+        rows.append(("".join(x), "".join(y)))
+    got = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", "levenshtein(x, y) as d").select("d", line_dedup.grams(F.col("x")).alias("a"), line_dedup.grams(F.col("y")).alias("b")).where("a is not null and b is not null").collect()
+    assert len(got) > 200
+    assert all(len(set(r.a) & set(r.b)) >= max(len(r.a), len(r.b)) - line_dedup.GRAM * r.d for r in got)
+
 
+def test_simhash_by_hand(spark):
     text = "alpha bravo charlie delta echo foxtrot golf"
     row = line_dedup.line_index(spark.createDataFrame([(1, 1, text)], "dk long, doc_id long, text string")).first()
     hashes = [r[0] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w")).collect()]
@@ -190,8 +224,6 @@ def test_awkward_lines(spark, awkward, empty):
 
 
 def test_bounds_are_never_less_than_the_distance(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(1)
     rows = []
     for _ in range(200):
@@ -307,8 +339,6 @@ def test_awkward_passages(spark, awkward, empty):
 
 
 def test_trimming_keeps_the_distance(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(9)
     rows = []
     for _ in range(300):
