@@ -3,6 +3,8 @@ from conftest import SF
 
 from tessella.llm import packing
 
+from .conftest import variant
+
 
 def test_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -39,6 +41,17 @@ def test_awkward_documents(spark, awkward, empty):
     assert last(spark, empty, SF).count() == 0
 
 
+def test_near_copies_of_shared_ids(spark):
+    """Different texts under one id are judged each by itself; rows that differ in other columns leave the least one."""
+    a, b, c = variant(1), variant(2), variant(3)
+    rows = [(1, a, "p"), (5, b, "p"), (5, a + " more", "p"), (7, c, "z"), (7, c, "y"), (7, c, None), (None, b + " tail", "p"), (None, variant(4), "q"), (9, "", "p"), (10, None, "p"), (3, a + " x", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, a, "p"), (5, b, "p"), (7, c, None), (None, variant(4), "q"), (9, "", "p"), (10, None, "p")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_run_on_an_empty_table(spark, empty, tmp_path):
     for name in ("benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
