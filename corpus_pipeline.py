@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, line_dedup, minhash, packing, quality_rules
-from tessella.llm.common import cut, read
+from tessella.llm.common import cut, discard, read
 
 
 OWN = ("doc_id", "text", "n_chars")
@@ -44,9 +44,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; of repeated rows, one."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near copies stays, the one with the least id; of repeated rows, one.
+
+    Documents are told apart by a 64-bit hash of id and text, so different texts
+    under one id are each judged by themselves. Of rows with equal id and text
+    that differ in other columns, the one with the least values stays.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    marked = docs.withColumn("__key", key)
+    found = cut(minhash.near_duplicates(marked.select("__key", "text"), doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id"), "near_copies")
+    rows = marked.select("__key", "doc_id").groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    rows = cut(found.distinct().join(rows, "__key"), "near_rows")
+    # Ids that are null come last; a group has a row for each different text or id.
+    stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key"))["__key"].alias("stays"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    gone = rows.join(stays, "component_id").where("__key <> stays").select("__key", F.lit(True).alias("gone"), F.lit(False).alias("repeated"))
+    fate = gone.unionByName(rows.where("copies > 1").select("__key", F.lit(False).alias("gone"), F.lit(True).alias("repeated")))
+    fate = cut(fate.groupBy("__key").agg(F.max("gone").alias("gone"), F.max("repeated").alias("repeated")), "fate")
+    discard(found, rows)
+    once = marked.join(fate.select("__key"), "__key", "left_anti").select(docs.columns)
+    several = marked.join(fate.where("repeated and not gone").select("__key"), "__key", "left_semi")
+    least = several.groupBy("__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("least"))
+    return once.unionByName(least.select(*(F.col("least").getField(c).alias(c) for c in docs.columns)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
