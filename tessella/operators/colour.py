@@ -1,8 +1,7 @@
 """Colour matching. Catalogues have brand, id, name, r, g, b, ord; points have id, l, a, b.
 
-Distances are computed between distinct colours only and joined back. The
-smaller side is broadcast if its counted rows are within BROADCAST_ROWS;
-beyond it Spark chooses how to join.
+Distances are computed between distinct colours only and joined back; which
+colours are compared follows from their places (see operators.nearby).
 """
 
 from __future__ import annotations
@@ -12,18 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
+from tessella.operators import nearby
 
-BROADCAST_ROWS = 20_000
 
 def lab(prefix: str) -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{x}") for x in ("l", "a", "b"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def with_lab(threads: DataFrame) -> DataFrame:
     light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     return threads.withColumns({"lab_l": light, "lab_a": a, "lab_b": b})
@@ -42,8 +36,7 @@ def distinct_points(points: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each point the thread of least squared distance, the first of equal ones, with CIEDE2000, tier and words."""
-    pairs = distinct_points(points).crossJoin(small(catalogue)).withColumn("d2", c.delta_e2(lab(""), lab("c_")))
-    best = pairs.groupBy("l", "a", "b").agg(F.min_by(F.struct("thread_id", "c_l", "c_a", "c_b", "d2"), F.struct("d2", "ord")).alias("m"))
+    best = nearby.nearest_in_lab(distinct_points(points), catalogue).select("l", "a", "b", F.struct("thread_id", "c_l", "c_a", "c_b", "d2").alias("m"))
     target = tuple(F.col(f"m.c_{x}") for x in ("l", "a", "b"))
     out = points.join(best, ["l", "a", "b"]).withColumn("delta", c.ciede2000(lab(""), target))
     return out.select("id", F.col("m.thread_id").alias("thread_id"), F.col("m.d2").alias("d2"), "delta", c.match_tier(F.col("delta")).alias("tier"), c.difference_words(lab(""), target).alias("words"))
@@ -51,7 +44,8 @@ def nearest(points: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def substitutes(points: DataFrame, stock: DataFrame, k: int = 5) -> DataFrame:
     """The k colours in stock that are nearest by CIEDE2000, rounded to a tenth."""
-    pairs = distinct_points(points).crossJoin(small(stock)).withColumn("delta", F.floor(c.ciede2000(lab(""), lab("c_")) * 10 + 0.5) / 10)
+    # What rounds to the tenth of the k-th may be a tenth farther.
+    pairs = nearby.nearest_by_ciede2000(distinct_points(points), stock, k, 0.11).withColumn("delta", F.floor(F.col("delta") * 10 + 0.5) / 10)
     rank = F.row_number().over(Window.partitionBy("l", "a", "b").orderBy("delta", "ord"))
     top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
     return points.join(top, ["l", "a", "b"]).select("id", "rank", "thread_id", "delta")
@@ -59,14 +53,15 @@ def substitutes(points: DataFrame, stock: DataFrame, k: int = 5) -> DataFrame:
 
 def near_pairs(stock: DataFrame, most: float = 1.0) -> DataFrame:
     """Pairs of colours in stock closer than most by CIEDE2000."""
-    x, y = (stock.select(*(F.col(n).alias(f"{side}_{n}") for n in ("thread_id", "ord", "c_l", "c_a", "c_b"))) for side in ("x", "y"))
-    delta = c.ciede2000(lab("x_c_"), lab("y_c_"))
-    return x.join(small(y), (F.col("x_ord") < F.col("y_ord")) & (delta < most)).select(F.col("x_thread_id").alias("first_id"), F.col("y_thread_id").alias("second_id"), delta.alias("delta"))
+    x = stock.select(F.col("thread_id").alias("first_id"), F.col("ord").alias("first_ord"), *(F.col(f"c_{k}").alias(k) for k in "lab"))
+    near = nearby.within_ciede2000(x, stock, F.lit(float(most))).where(F.col("first_ord") < F.col("ord")).withColumn("delta", c.ciede2000(lab(""), lab("c_")))
+    return near.where(F.col("delta") < most).select("first_id", F.col("thread_id").alias("second_id"), "delta")
 
 
 def covered(points: DataFrame, stock: DataFrame, most: float = 6.0) -> DataFrame:
     """Whether any colour in stock is closer to a point than most."""
-    hit = distinct_points(points).join(small(stock), c.ciede2000(lab(""), lab("c_")) < most, "left_semi").withColumn("covered", F.lit(True))
+    near = nearby.within_ciede2000(distinct_points(points), stock, F.lit(float(most)))
+    hit = near.where(c.ciede2000(lab(""), lab("c_")) < most).select("l", "a", "b").distinct().withColumn("covered", F.lit(True))
     return points.join(hit, ["l", "a", "b"], "left").select("id", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
@@ -75,7 +70,7 @@ def blends(catalogue: DataFrame) -> DataFrame:
     x, y = (catalogue.select(*(F.col(n).alias(f"{side}_{n}") for n in ("thread_id", "ord", "c_l", "c_a", "c_b"))) for side in ("x", "y"))
     ids = F.array_sort(F.array(F.col("x_thread_id").cast("string"), F.col("y_thread_id").cast("string")))
     mean = lambda k: ((F.col(f"x_c_{k}") + F.col(f"y_c_{k}")) / 2).alias(k)
-    return x.join(small(y), F.col("x_ord") < F.col("y_ord")).select(F.array_join(ids, "+").alias("blend_id"), mean("l"), mean("a"), mean("b"))
+    return x.join(y, F.col("x_ord") < F.col("y_ord")).select(F.array_join(ids, "+").alias("blend_id"), mean("l"), mean("a"), mean("b"))
 
 
 def hue_bins(points: DataFrame) -> DataFrame:

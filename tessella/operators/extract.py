@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.numbers import js_round
-from tessella.operators.colour import small
+from tessella.operators import nearby
 
 #: Words of stitch types in three languages, in the order in which they are tried, codes and strands of a legend row.
 TYPES = (
@@ -62,9 +62,11 @@ def matched(cells: DataFrame, legend: DataFrame, catalogue: DataFrame, reach: fl
     distinct = cells.select("page_id", *rgb).distinct()
     rows = legend.select("page_id", "code", "ord", *(F.col(c).alias(f"l_{c}") for c in rgb))
     near = distinct.join(rows, "page_id").groupBy("page_id", *rgb).agg(F.min_by(F.struct("code", gap("l_").alias("d")), F.struct(gap("l_"), "ord")).alias("m"))
-    threads = catalogue.select("id", F.col("ord").alias("t_ord"), *(F.col(c).alias(f"t_{c}") for c in rgb))
+    # The search goes by places along any three axes.
+    threads = catalogue.select(F.col("id").alias("thread_id"), "ord", *(F.col(c).cast("double").alias(f"c_{x}") for c, x in zip(rgb, "lab", strict=True)))
     far = distinct.join(near.where(F.col("m.d") < reach), ["page_id", *rgb], "left_anti").select(*rgb).distinct()
-    fallback = far.crossJoin(small(threads)).groupBy(*rgb).agg(F.min_by("id", F.struct(gap("t_"), "t_ord")).alias("thread"))
+    places = far.select(F.struct(*rgb).alias("rgb"), *(F.col(c).cast("double").alias(x) for c, x in zip(rgb, "lab", strict=True)))
+    fallback = nearby.nearest_in_lab(places, threads).select("rgb.*", F.col("thread_id").alias("thread"))
     j = cells.join(near, ["page_id", *rgb], "left").join(fallback, rgb, "left")
     exact, close = F.col("m.d") == 0, F.col("m.d") < reach
     kind = F.when(exact, "legend-exact").when(close, "legend-nearest").when(F.col("thread").isNotNull(), "catalogue").otherwise("unknown")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour as c
 from tessella.operators import colour as search
+from tessella.operators import nearby
 
 #: Degrees that each harmony adds to the base hue.
 HARMONIES = {"complementary": (180,), "analogous": (-30, 30), "triadic": (120, 240), "split": (150, 210)}
@@ -115,6 +116,5 @@ def reduced(palette: DataFrame, count: int) -> DataFrame:
 
 def similar(points: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     """id, rank, thread_id, delta: the k catalogue colours nearest by Euclidean Lab distance. points: id, l, a, b."""
-    pairs = search.distinct_points(points).crossJoin(search.small(catalogue)).withColumn("delta", F.sqrt(c.delta_e2(search.lab(""), search.lab("c_"))))
-    best = pairs.groupBy("l", "a", "b").agg(F.slice(F.sort_array(F.collect_list(F.struct("delta", "ord", "thread_id"))), 1, k).alias("best"))
-    return points.join(best, ["l", "a", "b"]).select("id", F.posexplode("best").alias("rank", "m")).select("id", (F.col("rank") + 1).alias("rank"), "m.thread_id", "m.delta")
+    best = nearby.nearest_in_lab(search.distinct_points(points), catalogue, k).select("l", "a", "b", "rank", "thread_id", F.sqrt("d2").alias("delta"))
+    return points.join(best, ["l", "a", "b"]).select("id", "rank", "thread_id", "delta")

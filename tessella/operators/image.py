@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
-from tessella.operators.colour import lab, small
+from tessella.operators import nearby
+from tessella.operators.colour import lab
 from tessella.plans.rounds import settled
 
 #: Weights of the 3 x 3 stencils, row by row.
@@ -110,10 +111,9 @@ def opened(mask: DataFrame, size: DataFrame) -> DataFrame:
 
 def mapped(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """The nearest palette entry of every pixel, one search for each distinct colour. palette: thread_id, ord, c_*."""
-    distinct = pixels.select("r", "g", "b").distinct()
     light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    pairs = distinct.withColumns({"p_l": light, "p_a": a, "p_b": b}).crossJoin(small(palette))
-    best = pairs.groupBy("r", "g", "b").agg(F.min_by("thread_id", F.struct(c.delta_e2(lab("p_"), lab("c_")), "ord")).alias("thread_id"))
+    distinct = pixels.select("r", "g", "b").distinct().select(F.struct("r", "g", "b").alias("rgb"), light.alias("l"), a.alias("a"), b.alias("b"))
+    best = nearby.nearest_in_lab(distinct, palette).select("rgb.*", "thread_id")
     return pixels.join(best, ["r", "g", "b"]).select("image_id", "idx", "thread_id")
 
 

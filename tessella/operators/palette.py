@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
-from tessella.operators.colour import lab, small
+from tessella.operators import nearby
+from tessella.operators.colour import lab
 from tessella.plans.rounds import settled
 
 
@@ -25,7 +26,7 @@ def proposals(sources: DataFrame, conversions: DataFrame, candidates: DataFrame,
     """
     charted = sources.join(conversions, sources["id"] == F.col("src_id")).select("id", F.col("dst_id").alias("thread_id"), F.lit(None).cast("double").alias("delta"), F.concat(F.lit("charted-"), "confidence").alias("how"))
     rest = sources.join(charted.select("id"), "id", "left_anti")
-    pairs = rest.select("l", "a", "b").distinct().crossJoin(small(candidates)).withColumn("delta", c.ciede2000(lab(""), lab("c_")))
+    pairs = nearby.nearest_by_ciede2000(rest.select("l", "a", "b").distinct(), candidates)
     best = pairs.groupBy("l", "a", "b").agg(F.min_by(F.struct("thread_id", "delta"), F.struct("delta", "ord")).alias("m"))
     how = F.when(F.col("m.delta") <= most, "nearest").when(F.col("m.delta") <= 1.5 * most, "near-miss").otherwise("none")
     near = rest.join(best, ["l", "a", "b"], "left").select("id", F.when(how != "none", F.col("m.thread_id")).alias("thread_id"), F.col("m.delta").alias("delta"), how.alias("how"))
@@ -34,7 +35,8 @@ def proposals(sources: DataFrame, conversions: DataFrame, candidates: DataFrame,
 
 def in_stock_first(sources: DataFrame, candidates: DataFrame, most: float = 10.0) -> DataFrame:
     """The nearest candidate in reach with enough in stock, else the nearest in reach; sources have needed, candidates owned."""
-    pairs = sources.crossJoin(small(candidates)).withColumn("delta", c.ciede2000(lab(""), lab("c_"))).where(F.col("delta") <= most).withColumn("enough", F.col("owned") >= F.col("needed"))
+    near = nearby.within_ciede2000(sources, candidates, F.lit(float(most)))
+    pairs = near.withColumn("delta", c.ciede2000(lab(""), lab("c_"))).where(F.col("delta") <= most).withColumn("enough", F.col("owned") >= F.col("needed"))
     best = pairs.groupBy("id").agg(F.min_by(F.struct("thread_id", "delta", "enough"), F.struct((~F.col("enough")).alias("x"), "delta", "ord")).alias("m"), F.count(F.lit(1)).alias("n_in_reach"))
     return best.select("id", "m.thread_id", "m.delta", "m.enough", "n_in_reach")
 
