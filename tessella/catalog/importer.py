@@ -76,9 +76,15 @@ def import_page_roles(spark, d):
     return op.page_roles(p.withColumns({"page": F.col("page_id") % 4, "text": text}))
 
 
-@query("WITH d AS (SELECT DISTINCT l_suppkey AS page_id, floor((l_partkey % 60) * 2.5::DOUBLE * 10 + 0.5) / 10 AS v FROM lineitem), s AS (SELECT page_id, floor((v - lag(v) OVER (PARTITION BY page_id ORDER BY v)) * 10 + 0.5) / 10 AS step FROM d), n AS (SELECT page_id, step, count(*) AS n FROM s WHERE step > 0 GROUP BY 1, 2) SELECT page_id, step AS pitch FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, step) = 1")
+@query("""WITH r AS (SELECT l_suppkey AS page_id, CASE WHEN l_suppkey % 5 = 0 THEN (l_partkey % 2) * 2.5::DOUBLE WHEN l_suppkey % 7 = 0 THEN (l_partkey % 60) * 0.25::DOUBLE ELSE (l_partkey % 41) * 2.5::DOUBLE + (l_partkey % 3) * 0.3::DOUBLE END AS v, CASE WHEN l_suppkey % 35 <> 0 THEN l_quantity END AS size FROM lineitem),
+    d AS (SELECT DISTINCT page_id, floor(v * 100 + 0.5) / 100 AS v FROM r), s AS (SELECT page_id, v, v - lag(v) OVER (PARTITION BY page_id ORDER BY v) AS gap, count(*) OVER (PARTITION BY page_id) AS n FROM d),
+    n AS (SELECT page_id, floor(gap * 10 + 0.5) / 10 AS step, count(*) AS n, min(v) AS first FROM s WHERE gap > 0.5 AND n >= 3 GROUP BY 1, 2), c AS (SELECT page_id, step FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) = 1),
+    m AS (SELECT page_id, list_sort(list(CAST(size AS DOUBLE)) FILTER (size > 0)) AS sizes FROM r GROUP BY 1) SELECT page_id, coalesce(step, sizes[len(sizes) // 2 + 1], 0) AS pitch FROM m LEFT JOIN c USING (page_id)""")
 def import_pitch(spark, d):
-    return op.pitch(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page_id"), ((F.col("l_partkey") % 60) * 2.5).alias("v")))
+    """Pages with steps of several widths, with two coordinates, with steps that are too small, and without sizes."""
+    page, part = F.col("l_suppkey"), F.col("l_partkey")
+    v = F.when(page % 5 == 0, (part % 2) * 2.5).when(page % 7 == 0, (part % 60) * 0.25).otherwise((part % 41) * 2.5 + (part % 3) * 0.3)
+    return op.pitch(table(spark, d, "lineitem").select(page.alias("page_id"), v.alias("v"), F.when(page % 35 != 0, F.col("l_quantity")).alias("size")))
 
 
 CODED = "coded AS (SELECT project_id AS doc, CASE WHEN thread_id IN ('__skip__', '__empty__') THEN NULL ELSE thread_id END AS code, CASE WHEN thread_id = '__empty__' OR project_id % 3 = 0 AND idx % 3 <> 0 THEN 0.0::DOUBLE ELSE 0.9 END AS confidence FROM cells WHERE thread_id <> '__skip__'), legend AS (SELECT DISTINCT project_id AS doc, 't' || (idx % 9) AS code, project_id % 97 AS expected FROM cells WHERE idx < 8), sizes AS (SELECT DISTINCT project_id AS doc, project_id * 13 % 1300 AS width, project_id * 7 % 40 AS height FROM cells)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.adapters import cells, library, sql, stash, targets
+from tessella.adapters import cells, library, sql, stash, table, targets
 from tessella.catalog.grid import PARTS
 from tessella.operators import grid as grid_op
 from tessella.operators import store as op
@@ -24,12 +24,15 @@ def summaries(spark, d):
     return m.where("owner <> 5").select("key", (F.col("total") * 2).alias("stitches")).unionByName(m.select(F.concat(F.lit("proj_gone"), F.col("owner").cast("string")).alias("key"), F.lit(1).cast("long").alias("stitches")))
 
 
-@query("WITH p AS (SELECT unnest([{'k': '310', 'v': 'owned'}, {'k': '666', 'v': 'tobuy'}, {'k': '995', 'v': NULL}]) AS e) SELECT 'proj_7' AS project_id, e.k AS thread, e.v AS status FROM p")
+@query(sql("stash", """, e AS (SELECT id % 50 AS k, CASE WHEN id % 3 = 0 THEN 'anchor:' WHEN id % 3 = 1 THEN 'dmc:' ELSE '' END || (id % 50) AS key, id % 9 AS nr, CASE WHEN owned % 3 = 1 THEN 'owned' WHEN owned % 3 = 2 THEN 'tobuy' ELSE '' END AS v FROM stash), one AS (SELECT nr, k, key, max(v) AS v FROM e GROUP BY 1, 2, 3) SELECT 'proj_7' AS project_id, CAST(k AS VARCHAR) AS thread, arg_min(v, key) FILTER (v <> '') AS status FROM one WHERE nr = 7 GROUP BY k"""))
 def store_project(spark, d):
-    """A project whose keys carry brands."""
-    rows = [("proj_7", {"dmc:310": "owned", "310": "", "anchor:666": "", "dmc:666": "tobuy", "995": ""}), ("proj_8", {"1": "owned"})]
-    found = op.project(spark.createDataFrame(rows, "project_id string, owned map<string, string>"), "proj_7")
-    return found.select("project_id", F.explode("owned").alias("thread", "status"))
+    """One of nine projects, whose threads are those of the stock, under keys of several brands."""
+    k = F.col("id") % 50
+    key = F.concat(F.when(F.col("id") % 3 == 0, "anchor:").when(F.col("id") % 3 == 1, "dmc:").otherwise(""), k.cast("string"))
+    each = stash(spark, d).select(F.concat(F.lit("proj_"), (F.col("id") % 9).cast("string")).alias("project_id"), key.alias("k"), F.when(F.col("owned") % 3 == 1, "owned").when(F.col("owned") % 3 == 2, "tobuy").otherwise("").alias("v"))
+    one = each.groupBy("project_id", "k").agg(F.max("v").alias("v"))
+    projects = one.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("owned"))
+    return op.project(projects, "proj_7").select("project_id", F.explode("owned").alias("thread", "status"))
 
 
 @query(sql("sessions targets", f", {KEYED} SELECT key, owner, total, updated_at, CAST(row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, key) AS INTEGER) AS position FROM metas WHERE starts_with(key, 'proj_')"))
@@ -55,16 +58,22 @@ def store_backup_findings(spark, d):
     return op.backup_findings(heads, metas(spark, d).withColumn("backup_id", F.col("owner")), own(stash(spark, d), "id"), own(library(spark, d), "pattern_id"), "backup")
 
 
-@query("WITH f AS (SELECT unnest(range(0, 5)) AS file_id) SELECT file_id, CASE file_id WHEN 1 THEN 'format' WHEN 2 THEN 'version' WHEN 3 THEN 'projects' END AS error, CAST(CASE file_id WHEN 0 THEN 2 WHEN 4 THEN 0 END AS INTEGER) AS n_projects FROM f")
+@query("WITH f AS (SELECT o_custkey AS file_id, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT *, CASE WHEN file_id % 5 = 1 THEN 'format' WHEN file_id % 7 = 2 THEN 'version' WHEN file_id % 11 = 3 THEN 'projects' END AS error FROM f) SELECT file_id, error, CAST(CASE WHEN error IS NULL THEN CASE WHEN file_id % 13 = 0 THEN 0 ELSE n END END AS INTEGER) AS n_projects FROM e")
 def store_sync_findings(spark, d):
-    rows = [(0, "sync", 1, ["a", "b"]), (1, None, 1, ["a"]), (2, "sync", 2, ["a"]), (3, "sync", 1, None), (4, "sync", 1, [])]
-    return op.sync_findings(spark.createDataFrame(rows, "file_id long, format string, version int, projects array<string>"), "sync")
+    """A file of each customer, with a project for each order; some of another format or version, some without a list."""
+    k = F.col("o_custkey")
+    files = table(spark, d, "orders").groupBy(k.alias("file_id")).agg(F.collect_list(F.concat(F.lit("proj_"), F.col("o_orderkey").cast("string"))).alias("projects"))
+    k = F.col("file_id")
+    made = files.select("file_id", F.when(k % 5 == 1, F.when(k % 2 == 0, "other")).otherwise("sync").alias("format"), F.when(k % 7 == 2, 2).otherwise(1).alias("version"), F.when(k % 11 != 3, F.when(k % 13 == 0, F.array().cast("array<string>")).otherwise(F.col("projects"))).alias("projects"))
+    return op.sync_findings(made, "sync")
 
 
-@query(sql("cells", ", f AS (SELECT project_id, CASE WHEN project_id % 9 = 0 THEN 'empty' ELSE sha256(string_agg(thread_id, ',' ORDER BY idx)) END AS fp FROM cells WHERE idx < 1 GROUP BY 1) SELECT fp AS fingerprint, count(*) AS n, min(project_id) AS canonical_id FROM f WHERE fp <> 'empty' GROUP BY 1"))
+@query(sql("cells", ", f AS (SELECT project_id // 2 AS half, project_id, CASE WHEN project_id % 9 = 0 THEN 'empty' ELSE sha256(string_agg(thread_id, ',' ORDER BY idx)) END AS fp FROM cells GROUP BY 1, 2), g AS (SELECT project_id, fp FROM f UNION ALL SELECT project_id + 1000000, fp FROM f WHERE half % 2 = 0) SELECT fp AS fingerprint, count(*) AS n, min(project_id) AS canonical_id FROM g WHERE fp <> 'empty' GROUP BY 1"))
 def store_fingerprint_index(spark, d):
-    f = sync_op.fingerprints(cells(spark, d).where("idx < 1"))
-    return op.fingerprint_index(f.withColumn("fingerprint", F.when(F.col("project_id") % 9 == 0, "empty").otherwise(F.col("fingerprint"))))
+    """Whole charts, some of them held twice."""
+    f = sync_op.fingerprints(cells(spark, d)).withColumn("fingerprint", F.when(F.col("project_id") % 9 == 0, "empty").otherwise(F.col("fingerprint")))
+    again = f.where(F.floor(F.col("project_id") / 2) % 2 == 0).withColumn("project_id", F.col("project_id") + 1_000_000)
+    return op.fingerprint_index(f.unionByName(again))
 
 
 SIDES = "l AS (SELECT project_id, done AS seconds, 'l' || project_id AS name, 'active' AS state, project_id % 7 AS u, CASE project_id % 5 WHEN 0 THEN 'keep-remote' WHEN 1 THEN 'keep-local' END AS choice FROM targets WHERE project_id % 6 <> 0), r AS (SELECT project_id, total AS seconds, 'r' || project_id AS name, CASE WHEN project_id % 4 <> 0 THEN 'paused' END AS state, project_id % 5 AS u FROM targets WHERE project_id % 8 <> 0)"

@@ -100,12 +100,23 @@ def page_roles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", role.alias("role"), sure.alias("confidence"))
 
 
-def pitch(points: DataFrame) -> DataFrame:
-    """The commonest step between sorted distinct coordinates, to a tenth; the smaller of equal ones."""
-    distinct = points.select("page_id", (F.floor(F.col("v") * 10 + 0.5) / 10).alias("v")).distinct()
-    step = F.col("v") - F.lag("v").over(Window.partitionBy("page_id").orderBy("v"))
-    steps = distinct.withColumn("step", F.floor(step * 10 + 0.5) / 10).where("step > 0").groupBy("page_id", "step").agg(F.count(F.lit(1)).alias("n"))
-    return steps.groupBy("page_id").agg(F.max_by("step", F.struct("n", -F.col("step"))).alias("pitch"))
+def pitch(rects: DataFrame, least: float = 0.5) -> DataFrame:
+    """page_id and pitch of a chart along one axis: the commonest step over least between its distinct coordinates, the first along the axis of equal ones.
+
+    rects: page_id, v (a coordinate), size (the rectangle's extent). Coordinates
+    count to the hundredth, steps to the tenth. With fewer than three coordinates
+    or no such step it is the upper median of the sizes above 0, and 0 without any.
+    """
+    distinct = rects.select("page_id", (F.floor(F.col("v") * 100 + 0.5) / 100).alias("v")).distinct()
+    along = Window.partitionBy("page_id").orderBy("v")
+    gaps = distinct.withColumns({"gap": F.col("v") - F.lag("v").over(along), "n": F.count(F.lit(1)).over(Window.partitionBy("page_id"))}).where((F.col("gap") > least) & (F.col("n") >= 3))
+    steps = gaps.groupBy("page_id", (F.floor(F.col("gap") * 10 + 0.5) / 10).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"))
+    commonest = steps.groupBy("page_id").agg(F.max_by("step", F.struct("n", -F.col("first"))).alias("step"))
+    by_size = Window.partitionBy("page_id").orderBy("size")
+    placed = rects.where("size > 0").withColumns({"i": F.row_number().over(by_size), "n": F.count(F.lit(1)).over(Window.partitionBy("page_id"))})
+    middle = placed.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("page_id", F.col("size").cast("double").alias("middle"))
+    out = rects.select("page_id").distinct().join(commonest, "page_id", "left").join(middle, "page_id", "left")
+    return out.select("page_id", F.coalesce("step", "middle", F.lit(0.0)).alias("pitch"))
 
 
 def validate(cells: DataFrame, legend: DataFrame, documents: DataFrame) -> DataFrame:
