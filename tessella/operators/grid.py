@@ -123,18 +123,28 @@ def cluster_bands(labels: DataFrame) -> DataFrame:
     return sizes.groupBy("project_id", band.alias("band")).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_cells"))
 
 
-def nearest_like(cells: DataFrame, reach: int = 20) -> DataFrame:
+def nearest_like(cells: DataFrame, reach: int = 20, shells: tuple[int, ...] = (1, 4)) -> DataFrame:
     """Distance to the first like cell in square shells read from the top left; 999 without one in reach.
 
-    Cells meet those of their own and the eight squares around, each as wide as the reach.
+    Cells meet those of their own and the eight squares around, each as wide as
+    the reach. Narrow squares come first, and only cells that find nothing there
+    go on to wider ones: on plain areas nobody does, and elsewhere like cells are few.
     """
-    live = stitchable(cells).select("project_id", "thread_id", "idx", "x", "y", F.floor(F.col("x") / reach).alias("bx"), F.floor(F.col("y") / reach).alias("by"))
+    live = stitchable(cells).select("project_id", "thread_id", "idx", "x", "y")
     steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    other = live.withColumn("s", steps).select("project_id", "thread_id", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("bx") + F.col("s.dx")).alias("bx"), (F.col("by") + F.col("s.dy")).alias("by"))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    pairs = live.join(other, ["project_id", "thread_id", "bx", "by"]).where((F.col("idx") != F.col("j")) & (F.greatest(F.abs(dx), F.abs(dy)) <= reach))
-    best = pairs.groupBy("project_id", "idx").agg(F.min(F.struct(F.greatest(F.abs(dx), F.abs(dy)).alias("shell"), dy.alias("dy"), dx.alias("dx"))).alias("m"))
-    out = live.select("project_id", "idx").join(best, ["project_id", "idx"], "left")
+    left, hits = live, None
+    for r in [*(s for s in shells if s < reach), reach]:
+        square = lambda v, r=r: F.floor(F.col(v) / r)
+        asking = left.withColumn("s", steps).select("project_id", "thread_id", "idx", "x", "y", (square("x") + F.col("s.dx")).alias("bx"), (square("y") + F.col("s.dy")).alias("by"))
+        other = live.select("project_id", "thread_id", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), square("x").alias("bx"), square("y").alias("by"))
+        pairs = asking.join(other, ["project_id", "thread_id", "bx", "by"]).where((F.col("idx") != F.col("j")) & (F.greatest(F.abs(dx), F.abs(dy)) <= r))
+        best = pairs.groupBy("project_id", "idx").agg(F.min(F.struct(F.greatest(F.abs(dx), F.abs(dy)).alias("shell"), dy.alias("dy"), dx.alias("dx"))).alias("m"))
+        if r < reach:
+            best = settled(best, "nearest_like")
+            left = settled(left.join(best.select("project_id", "idx"), ["project_id", "idx"], "left_anti"), "left")
+        hits = best if hits is None else hits.unionByName(best)
+    out = live.select("project_id", "idx").join(hits, ["project_id", "idx"], "left")
     return out.select("project_id", "idx", F.coalesce(F.sqrt(F.col("m.dx") * F.col("m.dx") + F.col("m.dy") * F.col("m.dy")), F.lit(999.0)).alias("distance"))
 
 
