@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators import grid
-from tessella.plans.rounds import settled
+from tessella.plans.rounds import forget, settled
 
 #: Where the edge of a direction (0 above, 1 right, 2 below, 3 left of its cell) starts and ends, clockwise.
 STARTS = ((0, 0), (1, 0), (1, 1), (0, 1))
@@ -42,11 +42,13 @@ def successors(edges: DataFrame) -> DataFrame:
 def ordered(links: DataFrame) -> DataFrame:
     """project_id, edge, ring (its least edge) and pos (steps from that one) for links (project_id, edge, next) that form cycles."""
     links = settled(links, "links")
-    known = links.select("project_id", "edge", F.col("next").alias("to"), F.least("edge", "next").alias("ring"))
+    known, last = links.select("project_id", "edge", F.col("next").alias("to"), F.least("edge", "next").alias("ring")), None
     while True:
         there = known.select("project_id", F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
         after = settled(known.join(there, ["project_id", "to"]).select("project_id", "edge", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved")), "rings")
-        known = after.drop("moved")
+        if last is not None:
+            forget(last)
+        known, last = after.drop("moved"), after
         # Once a round changes nothing, each edge knows the least of as many edges as its ring has.
         if after.where("moved").isEmpty():
             break
@@ -57,7 +59,10 @@ def ordered(links: DataFrame) -> DataFrame:
     steps = settled(back.select("project_id", "edge", "ring", F.when(first, F.col("edge")).otherwise(F.col("to")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("pos")), "steps")
     while not steps.where("to <> ring").isEmpty():
         there = steps.select("project_id", F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("pos").alias("pos2"))
-        steps = settled(steps.join(there, ["project_id", "to"]).select("project_id", "edge", "ring", F.col("to2").alias("to"), (F.col("pos") + F.col("pos2")).alias("pos")), "steps")
+        after = settled(steps.join(there, ["project_id", "to"]).select("project_id", "edge", "ring", F.col("to2").alias("to"), (F.col("pos") + F.col("pos2")).alias("pos")), "steps")
+        forget(steps)
+        steps = after
+    forget(links, last)
     return steps.select("project_id", "edge", "ring", "pos")
 
 

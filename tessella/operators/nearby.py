@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
-from tessella.plans.rounds import settled
+from tessella.plans.rounds import forget, settled
 
 #: Catalogues of so many colours are broadcast, and all of them compared, which is one plain job.
 FEW = 1000
@@ -65,7 +65,9 @@ def nearest_in_lab(points: DataFrame, catalogue: DataFrame, k: int = 1, first_si
         found = best if found is None else found.unionByName(best)
         if last:
             return found
-        left = settled(left.join(best.select("l", "a", "b").distinct(), ["l", "a", "b"], "left_anti").select(*own), "left")
+        rest = settled(left.join(best.select("l", "a", "b").distinct(), ["l", "a", "b"], "left_anti").select(*own), "left")
+        forget(left)
+        left = rest
         if left.isEmpty():
             return found
         side = side * 3 if side < 100 else WHOLE

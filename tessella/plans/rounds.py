@@ -6,11 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(df: DataFrame) -> str:
     """What spark.checkpoint.dir names; a temporary folder only where the session is one process."""
     conf = df.sparkSession.conf
@@ -25,7 +29,17 @@ def settled(df: DataFrame, name: str = "round") -> DataFrame:
     """df written into the shared folder, so that rounds do not pile up and a lost executor costs a read."""
     path = f"{shared_folder(df)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that settled() has written; no plan that still runs may read them."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def least_reached(links: DataFrame, group: str) -> DataFrame:
@@ -46,6 +60,8 @@ def least_reached(links: DataFrame, group: str) -> DataFrame:
         # Both sides are distinct, so they are the same set if they are as many as they have in common.
         same = links.join(after, [group, "u", "v"], "left_semi").count()
         if same == links.count() == after.count():
+            forget(after)
             break
+        forget(links)
         links = after
     return links.select(group, F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(group, F.col("v").alias("node"), F.col("v").alias("root")).distinct())
