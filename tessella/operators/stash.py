@@ -17,14 +17,14 @@ from tessella.functions.skeins import skeins_needed
 
 def is_open():
     return F.col("status") != "completed"
+from tessella.plans.ranks import placed
 
 
 def low_stock(stash: DataFrame, threshold: int = 2) -> DataFrame:
     """Threads under their own minimum, or under the threshold where they have none, with the position in their brand: most short first."""
     least = F.when(F.col("min_stock") > 0, F.col("min_stock")).otherwise(threshold)
     low = stash.withColumn("least", least.cast("long")).where("owned < least").withColumn("short", F.col("least") - F.col("owned"))
-    order = Window.partitionBy("brand").orderBy(F.desc("short"), "id")
-    return low.select("id", "brand", "owned", "least", "short", F.row_number().over(order).alias("position"))
+    return placed(low.select("id", "brand", "owned", "least", "short"), ["brand"], [F.desc("short"), F.col("id")], "position")
 
 
 def thread_states(stash: DataFrame, threshold: int = 2) -> DataFrame:
@@ -35,8 +35,7 @@ def thread_states(stash: DataFrame, threshold: int = 2) -> DataFrame:
 
 def shopping_order(stash: DataFrame) -> DataFrame:
     """Threads to buy: newest first, then brand, then number."""
-    order = Window.partitionBy("brand").orderBy(F.desc("added_at"), "id")
-    return stash.where("tobuy").select("brand", "id", "added_at", F.row_number().over(order).alias("position"))
+    return placed(stash.where("tobuy").select("brand", "id", "added_at"), ["brand"], [F.desc("added_at"), F.col("id")], "position")
 
 
 def age_buckets(stash: DataFrame, as_of: str) -> DataFrame:
