@@ -4,13 +4,11 @@ Lines are normalised and get a 64-bit SimHash of their words. Lines whose
 hashes differ in at most three bits agree, by the pigeonhole principle, on two
 of five blocks of bits, and meet in the buckets of the ten pairs of blocks. One
 changed word in fifty moves about four bits, so lines also have MinHash values
-of the same words. Lines of up to fourteen longer words meet in eight bands of
-three: at a Jaccard similarity of 0.78, as with one of eight words changed, some 2 %
-miss all bands, at 0.85, one word of twelve, under 0.1 %. Lines of twelve or more
-meet in six bands of four, which fewer unlike lines share: at 0.85 2 % miss them, at
-0.9 0.2 %. Lines of seven words or
-fewer have more keys, for all their words and for all but each of them, so that
-short lines with one word changed, added or left out always meet. All keys see whole
+of the same words and meet in six bands of four: of lines that share four fifths
+of their longer words 4.3 % miss all bands, of those that share nine tenths 0.2 %.
+Lines of fourteen words or fewer also have a key for all their words and one for
+all but each, so that short lines with one word changed, added or left out always
+meet, and few others do. All keys see whole
 words, so lines with a typo in most of their words hardly ever meet.
 Lines that meet are compared by edit
 distance, and links join into groups. Of each group the occurrence in the least
@@ -62,11 +60,11 @@ MAX_BITS = 3
 PERCENT = 80
 #: Widths of the blocks; any MAX_BITS flipped bits leave two of five alone.
 BLOCKS = (13, 13, 13, 13, 12)
-#: MinHash values, and the bands of them: for lines of up to so many words in the SimHash, of which two share one value at most, and for lines from so many on, of which two share two at most.
+#: MinHash values, and the bands of them; two bands share two at most.
 MINIMA = 12
-BANDS = ((14, ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))), (12, ((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (0, 4, 8, 11), (1, 5, 9, 3), (2, 6, 10, 7))))
+BANDS = ((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (0, 4, 8, 11), (1, 5, 9, 3), (2, 6, 10, 7))
 #: Lines of so many words at most also have a key for all their words and one for all but each; two keys in a number.
-SHORT = 7
+SHORT = 14
 _PAIRS = [f"q{i}" for i in range((SHORT + 2) // 2)]
 #: Characters of a gram, and of the lines that are first compared by their grams.
 GRAM, GRAM_LINE = 3, 400
@@ -134,10 +132,7 @@ def line_index(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(mark).cast("long"))).alias(f"m{i}") for i, mark in enumerate(band_marks())]
     counted = hashes.groupBy("dk", "line").agg(*(F.min(c).alias(c) for c in ("doc_id", "node", "size", "n", *_PAIRS)), *sums, top, *minima)
     # A band is 32 bits of hash: texts are compared anyway, and rows stay narrow.
-    hashed = lambda bands: F.array(*(F.shiftright(F.xxhash64(*(f"m{i}" for i in band)), 32).cast("int") for band in bands))
-    (most, few), (least, many) = BANDS
-    empty = F.array().cast("array<int>")
-    bands = F.struct(F.when(F.col("n") <= most, hashed(few)).otherwise(empty).alias("few"), F.when(F.col("n") >= least, hashed(many)).otherwise(empty).alias("many"))
+    bands = F.array(*(F.shiftright(F.xxhash64(*(f"m{i}" for i in band)), 32).cast("int") for band in BANDS))
     return counted.where("node is not null").select("dk", "line", "doc_id", "node", "size", simhash([F.col(f"s{j}") for j in range(_SUMS + 1)], F.col("n")).alias("simhash"), F.when(F.col("n").isNotNull(), bands).alias("bands"), *_PAIRS)
 
 
@@ -226,12 +221,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     discard(whole)
     # The lowest bit of a key tells bands from blocks.
     blocks = [F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(-2) for i, m in enumerate(block_masks())]
-    bands = [F.transform(f"bands.{kind}", lambda h, i: F.xxhash64(F.lit(at) - i, h).bitwiseOR(1)) for kind, at in (("few", -200), ("many", -1))]
+    bands = [F.xxhash64(F.lit(-1 - i), F.col("bands")[i]).bitwiseOR(1) for i in range(len(BANDS))]
     hashed = classes.where("simhash is not null")
     halves = [F.xxhash64(F.lit(-100), half).bitwiseOR(1) for q in _PAIRS for half in (F.shiftright(q, 32).cast("int"), F.shiftright(F.shiftleft(q, 32), 32).cast("int"))]
     short = F.when(F.col(_PAIRS[0]).isNotNull(), F.array_compact(F.array(*(F.when(F.col(_PAIRS[i // 2]).isNotNull(), h) for i, h in enumerate(halves))))).otherwise(F.array().cast("array<bigint>"))
     # A repeated word gives a key twice.
-    members = hashed.select("node", F.explode(F.concat(F.array(*blocks), *bands, F.array_distinct(short))).alias("key"))
+    members = hashed.select("node", F.explode(F.concat(F.array(*blocks, *bands), F.array_distinct(short))).alias("key"))
     roots = link_buckets(members, hashed.select("node", "size", "simhash"), verifier(classes, table, percent), may_link(percent))
     placed = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     keepers = placed.join(placed.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("node", "keeper")
