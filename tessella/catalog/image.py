@@ -81,9 +81,17 @@ def image_without_background(spark, d):
     return op.without_background(pixels(spark, d), 200, 180, 160, 60.0).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Rounds of assigning colours to centres and moving these, each over the images that still move.
+LLOYD = f"""{PIXELS.replace('WITH raw', 'WITH RECURSIVE raw')}, counted AS (SELECT image_id, r, g, b, count(*) AS n FROM pixels GROUP BY ALL), {lab_sql('counted', 'image_id, r, g, b, n', 'z')}, firsts AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS cluster FROM z QUALIFY cluster <= 8),
+    k(image_id, cluster, n, c_l, c_a, c_b, far, step) AS (SELECT image_id, cluster, CAST(0 AS BIGINT), lab_l, lab_a, lab_b, 1e9::DOUBLE, 0 FROM firsts UNION ALL
+        SELECT image_id, cluster, n, m_l, m_a, m_b, max(pow(m_l - c_l, 2) + pow(m_a - c_a, 2) + pow(m_b - c_b, 2)) OVER (PARTITION BY image_id), step + 1 FROM (
+            SELECT w.image_id, w.cluster, coalesce(m.n, 0) AS n, coalesce(m_l, c_l) AS m_l, coalesce(m_a, c_a) AS m_a, coalesce(m_b, c_b) AS m_b, c_l, c_a, c_b, step FROM k w LEFT JOIN (
+                SELECT image_id, cluster, CAST(sum(n) AS BIGINT) AS n, sum(lab_l * n) / sum(n) AS m_l, sum(lab_a * n) / sum(n) AS m_a, sum(lab_b * n) / sum(n) AS m_b FROM (
+                    SELECT z.image_id, z.n, lab_l, lab_a, lab_b, arg_min(v.cluster, struct_pack(d := pow(lab_l - c_l, 2) + pow(lab_a - c_a, 2) + pow(lab_b - c_b, 2), c := v.cluster)) AS cluster FROM z JOIN k v ON v.image_id = z.image_id GROUP BY z.image_id, z.r, z.g, z.b, z.n, lab_l, lab_a, lab_b) GROUP BY 1, 2) m ON m.image_id = w.image_id AND m.cluster = w.cluster WHERE far > 0.25 AND step < 20))"""
+
+
+@query(f"{LLOYD} SELECT image_id, CAST(cluster AS INTEGER) AS cluster, n, round(c_l, 6) AS c_l, round(c_a, 6) AS c_a, round(c_b, 6) AS c_b FROM k WHERE step > 0 AND (far <= 0.25 OR step = 20)")
 def image_quantised(spark, d):
-    """Lloyd's rounds: no SQL."""
     return op.quantised(pixels(spark, d)).withColumns({f"c_{x}": F.round(f"c_{x}", 6) for x in ("l", "a", "b")})
 
 
