@@ -92,9 +92,17 @@ def selection_substituted(spark, d):
     return op.substituted(cells(spark, d), plan(spark, d))
 
 
-@query()
+#: One merge of each chart in a round: the closest pair of ids that are left, the first in the order of counts among equal ones.
+MERGED = f"""{COLOURS}, {LIVE}, n AS (SELECT project_id, thread_id, count(*) AS n, ord, c_l, c_a, c_b FROM live JOIN colours USING (thread_id) GROUP BY ALL),
+    k(project_id, pos, thread_id, n, c_l, c_a, c_b, goes, step) AS (SELECT project_id, row_number() OVER w, thread_id, n, c_l, c_a, c_b, row_number() OVER w, 0 FROM n WINDOW w AS (PARTITION BY project_id ORDER BY n DESC, ord) UNION ALL
+        SELECT k.project_id, k.pos, k.thread_id, k.n + CASE WHEN k.pos = keep THEN more ELSE 0 END, k.c_l, k.c_a, k.c_b, CASE WHEN k.goes = lose THEN keep ELSE k.goes END, k.step + 1 FROM k JOIN (
+            SELECT project_id, CASE WHEN p.a > p.b THEN p.i ELSE p.j END AS keep, CASE WHEN p.a > p.b THEN p.j ELSE p.i END AS lose, CASE WHEN p.a > p.b THEN p.b ELSE p.a END AS more FROM (
+                SELECT x.project_id, arg_min(struct_pack(i := x.pos, j := y.pos, a := x.n, b := y.n), struct_pack(d := pow(x.c_l - y.c_l, 2) + pow(x.c_a - y.c_a, 2) + pow(x.c_b - y.c_b, 2), i := x.pos, j := y.pos)) AS p, count(DISTINCT x.pos) + 1 AS alive
+                FROM k x JOIN k y ON y.project_id = x.project_id AND y.pos > x.pos WHERE x.goes = x.pos AND y.goes = y.pos GROUP BY 1) WHERE alive > 3) m ON m.project_id = k.project_id)"""
+
+
+@query(sql("cells", f", {MERGED}, done AS (SELECT * FROM k QUALIFY step = max(step) OVER (PARTITION BY project_id)) SELECT a.project_id, a.thread_id, b.thread_id AS new_id FROM done a JOIN done b ON b.project_id = a.project_id AND b.pos = a.goes").replace("WITH ", "WITH RECURSIVE ", 1))
 def selection_reduced(spark, d):
-    """Each merge depends on those before it: no SQL; compared with a plain loop in the tests."""
     return op.reduced(cells(spark, d), colours(spark), 3)
 
 
