@@ -50,8 +50,8 @@ def lstm_gradient(p: dict[str, np.ndarray], name: str, x: np.ndarray, saved, d_o
     """Adds to grads; returns the gradient of x."""
     wh = p[f"{name}_h"]
     n = wh.shape[0]
-    d_z = np.empty((*x.shape[:2], 4 * n))
-    d_h, d_c = np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
+    d_z = np.empty((*x.shape[:2], 4 * n), x.dtype)
+    d_h, d_c = np.zeros((x.shape[1], n), x.dtype), np.zeros((x.shape[1], n), x.dtype)
     d_wh = np.zeros_like(wh)
     for t, gates, g, before, h_before, tc in reversed(saved):
         d_h = d_h + d_out[t]

@@ -2,12 +2,15 @@
 
 A page is cut into leaf blocks, runs of text between block-level tags. Each has
 the hashed tags, classes, ids and roles on its path, all its words, hashed, and a
-few numbers; a page of any length takes a few hundred bytes for a block. A numpy bidirectional LSTM reads the vectors of the whole page in order
-and says of every block whether it belongs to the main text. It is trained on
-generated pages whose blocks are labelled.
+few numbers, among them how the page's text is spread over its containers; a page
+of any length takes a few hundred bytes for a block. A numpy bidirectional LSTM
+reads the vectors of the whole page in order and says of every block whether it
+belongs to the main text. It is trained on generated pages whose blocks are
+labelled; half of them have no wrapper or wrappers with names made up for the
+page, so that the labeller does not depend on known names.
 
 Edge cases: null and empty pages, and pages without main text, give an empty
-text; markup that is cut off or badly nested is read as far as it goes; long
+text; blocks that the page hides are no main text; markup that is cut off or badly nested is read as far as it goes; long
 pages are read whole; repeated rows are answered alike. Other columns pass
 through; one with the name of an added column gives way to it.
 """
@@ -29,19 +32,25 @@ from .bilstm import Adam, lstm, lstm_gradient, lstm_params, sigmoid, uniform
 from .common import fresh
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([A-Za-z_:@][^\s=>/\"']*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset("class id role aria-label".split())
+CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Tags without an end, tags whose content is no text, tags that do not end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe select object canvas math".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select object canvas".split())
+INLINE = frozenset("a abbr annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q s samp semantics small span strike strong sub sup time tt u var wbr".split())
 #: Tags that a new one of the same kind ends.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 512, 32, 6
+#: Tags that lay out the text of their container.
+LAYOUT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address details summary".split())
+
+PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 4096, 32, 12
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
 PROJECTION, HIDDEN = 24, 16
 TRAIN_PAGES, TRAIN_STEPS, TRAIN_BATCH = 2500, 900, 32
 
+HIDDEN_TOKEN = "!hidden"
 Block = tuple[tuple[str, ...], str, int]  # path tokens, text, characters inside links
 
 
@@ -50,10 +59,48 @@ def path_tokens(name: str, rest: str) -> tuple[str, ...]:
     out = [name]
     if "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
-            out += [f".{w}" for w in re.split(r"[^a-z]+", (a or b or c).lower()) if len(w) > 1] if key.lower() != "hidden" else [".hidden"]
+            key, value = key.lower(), a or b or c
+            if key in NAMING:
+                out += [f".{w}" for w in re.split(r"[^a-z]+", value.lower()) if len(w) > 1]
+            elif key == "hidden" or key == "style" and CONCEALED.search(value):
+                out.append(HIDDEN_TOKEN)
     return tuple(out)
 
 
+@lru_cache(maxsize=1 << 12)
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without the tags at its end that only lay out text."""
+    end = len(path)
+    for i in range(len(path) - 1, -1, -1):
+        if path[i][0] not in ".!":
+            if path[i] not in LAYOUT:
+                break
+            end = i
+    return path[:end]
+
+
+def spread(blocks: list[Block]) -> np.ndarray:
+    """How each block's container stands to the others of the page, a row of six numbers for each block.
+
+    Its share of the page's text outside links, whether it is the container with
+    the largest share or inside that one, whether it comes before or after that
+    one, its rank among containers of some size, and its share of links.
+    """
+    order: dict[tuple[str, ...], int] = {}
+    at = np.array([order.setdefault(container(path), len(order)) for path, _, _ in blocks])
+    size = np.array([len(text) for _, text, _ in blocks], dtype=np.float64)
+    links = np.array([link_chars for _, _, link_chars in blocks], dtype=np.float64)
+    text, linked = np.bincount(at, np.maximum(size - links, 0)), np.bincount(at, links)
+    share = text / max(text.sum(), 1)
+    top = int(share.argmax())
+    names = list(order)
+    inside = np.array([c[: len(names[top])] == names[top] for c in names])
+    places = np.flatnonzero(at == top)
+    place = np.arange(len(at))
+    rank = np.cumsum(share >= 0.1) - 1
+    return np.stack((share[at], inside[at], place < places[0], place > places[-1], np.clip(rank[at], 0, 4) / 4, np.minimum(1, linked / np.bincount(at, size))[at]), axis=1)
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """The page's text blocks in order, with references decoded and white space joined."""
     html = html or ""
@@ -124,7 +171,9 @@ def word_bucket(word: str) -> int:
 
 @lru_cache(maxsize=1 << 12)
 def path_buckets(path: tuple[str, ...]) -> np.ndarray:
-    return np.unique([zlib.crc32(t.encode()) % PATH_BUCKETS for t in path]).astype(np.int64)
+    """Two buckets for each token, so that a name that shares one with another is not taken for it."""
+    hashes = [zlib.crc32(t.encode()) for t in path]
+    return np.unique([b % PATH_BUCKETS for h in hashes for b in (h, h // PATH_BUCKETS)]).astype(np.int64)
 
 
 def inputs(blocks: list[Block]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -134,17 +183,22 @@ def inputs(blocks: list[Block]) -> tuple[list[np.ndarray], np.ndarray]:
         words = text.split()
         dense[i, :WORD_BUCKETS] = np.bincount([word_bucket(w) for w in words], minlength=WORD_BUCKETS) * (0.5 / max(len(words), 1))
         n = len(text)
-        dense[i, WORD_BUCKETS:] = (np.log1p(n) / 8, min(1.0, link_chars / n), text[-1] in ".!?", text.count(",") / (1 + n / 40), i / len(blocks), len(path) / 12)
+        dense[i, WORD_BUCKETS:-6] = (np.log1p(n) / 8, min(1.0, link_chars / n), text[-1] in ".!?", text.count(",") / (1 + n / 40), i / len(blocks), len(path) / 12)
+    dense[:, -6:] = spread(blocks)
     return [path_buckets(path) for path, _, _ in blocks], dense
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """One row with all inputs for each block, as the training needs them."""
-    paths, dense = inputs(blocks)
-    x = np.zeros((len(blocks), INPUTS), dtype=np.float32)
-    x[:, PATH_BUCKETS:] = dense
+    return expanded(*inputs(blocks), np.arange(PATH_BUCKETS))
+
+
+def expanded(paths: list[np.ndarray], dense: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The rows of inputs with a column for each path bucket in used."""
+    x = np.zeros((len(paths), len(used) + dense.shape[1]), dtype=np.float32)
+    x[:, len(used) :] = dense
     for i, path in enumerate(paths):
-        x[i, path] = 1
+        x[i, np.searchsorted(used, path)] = 1
     return x
 
 
@@ -193,15 +247,37 @@ def _steps(spec: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _name(rng: np.random.Generator) -> str:
+    """A class name made up for one page."""
+    return "." + "".join(("bcdfghklmnprstvwz"[rng.integers(17)] + "aeiouy"[rng.integers(6)]) for _ in range(int(rng.integers(1, 5))))
+
+
+def _unnamed(rng: np.random.Generator, most: int = 3) -> tuple[str, ...]:
+    """Nested wrappers with made-up names or none."""
+    out: list[str] = []
+    for _ in range(int(rng.integers(1, most + 1))):
+        out.append("section" if rng.random() < 0.2 else "div")
+        out += [_name(rng) for _ in range(int(rng.integers(0, 3)))]
+    return tuple(out)
+
+
 def training_page(rng: np.random.Generator, words: np.ndarray) -> tuple[list[Block], np.ndarray]:
-    """Blocks and labels of a page: boilerplate before, inside and after an article."""
+    """Blocks and labels of a page: boilerplate before, inside and after an article.
+
+    The article is in a wrapper of a known name, in wrappers of made-up names, or
+    in the body itself; boilerplate outside it can have made-up names, too.
+    """
     blocks: list[Block] = []
     labels: list[int] = []
-    outer = ("html", "body") + ((), ("div", ".wrapper"), ("div", ".container", "div", ".row"), ("div", "#page"[1:]))[rng.integers(4)]
+    outer = ("html", "body") + ((), ("div", ".wrapper"), ("div", ".container", "div", ".row"), ("div",))[rng.integers(4)]
+    if rng.random() < 0.3:
+        outer += _unnamed(rng, 2)
 
-    def boilerplate(role: str, under: tuple[str, ...]) -> None:
+    def boilerplate(role: str, under: tuple[str, ...], unnamed: float = 0.0) -> None:
         specs = BOILERPLATE[role]
         path = under + _steps(specs[rng.integers(len(specs))])
+        if rng.random() < unnamed:
+            path = under + _unnamed(rng) + (("ul", "li"), ("p",), ("p",), ())[rng.integers(4)]
         link = role in ("menu", "sidebar") and rng.random() < 0.7
         for _ in range(int(rng.integers(1, 7))):
             long = role in ("comment", "notice", "advert", "footer", "sidebar") and rng.random() < 0.6
@@ -209,10 +285,15 @@ def training_page(rng: np.random.Generator, words: np.ndarray) -> tuple[list[Blo
             blocks.append((path, text, len(text) if link else 0))
             labels.append(0)
 
+    kind = rng.random()
+    inside = outer + _steps(MAIN_WRAPPERS[rng.integers(len(MAIN_WRAPPERS))])
+    if kind < 0.2:
+        inside = outer
+    elif kind < 0.6:
+        inside = outer + _unnamed(rng)
     for role in ("notice", "header", "menu", "advert", "form", "sidebar"):
         if rng.random() < 0.45:
-            boilerplate(role, outer)
-    inside = outer + _steps(MAIN_WRAPPERS[rng.integers(len(MAIN_WRAPPERS))])
+            boilerplate(role, outer, 0.35 if role in ("menu", "sidebar") else 0.1)
     if rng.random() < 0.8:
         blocks.append(((*inside, "header", "h1") if rng.random() < 0.1 else (*inside, "h1"), _sentence(rng, words, int(rng.integers(2, 12))), 0))
         labels.append(1)
@@ -223,11 +304,14 @@ def training_page(rng: np.random.Generator, words: np.ndarray) -> tuple[list[Blo
         labels.append(1)
         if rng.random() < 0.06:
             boilerplate(("advert", "sidebar", "notice", "form", "menu")[rng.integers(5)], inside)
+        if rng.random() < 0.04:
+            blocks.append(((*inside, ("p", "div", "section")[rng.integers(3)], HIDDEN_TOKEN, *(("p",), ())[rng.integers(2)]), _sentence(rng, words, int(rng.integers(2, 60))), 0))
+            labels.append(0)
     if rng.random() < 0.15:
         boilerplate("comment", inside)
     for role in ("comment", "sidebar", "form", "advert", "menu", "notice", "footer"):
         if rng.random() < 0.45:
-            boilerplate(role, outer)
+            boilerplate(role, outer, 0.5 if role == "comment" else 0.25)
     return blocks, np.array(labels)
 
 
@@ -261,18 +345,21 @@ def train_labeller(seed: int = 11, pages: int = TRAIN_PAGES, steps: int = TRAIN_
     words = np.array(["".join(letters[rng.integers(0, len(letters), rng.integers(1, 10))]) for _ in range(4000)])
     made = [training_page(rng, words) for _ in range(pages)]
     made.sort(key=lambda m: len(m[0]))
-    data = [(vectors(b), y) for b, y in made]
+    data = [(inputs(b), y) for b, y in made]
     p = {"project": uniform(rng, INPUTS, PROJECTION) * 2, "out": uniform(rng, 2 * HIDDEN + PROJECTION, 1), "out_b": np.zeros(1)}
     p |= lstm_params(rng, PROJECTION, HIDDEN, "ahead") | lstm_params(rng, PROJECTION, HIDDEN, "behind")
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     adam = Adam(p, 0.02)
     for step in range(steps):
         begin = int(rng.integers(0, len(data) - TRAIN_BATCH))
         part = data[begin : begin + TRAIN_BATCH]
-        raw = padded([x for x, _ in part]).astype(np.float64)
-        sizes = np.array([len(x) for x, _ in part])
+        used = np.unique(np.concatenate([path for (paths, _), _ in part for path in paths]))
+        rows = np.concatenate((used, np.arange(PATH_BUCKETS, INPUTS)))
+        raw = padded([expanded(*x, used) for x, _ in part])
+        sizes = np.array([len(y) for _, y in part])
         index = np.arange(len(raw))[:, None]
         turn = np.where(index < sizes, sizes - 1 - index, index)[:, :, None]
-        x = np.tanh(raw @ p["project"])
+        x = np.tanh(raw @ p["project"][rows])
         ahead, a_saved = lstm(p, "ahead", x)
         flipped = np.take_along_axis(x, turn, axis=0)
         back, b_saved = lstm(p, "behind", flipped)
@@ -281,16 +368,17 @@ def train_labeller(seed: int = 11, pages: int = TRAIN_PAGES, steps: int = TRAIN_
         gold = np.zeros_like(prob)
         for j, (_, y) in enumerate(part):
             gold[: len(y), j] = y
-        d = np.where(index < sizes, prob - gold, 0)[:, :, None] / sizes.sum()
+        d = np.where(index < sizes, prob - gold, np.float32(0))[:, :, None] / np.float32(sizes.sum())
         grads = {"out": np.tensordot(both, d, axes=((0, 1), (0, 1))), "out_b": d.sum(axis=(0, 1))}
         d_both = d @ p["out"].T
         d_x = lstm_gradient(p, "ahead", x, a_saved, d_both[:, :, :HIDDEN], grads) + d_both[:, :, 2 * HIDDEN :]
         d_flipped = lstm_gradient(p, "behind", flipped, b_saved, np.take_along_axis(d_both[:, :, HIDDEN : 2 * HIDDEN], turn, axis=0), grads)
         d_x += np.take_along_axis(d_flipped, turn, axis=0)
-        grads["project"] = np.tensordot(raw, d_x * (1 - x * x), axes=((0, 1), (0, 1)))
+        grads["project"] = np.zeros_like(p["project"])
+        grads["project"][rows] = np.tensordot(raw, d_x * (1 - x * x), axes=((0, 1), (0, 1)))
         adam.rate = 0.02 * (1 - step / steps) + 0.001
         adam.step(grads)
-    return {k: v.astype(np.float32) for k, v in p.items()}
+    return p
 
 
 def main_texts(p: dict[str, np.ndarray], htmls: list[str | None]) -> list[str]:
