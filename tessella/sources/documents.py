@@ -21,21 +21,33 @@ def cells_of(projects: DataFrame) -> DataFrame:
     return projects.select(F.col("id").alias("project_id"), "w", F.posexplode("pattern").alias("idx", "cell")).select("project_id", F.col("idx").cast("long").alias("idx"), F.col("cell.id").alias("thread_id"), (F.col("idx") % F.col("w")).alias("x"), F.floor(F.col("idx") / F.col("w")).alias("y"))
 
 
+#: What is read of a chart's XML; an attribute has a line in front of its name.
+_SIDE = "_width:string,_w:string,_height:string,_h:string"
+_COLOUR = "array<struct<_index:string,_idx:string,_id:string,_number:string,_code:string,_thread:string,_dmcnumber:string,_name:string,_description:string,_red:string,_r:string,_green:string,_g:string,_blue:string,_b:string,_color:string,_hex:string,_rgb:string>>"
+CHART = f"{_SIDE.replace(':', ' ')}, properties struct<_chartwidth:string,_chartheight:string,{_SIDE}>, format struct<{_SIDE},chartwidth:string,chartheight:string>, size struct<{_SIDE}>, grid struct<{_SIDE}>, palette struct<color:{_COLOUR},thread:{_COLOUR},entry:{_COLOUR},palette_item:{_COLOUR}>, colors struct<color:{_COLOUR},thread:{_COLOUR},entry:{_COLOUR}>, fullstitches struct<stitch:array<struct<_x:string,_y:string,_palindex:string>>>"
+
+
 def read_chart_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """cells and palette of chart XML files.
 
     Sizes beyond MAX_SIDE, cells outside the chart and files without any cell
-    are left out; of palette entries with one number the first counts.
+    are left out, so is a file that is no XML. An entry's palette number is its
+    index, else its place from 0; colour is RRGGBB in capitals, or null.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("xml"))
-    numbers = lambda p, kind: F.transform(F.xpath("xml", F.lit(p)), lambda v: v.try_cast(kind))
-    size = raw.select("file", "xml", F.xpath_int("xml", F.lit("/chart/properties/@chartwidth")).alias("w"), F.xpath_int("xml", F.lit("/chart/properties/@chartheight")).alias("h")).where(f"w between 1 and {MAX_SIDE} and h between 1 and {MAX_SIDE}")
-    stitch = "/chart/fullstitches/stitch"
-    zipped = F.explode(F.arrays_zip(numbers(f"{stitch}/@x", "int").alias("x"), numbers(f"{stitch}/@y", "int").alias("y"), numbers(f"{stitch}/@palindex", "int").alias("palette")))
-    cells = size.select("file", "w", "h", zipped.alias("c")).select("file", "w", "h", "c.*").where("x >= 0 and x < w and y >= 0 and y < h").select("file", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("idx"), "x", "y", "palette")
-    item = "/chart/palette/palette_item"
-    entries = F.posexplode(F.arrays_zip(F.xpath("xml", F.lit(f"{item}/@number")).alias("number"), F.xpath("xml", F.lit(f"{item}/@name")).alias("name"), F.xpath("xml", F.lit(f"{item}/@color")).alias("color"))).alias("palette", "e")
-    palette = size.select("file", entries).select("file", "palette", "e.*")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.from_xml("value", CHART).alias("c"))
+    first = lambda paths: F.coalesce(*(F.nullif(F.trim(F.col(f"c.{p}")), F.lit("")).try_cast("int") for p in paths.split()))
+    w = first("properties._chartwidth properties._width _width _w format.chartwidth format._width format._w size._width size._w grid._width grid._w")
+    h = first("properties._chartheight properties._height _height _h format.chartheight format._height format._h size._height size._h grid._height grid._h")
+    size = raw.select("file", "c", w.alias("w"), h.alias("h")).where(f"w between 1 and {MAX_SIDE} and h between 1 and {MAX_SIDE}")
+    stitches = size.select("file", "w", "h", F.explode("c.fullstitches.stitch").alias("s")).select("file", "w", "h", *(F.col(f"s._{n}").try_cast("int").alias(as_) for n, as_ in (("x", "x"), ("y", "y"), ("palindex", "palette"))))
+    cells = stitches.where("x >= 0 and x < w and y >= 0 and y < h").select("file", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("idx"), "x", "y", "palette")
+    lists = "palette.color palette.thread palette.entry palette.palette_item colors.color colors.thread colors.entry"
+    any_of = lambda names: F.coalesce(*(F.nullif(F.trim(F.col(f"e._{n}")), F.lit("")) for n in names.split()))
+    entries = size.select("file", F.posexplode(F.coalesce(*(F.col(f"c.{n}") for n in lists.split()))).alias("place", "e"))
+    channels = [any_of(n).try_cast("int") for n in ("red r", "green g", "blue b")]
+    mixed = F.when(channels[0].isNotNull() & channels[1].isNotNull() & channels[2].isNotNull(), F.format_string("%02X%02X%02X", *channels))
+    hexed = F.upper(F.regexp_replace(any_of("color hex rgb"), "^#", ""))
+    palette = entries.select("file", F.coalesce(any_of("index idx id").try_cast("int"), "place").alias("palette"), any_of("number code thread dmcnumber").alias("number"), any_of("name description").alias("name"), F.coalesce(mixed, F.when(hexed.rlike("^[0-9A-F]{6}$"), hexed)).alias("color"))
     return {"cells": cells, "palette": palette}
 
 
