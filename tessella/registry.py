@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sessions", "legend", "progress", "selection", "browse", "colour", "stash", "grid", "palette", "image", "sync", "importer", "extract", "store", "insights", "exchange", "edges", "harmony", "contours", "files")
+MODULES = ("sessions", "legend", "progress", "selection", "browse", "colour", "stash", "grid", "palette", "image", "sync", "importer", "extract", "store", "insights", "exchange", "edges", "harmony", "contours", "files", "variations")
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
