@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.adapters import SQL, sql, threads
 from tessella.catalog.colour import lab_sql
-from tessella.catalog.image import LLOYD, pixels
+from tessella.catalog.image import LLOYD, PIXELS, pixels
 from tessella.operators import colour as colour_op
 from tessella.operators import image as image_op
 from tessella.operators import variations as op
@@ -40,3 +40,17 @@ def palette_variation(spark, d):
 def image_threads(spark, d):
     centres = image_op.quantised(pixels(spark, d), CENTRES).select("image_id", "cluster", F.col("c_l").alias("l"), F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     return op.each_once(op.nearest_entries(centres, colour_op.colours(threads(spark, d)), CENTRES), "image_id")
+
+
+DRAWS = f"""draws AS (SELECT image_id AS project_id, seed, unnest(range(1, {CENTRES} + 1)) AS i, count(*) AS n FROM pixels, (SELECT {SEED} AS seed) GROUP BY image_id, seed), s0 AS (SELECT * FROM draws), {NUMBER}, bits AS (SELECT project_id AS image_id, i, n, CAST(xor(t2, t2 >> 14) AS HUGEINT) AS bits FROM s3)"""
+
+
+@query(f"""{PIXELS.replace('WITH raw', 'WITH RECURSIVE raw')}, {DRAWS}, {lab_sql('pixels', 'image_id, idx, r, g, b', 'z')},
+    p(image_id, idx, r, g, b, lab_l, lab_a, lab_b, ds, step, chosen) AS (SELECT image_id, idx, r, g, b, lab_l, lab_a, lab_b, 4611686018427387904::HUGEINT, 1::BIGINT, idx = CAST(bits * n // 4294967296 AS BIGINT) FROM z JOIN bits USING (image_id) WHERE i = 1 UNION ALL
+        SELECT image_id, idx, r, g, b, lab_l, lab_a, lab_b, ds, step, idx = min(idx) FILTER (acc * 4294967296 >= bits * total) OVER (PARTITION BY image_id) FROM (
+            SELECT v.*, bits, sum(ds) OVER (PARTITION BY v.image_id ORDER BY idx) AS acc, sum(ds) OVER (PARTITION BY v.image_id) AS total FROM (
+                SELECT p.image_id, p.idx, p.r, p.g, p.b, p.lab_l, p.lab_a, p.lab_b, least(p.ds, CAST(floor((pow(p.lab_l - q.lab_l, 2) + pow(p.lab_a - q.lab_a, 2) + pow(p.lab_b - q.lab_b, 2)) * 1000000 + 0.5) AS HUGEINT)) AS ds, p.step + 1 AS step FROM p JOIN p q ON q.image_id = p.image_id AND q.chosen WHERE p.step < {CENTRES}) v JOIN bits ON bits.image_id = v.image_id AND i = step AND n >= step))
+    SELECT image_id, CAST(step AS INTEGER) AS cluster, r, g, b FROM p WHERE chosen""")
+def image_seeded_centres(spark, d):
+    p = pixels(spark, d)
+    return op.seeded_centres(p, p.select("image_id").distinct().withColumn("seed", F.lit(SEED)), CENTRES)

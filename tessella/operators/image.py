@@ -123,10 +123,11 @@ def without_background(pixels: DataFrame, r: int, g: int, b: int, most: float) -
     return pixels.where(F.sqrt(c.delta_e2(p, q)) >= most)
 
 
-def quantised(pixels: DataFrame, k: int = 8, rounds: int = 20, moved: float = 0.25) -> DataFrame:
+def quantised(pixels: DataFrame, k: int = 8, rounds: int = 20, moved: float = 0.25, start: DataFrame | None = None) -> DataFrame:
     """image_id, cluster, n and the mean Lab of k clusters of every image by Lloyd's rounds.
 
-    The first centres are the commonest colours, in order. Rounds work on the
+    The first centres are those of start (image_id, cluster, r, g, b), as
+    variations.seeded_centres draws them, or else the commonest colours, in order. Rounds work on the
     distinct colours of an image with their counts, and end for an image when none
     of its centres moves by more than the root of moved. The images that are left
     take their rounds together.
@@ -135,7 +136,8 @@ def quantised(pixels: DataFrame, k: int = 8, rounds: int = 20, moved: float = 0.
     colours = pixels.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).withColumns({"p_l": light, "p_a": a, "p_b": b})
     colours = settled(colours)
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "r", "g", "b"))
-    centres = colours.withColumn("cluster", rank).where(F.col("cluster") <= k).select("image_id", "cluster", F.col("p_l").alias("c_l"), F.col("p_a").alias("c_a"), F.col("p_b").alias("c_b"))
+    centres = colours.withColumn("cluster", rank).where(F.col("cluster") <= k) if start is None else start.withColumns({"p_l": light, "p_a": a, "p_b": b})
+    centres = centres.select("image_id", "cluster", F.col("p_l").alias("c_l"), F.col("p_a").alias("c_a"), F.col("p_b").alias("c_b"))
     done = []
     for _ in range(rounds):
         near = colours.join(centres.select("image_id", "cluster", "c_l", "c_a", "c_b"), "image_id").groupBy("image_id", "r", "g", "b", "n", "p_l", "p_a", "p_b").agg(F.min_by("cluster", F.struct(c.delta_e2(lab("p_"), lab("c_")), "cluster")).alias("cluster"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessella.functions import colour as c
 from tessella.functions import seeded
 from tessella.operators import colour, nearby
+from tessella.plans.rounds import forget, settled
 
 
 def shuffled(items: DataFrame, group: str, seeds: DataFrame, keep: str) -> DataFrame:
@@ -53,3 +58,52 @@ def each_once(near: DataFrame, group: str) -> DataFrame:
         return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(centre["cluster"].alias("cluster"), free.alias("id")))))
 
     return rows.select(group, F.inline(F.aggregate("centres", start, choose)))
+
+
+#: Pixels of an image whose weights are added up together.
+BLOCK = 4096
+#: Squared Lab distances count in millionths, so that sums do not depend on their order.
+PARTS = 1_000_000
+
+
+def seeded_centres(pixels: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """image_id, cluster (from 1), r, g, b: k pixels of every image, each drawn by its squared Lab distance to those before it.
+
+    pixels: image_id, idx (from 0, without gaps), r, g, b; seeds: image_id, seed. The first is drawn
+    evenly; an image without k pixels has as many as it has. Where all pixels have
+    been drawn in colour the first pixel is drawn again. Distances are kept for
+    an image's distinct colours and added up by blocks of pixels, so a draw looks
+    into one block of each image, and no image is in one task.
+    """
+    position = pixels.select("image_id", F.col("idx").cast("long").alias("pos"), "r", "g", "b")
+    light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    position = settled(position.withColumn("block", F.floor(F.col("pos") / BLOCK)), "positions")
+    counts = settled(position.groupBy("image_id", "block", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
+    images = settled(counts.groupBy("image_id").agg(F.sum("n").alias("size")).join(seeds.select("image_id", F.col("seed").cast("long").alias("seed")), "image_id"), "images")
+    colours = counts.select("image_id", "r", "g", "b").distinct().withColumns({"p_l": light, "p_a": a, "p_b": b, "weight": F.lit(2**62)})
+    drawn = images.select("image_id", seeded.below(F.col("seed"), F.lit(1), F.col("size")).alias("pos"))
+    found = settled(position.join(drawn, ["image_id", "pos"]).select("image_id", F.lit(1).alias("cluster"), "r", "g", "b"), "centres")
+    centres = [found]
+    before = None
+    for cluster in range(2, k + 1):
+        last_l, last_a, last_b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+        last = found.select("image_id", last_l.alias("c_l"), last_a.alias("c_a"), last_b.alias("c_b"))
+        distance = F.floor(c.delta_e2(tuple(F.col(f"p_{x}") for x in "lab"), tuple(F.col(f"c_{x}") for x in "lab")) * PARTS + 0.5).cast("long")
+        colours = settled(colours.join(last, "image_id").withColumn("weight", F.least("weight", distance)).drop("c_l", "c_a", "c_b"), "weights")
+        if before is not None:
+            forget(before)
+        before = colours
+        weights = colours.select("image_id", "r", "g", "b", "weight")
+        blocks = counts.join(weights, ["image_id", "r", "g", "b"]).groupBy("image_id", "block").agg(F.sum(F.col("n") * F.col("weight")).alias("sum"))
+        order = Window.partitionBy("image_id").orderBy("block")
+        blocks = blocks.select("image_id", "block", (F.sum("sum").over(order) - F.col("sum")).alias("before"), F.sum("sum").over(order).alias("until"), F.sum("sum").over(Window.partitionBy("image_id")).alias("total"))
+        reached = lambda acc: F.col(acc).cast("decimal(38,0)") * F.lit(2**32).cast("decimal(10,0)") >= F.col("bits").cast("decimal(10,0)") * F.col("total").cast("decimal(19,0)")
+        blocks = blocks.join(images.where(F.col("size") >= cluster).select("image_id", seeded.bits(F.col("seed"), F.lit(cluster)).alias("bits")), "image_id").where(reached("until"))
+        block = blocks.groupBy("image_id").agg(F.min_by(F.struct("block", "before", "total", "bits"), "block").alias("at")).select("image_id", "at.*")
+        inside = position.join(block, ["image_id", "block"]).join(weights, ["image_id", "r", "g", "b"])
+        upto = F.col("before") + F.sum("weight").over(Window.partitionBy("image_id").orderBy("pos"))
+        first = inside.withColumn("acc", upto).where(reached("acc")).groupBy("image_id").agg(F.min_by(F.struct("r", "g", "b"), "pos").alias("at"))
+        found = settled(first.select("image_id", F.lit(cluster).alias("cluster"), "at.*"), "centres")
+        centres.append(found)
+    forget(position, counts, images, colours)
+    return reduce(DataFrame.union, centres)

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import seeded
-from tessella.operators import variations
+from tessella.operators import image, variations
 
 MASK = 0xFFFFFFFF
 
@@ -66,3 +66,33 @@ def test_centres_get_different_threads(spark):
     centres = spark.createDataFrame([(1, 1, 50.5, 0.0, 0.0), (1, 2, 50.4, 0.0, 0.0), (1, 3, 50.5, 0.0, 0.0), (1, 4, 50.0, 0.0, 0.0), (2, 1, 50.5, 0.0, 0.0)], "image_id int, cluster int, l double, a double, b double")
     got = variations.each_once(variations.nearest_entries(centres, catalogue, 4), "image_id").orderBy("image_id", "cluster").collect()
     assert [(r.image_id, r.cluster, r.id) for r in got] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a")]
+
+
+def test_centres_are_drawn_like_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(variations, "BLOCK", 7)
+    rng = random.Random(3)
+    colours = [tuple(rng.randrange(256) for _ in range(3)) for _ in range(30)]
+    images = {0: [rng.choice(colours) for _ in range(200)], 1: [colours[0]] * 5, 2: colours[:2], 3: [rng.choice(colours[:3]) for _ in range(40)]}
+    df = spark.createDataFrame([(i, n, *p) for i, px in images.items() for n, p in enumerate(px)], "image_id long, idx long, r int, g int, b int")
+    light, a, b = variations.c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    lab = {(r.r, r.g, r.b): (r.l, r.a, r.bb) for r in df.select("r", "g", "b", light.alias("l"), a.alias("a"), b.alias("bb")).distinct().collect()}
+    seeds = spark.createDataFrame([(i, 1337 + i) for i in images], "image_id long, seed long")
+    centres = variations.seeded_centres(df, seeds, 6)
+    got = centres.orderBy("image_id", "cluster").collect()
+    for i, px in images.items():
+        source = numbers(1337 + i)
+        want = [px[int(next(source) / 2**32 * len(px))]]
+        weights = [2**62] * len(px)
+        while len(want) < min(6, len(px)):
+            new = [int(sum((x - y) ** 2 for x, y in zip(lab[p], lab[want[-1]], strict=True)) * 1e6 + 0.5) for p in px]
+            weights = [min(w, n) for w, n in zip(weights, new, strict=True)]
+            aim, acc = next(source) * sum(weights), 0
+            for p, w in zip(px, weights, strict=True):
+                acc += w
+                if acc * 2**32 >= aim:
+                    want.append(p)
+                    break
+        assert [(r.r, r.g, r.b) for r in got if r.image_id == i] == want
+        assert [r.cluster for r in got if r.image_id == i] == list(range(1, len(want) + 1))
+    grouped = image.quantised(df, 6, start=centres).groupBy("image_id").agg(F.sum("n").alias("n"), F.count("*").alias("clusters")).collect()
+    assert {r.image_id: (r.n, r.clusters) for r in grouped} == {0: (200, 6), 1: (5, 5), 2: (2, 2), 3: (40, 6)}
