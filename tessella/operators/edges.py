@@ -1,19 +1,22 @@
 """Edges of images: gradients in Lab, Canny edges, and the map of protected places around them.
 
-Images are tables of pixels as in operators.image. A pixel gives its value to
-the places around it, so a stencil is one aggregate by place, and a place inside
-the image is one that got all nine values. Hysteresis follows links between
-neighbouring candidates in rounds over all images together.
+Images are tables of pixels as in operators.image, and stencils are its windows
+along rows and columns; a place inside the image is one with all nine values.
+Hysteresis follows links between runs of candidates in neighbouring rows, in
+rounds over all images together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
-from tessella.operators.image import PLACES, SOBEL_X, SOBEL_Y, blurred, padded
-from tessella.plans.rounds import least_reached
+from tessella.operators.image import NINE, PLACES, SOBEL_X, SOBEL_Y, along_row, around, blurred, filled, full, padded, weighted
+from tessella.plans.rounds import least_reached, settled
 
 #: Blur before the gradient, and the thresholds of hysteresis.
 SIGMA, LOW, HIGH = 1.4, 30.0, 80.0
@@ -29,49 +32,59 @@ def _steps(places) -> Column:
     return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in places))
 
 
+def _gradients(values: DataFrame, *columns: str) -> DataFrame:
+    """values with g_{column}x and g_{column}y of each column, and inside: whether all eight neighbours are in the image too."""
+    near = around(full(values), "there", *columns, held=False).where("there")
+    inside = reduce(Column.__and__, (F.coalesce(F.col(f"{p}.there"), F.lit(False)) for p in NINE))
+    sums = [weighted(w, v).alias(f"g_{v}{axis}") for v in columns for w, axis in ((SOBEL_X, "x"), (SOBEL_Y, "y"))]
+    return near.select(*values.columns, inside.alias("inside"), *sums)
+
+
 def gradients(values: DataFrame, *columns: str) -> DataFrame:
     """image_id, x, y and g_{column}x and g_{column}y of each column, for places whose eight neighbours are in the image too."""
-    # A value at (dx, dy) from a place lies k-th around it, so it goes to (-dx, -dy).
-    sent = values.select("image_id", "x", "y", *columns, F.posexplode(_steps(PLACES)).alias("k", "s"))
-    sent = sent.select("image_id", (F.col("x") - F.col("s.dx")).alias("x"), (F.col("y") - F.col("s.dy")).alias("y"), "k", *columns)
-    weight = lambda w: F.element_at(F.array(*map(F.lit, w)), F.col("k") + 1)
-    sums = [F.sum(F.col(v) * weight(w)).alias(f"g_{v}{axis}") for v in columns for w, axis in ((SOBEL_X, "x"), (SOBEL_Y, "y"))]
-    return sent.groupBy("image_id", "x", "y").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") == len(PLACES)).drop("n")
+    return _gradients(values, *columns).where("inside").drop("inside", *(c for c in values.columns if c not in ("image_id", "x", "y")))
 
 
 def lab_sobel(pixels: DataFrame) -> DataFrame:
     """image_id, idx, magnitude: the gradient over all three Lab axes; 0 at the border."""
     light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    g = gradients(padded(pixels).select("image_id", "x", "y", light.alias("l"), a.alias("a"), b.alias("b")), "l", "a", "b")
+    g = _gradients(filled(pixels).select("image_id", "idx", "x", "y", "fill", light.alias("l"), a.alias("a"), b.alias("b")), "l", "a", "b")
     total = sum(F.col(f"g_{v}{axis}") * F.col(f"g_{v}{axis}") for v in "lab" for axis in "xy")
-    found = g.select("image_id", "x", "y", F.sqrt(total).alias("magnitude"))
-    return pixels.select("image_id", "idx", "x", "y").join(found, ["image_id", "x", "y"], "left").select("image_id", "idx", F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
+    return g.where("not fill").select("image_id", "idx", F.when(F.col("inside"), F.coalesce(F.sqrt(total), F.lit(0.0))).otherwise(0.0).alias("magnitude"))
 
 
 def thinned(gradient: DataFrame) -> DataFrame:
     """image_id, x, y, magnitude of the places that are not less than both neighbours along their gradient. gradient: image_id, x, y, gx, gy."""
     magnitude = F.round(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), DECIMALS)
-    found = gradient.withColumn("magnitude", magnitude).where("magnitude > 0")
-    angle = F.abs(F.degrees(F.atan2("gy", "gx")))
-    beside = F.lit(None)
-    for upper, places in reversed(ALONG):
-        beside = _steps(places) if upper is None else F.when(F.col("angle") < upper, _steps(places)).otherwise(beside)
-    asking = found.select("image_id", "x", "y", "magnitude", angle.alias("angle")).select("image_id", "x", "y", "magnitude", F.explode(beside).alias("s"))
-    asking = asking.select(F.struct("image_id", "x", "y", "magnitude").alias("own"), "image_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    met = asking.join(found.select("image_id", "x", "y", F.col("magnitude").alias("other")), ["image_id", "x", "y"], "left")
-    return met.groupBy("own").agg(F.coalesce(F.max("other"), F.lit(0.0)).alias("other")).where("own.magnitude >= other").select("own.*")
+    found = full(gradient.select("image_id", "x", "y", magnitude.alias("magnitude"), F.abs(F.degrees(F.atan2("gy", "gx"))).alias("angle")))
+    at = lambda dx, dy: F.col(f"{('up', 'level', 'down')[dy + 1]}.{('left', 'mid', 'right')[dx + 1]}.magnitude")
+    other = F.lit(None)
+    for upper, beside in reversed(ALONG):
+        most = F.greatest(*(at(*p) for p in beside))
+        other = most if upper is None else F.when(F.col("angle") < upper, most).otherwise(other)
+    near = around(found, "magnitude", held=False).where((F.col("magnitude") > 0) & (F.col("magnitude") >= F.coalesce(other, F.lit(0.0))))
+    return near.select("image_id", "x", "y", "magnitude")
 
 
 def connected_to_strong(places: DataFrame) -> DataFrame:
     """image_id, x, y of places (image_id, x, y, strong) that steps in eight directions over places connect with a strong one."""
-    node = lambda x, y: F.shiftleft(F.col(y).cast("long"), 32) + F.col(x)
-    own = places.select("image_id", "x", "y", "strong", node("x", "y").alias("node"))
-    ahead = own.select("image_id", F.col("node").alias("v"), F.explode(_steps(((1, 0), (-1, 1), (0, 1), (1, 1)))).alias("s"), "x", "y").select("image_id", "v", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    links = ahead.join(own.select("image_id", "x", "y", F.col("node").alias("u")), ["image_id", "x", "y"]).select("image_id", "u", "v")
+    # Places without a gap in a row are one run, told by its first place; x less the position is the same along it.
+    run = F.col("x") - F.row_number().over(along_row())
+    first = F.min("x").over(Window.partitionBy("image_id", "y", "run"))
+    own = places.select("image_id", "x", "y", "strong", run.alias("run")).select("image_id", "x", "y", "strong", (F.shiftleft(F.col("y").cast("long"), 32) + first).alias("node"))
+    own = settled(own, "candidates")
+    # A place tells its run to the three below it; equal runs that meet there are one link.
+    told = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (-1, 1), (0, 1), (1, 1)))))
+    sent = own.repartition("image_id").select("image_id", "x", "y", "node", told.alias("s"))
+    sent = sent.select("image_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), F.when(F.col("s.dy") == 0, F.col("node")).alias("u"), F.when(F.col("s.dy") == 1, F.col("node")).alias("v"))
+    met = sent.groupBy("image_id", "x", "y").agg(F.max("u").alias("u"), F.collect_set("v").alias("v")).where("u is not null")
+    links = met.select("image_id", "u", F.explode("v").alias("v")).distinct()
     roots = least_reached(links, "image_id")
-    placed = own.join(roots, ["image_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    held = placed.groupBy("image_id", "root").agg(F.max("strong").alias("held")).where("held")
-    return placed.join(held, ["image_id", "root"], "left_semi").select("image_id", "x", "y")
+    # Roots come to the places of their runs as rows, and then all of a root's places say whether one is strong.
+    rows = own.withColumn("root", F.lit(None).cast("long")).unionByName(roots, allowMissingColumns=True).repartition("image_id")
+    root = F.coalesce(F.max("root").over(Window.partitionBy("image_id", "node")), F.col("node"))
+    held = F.max("strong").over(Window.partitionBy("image_id", "root"))
+    return rows.withColumn("root", root).where("x is not null").withColumn("held", held).where("held").select("image_id", "x", "y")
 
 
 def canny(pixels: DataFrame, sigma: float = SIGMA, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -90,5 +103,10 @@ def widened(places: DataFrame, times: int) -> DataFrame:
 
 def edge_map(pixels: DataFrame, dilation: int = 1, **thresholds: float) -> DataFrame:
     """image_id, idx, edge: whether a pixel is an edge or within dilation squares of one."""
-    hit = widened(canny(pixels, **thresholds), dilation).withColumn("edge", F.lit(True))
-    return pixels.select("image_id", "idx", "x", "y").join(hit, ["image_id", "x", "y"], "left").select("image_id", "idx", F.coalesce("edge", F.lit(False)).alias("edge"))
+    edges = canny(pixels, **thresholds).select("image_id", "x", "y", F.lit(None).cast("long").alias("idx"), F.lit(True).alias("edge"))
+    rows = pixels.select("image_id", "x", "y", "idx", F.lit(False).alias("edge")).unionByName(edges).repartition("image_id")
+    hit = full(rows.groupBy("image_id", "x", "y").agg(F.max("idx").alias("idx"), F.max("edge").alias("edge")))
+    for _ in range(dilation):
+        any_ = reduce(Column.__or__, (F.coalesce(F.col(f"{p}.edge"), F.lit(False)) for p in NINE))
+        hit = around(hit, "edge", held=False).withColumn("edge", any_).drop("up", "level", "down")
+    return hit.where("idx is not null").select("image_id", "idx", "edge")
