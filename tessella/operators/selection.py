@@ -10,12 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions import colour as c
 from tessella.functions.skeins import skeins_estimate
 from tessella.operators import grid
 from tessella.operators.colour import lab
-from tessella.plans.rounds import settled
+from tessella.operators.image import NINE, PLACES, around, full
 
 KEY = ["project_id", "idx"]
 
@@ -72,18 +73,22 @@ def statistics(cells: DataFrame, mask: DataFrame) -> DataFrame:
 
 def small_clusters(cells: DataFrame, mask: DataFrame, least: int) -> DataFrame:
     """Cells of the mask in clusters of like cells, inside it, of fewer than least."""
-    inside = grid.stitchable(cells).join(mask, KEY, "left_semi")
-    labels = settled(grid.components(inside), "clusters")
-    few = labels.groupBy("project_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
-    return labels.join(few, ["project_id", "label"], "left_semi").select(KEY)
+    inside = grid.stitchable(cells).join(mask.hint("merge"), KEY, "left_semi")
+    size = F.count(F.lit(1)).over(Window.partitionBy("project_id", "label"))
+    return grid.components(inside).withColumn("n", size).where(F.col("n") < least).select(KEY)
 
 
 def tidied(cells: DataFrame, mask: DataFrame, least: int) -> DataFrame:
     """Changes that give every cell of a small cluster the commonest id on its four sides, the least of equal ones: project_id, idx, old_id, new_id."""
     flagged = small_clusters(cells, mask, least)
-    around = grid.neighbours(cells, grid.FOUR).join(flagged, KEY, "left_semi")
-    votes = around.where(~F.col("n_thread").isin(*grid.SENTINELS)).groupBy("project_id", "idx", "thread_id", "n_thread").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("project_id", "idx", F.col("thread_id").alias("old_id")).agg(F.min_by("n_thread", F.struct(-F.col("n"), F.col("n_thread"))).alias("new_id"))
+    flags = flagged.select("project_id", "idx", F.lit(True).alias("flagged"))
+    # Flags come to their cells as rows, so that cells move once and their neighbours are a stencil.
+    rows = grid.stitchable(cells).select("project_id", "idx", "x", "y", "thread_id").unionByName(flags, allowMissingColumns=True).repartition("project_id")
+    own = rows.groupBy(F.col("project_id").alias("image_id"), "idx").agg(*(F.max(c).alias(c) for c in ("x", "y", "thread_id", "flagged"))).where("x is not null")
+    near = around(full(own), "thread_id", held=False).where("flagged")
+    ids = F.array_compact(F.array(*(F.col(f"{at}.thread_id") for at, (dx, dy) in zip(NINE, PLACES, strict=True) if (dx, dy) in grid.FOUR)))
+    votes = F.transform(F.array_distinct(ids), lambda t: F.struct((-F.size(F.filter(ids, lambda v: v == t))).alias("n"), t.alias("id")))
+    best = near.select(F.col("image_id").alias("project_id"), "idx", F.col("thread_id").alias("old_id"), F.array_min(votes)["id"].alias("new_id"))
     return best.where("old_id <> new_id")
 
 

@@ -1,6 +1,6 @@
 """Tables that are small on the disks only do not go through the driver."""
 
-from tessella.operators import grid
+from tessella.operators import grid, selection
 
 
 def chart(spark):
@@ -18,3 +18,8 @@ def test_nearest_like(spark):
 def test_colour_metrics(spark):
     cells = chart(spark)
     assert "Broadcast" not in plan(grid.colour_metrics(cells, grid.components(cells)))
+
+
+def test_tidied(spark):
+    cells = chart(spark)
+    assert "Broadcast" not in plan(selection.tidied(cells, selection.everything(cells), 3))
