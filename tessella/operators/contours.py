@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators import grid
-from tessella.plans.rounds import forget, settled
+from tessella.plans.rounds import AT_ONCE, GROUP_LINKS, forget, settled
 
 #: Where the edge of a direction (0 above, 1 right, 2 below, 3 left of its cell) starts and ends, clockwise.
 STARTS = ((0, 0), (1, 0), (1, 1), (0, 1))
@@ -32,34 +32,58 @@ def directed(edges: DataFrame) -> DataFrame:
 
 def successors(edges: DataFrame) -> DataFrame:
     """project_id, edge, next: where two edges go on from a corner, the one of the same cell is next, so cells that touch in a corner only have rings of their own. edges: as directed() gives them."""
-    ahead = edges.select("project_id", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("edge").alias("next"), F.col("dir").alias("to"))
+    # Every edge answers at the corner where it starts and asks at the one where it ends; dealt by chart, edges stay where they are.
+    both = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.struct("dir", "edge").alias("out"), F.lit(None).alias("row")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(None).alias("out"), F.struct("dir", "edge").alias("row")))
+    met = edges.select("project_id", F.explode(both).alias("b")).select("project_id", "b.*")
+    met = met.withColumn("outs", F.collect_list("out").over(Window.partitionBy("project_id", "x", "y"))).where("row is not null and size(outs) > 0")
     # A turn to the right first, then straight on, then to the left.
-    turn = F.pmod(F.col("dir") + 1 - F.col("to"), F.lit(4))
-    met = edges.join(ahead, ["project_id", "x1", "y1"])
-    return met.groupBy("project_id", "edge").agg(F.min_by("next", turn).alias("next"))
+    turns = F.transform("outs", lambda o: F.struct(F.pmod(F.col("row.dir") + 1 - o["dir"], F.lit(4)).alias("turn"), o["edge"].alias("edge")))
+    return met.select("project_id", F.col("row.edge").alias("edge"), F.array_min(turns)["edge"].alias("next"))
+
+
+def _ahead(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows (project_id, edge, to and others) with there: the columns of the row whose edge is to, for rows of one chart each edge once."""
+    own = [c for c in rows.columns if c != "project_id"]
+    # Every row asks at its to and answers at its edge, so rows that are dealt by chart stay where they are.
+    both = F.array(F.struct(F.col("edge").alias("at"), F.struct(*columns).alias("said"), F.lit(None).alias("row")), F.struct(F.col("to").alias("at"), F.lit(None).alias("said"), F.struct(*own).alias("row")))
+    met = rows.select("project_id", F.explode(both).alias("b")).select("project_id", "b.*")
+    met = met.withColumn("there", F.max("said").over(Window.partitionBy("project_id", "at")))
+    return met.where("row is not null").select("project_id", "row.*", "there")
 
 
 def ordered(links: DataFrame) -> DataFrame:
-    """project_id, edge, ring (its least edge) and pos (steps from that one) for links (project_id, edge, next) that form cycles."""
+    """project_id, edge, ring (its least edge) and pos (steps from that one) for links (project_id, edge, next) that form cycles.
+
+    Reaches double AT_ONCE times between writes; links that are dealt by chart
+    move once for all of these, and with a chart of more than GROUP_LINKS links
+    they are dealt by edge.
+    """
     links = settled(links, "links")
+    largest = links.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    dealt = lambda df: df.repartition("project_id") if largest <= GROUP_LINKS else df
     known, last = links.select("project_id", "edge", F.col("next").alias("to"), F.least("edge", "next").alias("ring")), None
     while True:
-        there = known.select("project_id", F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
-        after = settled(known.join(there, ["project_id", "to"]).select("project_id", "edge", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved")), "rings")
+        after = dealt(known).withColumn("moved", F.lit(False))
+        for _ in range(AT_ONCE):
+            less = F.col("there.ring") < F.col("ring")
+            after = _ahead(after, "to", "ring").select("project_id", "edge", F.col("there.to").alias("to"), F.least("ring", "there.ring").alias("ring"), less.alias("moved"))
+        after = settled(after, "rings")
         if last is not None:
             forget(last)
         known, last = after.drop("moved"), after
         # Once a round changes nothing, each edge knows the least of as many edges as its ring has.
         if after.where("moved").isEmpty():
             break
-    rings = known.select("project_id", "edge", "ring")
-    # Backwards to the ring's first edge, which stays where it is.
-    back = links.select("project_id", F.col("next").alias("edge"), F.col("edge").alias("to")).join(rings, ["project_id", "edge"])
-    first = F.col("edge") == F.col("ring")
-    steps = settled(back.select("project_id", "edge", "ring", F.when(first, F.col("edge")).otherwise(F.col("to")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("pos")), "steps")
+    # Backwards to the ring's first edge, which stays where it is: links turned round, with the ring of the edge that they now start from.
+    turned = dealt(links.select("project_id", "edge", "next").unionByName(known.select("project_id", "edge", "ring"), allowMissingColumns=True))
+    turned = turned.groupBy("project_id", "edge").agg(F.max("next").alias("next"), F.max("ring").alias("ring"))
+    first = F.col("next") == F.col("ring")
+    steps = settled(turned.select("project_id", F.col("next").alias("edge"), "ring", F.when(first, F.col("next")).otherwise(F.col("edge")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("pos")), "steps")
     while not steps.where("to <> ring").isEmpty():
-        there = steps.select("project_id", F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("pos").alias("pos2"))
-        after = settled(steps.join(there, ["project_id", "to"]).select("project_id", "edge", "ring", F.col("to2").alias("to"), (F.col("pos") + F.col("pos2")).alias("pos")), "steps")
+        after = dealt(steps)
+        for _ in range(AT_ONCE):
+            after = _ahead(after, "to", "pos").select("project_id", "edge", "ring", F.col("there.to").alias("to"), (F.col("pos") + F.col("there.pos")).alias("pos"))
+        after = settled(after, "steps")
         forget(steps)
         steps = after
     forget(links, last)
@@ -69,7 +93,8 @@ def ordered(links: DataFrame) -> DataFrame:
 def rings(cells: DataFrame, thread: str) -> DataFrame:
     """project_id, ring, pos, x, y: the corners of every ring around cells of the id, from its least edge on, clockwise around regions and the other way around holes."""
     edges = settled(directed(grid.outline(cells, thread)), "edges")
-    return ordered(successors(edges)).join(edges.select("project_id", "edge", "x0", "y0"), ["project_id", "edge"]).select("project_id", "ring", "pos", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    rows = ordered(successors(edges.repartition("project_id"))).unionByName(edges.select("project_id", "edge", "x0", "y0"), allowMissingColumns=True).repartition("project_id")
+    return rows.groupBy("project_id", "edge").agg(*(F.max(c).alias(c) for c in ("ring", "pos", "x0", "y0"))).select("project_id", "ring", "pos", F.col("x0").alias("x"), F.col("y0").alias("y"))
 
 
 def _around(points: DataFrame, *offsets: int) -> DataFrame:

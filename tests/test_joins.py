@@ -1,6 +1,6 @@
 """Tables that are small on the disks only do not go through the driver."""
 
-from tessella.operators import grid, selection
+from tessella.operators import contours, grid, selection
 
 
 def chart(spark):
@@ -23,3 +23,8 @@ def test_colour_metrics(spark):
 def test_tidied(spark):
     cells = chart(spark)
     assert "Broadcast" not in plan(selection.tidied(cells, selection.everything(cells), 3))
+
+
+def test_rings(spark):
+    assert "Join" not in plan(grid.outline(chart(spark), "A"))
+    assert "Join" not in plan(contours.rings(chart(spark), "A"))
