@@ -45,6 +45,23 @@ def settled(df: DataFrame, name: str = "round") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by key into as many buckets as the session has shuffle partitions: joins and groups by key leave it where it is."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tessella_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.repartition(n, key).write.option("path", f"{shared_folder(df)}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    table = spark.table(name)
+    # The files stay, and table knows how they are dealt; the catalog keeps no trace.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that settled() has written; no plan that still runs may read them."""
     for table in tables:

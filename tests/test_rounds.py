@@ -25,3 +25,12 @@ def test_a_round_moves_links_once(spark):
 def test_a_gradient_moves_each_pixel_once(spark):
     pixels = spark.createDataFrame([(1, y * 5 + x, x, y, x, y, 9) for y in range(4) for x in range(5)], PIXELS)
     assert exchanges(edges.lab_sobel(pixels.repartition(4, "image_id"))) == 1
+
+
+def test_a_dealt_table_is_grouped_and_joined_where_it_is(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("g"), "id")
+    table = rounds.dealt(df, "g")
+    few = spark.createDataFrame([(1, 2)], "g long, k long")
+    assert table.count() == 100
+    assert exchanges(table.groupBy("g").count()) == 0
+    assert exchanges(table.join(few.hint("merge"), "g")) == 1
