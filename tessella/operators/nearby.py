@@ -11,6 +11,8 @@ Points have l, a, b, each once; catalogues thread_id, ord, c_l, c_a, c_b.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,7 @@ from pyspark.sql.window import Window
 from tessella.functions import colour as c
 from tessella.plans.rounds import forget, settled
 
-#: Catalogues of so many colours are broadcast, and all of them compared, which is one plain job.
+#: Catalogues of so many colours are broadcast, and all of them compared, which is one plain job: where they stand, without a sort or shuffle of pairs.
 FEW = 1000
 #: The last round deals its points over so many tasks.
 DEALT = 64
@@ -42,7 +44,12 @@ def nearest_in_lab(points: DataFrame, catalogue: DataFrame, k: int = 1, first_si
     ranked = lambda met: met.withColumn("d2", c.delta_e2(_lab(""), _lab("c_"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     size = catalogue.limit(max(few, k) + 1).count()
     if size <= few:
-        return ranked(points.crossJoin(F.broadcast(catalogue)))
+        # One row is broadcast; each point looks at all colours by itself.
+        every = catalogue.agg(F.collect_list(F.struct("ord", F.struct(*catalogue.columns).alias("c"))).alias("__all"))
+        apart = F.transform("__all", lambda x: F.struct(c.delta_e2(_lab(""), tuple(x["c"][f"c_{y}"] for y in "lab")).alias("d2"), x["ord"].alias("ord"), x["c"].alias("c")))
+        best = F.array_compact(F.array(F.array_min(apart))) if k == 1 else F.slice(F.sort_array(apart), 1, k)
+        found = points.crossJoin(F.broadcast(every)).select(*own, F.posexplode(best).alias("__at", "__m"))
+        return found.select(*own, *(F.col(f"__m.c.{x}").alias(x) for x in catalogue.columns), F.col("__m.d2").alias("d2"), (F.col("__at") + 1).alias("rank"))
     k = min(k, size)
     box = lambda prefix, step: [F.floor(F.col(f"{prefix}{x}") / step).cast("int").alias(f"box_{x}") for x in "lab"]
     while True:
@@ -92,20 +99,24 @@ def light_reach(farthest: Column, most: Column) -> Column:
     return most * (1 + 0.015 * farthest)
 
 
-def within_ciede2000(points: DataFrame, catalogue: DataFrame, most: Column) -> DataFrame:
+def within_ciede2000(points: DataFrame, catalogue: DataFrame, most: Column, few: int = FEW) -> DataFrame:
     """Every pair of a point and a colour that may be within most (a column of points) by CIEDE2000; all that are, are among them."""
     # A reach beyond the bounds of the catalogue visits no more boxes than the catalogue has.
-    ends = catalogue.agg(*(f(f"c_{x}").alias(f"{name}_{x}") for x in "lab" for f, name in ((F.min, "low"), (F.max, "high")))).first()
+    ends = catalogue.agg(F.count(F.lit(1)).alias("n"), *(f(f"c_{x}").alias(f"{name}_{x}") for x in "lab" for f, name in ((F.min, "low"), (F.max, "high")))).first()
     farthest = F.greatest(F.abs(F.col("l") - 50), *(F.abs(F.lit(ends[k]) - 50) for k in ("low_l", "high_l")))
     reach_l = light_reach(farthest, most) + 1e-6
     reach = F.coalesce(plane_reach(c.chroma(F.col("a"), F.col("b")), most), F.lit(1e6)) + 1e-6
     asking = points.withColumns({"__l": reach_l, "__p": reach})
+    keep = [*points.columns, *catalogue.columns]
+    if ends["n"] <= few:
+        # A point with a wide reach would visit thousands of boxes, more than there are colours.
+        near = reduce(Column.__and__, (F.abs(F.col(x) - F.col(f"c_{x}")) <= F.col(r) for x, r in (("l", "__l"), ("a", "__p"), ("b", "__p"))))
+        return asking.join(F.broadcast(catalogue), near).select(*keep)
     for x, r, side in (("l", "__l", LIGHT_SIDE), ("a", "__p", PLANE_SIDE), ("b", "__p", PLANE_SIDE)):
         first = F.floor(F.greatest(F.col(x) - F.col(r), F.lit(ends[f"low_{x}"])) / side).cast("int")
         final = F.floor(F.least(F.col(x) + F.col(r), F.lit(ends[f"high_{x}"])) / side).cast("int")
         asking = asking.withColumn(f"box_{x}", F.explode(F.when(first <= final, F.sequence(first, final))))
     there = catalogue.select("*", *(F.floor(F.col(f"c_{x}") / side).cast("int").alias(f"box_{x}") for x, side in (("l", LIGHT_SIDE), ("a", PLANE_SIDE), ("b", PLANE_SIDE))))
-    keep = [*points.columns, *catalogue.columns]
     return asking.join(there, ["box_l", "box_a", "box_b"]).where(F.abs(F.col("l") - F.col("c_l")) <= F.col("__l")).select(*keep)
 
 
@@ -114,5 +125,6 @@ def nearest_by_ciede2000(points: DataFrame, catalogue: DataFrame, k: int = 1, sl
     first = nearest_in_lab(points.select("l", "a", "b"), catalogue, k).withColumn("delta", c.ciede2000(_lab(""), _lab("c_")))
     bound = settled(first.groupBy("l", "a", "b").agg((F.max("delta") + slack).alias("__most")), "bounds")
     asked = points.join(bound, ["l", "a", "b"])
-    found = within_ciede2000(asked, catalogue, F.col("__most")).withColumn("delta", c.ciede2000(_lab(""), _lab("c_")))
+    # As an array of one, which no filter is pushed through, the difference is computed once for a pair.
+    found = within_ciede2000(asked, catalogue, F.col("__most")).select("*", F.explode(F.array(c.ciede2000(_lab(""), _lab("c_")))).alias("delta"))
     return found.where(F.col("delta") <= F.col("__most")).drop("__most")

@@ -85,3 +85,36 @@ def test_large_catalogues_join_on_boxes(spark):
         plan = found._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert search.nearest(points, stock).count() == 300
+
+
+def _sorted_in_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort ")
+
+
+def test_few_colours_are_not_sorted_by_point(spark):
+    """The nearest of few colours are found where a point stands, ties by ord, whatever k; no pair is sorted or shuffled."""
+    rng = random.Random(4)
+    catalogue = [(i, i, float(rng.randrange(4) * 30), float(rng.randrange(4) * 20), 0.0) for i in range(60)]
+    points = [(float(rng.randrange(100)), float(rng.randrange(90)), 0.0) for _ in range(40)]
+    c = spark.createDataFrame(catalogue, "thread_id long, ord long, c_l double, c_a double, c_b double")
+    p = spark.createDataFrame(sorted(set(points)), "l double, a double, b double")
+    for k in (1, 5, 70):
+        df = nearby.nearest_in_lab(p, c, k)
+        got = {(r.l, r.a, r["rank"]): (r.thread_id, r.d2) for r in df.collect()}
+        want = {}
+        for x, y, _ in set(points):
+            best = sorted(((x - cl) ** 2 + (y - ca) ** 2, o, t) for t, o, cl, ca, _ in catalogue)[:k]
+            want |= {(x, y, n + 1): (t, d) for n, (d, _, t) in enumerate(best)}
+        assert got == want
+        assert _sorted_in_plan(df) == 0
+    assert nearby.nearest_in_lab(p, c.limit(0)).count() == 0
+
+
+def test_few_colours_are_not_met_by_boxes(spark):
+    """A far reach with few colours makes no row for each box."""
+    c = spark.createDataFrame([(i, i, i * 10.0, i * 9.0 - 40, 40 - i * 8.0) for i in range(10)], "thread_id long, ord long, c_l double, c_a double, c_b double")
+    p = spark.createDataFrame([(50.0, 1.0, 2.0), (10.0, 90.0, -90.0)], "l double, a double, b double")
+    found = nearby.within_ciede2000(p, c, F.lit(60.0))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    pair = lambda df: {(r.l, r.thread_id) for r in df.withColumn("d", nearby.c.ciede2000(nearby._lab(""), nearby._lab("c_"))).where("d <= 60").collect()}
+    assert pair(found) == pair(p.crossJoin(c)) == pair(nearby.within_ciede2000(p, c, F.lit(60.0), few=0))
