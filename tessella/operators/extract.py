@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.numbers import js_round
 from tessella.operators import nearby
+from tessella.plans.rounds import settled
 
 #: Words of stitch types in three languages, in the order in which they are tried, codes and strands of a legend row.
 TYPES = (
@@ -58,20 +59,25 @@ def matched(cells: DataFrame, legend: DataFrame, catalogue: DataFrame, reach: fl
     legend: page_id, code, r, g, b, ord; catalogue: id, r, g, b, ord. Distances are taken once for each distinct colour of a page.
     """
     rgb = ["r", "g", "b"]
-    gap = lambda p: F.sqrt(sum(((F.col(c) - F.col(f"{p}{c}")) * (F.col(c) - F.col(f"{p}{c}")) for c in rgb), F.lit(0)).cast("double"))
-    distinct = cells.select("page_id", *rgb).distinct()
-    rows = legend.select("page_id", "code", "ord", *(F.col(c).alias(f"l_{c}") for c in rgb))
-    near = distinct.join(rows, "page_id").groupBy("page_id", *rgb).agg(F.min_by(F.struct("code", gap("l_").alias("d")), F.struct(gap("l_"), "ord")).alias("m"))
+    d2 = sum(((F.col(c) - F.col(f"l_{c}")) * (F.col(c) - F.col(f"l_{c}")) for c in rgb), F.lit(0)).cast("long")
+    distinct = settled(cells.select("page_id", *rgb).distinct(), "page_colours")
+    # Legend rows are numbered in their order, so that one number has the squared distance and who is first of equal ones: pairs add up without a sort, and only those in reach count.
+    listed = legend.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", "code", *rgb))).alias("rows"))
+    rows = listed.select("page_id", F.posexplode("rows").alias("pos", "row")).select("page_id", "pos", *(F.col(f"row.{c}").alias(f"l_{c}") for c in rgb))
+    pairs = distinct.join(rows, "page_id").withColumn("d2", d2).where(F.sqrt(F.col("d2").cast("double")) < reach)
+    least = pairs.groupBy("page_id", *rgb).agg(F.min(F.shiftleft("d2", 32) + F.col("pos")).alias("k"))
+    row = F.get("rows", F.col("k").bitwiseAND(0xFFFFFFFF).cast("int"))
+    near = settled(least.join(listed, "page_id").select("page_id", *rgb, row["code"].alias("near_code"), F.shiftright("k", 32).alias("d2")), "legend_near")
     # The search goes by places along any three axes.
     threads = catalogue.select(F.col("id").alias("thread_id"), "ord", *(F.col(c).cast("double").alias(f"c_{x}") for c, x in zip(rgb, "lab", strict=True)))
-    far = distinct.join(near.where(F.col("m.d") < reach), ["page_id", *rgb], "left_anti").select(*rgb).distinct()
+    far = distinct.join(near, ["page_id", *rgb], "left_anti").select(*rgb).distinct()
     places = far.select(F.struct(*rgb).alias("rgb"), *(F.col(c).cast("double").alias(x) for c, x in zip(rgb, "lab", strict=True)))
     fallback = nearby.nearest_in_lab(places, threads).select("rgb.*", F.col("thread_id").alias("thread"))
     j = cells.join(near, ["page_id", *rgb], "left").join(fallback, rgb, "left")
-    exact, close = F.col("m.d") == 0, F.col("m.d") < reach
+    exact, close = F.col("d2") == 0, F.col("d2").isNotNull()
     kind = F.when(exact, "legend-exact").when(close, "legend-nearest").when(F.col("thread").isNotNull(), "catalogue").otherwise("unknown")
     confidence = F.when(exact, 1.0).when(close, 0.95).when(F.col("thread").isNotNull(), 0.5).otherwise(0.0)
-    return j.select("page_id", "col", "row", F.when(close, F.col("m.code")).otherwise(F.col("thread").cast("string")).alias("code"), kind.alias("kind"), confidence.alias("confidence"))
+    return j.select("page_id", "col", "row", F.when(close, F.col("near_code")).otherwise(F.col("thread").cast("string")).alias("code"), kind.alias("kind"), confidence.alias("confidence"))
 
 
 def bands(texts: DataFrame, tolerance: float = 2.5) -> DataFrame:
