@@ -6,7 +6,10 @@ origin_y; texts: page_id, item, x, y, text.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,21 +87,27 @@ def bands(texts: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """Lines of text on each page: from the top down, an item within the tolerance of a line's first item belongs to it. page_id, band, y, text.
 
     Where a line ends depends on where it began, so a page's items are read in
-    order by one task, a page at a time.
+    order by one task, which keeps the line it is in and no page.
     """
-    schema = "page_id long, item long, x double, y double, text string, band int, first double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "item"], ascending=[False, True], ignore_index=True)
-        band, first, number, firsts = -1, 0.0, [], []
-        for y in pdf["y"]:
-            if band < 0 or first - y > tolerance:
-                band, first = band + 1, y
-            number.append(band)
-            firsts.append(first)
-        return pdf.assign(band=number, first=firsts)
-
-    placed = texts.select("page_id", "item", "x", "y", "text").groupBy("page_id").applyInPandas(one, schema)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, band, first = None, -1, 0.0
+        for batch in batches:
+            number, firsts = [], []
+            for page, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                y = math.nan if y is None else y
+                if band < 0 or page != last:
+                    last, band, first = page, 0, y
+                elif first - y > tolerance:
+                    band, first = band + 1, y
+                number.append(band)
+                firsts.append(None if math.isnan(first) else first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(number, pa.int32()), pa.array(firsts, pa.float64())], names=names)
+
+    schema = "page_id long, item long, x double, text string, band int, first double"
+    names = [f.split()[0] for f in schema.split(", ")]
+    items = texts.select(F.col("page_id").cast("long").alias("page_id"), F.col("item").cast("long").alias("item"), F.nanvl(F.col("y").cast("double"), F.lit(None)).alias("y"), F.col("x").cast("double").alias("x"), F.col("text").cast("string").alias("text"))
+    placed = items.repartition("page_id").sortWithinPartitions("page_id", F.desc_nulls_last("y"), "item").mapInArrow(numbered, schema)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("x", "item", "text"))), lambda t: t["text"])
     text = F.trim(F.regexp_replace(F.array_join(in_order, " "), r"\s+", " "))
     return placed.groupBy("page_id", "band").agg(F.max("first").alias("y"), text.alias("text"))

@@ -32,3 +32,25 @@ def test_no_pair_with_a_legend_row_is_sorted(spark, monkeypatch):
         want[page, col] = (code, "legend-exact" if d == 0 else "legend-nearest") if d < 100 else (thread, "catalogue")
     assert {(r.page_id, r.col): (r.code, r.kind) for r in got.collect()} == want
     assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_bands_across_batches(spark):
+    rng = random.Random(1)
+    rows = [(p, i, float(rng.randrange(9)), rng.choice([None, *(x * 0.9 for x in range(40))]), f"w{i}") for p in range(12) for i in range(rng.randrange(1, 30))]
+    want = {}
+    for page in {r[0] for r in rows}:
+        band, first = -1, 0.0
+        for r in sorted((r for r in rows if r[0] == page), key=lambda r: (r[3] is None, -(r[3] or 0), r[1])):
+            y = float("nan") if r[3] is None else r[3]
+            if band < 0 or first - y > 2.5:
+                band, first = band + 1, y
+            want.setdefault((page, band), []).append((r[2], r[1], r[4]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = extract.bands(spark.createDataFrame(rows, "page_id long, item long, x double, y double, text string"))
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r.page_id, r.band): r.text for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: " ".join(t for _, _, t in sorted(v)) for k, v in want.items()}
