@@ -24,14 +24,17 @@ def shuffled(items: DataFrame, group: str, seeds: DataFrame, keep: str) -> DataF
     """
     pools = items.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda s: s["item"]).alias("pool"))
     pools = pools.join(seeds.select(group, F.col("seed").cast("long").alias("seed")), group).withColumn("n", F.size("pool"))
+    steps = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    # Each place is drawn once, before the swaps, which move whole stretches of the array.
+    draws = F.transform(steps, lambda step: F.struct((F.col("n") - step).alias("last"), seeded.below(F.col("seed"), step, F.col("n") - step + 1).cast("int").alias("drawn")))
 
-    def swapped(pool, step):
-        last = F.col("n") - step
-        drawn = seeded.below(F.col("seed"), step, last + 1).cast("int")
-        return F.transform(pool, lambda x, i: F.when(i == last, F.get(pool, drawn)).when(i == drawn, F.get(pool, last)).otherwise(x))
+    def swapped(pool, s):
+        last, drawn = s["last"], s["drawn"]
+        one = lambda at: F.array(F.get(pool, at))
+        between = F.slice(pool, drawn + 2, last - drawn - 1)
+        return F.when(drawn == last, pool).otherwise(F.concat(F.slice(pool, F.lit(1), drawn), one(last), between, one(drawn), F.slice(pool, last + 2, F.col("n"))))
 
-    steps = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    done = pools.select(group, "n", F.aggregate(steps, F.col("pool"), swapped).alias("pool"))
+    done = pools.select(group, "n", "pool", draws.alias("draws")).select(group, "n", F.aggregate("draws", F.col("pool"), swapped).alias("pool"))
     return done.select(group, "n", F.posexplode("pool").alias("place", "item")).where(F.col("place") < F.expr(keep)).drop("n")
 
 
