@@ -63,8 +63,8 @@ def each_once(near: DataFrame, group: str) -> DataFrame:
     return rows.select(group, F.inline(F.aggregate("centres", start, choose)))
 
 
-#: Pixels of an image whose weights are added up together.
-BLOCK = 4096
+#: Pixels of an image whose weights are added up together, and of an image up to which all of them lie in one task.
+BLOCK, IMAGE = 4096, 1_000_000
 #: Squared Lab distances count in millionths, so that sums do not depend on their order.
 PARTS = 1_000_000
 
@@ -74,10 +74,42 @@ def seeded_centres(pixels: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 
     pixels: image_id, idx (from 0, without gaps), r, g, b; seeds: image_id, seed. The first is drawn
     evenly; an image without k pixels has as many as it has. Where all pixels have
-    been drawn in colour the first pixel is drawn again. Distances are kept for
-    an image's distinct colours and added up by blocks of pixels, so a draw looks
-    into one block of each image, and no image is in one task.
+    been drawn in colour the first pixel is drawn again. Images move once and their
+    draws are windows over their pixels; where an image is larger than IMAGE, distances
+    are added up by blocks of pixels, so that none is in one task.
     """
+    largest = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return _drawn_by_image(pixels, seeds, k) if largest <= IMAGE else _drawn_by_block(pixels, seeds, k)
+
+
+def _drawn_by_image(pixels: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    image, order = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("pos")
+    every = image.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = pixels.select("image_id", F.col("idx").cast("long").alias("pos"), "r", "g", "b").join(seeds.select("image_id", F.col("seed").cast("long").alias("seed")), "image_id")
+    at = at.withColumn("size", F.count(F.lit(1)).over(image))
+    light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    at = at.withColumns({"p": F.struct(light.alias("l"), a.alias("a"), b.alias("b"))})
+    own = ["image_id", "pos", "r", "g", "b", "seed", "size", "p"]
+    here = F.col("pos") == seeded.below(F.col("seed"), F.lit(1), F.col("size"))
+    at = at.select(*own, F.lit(2**62).alias("weight"), F.when(here, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("clusters"), here.alias("here"))
+    for cluster in range(2, k + 1):
+        last = F.max(F.when(F.col("here"), F.col("p"))).over(every)
+        at = at.withColumn("c", last)
+        lab = lambda s: tuple(F.col(f"{s}.{x}") for x in "lab")
+        distance = F.floor(c.delta_e2(lab("p"), lab("c")) * PARTS + 0.5).cast("long")
+        # Without a centre before it an image gets no more: its weights are null.
+        at = at.withColumn("weight", F.when(F.col("c").isNotNull(), F.least("weight", distance)))
+        at = at.withColumns({"acc": F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("weight").over(every)})
+        bits = seeded.bits(F.col("seed"), F.lit(cluster))
+        reached = F.col("acc").cast("decimal(38,0)") * F.lit(2**32).cast("decimal(10,0)") >= bits.cast("decimal(10,0)") * F.col("total").cast("decimal(19,0)")
+        at = at.withColumn("chosen", F.min(F.when((F.col("size") >= cluster) & reached, F.col("pos"))).over(every))
+        here = F.coalesce(F.col("pos") == F.col("chosen"), F.lit(False))
+        at = at.select(*own, "weight", F.when(here, F.concat("clusters", F.array(F.lit(cluster)))).otherwise(F.col("clusters")).alias("clusters"), here.alias("here"))
+    return at.where(F.size("clusters") > 0).select("image_id", F.explode("clusters").alias("cluster"), "r", "g", "b")
+
+
+def _drawn_by_block(pixels: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Distances are kept for an image's distinct colours and added up by blocks, so a draw looks into one block of each image."""
     position = pixels.select("image_id", F.col("idx").cast("long").alias("pos"), "r", "g", "b")
     light, a, b = c.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     position = settled(position.withColumn("block", F.floor(F.col("pos") / BLOCK)), "positions")
