@@ -41,7 +41,13 @@ def collisions(mapping: DataFrame) -> DataFrame:
 
 
 def harmony(bases: DataFrame, kind: str, count: int | None = None) -> DataFrame:
-    """id, place (from 0), r, g, b: the base colour, its partners by hue, and up to count lighter and darker variants of these in turn. bases: id, r, g, b."""
+    """id, place (from 0), r, g, b: the base colour, its partners by hue, and up to count lighter and darker variants of these in turn. bases: id, r, g, b. Each distinct colour is worked once."""
+    colour = F.struct("r", "g", "b")
+    found = _harmony_of(bases.select("r", "g", "b").distinct().select(colour.alias("id"), "r", "g", "b"), kind, count)
+    return bases.select("id", colour.alias("__base")).join(found.withColumnRenamed("id", "__base"), "__base").drop("__base")
+
+
+def _harmony_of(bases: DataFrame, kind: str, count: int | None) -> DataFrame:
     angles = (0, *HARMONIES[kind])
     m = len(angles)
     count = m if count is None else max(count, m)
