@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -148,6 +147,24 @@ def reduced(cells: DataFrame, colours: DataFrame, target: int) -> DataFrame:
     return n.groupBy("project_id").applyInPandas(one, "project_id long, thread_id string, new_id string")
 
 
+def neighbours(x: np.ndarray, y: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """Of every place, each once, the numbers of those on its four and on its eight sides."""
+    x, y = x - x.min() + 1, y - y.min() + 1
+    wide = int(x.max()) + 2
+    code = y * wide + x
+    order = np.argsort(code)
+    there = code[order]
+    found = []
+    for steps in (grid.FOUR, grid.EIGHT):
+        wanted = code[:, None] + np.array([dy * wide + dx for dx, dy in steps])
+        slot = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+        hit = there[slot] == wanted
+        ends = np.cumsum(hit.sum(axis=1)).tolist()
+        flat = order[slot[hit]].tolist()
+        found.append([flat[i:j] for i, j in zip([0, *ends], ends)])
+    return found[0], found[1]
+
+
 def without_orphans(cells: DataFrame, colours: DataFrame, most: int, tie: float = 1.0, flat: float = 2.0) -> DataFrame:
     """cells of charts after clusters of at most so many cells took the id around them, on eight sides, that is nearest in colour; of ids within a tie of the nearest the commonest.
 
@@ -157,16 +174,18 @@ def without_orphans(cells: DataFrame, colours: DataFrame, most: int, tie: float
     of those before it, so a chart is worked by one task; charts are dealt
     over the cluster. project_id, idx, thread_id come back.
     """
-    flags = [F.col("saliency") if "saliency" in cells.columns else F.lit(1.0).alias("saliency"), F.col("edge") if "edge" in cells.columns else F.lit(False).alias("edge")]
+    weighed, edged = "saliency" in cells.columns, "edge" in cells.columns
+    flags = [k for k, given in (("saliency", weighed), ("edge", edged)) if given]
     at = cells.join(colours.select("thread_id", "c_l", "c_a", "c_b"), "thread_id", "left").select("project_id", "idx", "x", "y", "thread_id", "c_l", "c_a", "c_b", *flags)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        places = list(zip(pdf["x"], pdf["y"], strict=True))
-        place = {xy: i for i, xy in enumerate(places)}
-        around = lambda i, steps: [place[p] for dx, dy in steps if (p := (places[i][0] + dx, places[i][1] + dy)) in place]
-        first, saliency, edge = pdf["thread_id"].tolist(), pdf["saliency"].to_numpy(), pdf["edge"].to_numpy()
-        lab_of = {t: v for t, *v in pdf[["thread_id", "c_l", "c_a", "c_b"]].itertuples(index=False, name=None)}
+        pdf = pdf.iloc[np.argsort(pdf["idx"].to_numpy(), kind="stable")]
+        first = pdf["thread_id"].tolist()
+        saliency = pdf["saliency"].to_numpy() if weighed else None
+        edge = pdf["edge"].to_numpy() if edged else None
+        four, eight = neighbours(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        lab_of = dict(zip(first, zip(*(pdf[f"c_{k}"].tolist() for k in ("l", "a", "b")), strict=True), strict=True))
+        apart: dict[tuple[str, str], float] = {}
         ids, seen = list(first), [t in grid.SENTINELS for t in first]
         for begin, own in enumerate(first):
             if seen[begin]:
@@ -174,19 +193,28 @@ def without_orphans(cells: DataFrame, colours: DataFrame, most: int, tie: float
             cluster = [begin]
             seen[begin] = True
             for i in cluster:  # grows while it is read
-                for k in around(i, grid.FOUR):
+                for k in four[i]:
                     if not seen[k] and first[k] == own:
                         seen[k] = True
                         cluster.append(k)
-            if edge[cluster].any() or len(cluster) > most * (1 + (1 - saliency[cluster].mean()) * flat):
+            if len(cluster) > (most * (1 + (1 - saliency[cluster].mean()) * flat) if weighed else most) or edged and edge[cluster].any():
                 continue
-            border = Counter(ids[k] for i in cluster for k in around(i, grid.EIGHT) if ids[k] != own and ids[k] not in grid.SENTINELS)
+            border: dict[str, int] = {}
+            for i in cluster:
+                for k in eight[i]:
+                    t = ids[k]
+                    if t != own and t not in grid.SENTINELS:
+                        border[t] = border.get(t, 0) + 1
             if border:
-                distance = {t: math.dist(lab_of[own], lab_of[t]) for t in border}
+                distance = {}
+                for t in border:
+                    if (own, t) not in apart:
+                        apart[own, t] = math.dist(lab_of[own], lab_of[t])
+                    distance[t] = apart[own, t]
                 near = min(distance.values()) + tie
                 new = min((t for t in border if distance[t] <= near), key=lambda t: (-border[t], distance[t], t))
                 for i in cluster:
                     ids[i] = new
-        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "thread_id": ids})
+        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "thread_id": pd.Series(ids, index=pdf.index, dtype=object)})
 
     return at.groupBy("project_id").applyInPandas(one, "project_id long, idx long, thread_id string")
