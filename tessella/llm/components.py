@@ -57,7 +57,7 @@ BROADCAST_KEYS = 250_000
 MOST_ROUNDS = 2
 
 
-def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None, one_leader: bool = False) -> DataFrame:
     """node, root of the components over all pairs of nodes that share a bucket and pass verify.
 
     members: key and node. traits: node and what may_link reads, for every node
@@ -65,7 +65,9 @@ def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFr
     returns those that are linked. may_link(a, b): a condition on key and the
     traits under the aliases a and b that linked pairs meet. facts: node
     and columns for may_link_all, one more condition of that kind, which only
-    the last step reads.
+    the last step reads. one_leader: in the first round a node is compared with one
+    leader only, the one met most often of those that it may be linked with, so that
+    a group of near copies costs a comparison for each node and not for each of its keys.
 
     In each round one member of every open bucket, the one met most often in
     buckets, is compared with the others; whoever ends in its component needs no
@@ -84,12 +86,15 @@ def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFr
     state = live.withColumns({"root": F.col("node"), "led": F.lit(False), "away": F.lit(True)})
     written = live
     roots = None
-    for _ in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS):
         # The greatest struct: of the members that have not led, one away from the last leader's component, and of these the one met most often.
         leaders = state.groupBy("key").agg(F.max(F.when(~F.col("led"), F.struct("away", "w", "node", "root", *own))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and head is not null").select("key", "head")
         met = state.alias("m").join(leaders.select("key", F.struct(F.col("key").alias("key"), "head.*").alias("head")), "key")
         compared = (F.col("root") != F.col("head.root")) & may_link("m", "head")
-        checked = cut(verify(met.where(compared).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()), "links")
+        open_pairs = met.where(compared).select("node", "head")
+        if one_leader and not turn:
+            open_pairs = open_pairs.groupBy("node").agg(F.max(F.struct("head.w", "head.node")).alias("head"))
+        checked = cut(verify(open_pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()), "links")
         # The stars found so far stand for their links.
         roots = connected_components(checked if roots is None else stars(roots).union(checked))
         moved = met.select("key", "node", "w", *own, (F.col("led") | (F.col("node") == F.col("head.node"))).alias("led"), F.col("head.node").alias("last"))

@@ -1,11 +1,15 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
 Lines are normalised and get a 64-bit SimHash of their words. Lines whose
-hashes differ in at most three bits agree, by the pigeonhole principle, on two
-of five blocks of bits, and meet in the buckets of the ten pairs of blocks. One
+hashes differ in at most three bits agree, by the pigeonhole principle, on three
+of six blocks of bits, and meet in the buckets of the twenty triples of blocks; 31
+to 33 bits are wide enough that lines which share nothing hardly ever meet. One
 changed word in fifty moves about four bits, so lines also have MinHash values
 of the same words and meet in six bands of four: of lines that share four fifths
 of their longer words 4.3 % miss all bands, of those that share nine tenths 0.2 %.
+A band counts within a class of lengths only. There are two sets of classes, one
+half a class beside the other, so that lines whose lengths allow a link have a
+class in common.
 Lines of fourteen words or fewer also have a key for all their words and one for
 all but each, so that short lines with one word changed, added or left out always
 meet, and few others do. All keys see whole
@@ -15,11 +19,12 @@ distance, and links join into groups. Of each group the occurrence in the least
 document stays, and every other one is removed.
 
 Edit distances of whole lines are dear, so bounds come first: each line is also
-a string with one symbol for each word, and one for every four characters,
-and the distance of such strings times the longest piece is
+a string with one symbol for each word, and a long one with one for every four
+characters, and the distance of such strings times the longest piece is
 never less than the distance of the lines. In the other direction an edit takes
-three grams of three characters at most, so short lines that share too few grams
-cannot be near. Pairs that the bounds leave open get the exact distance.
+three grams of three characters at most, so lines of middle length that share too
+few grams cannot be near. Pairs that the bounds leave open get the exact distance.
+Pieces and grams are made only for pairs that words leave open.
 
 The SimHash comes from word counts per bit: each word of four bytes or more adds
 its hash bits to 22 sums, three counters in each, in one grouped
@@ -44,10 +49,11 @@ pass through; one with the name of an added column gives way to it.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, cut, discard
@@ -58,16 +64,21 @@ MIN_WORDS = 5
 LONG, MIN_LONG, MAX_WORDS = 4, 3, (1 << 20) - 1
 MAX_BITS = 3
 PERCENT = 80
-#: Widths of the blocks; any MAX_BITS flipped bits leave two of five alone.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Widths of the blocks; any MAX_BITS flipped bits leave TOGETHER of them alone.
+BLOCKS = (11, 11, 11, 11, 10, 10)
+TOGETHER = len(BLOCKS) - MAX_BITS
+#: Keys of a line that are dealt at a time; all at once would take more disk.
+KEYS_AT_ONCE = 10
 #: MinHash values, and the bands of them; two bands share two at most.
 MINIMA = 12
 BANDS = ((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (0, 4, 8, 11), (1, 5, 9, 3), (2, 6, 10, 7))
 #: Lines of so many words at most also have a key for all their words and one for all but each; two keys in a number.
 SHORT = 14
 _PAIRS = [f"q{i}" for i in range((SHORT + 2) // 2)]
-#: Characters of a gram, and of the lines that are first compared by their grams.
+#: Characters of a gram, and of the lines that have grams.
 GRAM, GRAM_LINE = 3, 400
+#: Characters of the longer line from which grams, and pieces of four characters, cost less than the exact distance.
+BY_GRAMS, BY_PIECES = 100, 200
 #: Sum j counts bits j, j + 21 and j + 42 in 21 bits each, and one more sum bit 63.
 _LANE = _SUMS = 21
 _MASK = sum(1 << _LANE * lane for lane in range(3))
@@ -85,7 +96,7 @@ def _signed(bits: int) -> int:
 def block_masks() -> list[int]:
     starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
     masks = [((1 << width) - 1) << at for width, at in zip(BLOCKS, starts, strict=True)]
-    return [_signed(a | b) for a, b in combinations(masks, 2)]
+    return [_signed(sum(some)) for some in combinations(masks, TOGETHER)]
 
 
 def band_marks() -> list[int]:
@@ -164,7 +175,8 @@ def as_symbols(pieces: Column) -> Column:
 
 def symbols(norm: Column, size: int) -> Column:
     """The line with one symbol for each piece of a word and the space behind it, of so many characters at most."""
-    return as_symbols(F.regexp_extract_all(norm, F.lit(f"[^ ]{{1,{size - 1}}} ?|[^ ]"), F.lit(0)))
+    # regexp_extract_all() would copy the line for every piece.
+    return as_symbols(F.array_remove(F.split(F.regexp_replace(norm, f"[^ ]{{1,{size - 1}}} ?", "$0\n"), "\n"), ""))
 
 
 def grams(norm: Column) -> Column:
@@ -181,24 +193,26 @@ def verifier(classes: DataFrame, docs: DataFrame, percent: int):
         wanted = classes.join(nodes, "node", "left_semi").select("node", "first.dk", "first.line")
         found = docs.select("dk", "text").join(wanted, "dk").select("dk", "line", "node", F.array_join(words_of(F.split("text", "\n")[F.col("line")]), " ").alias("norm"))
         # Rows with equal id and text give a line more than once; they lie together already.
-        found = found.dropDuplicates(["dk", "line"]).withColumn("words", F.split("norm", " ")).select("node", "norm", grams(F.col("norm")).alias("grams"), (F.array_max(F.transform("words", F.length)) + 1).alias("widest"), as_symbols(F.col("words")).alias("by_word"), symbols(F.col("norm"), 4).alias("by_4"))
+        found = found.dropDuplicates(["dk", "line"]).withColumn("words", F.split("norm", " ")).select("node", "norm", (F.array_max(F.transform("words", F.length)) + 1).alias("widest"), as_symbols(F.col("words")).alias("by_word"))
         found = cut(found, "lines")
         sides = [found.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in found.columns if c != "node")) for k in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b")
-        most = F.floor(F.greatest(F.length("norm_a"), F.length("norm_b")) * ((100 - percent) / 100)).cast("int")
-        shared = F.size(F.array_intersect("grams_a", "grams_b")) >= F.greatest(F.size("grams_a"), F.size("grams_b")) - GRAM * most
-        possible = F.col("grams_a").isNull() | F.col("grams_b").isNull() | shared
+        a, b = F.col("norm_a"), F.col("norm_b")
+        longer = F.greatest(F.length(a), F.length(b))
+        most = F.floor(longer * ((100 - percent) / 100)).cast("int")
+        shares = lambda x, y: F.size(F.array_intersect(x, y)) >= F.greatest(F.size(x), F.size(y)) - GRAM * most
+        possible = F.coalesce(F.exists(F.array(F.struct(grams(a).alias("x"), grams(b).alias("y"))), lambda p: shares(p["x"], p["y"])), F.lit(True))
+        within = lambda x, y, width: F.call_function("levenshtein", x, y, F.floor(most / width).cast("int")) >= 0
+        exact = F.exists(trimmed(a, b), lambda p: F.call_function("levenshtein", p["x"], p["y"], most) >= 0)
         # Each test sees only the pairs that those before it leave open.
-        bound = lambda by, width: F.call_function("levenshtein", f"{by}_a", f"{by}_b", F.floor(most / width).cast("int")) >= 0
-        exact = F.exists(trimmed(F.col("norm_a"), F.col("norm_b")), lambda p: F.call_function("levenshtein", p["x"], p["y"], most) >= 0)
-        linked = F.when(bound("by_word", F.greatest("widest_a", "widest_b")), True).when(bound("by_4", 4), True).otherwise(exact)
-        return both.where(possible).where(linked).select("a", "b")
+        linked = F.when(within("by_word_a", "by_word_b", F.greatest("widest_a", "widest_b")), True).when((longer >= BY_PIECES) & within(symbols(a, 4), symbols(b, 4), 4), True).when(longer.between(BY_GRAMS, GRAM_LINE) & ~possible, False).otherwise(exact)
+        return both.where(linked).select("a", "b")
 
     return verify
 
 
 def may_link(percent: int):
-    """Few bits apart, where a bucket of a pair of blocks is the place; and no pair differs in length by more than its edit distance."""
+    """Few bits apart, where a bucket of blocks is the place; and no pair differs in length by more than its edit distance."""
 
     def condition(a: str, b: str) -> Column:
         bits = F.bit_count(F.col(f"{a}.simhash").bitwiseXOR(F.col(f"{b}.simhash")))
@@ -209,6 +223,23 @@ def may_link(percent: int):
     return condition
 
 
+def length_classes(size: Column, percent: int) -> list[Column]:
+    """Two numbers; sizes of which the less is at least percent of the greater agree in one of them."""
+    # Classes are twice as wide as such sizes are apart, and a little more.
+    width = 2.01 * max(math.log(100 / percent), 0.001)
+    return [F.floor(F.log(size) / width + shift).cast("int") for shift in (0.0, 0.5)]
+
+
+def shared_keys(lines: DataFrame, keys: list[Column]) -> DataFrame:
+    """key and node of every key that several nodes have; keys: arrays of them, each dealt by itself."""
+    found = None
+    for some in keys:
+        dealt = lines.select("node", F.explode(some).alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        part = cut(dealt.where("n > 1").select("key", "node"), "line_keys")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text without its repeated lines, and n_lines, n_removed; lines of fewer than min_words words are left alone."""
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
@@ -221,13 +252,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     discard(whole)
     # The lowest bit of a key tells bands from blocks.
     blocks = [F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(-2) for i, m in enumerate(block_masks())]
-    bands = [F.xxhash64(F.lit(-1 - i), F.col("bands")[i]).bitwiseOR(1) for i in range(len(BANDS))]
+    bands = [F.xxhash64(F.lit(-1 - i), F.col("bands")[i], F.lit(k), c).bitwiseOR(1) for k, c in enumerate(length_classes(F.col("size"), percent)) for i in range(len(BANDS))]
     hashed = classes.where("simhash is not null")
     halves = [F.xxhash64(F.lit(-100), half).bitwiseOR(1) for q in _PAIRS for half in (F.shiftright(q, 32).cast("int"), F.shiftright(F.shiftleft(q, 32), 32).cast("int"))]
     short = F.when(F.col(_PAIRS[0]).isNotNull(), F.array_compact(F.array(*(F.when(F.col(_PAIRS[i // 2]).isNotNull(), h) for i, h in enumerate(halves))))).otherwise(F.array().cast("array<bigint>"))
     # A repeated word gives a key twice.
-    members = hashed.select("node", F.explode(F.concat(F.array(*blocks, *bands), F.array_distinct(short))).alias("key"))
-    roots = link_buckets(members, hashed.select("node", "size", "simhash"), verifier(classes, table, percent), may_link(percent))
+    members = shared_keys(hashed, [*(F.array(*blocks[i : i + KEYS_AT_ONCE]) for i in range(0, len(blocks), KEYS_AT_ONCE)), F.concat(F.array(*bands), F.array_distinct(short))])
+    roots = link_buckets(members, hashed.select("node", "size", "simhash"), verifier(classes, table, percent), may_link(percent), one_leader=True)
     placed = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     keepers = placed.join(placed.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("node", "keeper")
     again = index.join(keepers, "node").where("dk <> keeper.dk or line <> keeper.line")

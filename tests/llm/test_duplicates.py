@@ -353,3 +353,21 @@ def test_trimming_keeps_the_distance(spark):
     got = rest.select("want", F.levenshtein("x", "y").alias("got"), (F.length("x") + F.length("y")).alias("n")).collect()
     assert all(r.want == r.got for r in got)
     assert sum(r.n for r in got) < 0.6 * sum(len(x) + len(y) for x, y in rows)
+
+
+def test_blocks_are_wide_and_lose_no_pair():
+    """Unlike lines must not meet as the square of their number; hashes three bits apart must."""
+    masks = [m & (1 << 64) - 1 for m in line_dedup.block_masks()]
+    assert min(m.bit_count() for m in masks) >= 31
+    rng = random.Random(2)
+    for _ in range(2000):
+        flips = sum(1 << b for b in rng.sample(range(64), line_dedup.MAX_BITS))
+        assert any(not flips & m for m in masks)
+
+
+def test_length_classes_lose_no_pair(spark):
+    rows = [(x, y) for x in range(5, 400) for y in range(x, x * 100 // 80 + 1)]
+    df = spark.createDataFrame(rows, "x long, y long")
+    (a, b), (c, d) = (line_dedup.length_classes(F.col(k), 80) for k in "xy")
+    assert df.where((a != c) & (b != d)).count() == 0
+    assert spark.createDataFrame([(100, 200)], "x long, y long").where((a == c) | (b == d)).count() == 0
