@@ -55,6 +55,40 @@ OPEN_PAIRS = 4
 #: Rows of two numbers.
 BROADCAST_KEYS = 250_000
 MOST_ROUNDS = 2
+#: Open pairs of a node, on average, beyond which the best BEST of each are tested before the others, in so many rounds at most.
+DENSE, BEST, DENSE_ROUNDS = 12, 3, 3
+
+
+def link_pairs(pairs: DataFrame, roots: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of the components over roots' and all of pairs that pass verify.
+
+    pairs: a, b, their roots root_a and root_b, and the number n of keys that they share;
+    written by cut(), and deleted here. While a node has more than DENSE pairs on average, each is
+    first compared with those few that it shares most keys with, and pairs inside
+    one component need no test any more; so a dense group costs a few tests
+    for each node and not for each pair. The rest is tested at once.
+    """
+    sides = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
+    for _ in range(DENSE_ROUNDS):
+        ends = pairs.select("n", "a", "b", F.explode(F.array(*sides)).alias("end")).select("n", "a", "b", F.col("end.node").alias("node"), F.pmod(F.xxhash64("end.other"), F.lit(BEST)).alias("part"))
+        best = ends.groupBy("node", "part").agg(F.max(F.struct("n", "a", "b")).alias("best"), F.count(F.lit(1)).alias("m"))
+        best = cut(best.select("node", "m", "best.a", "best.b"), "best_pairs")
+        m, nodes = best.agg(F.sum("m"), F.count_distinct("node")).first()
+        if not nodes or m <= DENSE * nodes:
+            discard(best)
+            break
+        tried = best.select("a", "b").distinct()
+        checked = cut(verify(tried), "links")
+        roots = connected_components(stars(roots).union(checked))
+        # A root that has moved is a node of the new components.
+        moved = [roots.select(F.col("node").alias(f"root_{x}"), F.col("root").alias(f"now_{x}")) for x in "ab"]
+        left = pairs.join(tried, ["a", "b"], "left_anti").join(moved[0], "root_a", "left").join(moved[1], "root_b", "left")
+        left = left.select("a", "b", F.coalesce("now_a", "root_a").alias("root_a"), F.coalesce("now_b", "root_b").alias("root_b"), "n").where("root_a <> root_b")
+        last, pairs = pairs, cut(left, "open_pairs")
+        discard(last, best, checked)
+    checked = cut(verify(pairs.select("a", "b")), "links")
+    discard(pairs)
+    return connected_components(stars(roots).union(checked))
 
 
 def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], facts: DataFrame | None = None, may_link_all: Callable[[str, str], Column] | None = None, one_leader: bool = False) -> DataFrame:
@@ -73,7 +107,7 @@ def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFr
     buckets, is compared with the others; whoever ends in its component needs no
     further comparison with it, so a bucket of n near copies costs n comparisons
     and not n * n. Pairs still open after that are all put to the conditions
-    inside one join, and verified if they pass: no pair is dropped by a cap.
+    inside one join, and verified if they pass, by link_pairs(): no pair is dropped by a cap.
     """
     own = [c for c in traits.columns if c != "node"]
     counts = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared_keys")
@@ -115,7 +149,8 @@ def link_buckets(members: DataFrame, traits: DataFrame, verify: Callable[[DataFr
         meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & may_link("a", "b")
         if may_link_all is not None:
             meet &= may_link_all("a", "b")
-        pairs = rest.alias("a").join(rest.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        roots = connected_components(stars(roots).union(cut(verify(pairs), "links")))
+        met = rest.alias("a").join(rest.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b"))
+        pairs = cut(met.groupBy("a", "b", "root_a", "root_b").agg(F.count(F.lit(1)).alias("n")), "open_pairs")
+        roots = link_pairs(pairs, roots, verify)
     discard(state)
     return roots

@@ -371,3 +371,34 @@ def test_length_classes_lose_no_pair(spark):
     (a, b), (c, d) = (line_dedup.length_classes(F.col(k), 80) for k in "xy")
     assert df.where((a != c) & (b != d)).count() == 0
     assert spark.createDataFrame([(100, 200)], "x long, y long").where((a == c) | (b == d)).count() == 0
+
+
+def test_bands_find_like_lines_and_few_others():
+    """By Jaccard similarity: no fewer like lines than six bands of four find, and a tenth of their unlike ones at most."""
+    rng = random.Random(3)
+
+    def found(bands, n_minima, share):
+        draws = ([rng.random() < share for _ in range(n_minima)] for _ in range(4000))
+        return sum(any(all(x[i] for i in band) for band in bands) for x in draws) / 4000
+
+    for share, least in ((0.67, 0.64), (0.8, 0.93), (0.9, 0.99)):
+        assert found(line_dedup.BANDS, line_dedup.MINIMA, share) >= least
+    assert sum(0.1 ** len(band) for band in line_dedup.BANDS) <= 0.1 * 6 * 0.1**4
+
+
+def test_dense_groups_are_not_tested_pair_by_pair(spark):
+    """Near copies of near copies, of which no one is near to all: the links that hold them together come first."""
+    n = 240
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    keys = F.array(*(F.xxhash64(F.lit(s), F.floor((F.col("node") + s) / 8)) for s in range(0, 8, 2)), F.lit(1).cast("long"))
+    members = nodes.select(F.explode(keys).alias("key"), "node")
+    tested = []
+
+    def verify(pairs):
+        tested.append(pairs.count())
+        return pairs.where("b - a <= 5 and a div 120 = b div 120")
+
+    roots = components.link_buckets(members, nodes, verify, lambda a, b: F.lit(True)).collect()
+    assert {r.node: r.root for r in roots} == {i: i // 120 * 120 for i in range(n)}
+    assert sum(tested) < 0.75 * n * (n - 1) / 2, tested
+
