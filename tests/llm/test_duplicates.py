@@ -402,3 +402,9 @@ def test_dense_groups_are_not_tested_pair_by_pair(spark):
     assert {r.node: r.root for r in roots} == {i: i // 120 * 120 for i in range(n)}
     assert sum(tested) < 0.75 * n * (n - 1) / 2, tested
 
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 9)] + [(205, 201), (205, 202), (7, 7)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 109)} | {i: 201 for i in (201, 202, 205)}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
