@@ -31,6 +31,8 @@ TYPES = (
 CODE = r"\b(B5200|D\d{3}|E\d{3,4}|\d{2,5})\b"
 STRANDS = r"(?i)(\d+)\s*(?:strands?|brins?|hebras?|hilos?)"
 PAGE = r"(?i)(?:page\s*)?(\d+)\s*(?:/|of|sur|de|von|aus)\s*(\d+)"
+#: The threads of so many colours are broadcast; of more, they meet cells in a shuffle.
+BROADCAST_COLOURS = 250_000
 #: Publishers by strings in a file's data, most certain first.
 PUBLISHERS = (("dmc", ("dmc creative", "dmc studio", "dmc ", "dmc, inc"), 0.95), ("flosscross", ("flosscross",), 0.9), ("patternkeeper", ("patternkeeper", "pattern keeper"), 0.9), ("kgchart", ("kg-chart", "kgchart"), 0.85))
 
@@ -63,20 +65,23 @@ def matched(cells: DataFrame, legend: DataFrame, catalogue: DataFrame, reach: fl
     """
     rgb = ["r", "g", "b"]
     d2 = sum(((F.col(c) - F.col(f"l_{c}")) * (F.col(c) - F.col(f"l_{c}")) for c in rgb), F.lit(0)).cast("long")
-    distinct = settled(cells.select("page_id", *rgb).distinct(), "page_colours")
+    distinct = cells.select("page_id", *rgb).distinct()
     # Legend rows are numbered in their order, so that one number has the squared distance and who is first of equal ones: pairs add up without a sort, and only those in reach count.
     listed = legend.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", "code", *rgb))).alias("rows"))
     rows = listed.select("page_id", F.posexplode("rows").alias("pos", "row")).select("page_id", "pos", *(F.col(f"row.{c}").alias(f"l_{c}") for c in rgb))
-    pairs = distinct.join(rows, "page_id").withColumn("d2", d2).where(F.sqrt(F.col("d2").cast("double")) < reach)
+    # Colours and legends of pages lie in few bytes of a file but not of memory, so none is broadcast for its size in files.
+    pairs = distinct.join(rows.hint("merge"), "page_id").withColumn("d2", d2).where(F.sqrt(F.col("d2").cast("double")) < reach)
     least = pairs.groupBy("page_id", *rgb).agg(F.min(F.shiftleft("d2", 32) + F.col("pos")).alias("k"))
     row = F.get("rows", F.col("k").bitwiseAND(0xFFFFFFFF).cast("int"))
-    near = settled(least.join(listed, "page_id").select("page_id", *rgb, row["code"].alias("near_code"), F.shiftright("k", 32).alias("d2")), "legend_near")
-    # The search goes by places along any three axes.
-    threads = catalogue.select(F.col("id").alias("thread_id"), "ord", *(F.col(c).cast("double").alias(f"c_{x}") for c, x in zip(rgb, "lab", strict=True)))
-    far = distinct.join(near, ["page_id", *rgb], "left_anti").select(*rgb).distinct()
+    near = least.join(listed.hint("merge"), "page_id").select("page_id", *rgb, row["code"].alias("near_code"), F.shiftright("k", 32).alias("d2"))
+    met = settled(cells.select("page_id", "col", "row", *rgb).join(near.hint("merge"), ["page_id", *rgb], "left"), "legend_near")
+    # The search goes by places along any three axes; of threads of one colour only the first can be found.
+    first = catalogue.dropna(subset=rgb).groupBy(*rgb).agg(F.min_by("id", "ord").alias("thread_id"), F.min("ord").alias("ord"))
+    threads = first.select("thread_id", "ord", *(F.col(c).cast("double").alias(f"c_{x}") for c, x in zip(rgb, "lab", strict=True)))
+    far = settled(met.where("d2 is null").select(*rgb).distinct(), "far_colours")
     places = far.select(F.struct(*rgb).alias("rgb"), *(F.col(c).cast("double").alias(x) for c, x in zip(rgb, "lab", strict=True)))
     fallback = nearby.nearest_in_lab(places, threads).select("rgb.*", F.col("thread_id").alias("thread"))
-    j = cells.join(near, ["page_id", *rgb], "left").join(fallback, rgb, "left")
+    j = met.join(F.broadcast(fallback) if far.count() <= BROADCAST_COLOURS else fallback.hint("merge"), rgb, "left")
     exact, close = F.col("d2") == 0, F.col("d2").isNotNull()
     kind = F.when(exact, "legend-exact").when(close, "legend-nearest").when(F.col("thread").isNotNull(), "catalogue").otherwise("unknown")
     confidence = F.when(exact, 1.0).when(close, 0.95).when(F.col("thread").isNotNull(), 0.5).otherwise(0.0)

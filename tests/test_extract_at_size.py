@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 
 from tessella.operators import extract
 
@@ -34,6 +35,26 @@ def test_no_pair_with_a_legend_row_is_sorted(spark, monkeypatch):
     assert plans and not any("SortAggregate" in p for p in plans)
 
 
+@pytest.mark.parametrize("colours", [0, 1000])
+def test_tables_of_pages_are_not_broadcast(spark, monkeypatch, colours):
+    """Small files do not make a broadcast of what grows with the pages; the threads of few colours may be one."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, settled = [], extract.settled
+    monkeypatch.setattr(extract, "settled", lambda df, name: plans.append(plan(df)) or settled(df, name))
+    monkeypatch.setattr(extract, "BROADCAST_COLOURS", colours)
+    cells = [(1, 0, 0, 9, 9, 9), (1, 1, 0, 9, 9, 9), (1, 2, 0, 12, 9, 9), (2, 0, 0, 9, 9, 9), (2, 1, 0, 200, 9, 9), (2, 2, 0, None, 9, 9)]
+    threads = [(1, 8, 9, 9, 1), (2, 190, 9, 9, 3), (3, 190, 9, 9, 2), (4, None, 9, 9, 0)]
+    got = extract.matched(
+        spark.createDataFrame(cells, "page_id long, col long, row long, r int, g int, b int"),
+        spark.createDataFrame([(1, "a", 9, 9, 9, 2), (1, "b", 9, 9, 9, 1), (1, "c", 60, 9, 9, 0)], "page_id long, code string, r int, g int, b int, ord long"),
+        spark.createDataFrame(threads, "id long, r int, g int, b int, ord long"),
+    )
+    want = {(1, 0): ("b", "legend-exact"), (1, 1): ("b", "legend-exact"), (1, 2): ("b", "legend-nearest"), (2, 0): ("1", "catalogue"), (2, 1): ("3", "catalogue"), (2, 2): (None, "unknown")}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    assert plan(got).count("BroadcastHashJoin") == (colours > 0)
+    assert {(r.page_id, r.col): (r.code, r.kind) for r in got.collect()} == want
+
+
 def test_bands_across_batches(spark):
     rng = random.Random(1)
     rows = [(p, i, float(rng.randrange(9)), rng.choice([None, *(x * 0.9 for x in range(40))]), f"w{i}") for p in range(12) for i in range(rng.randrange(1, 30))]
