@@ -53,8 +53,8 @@ OPEN_PAIRS = 4
 #: Rows of two numbers.
 BROADCAST_KEYS = 250_000
 MOST_ROUNDS = 2
-#: Open pairs of a node, on average, beyond which the best BEST of each are tested before the others, in so many rounds at most.
-DENSE, BEST, DENSE_ROUNDS = 12, 3, 3
+#: Open pairs of a node, on average, beyond which the best BEST of each are tested before the others, in so many rounds at most, while a round leaves at most this share of them open.
+DENSE, BEST, DENSE_ROUNDS, WORTH = 12, 3, 3, 0.5
 
 
 def link_pairs(pairs: DataFrame, roots: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -64,15 +64,19 @@ def link_pairs(pairs: DataFrame, roots: DataFrame, verify: Callable[[DataFrame],
     written by cut(), and deleted here. While a node has more than DENSE pairs on average, each is
     first compared with those few that it shares most keys with, and pairs inside
     one component need no test any more; so a dense group costs a few tests
-    for each node and not for each pair. The rest is tested at once.
+    for each node and not for each pair. Lines that share a passage and little else are
+    dense too, but have few links to find: the rounds end when one closes too few pairs.
+    The rest is tested at once.
     """
-    sides = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
+    # A pair counts for one of its ends, either as often.
+    mix = F.xxhash64("a", "b")
+    own, other = (F.when(mix.bitwiseAND(1) == 0, F.col(x)).otherwise(F.col(y)) for x, y in ("ab", "ba"))
+    n_pairs = pairs.count()
     for _ in range(DENSE_ROUNDS):
-        ends = pairs.select("n", "a", "b", F.explode(F.array(*sides)).alias("end")).select("n", "a", "b", F.col("end.node").alias("node"), F.pmod(F.xxhash64("end.other"), F.lit(BEST)).alias("part"))
-        best = ends.groupBy("node", "part").agg(F.max(F.struct("n", "a", "b")).alias("best"), F.count(F.lit(1)).alias("m"))
-        best = cut(best.select("node", "m", "best.a", "best.b"), "best_pairs")
-        m, nodes = best.agg(F.sum("m"), F.count_distinct("node")).first()
-        if not nodes or m <= DENSE * nodes:
+        best = pairs.groupBy(own.alias("node"), F.pmod(F.xxhash64(other), F.lit(BEST)).alias("part")).agg(F.max(F.struct("n", "a", "b")).alias("best"))
+        best = cut(best.select("node", "best.a", "best.b"), "best_pairs")
+        nodes = best.agg(F.count_distinct("node")).first()[0]
+        if 2 * n_pairs <= DENSE * nodes:
             discard(best)
             break
         tried = best.select("a", "b").distinct()
@@ -84,6 +88,9 @@ def link_pairs(pairs: DataFrame, roots: DataFrame, verify: Callable[[DataFrame],
         left = left.select("a", "b", F.coalesce("now_a", "root_a").alias("root_a"), F.coalesce("now_b", "root_b").alias("root_b"), "n").where("root_a <> root_b")
         last, pairs = pairs, cut(left, "open_pairs")
         discard(last, best, checked)
+        before, n_pairs = n_pairs, pairs.count()
+        if n_pairs > WORTH * before:
+            break
     checked = cut(verify(pairs.select("a", "b")), "links")
     discard(pairs)
     return connected_components(stars(roots).union(checked))

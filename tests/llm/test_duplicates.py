@@ -403,6 +403,26 @@ def test_dense_groups_are_not_tested_pair_by_pair(spark):
     assert sum(tested) < 0.75 * n * (n - 1) / 2, tested
 
 
+def test_rounds_end_when_they_close_few_pairs(spark):
+    """Lines that share a passage all meet, but hardly any is near another: every pair is tested, in few rounds."""
+    n = 60
+    ids = lambda name: spark.range(n).select(F.col("id").alias(name))
+    pairs = ids("a").join(ids("b"), F.col("a") < F.col("b")).selectExpr("a", "b", "a as root_a", "b as root_b", "cast(1 as long) as n")
+    tested = []
+
+    def verify(pairs):
+        tested.append([tuple(r) for r in pairs.collect()])
+        return pairs.where("a % 10 = 0 and b = a + 7")
+
+    roots = components.link_pairs(components.cut(pairs, "pairs"), spark.createDataFrame([], "node long, root long"), verify).collect()
+    assert {r.node: r.root for r in roots} == {x: i for i in range(0, n, 10) for x in (i, i + 7)}
+    assert len(tested) <= 2
+    once = [p for some in tested for p in some]
+    assert len(once) == len(set(once))
+    # Only pairs inside one component go untested.
+    assert len(once) >= n * (n - 1) // 2 - n // 10 * 6
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 9)] + [(205, 201), (205, 202), (7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
